@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import sharding, url_graph
+from rosterline.llm import merkle, sharding, url_graph
 from rosterline.llm.common import table
 
 #: (verdict, host, path), as the contract gives them.
@@ -27,15 +27,19 @@ def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_graph.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_lpt_sharding, op10_link_graph_urls)}
+    return {f.__name__: f for f in (op6_lpt_sharding, op9_merkle_fingerprints, op10_link_graph_urls)}
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_merkle_fingerprints": merkle.oracle_sql()}
 
 
 def oracle_sql() -> dict[str, str]:
