@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import merkle, sharding, url_graph
+from rosterline.llm import merkle, sharding, url_graph, warc
 from rosterline.llm.common import table
 
 #: (verdict, host, path), as the contract gives them.
@@ -20,6 +20,14 @@ URL_RULES = [
 ]
 
 
+#: Pages have no crawl date; records get this one.
+WARC_DATE = "2024-01-01T00:00:00Z"
+
+
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses_from_pages(table(spark, sf_dir, "pages"), WARC_DATE))
+
+
 def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
     return out.select(
@@ -36,10 +44,10 @@ def op10_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_lpt_sharding, op9_merkle_fingerprints, op10_link_graph_urls)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op6_lpt_sharding, op9_merkle_fingerprints, op10_link_graph_urls)}
 
 
-ORACLE_SQL: dict[str, str] = {"op9_merkle_fingerprints": merkle.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.oracle_sql(WARC_DATE), "op9_merkle_fingerprints": merkle.oracle_sql()}
 
 
 def oracle_sql() -> dict[str, str]:
