@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import merkle, sharding, url_graph, warc
+from rosterline.llm import merkle, packing, sharding, url_graph, warc
 from rosterline.llm.common import table
 
 #: (verdict, host, path), as the contract gives them.
@@ -35,6 +36,10 @@ def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
 def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op10_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op6_lpt_sharding, op9_merkle_fingerprints, op10_link_graph_urls)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op6_lpt_sharding, op8_best_fit_packing, op9_merkle_fingerprints, op10_link_graph_urls)}
 
 
 ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.oracle_sql(WARC_DATE), "op9_merkle_fingerprints": merkle.oracle_sql()}
