@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import merkle, packing, sharding, url_graph, warc
+from rosterline.llm import language_id, merkle, packing, sharding, url_graph, warc
 from rosterline.llm.common import table
 
 #: (verdict, host, path), as the contract gives them.
@@ -36,6 +36,10 @@ def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
@@ -49,7 +53,7 @@ def op10_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op6_lpt_sharding, op8_best_fit_packing, op9_merkle_fingerprints, op10_link_graph_urls)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op6_lpt_sharding, op7_kneser_ney_language, op8_best_fit_packing, op9_merkle_fingerprints, op10_link_graph_urls)}
 
 
 ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.oracle_sql(WARC_DATE), "op9_merkle_fingerprints": merkle.oracle_sql()}
