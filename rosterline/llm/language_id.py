@@ -111,7 +111,7 @@ def kneser_ney(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
     )
     grams = materialize(grams.select("lang", "n", "gram", "context", "shorter", "c"))
     ones, twos = (F.sum(F.when(F.col("c") == k, 1.0).otherwise(0.0)) for k in (1, 2))
-    discount = grams.groupBy("lang", "n").agg((ones / (ones + 2 * twos)).alias("raw"))
+    discount = grams.groupBy("lang", "n").agg(F.try_divide(ones, ones + 2 * twos).alias("raw"))
     discount = discount.select("lang", "n", F.when((F.col("raw") > 0) & (F.col("raw") < 1), F.col("raw")).otherwise(0.75).alias("d"))
     contexts = (
         grams.groupBy("lang", "n", "context")
