@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import embedding_index, language_id, merkle, ngram_jaccard, packing, sharding, url_graph, warc
+from rosterline.llm import embedding_index, language_id, merkle, ngram_jaccard, packing, quality_cotraining, sharding, url_graph, warc
 from rosterline.llm.common import table
 
 #: (verdict, host, path), as the contract gives them.
@@ -37,6 +37,11 @@ def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_index.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_cotraining.scores(docs, labels).select("doc_id", "_quality.*")
+
+
 def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
     return out.select(
@@ -61,7 +66,7 @@ def op10_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op3_lsh_forest_jaccard, op4_inverted_multi_index, op6_lpt_sharding, op7_kneser_ney_language, op8_best_fit_packing, op9_merkle_fingerprints, op10_link_graph_urls)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op3_lsh_forest_jaccard, op4_inverted_multi_index, op5_cotraining_quality, op6_lpt_sharding, op7_kneser_ney_language, op8_best_fit_packing, op9_merkle_fingerprints, op10_link_graph_urls)}
 
 
 ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.oracle_sql(WARC_DATE), "op9_merkle_fingerprints": merkle.oracle_sql()}
