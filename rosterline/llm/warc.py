@@ -25,12 +25,12 @@ ENTITIES = {
     "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "sect": "§", "deg": "°", "times": "×",
 }
 #: Fixed patterns, read alike by Java and RE2: what holds no text, then tags that end a line, then all tags.
-NO_TEXT = [r"(?is)<!--.*?(?:-->|\z)", *(rf"(?is)<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "template", "head"))]
+NO_TEXT = "(?is)" + "|".join([r"<!--.*?(?:-->|\z)", *(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "template", "head"))])
 LINE_TAG = r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*>"
 ANY_TAG = r"(?i)<[a-z/!?][^>]*>"
 TITLE, LANG, CHARSET = r"(?is)<title\b[^>]*>(.*?)</title", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-z-]+)", r"(?i)<meta\b[^>]*\bcharset\s*=\s*[\"']?([a-z0-9_-]+)"
 OUTLINK = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']+)"
-SPACE = r"[ \t\r\f]+"
+SPACE = r"[ \t\r\f]{2,}|[\t\r\f]"
 
 
 def sha1_base32(data: Column) -> Column:
@@ -46,30 +46,27 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, *c) for c in cut)), F.lit(">"))
 
 
-def _numeric_entities(text: Column) -> Column:
-    """&#233; and &#xe9; resolved, code points beyond Unicode left as they are."""
+def unescaped(text: Column) -> Column:
+    """Named characters of ENTITIES, &#233; and &#xe9; resolved in one sweep; others stay as they are."""
+    named = F.create_map(*(F.lit(x) for pair in [*ENTITIES.items(), ("amp", "&")] for x in pair))
 
     def one(part: Column) -> Column:
-        hexed, plain = F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,6});", 1), F.regexp_extract(part, r"^([0-9]{1,7});", 1)
+        end = F.locate(";", F.substring(part, 1, 10))
+        name, rest = F.substring(part, F.lit(1), end - 1), F.substring(part, end + 1, F.length(part))
+        hexed, plain = F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]{1,6})$", 1), F.regexp_extract(name, r"^#([0-9]{1,7})$", 1)
         code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(plain != "", plain).cast("long")
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(valid, F.concat(char, F.regexp_replace(part, r"^[xX]?[0-9a-fA-F]{1,7};", ""))).otherwise(F.concat(F.lit("&#"), part))
-
-    parts = F.split(text, "&#", -1)
-    return F.when(text.contains("&#"), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), one), ""))).otherwise(text)
+        number = F.when(name.startswith("#") & valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.concat(F.coalesce(F.try_element_at(named, name), number), rest), F.concat(F.lit("&"), part))
 
-
-def unescaped(text: Column) -> Column:
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(_numeric_entities(text), F.lit("&amp;"), F.lit("&"))
+    parts = F.split(text, "&", -1)
+    swept = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), one), ""))
+    return F.when(text.contains("&"), swept).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
     """The visible text: one line per block element, blanks collapsed, empty lines gone."""
-    for pattern in NO_TEXT:
-        html = F.regexp_replace(html, pattern, " ")
+    html = F.regexp_replace(html, NO_TEXT, " ")
     html = F.regexp_replace(F.replace(html, F.lit("\n"), F.lit(" ")), LINE_TAG, "\n")
     text = F.regexp_replace(unescaped(F.regexp_replace(html, ANY_TAG, "")), SPACE, " ")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"\A\s+", ""), r"\s+\z", "")
@@ -183,9 +180,7 @@ def oracle_sql(date: str) -> str:
             text = f"replace({text}, '&{name};', {quoted(char)})"
         return text
 
-    text = "payload"
-    for pattern in NO_TEXT:
-        text = f"regexp_replace({text}, {quoted(pattern)}, ' ', 'g')"
+    text = f"regexp_replace(payload, {quoted(NO_TEXT)}, ' ', 'g')"
     text = f"regexp_replace(replace({text}, chr(10), ' '), {quoted(LINE_TAG)}, chr(10), 'g')"
     text = f"regexp_replace({replaced(f"regexp_replace({text}, {quoted(ANY_TAG)}, '', 'g')")}, {quoted(SPACE)}, ' ', 'g')"
     text = rf"regexp_replace(regexp_replace(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), '\A\s+', ''), '\s+\z', '')"
