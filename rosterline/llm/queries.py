@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import embedding_index, language_id, merkle, ngram_jaccard, packing, quality_cotraining, sharding, url_graph, warc
+from rosterline.llm import embedding_index, language_id, merkle, ngram_jaccard, packing, quality_cotraining, sentencepiece_sampling, sharding, url_graph, warc
 from rosterline.llm.common import table
 
 #: (verdict, host, path), as the contract gives them.
@@ -29,6 +29,11 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses_from_pages(table(spark, sf_dir, "pages"), WARC_DATE))
 
 
+def op2_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), model, k=3, with_ids=False, verify=True)
+
+
 def op3_lsh_forest_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -66,7 +71,7 @@ def op10_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op3_lsh_forest_jaccard, op4_inverted_multi_index, op5_cotraining_quality, op6_lpt_sharding, op7_kneser_ney_language, op8_best_fit_packing, op9_merkle_fingerprints, op10_link_graph_urls)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_gumbel_segmentations, op3_lsh_forest_jaccard, op4_inverted_multi_index, op5_cotraining_quality, op6_lpt_sharding, op7_kneser_ney_language, op8_best_fit_packing, op9_merkle_fingerprints, op10_link_graph_urls)}
 
 
 ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.oracle_sql(WARC_DATE), "op9_merkle_fingerprints": merkle.oracle_sql()}
