@@ -25,7 +25,7 @@ ENTITIES = {
     "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "sect": "§", "deg": "°", "times": "×",
 }
 #: Fixed patterns, read alike by Java and RE2: what holds no text, then tags that end a line, then all tags.
-NO_TEXT = "(?is)" + "|".join([r"<!--.*?(?:-->|\z)", *(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "template", "head"))])
+NO_TEXT = "(?is)<(?:" + "|".join([r"!--.*?(?:-->|\z)", *(rf"{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "template", "head"))]) + ")"
 LINE_TAG = r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*>"
 ANY_TAG = r"(?i)<[a-z/!?][^>]*>"
 TITLE, LANG, CHARSET = r"(?is)<title\b[^>]*>(.*?)</title", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-z-]+)", r"(?i)<meta\b[^>]*\bcharset\s*=\s*[\"']?([a-z0-9_-]+)"
@@ -69,7 +69,7 @@ def plain_text(html: Column) -> Column:
     html = F.regexp_replace(html, NO_TEXT, " ")
     html = F.regexp_replace(F.replace(html, F.lit("\n"), F.lit(" ")), LINE_TAG, "\n")
     text = F.regexp_replace(unescaped(F.regexp_replace(html, ANY_TAG, "")), SPACE, " ")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"\A\s+", ""), r"\s+\z", "")
+    return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def responses_from_pages(pages: DataFrame, date: str) -> DataFrame:
@@ -183,7 +183,7 @@ def oracle_sql(date: str) -> str:
     text = f"regexp_replace(payload, {quoted(NO_TEXT)}, ' ', 'g')"
     text = f"regexp_replace(replace({text}, chr(10), ' '), {quoted(LINE_TAG)}, chr(10), 'g')"
     text = f"regexp_replace({replaced(f"regexp_replace({text}, {quoted(ANY_TAG)}, '', 'g')")}, {quoted(SPACE)}, ' ', 'g')"
-    text = rf"regexp_replace(regexp_replace(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), '\A\s+', ''), '\s+\z', '')"
+    text = rf"trim(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
     first = lambda p: rf"trim(regexp_replace(regexp_extract(payload, {quoted(p)}, 1), '\s+', ' ', 'g'))"
     end = "chr(13) || chr(10)"
     return f"""
