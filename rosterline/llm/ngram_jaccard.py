@@ -28,6 +28,8 @@ WORD = re.compile(r"\w+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Members of a bucket, and of a group to verify, that meet in one unit of work.
 BUCKET_BLOCK, VERIFY_BLOCK = 2048, 256
+#: Up to so many candidates' ids (24 bytes each) are broadcast, so that the texts of the others aren't shuffled; more are joined.
+BROADCAST_IDS = 2_000_000
 #: A pair connects two candidates if its signatures agree as much as those of pairs this far below the threshold do.
 SLACK = 0.15
 
@@ -113,7 +115,7 @@ def connect_units(share: float):  # noqa: ANN201
     """Work for in_units(): connects members whose sketches agree in at least the given share of their bytes."""
 
     def work(key: tuple, held: list) -> Iterator[tuple]:
-        rows = np.stack([h[3] for h in held])
+        rows = np.stack([h[2] for h in held])
         root = connected(lambda k, others: (rows[others] == rows[k]).mean(axis=1) >= share, len(held))
         for k, r in enumerate(root):
             if r != k:
@@ -154,17 +156,20 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, trees: int
     usable = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
     reps = base.filter(usable).groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("w"), F.min_by("buckets", "doc_id").alias("buckets"), F.min_by("sketch", "doc_id").alias("sketch"))
     reps = materialize(reps.withColumn("id", F.col("id").cast("long")))
-    met = reps.select("id", "w", F.explode("buckets").alias("bucket"))
+    met = reps.select("id", F.explode("buckets").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("bucket").alias("_bucket"))
     crowded = materialize(met.join(shared, F.col("bucket") == F.col("_bucket")).drop("_bucket"))
     likely = reps.join(crowded.select("id").distinct(), "id", "left_semi").select("id", "sketch")
     members = blocked(crowded.join(likely, "id"), "bucket", "id", BUCKET_BLOCK)
     agree = threshold - SLACK
-    met_likely = in_units(members, ["_group", "_i", "_j"], ["id", "w"], "sketch", connect_units(agree + (1 - agree) / 256))
+    met_likely = in_units(members, ["_group", "_i", "_j"], ["id"], "sketch", connect_units(agree + (1 - agree) / 256))
     groups = materialize(connected_components(met_likely.select(F.col("id").alias("a"), F.col("other").alias("b"))))
 
     chosen = groups.join(reps.select(F.col("id").alias("_id"), "w", F.col("key").alias("_key")), F.col("node") == F.col("_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(chosen.select(F.col("node").alias("id"), "component", "w", "_key"), "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    if groups.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(groups.select(F.col("node").alias("id"))), "id", "left_semi")
+    texts = texts.join(chosen.select(F.col("node").alias("id"), "component", "w", "_key"), "id")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
