@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rosterline.plans import directory, records, telemetry
+
 Query = Callable[[SparkSession, str], DataFrame]
+PLANS = [directory, telemetry, records]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """Judges by state and status: the dashboard's one query over all four levels."""
+    return directory.a2_status_by_state(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for plan in PLANS for name, text in plan.SQL.items()}

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The words and orders on which equal results depend.
 COUNTY_SUFFIXES = [" county", " parish", " borough", " municipality", " census area", " city and borough", " city"]
@@ -70,7 +71,7 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_query(s: pd.Series) -> pd.Series:
     """Accents gone, straight quotes and hyphens, nothing else but words and blanks."""
 
@@ -173,7 +174,7 @@ def slug(c: Column, most: int = 100) -> Column:
     return F.left(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", ""), F.lit(most))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strict_slug(s: pd.Series) -> pd.Series:
     """A slug that writes accented letters without their accents."""
 

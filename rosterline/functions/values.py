@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def host(url: Column) -> Column:
@@ -22,7 +23,7 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(host(url), r"^www\.", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolved(url: pd.Series, base: pd.Series) -> pd.Series:
     """A URL relative to a page."""
     return pd.Series([None if u is None else urljoin(b or "", u) for u, b in zip(url, base, strict=True)])
@@ -112,7 +113,7 @@ def json_of_answer(text: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(fenced), F.lit("")), F.nullif(bare, F.lit("")), text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repaired_json(texts: pd.Series) -> pd.Series:
     """JSON that was cut off, without its dangling last element and with its brackets closed; null if hopeless."""
 
