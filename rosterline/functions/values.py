@@ -110,7 +110,7 @@ def filled(*values: Column) -> Column:
 def json_of_answer(text: Column) -> Column:
     """C4: the JSON in a fence, else from the first brace to the last, else the text."""
     fenced, bare = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.nullif(F.trim(fenced), F.lit("")), F.nullif(bare, F.lit("")), text)
+    return F.coalesce(F.nullif(F.regexp_replace(fenced, r"^\s+|\s+$", ""), F.lit("")), F.nullif(bare, F.lit("")), text)
 
 
 @F.pandas_udf(StringType())
