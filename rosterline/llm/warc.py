@@ -157,8 +157,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def write_records(records: DataFrame, path: str) -> None:
     """WARC files under path, one per partition. path must be reachable from every executor."""
-    framed = serialized(records).select(F.decode("record", "UTF-8").alias("value"))
-    framed.write.mode("overwrite").option("lineSep", "").text(path)
+    whole = F.decode("record", "UTF-8")
+    framed = serialized(records).select(F.left(whole, F.length(whole) - 4).alias("value"))  # the separator ends the records
+    framed.write.mode("overwrite").option("lineSep", "\r\n\r\n").text(path)
 
 
 def oracle_sql(date: str) -> str:
