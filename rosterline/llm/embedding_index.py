@@ -2,9 +2,10 @@
 
 Two codebooks, one for each half of the vectors, make a grid of cells. A vector lies in the
 cell of its nearest codes and visits further cells in the order of a lower bound: its squared
-distances to the two regions, added. Visits end at a bound that is measured: over
-sampled vectors compared with all others, the target share of true pairs lies below it. What
-meets in a cell is compared exactly, in double precision.
+distances to the two regions, added. Visits end at a bound that is measured: for each of many
+sampled vectors, compared with all others, the target share of its true pairs lies below it.
+Where too few of them have pairs, visits go on to the greatest bound that a pair can have,
+and none is lost. What meets in a cell is compared exactly, in double precision.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from rosterline.llm.groups import blocked, in_units, link_units
 
 #: Vectors from which codebooks are made, and queries that measure recall against all vectors.
 SAMPLE, QUERIES = 20_000, 400
+#: Queries of different neighbourhoods that are asked first, and how many of them must have pairs.
+SPREAD, ENOUGH = 2_000, 100
 #: Members or visitors of a cell that meet in one unit of work.
 BLOCK = 512
 _VISIT = 1 << 20
@@ -78,35 +81,82 @@ def visits(own: int, low_a: np.ndarray, low_b: np.ndarray, most: float) -> np.nd
     return cells[cells > own]
 
 
-def measured_bound(vectors: DataFrame, grid: Grid, queries: np.ndarray, least: float, target: float) -> float:
-    """The bound below which the target share of the queries' true pairs lies, with half as much on top.
-
-    The queries are compared with every vector; each task returns a histogram.
+def apart(rows: np.ndarray, least: float, step: int = 1024) -> np.ndarray:
+    """For each row whether no earlier such row is within least cosine, so that a hot cluster has one voice."""
+    kept = np.zeros(len(rows), bool)
+    for at in range(0, len(rows), step):
+        part = rows[at : at + step]
+        free = np.ones(len(part), bool)
+        earlier = rows[:at][kept[:at]]
+        for k in range(0, len(earlier), step):
+            free &= (part @ earlier[k : k + step].T < least).all(axis=1)
+        near = part @ part.T >= least
+        for k in range(len(part)):
+            if free[k]:
+                free[k + 1 :] &= ~near[k, k + 1 :]
+        kept[at : at + step] = free
+    return kept
+
+
+def pair_bounds(vectors: DataFrame, grid: Grid, queries: np.ndarray, ids: np.ndarray, least: float, target: float) -> dict[int, float]:
+    """For each of the queries with pairs the bound below which the target share of them lies.
+
+    The queries are compared with every other of vectors(id, v); each task returns a histogram
+    for each query.
     """
-    limit, bins = 2 - 2 * least, 400
-    cells, low_a, low_b = grid.bounds(queries)
+    limit, bins, step = 2 - 2 * least, 400, max(64, (1 << 21) // max(1, len(queries)))
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(bins, np.int64)
+        total = np.zeros(len(queries) * bins, np.int64)
         for batch in batches:
             rows = unit(np.stack([x.values.to_numpy() for x in batch.column("v")])) if batch.num_rows else np.zeros((0, queries.shape[1]))
-            for at in range(0, len(rows), 4096):
-                part = rows[at : at + 4096]
+            names = batch.column("id").to_numpy(zero_copy_only=False)
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
                 q, r = np.nonzero(queries @ part.T >= least)
-                own, la, lb = grid.bounds(part)
-                c = grid.codes
-                there = low_a[q, own[r] // c] + low_b[q, own[r] % c]
-                back = la[r, cells[q] // c] + lb[r, cells[q] % c]
-                low = np.where(cells[q] < own[r], there, back)  # the one in the lower cell visits
-                total += np.histogram(low[cells[q] != own[r]], bins, (0, limit * 1.001))[0]
-                total[0] += (cells[q] == own[r]).sum()
-        yield pa.RecordBatch.from_pydict({"bin": pa.array(np.arange(bins), pa.int32()), "n": pa.array(total)})
-
-    counts = {r[0]: r[1] for r in vectors.select("v").mapInArrow(histogram, "bin int, n long").groupBy("bin").agg(F.sum("n")).collect()}
-    share = np.cumsum([counts.get(k, 0) for k in range(bins)])
-    if not share[-1]:
-        return limit / 4
-    return min(limit, (np.searchsorted(share, target * share[-1]) + 2) * limit / bins * 1.5)
+                others = ids[q] != names[at : at + step][r]
+                q, r = q[others], r[others]
+                if not len(q):
+                    continue
+                asked, q_at = np.unique(q, return_inverse=True)
+                found, r_at = np.unique(r, return_inverse=True)
+                q_own, q_a, q_b = grid.bounds(queries[asked])
+                r_own, r_a, r_b = grid.bounds(part[found])
+                here, there, c = q_own[q_at], r_own[r_at], grid.codes
+                low = np.where(here < there, q_a[q_at, there // c] + q_b[q_at, there % c], r_a[r_at, here // c] + r_b[r_at, here % c])  # the one in the lower cell visits
+                low[here == there] = 0
+                total += np.bincount(q * bins + np.minimum(low / limit * bins, bins - 1).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"q": pa.array(at // bins, pa.int32()), "bin": pa.array(at % bins, pa.int32()), "n": pa.array(total[at])})
+
+    counts = vectors.select("id", "v").mapInArrow(histogram, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).toPandas().sort_values(["q", "bin"])
+    most = {}
+    for q, own in counts.groupby("q"):
+        share = own["n"].to_numpy().cumsum()
+        most[int(q)] = (own["bin"].to_numpy()[np.searchsorted(share, target * share[-1])] + 2) * limit / bins
+    return most
+
+
+def measured_bound(vectors: DataFrame, grid: Grid, sample: np.ndarray, ids: np.ndarray, least: float, target: float) -> float:
+    """The bound below which the target share of each query's true pairs lies, with half as much on top.
+
+    Queries are some rows of the sample as they come and others of which no two are near, so
+    neither a hot cluster nor sparse pairs set the bound alone. More are asked as long as too
+    few of the latter have pairs; if they stay too few, the bound is the greatest one of any pair.
+    """
+    limit = 2 - 2 * least
+    order = np.random.default_rng(0).permutation(len(sample))
+    sample, ids = sample[order], ids[order]
+    single = apart(sample, least)
+    chosen = np.flatnonzero(single | (np.arange(len(sample)) < QUERIES))
+    most: list[float] = []
+    seen = 0
+    for part in (chosen[:SPREAD], chosen[SPREAD:]):
+        if len(part) and seen < ENOUGH:
+            found = pair_bounds(vectors, grid, sample[part], ids[part], least, target)
+            most.extend(found.values())
+            seen += int(single[part[list(found)]].sum())
+    return limit if seen < ENOUGH else min(limit, max(most) * 1.5)
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.95, target: float = 0.999, codes: int | None = None) -> DataFrame:
@@ -146,10 +196,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, target: float = 0.999,
 def _links(reps: DataFrame, least: float, target: float, codes: int | None) -> DataFrame:
     """(id, links, other) of reps(id, w, v), all of one length."""
     n = reps.count()
-    chosen = reps.filter(F.pmod(F.xxhash64("id"), F.lit(n)) < SAMPLE).select("v").limit(SAMPLE).toPandas()["v"]
-    sample = unit(np.stack(list(chosen))) if len(chosen) else unit(np.stack(list(reps.limit(SAMPLE).toPandas()["v"])))
+    chosen = reps.filter(F.pmod(F.xxhash64("id"), F.lit(n)) < SAMPLE).select("id", "v").limit(SAMPLE).toPandas()
+    chosen = chosen if len(chosen) else reps.select("id", "v").limit(SAMPLE).toPandas()
+    sample = unit(np.stack(list(chosen["v"])))
     grid = Grid(sample, codes or int(np.clip(np.sqrt(n / 50), 2, 1024)))
-    most = measured_bound(reps, grid, sample[:QUERIES], least, target)
+    most = measured_bound(reps, grid, sample, chosen["id"].to_numpy(), least, target)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -172,6 +172,38 @@ def test_near_vectors_of_odd_rows(spark):
     assert embedding_index.near_vectors(df.limit(0)).count() == 0
 
 
+def _pairs(rng, n, dims, low, high):
+    """n pairs of unit vectors with a cosine from low to high."""
+    a, b = (rng.normal(size=(n, dims)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    c = rng.uniform(low, high, n)[:, None]
+    return np.concatenate([a, c * a + np.sqrt(1 - c**2) * b])
+
+
+def _outside_recall(spark, v, outside):
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_index.near_vectors(df, codes=24).collect()}
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = (unit[outside] @ unit.T >= 0.95).sum(1) - 1
+    return sum(min(got[i], w) for i, w in zip(outside, want, strict=True)) / want.sum()
+
+
+def test_a_hot_cluster_does_not_set_the_bound_of_sparse_pairs(spark):
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=64)
+    hot = hot / np.linalg.norm(hot) + rng.normal(size=(2000, 64)) * np.sqrt(0.0005 / 64)
+    v = np.concatenate([hot, _pairs(rng, 2000, 64, 0.951, 0.97)])
+    assert _outside_recall(spark, v, np.arange(2000, len(v))) >= 0.995
+
+
+def test_few_pairs_are_all_found(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([_pairs(rng, 30, 64, 0.951, 0.96), rng.normal(size=(3000, 64))])
+    assert _outside_recall(spark, v, np.arange(60)) == 1
+
+
 def test_quality_on_labels_it_has_not_seen(spark, sf, docs, odd):
     labels = table(spark, sf, "labels")
     out = quality_cotraining.scores(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id")
