@@ -4,8 +4,9 @@ A text is its words (runs of letters, lower-cased); a model predicts each letter
 of a word from up to order - 1 symbols before it in that word. N-grams are counted over all
 training texts: tasks count the n-grams of their distinct words, Spark adds the counts up
 and derives discounts, continuation counts and probabilities with joins. What reaches the
-driver is the finished model: for each language at most 2**slot_bits probabilities and as
-many back-off weights, sorted by n-gram hash; that is also the bound of what is broadcast.
+driver is the finished model: the probability and the back-off weight of every n-gram that was
+counted, in the order of their whole 64-bit hashes, so an unseen n-gram meets no other; what is
+broadcast grows with the n-grams.
 """
 
 from __future__ import annotations
@@ -140,32 +141,50 @@ def kneser_ney(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
 
 @dataclass
 class Model:
-    """Sorted slots of hashed n-grams; a row of logp and logb has a column for each language."""
+    """Sorted hashes of n-grams; a row of logp and logb has a column for each language.
+
+    starts holds, for each value of the first index_bits bits, where hashes with it begin; it only
+    speeds up the search.
+    """
 
     langs: list[str]
     order: int
-    slot_bits: int
+    index_bits: int
     slots: np.ndarray
     logp: np.ndarray
     logb: np.ndarray
     base: np.ndarray
-    rows: np.ndarray | None = field(default=None, repr=False)
+    starts: np.ndarray | None = field(default=None, repr=False)
     known: dict[str, int] = field(default_factory=dict, repr=False)
     sums: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32), repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"rows": None, "known": {}, "sums": np.zeros((0, 0), np.float32)}
+        return self.__dict__ | {"starts": None, "known": {}, "sums": np.zeros((0, 0), np.float32)}
+
+    def rows_of(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 for those that the model lacks."""
+        shift = np.uint64(64 - self.index_bits)
+        if self.starts is None:
+            self.starts = np.searchsorted(self.slots >> shift, np.arange((1 << self.index_bits) + 1, dtype=np.uint64))
+        first = (keys >> shift).astype(np.int64)
+        row, end = self.starts[first], self.starts[first + 1]
+        found, open_ = np.full(len(keys), -1), np.flatnonzero(row < end)
+        while len(open_):
+            here = self.slots[row[open_]]
+            hit = here == keys[open_]
+            found[open_[hit]] = row[open_[hit]]
+            open_ = open_[here < keys[open_]]
+            row[open_] += 1
+            open_ = open_[row[open_] < end[open_]]
+        return found
 
     def word_sums(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word in each language."""
-        if self.rows is None:  # where each slot is in the sorted array
-            self.rows = np.full(1 << self.slot_bits, -1, np.int32)
-            self.rows[self.slots] = np.arange(len(self.slots), dtype=np.int32)
         flat, place, keys = keys_of(words, self.order)
         lp = np.tile(self.base, (len(flat), 1))
         before = None
         for n, key in enumerate(keys, 1):
-            row = self.rows[(key >> np.uint64(64 - self.slot_bits)).astype(np.int64)]
+            row = self.rows_of(key)
             row[place < n - 1] = -1
             p = self.logp[row]  # the last row is that of the unseen
             if before is not None:
@@ -194,23 +213,23 @@ class Model:
         return total[ends] - total[np.append(0, ends[:-1])]
 
 
-def train(docs: DataFrame, order: int = 4, slot_bits: int = 22) -> Model:
+def train(docs: DataFrame, order: int = 4) -> Model:
     """A model of every non-null lang of docs(lang, text), from all of its texts."""
     counts = materialize(count_grams(docs.select("lang", "text").filter("lang is not null and text is not null"), order))
     tables = kneser_ney(counts, order)
-    slot = F.shiftrightunsigned("key", 64 - slot_bits).cast("int").alias("slot")
-    p, b = (
-        t.filter("key <> 0").groupBy("lang", slot).agg(F.max(c).cast("float").alias(c)).toPandas() for t, c in zip(tables, ("logp", "logb"), strict=True)
-    )
     base = tables[1].filter("key = 0").toPandas()
     langs = sorted(base["lang"])
-    slots = np.union1d(p["slot"], b["slot"]).astype(np.int64)
+    place = F.array_position(F.array(*(F.lit(x) for x in langs)), F.col("lang")).cast("int") - 1 if langs else F.lit(0)
+    p, b = (
+        t.filter("key <> 0").select(place.alias("at"), "key", F.col(c).cast("float").alias("value")).toArrow() for t, c in zip(tables, ("logp", "logb"), strict=True)
+    )
+    keys = [t.column("key").to_numpy().view(np.uint64) for t in (p, b)]
+    slots = np.unique(np.concatenate(keys))
     logp, logb = np.full((len(slots) + 1, len(langs)), np.nan, np.float32), np.zeros((len(slots) + 1, len(langs)), np.float32)
-    for frame, matrix, name in ((p, logp, "logp"), (b, logb, "logb")):
-        column = frame["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
-        matrix[np.searchsorted(slots, frame["slot"]), column] = frame[name]
+    for frame, key, matrix in ((p, keys[0], logp), (b, keys[1], logb)):
+        matrix[np.searchsorted(slots, key), frame.column("at").to_numpy()] = frame.column("value").to_numpy()
     bases = np.array([base.set_index("lang").loc[x, "logb"] for x in langs], np.float32)
-    return Model(langs, order, slot_bits, slots, logp, logb, bases)
+    return Model(langs, order, int(np.clip(len(slots).bit_length(), 8, 28)), slots, logp, logb, bases)
 
 
 def _row(docs: DataFrame, model: Model) -> Column:
@@ -253,22 +272,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, order: int = 4, slot_bits: int = 22, quantile: float = 0.999, slack: float = 1.0) -> DataFrame:
+def identify(docs: DataFrame, order: int = 4, quantile: float = 0.999, slack: float = 1.0) -> DataFrame:
     """docs with _lang: struct(lang_pred, score, entropy, symbols, held_out, accepted) of each text.
 
     lang_pred is the language with the lowest cross-entropy per symbol; und for a text that is
     null or has no letter (and for every text if nothing can be learned). score is its odds
     against all languages, from at most 100 symbols' worth of evidence. A text is accepted if its
     cross-entropy is at most the given quantile of the training documents of that language
-    plus slack (nats a symbol), and twice as much slack over the root of the words of a short one.
+    plus slack (nats a symbol), and twice as much slack over the root of the words of a short one;
+    where a language has no such documents, those of all languages give the quantile.
     All columns of docs are kept; a column of docs called _lang is not allowed.
     """
-    model = train(docs.filter(~held_out(F.col("doc_id"))), order, slot_bits)
+    model = train(docs.filter(~held_out(F.col("doc_id"))), order)
     scored = materialize(docs.withColumn("_lang", _row(docs, model)))
     own = scored.filter(~held_out(F.col("doc_id")) & (F.col("lang") == F.col("_lang.lang_pred")) & (F.col("_lang.symbols") >= 50))
-    limits = own.groupBy("lang").agg(F.percentile_approx("_lang.entropy", quantile, 10000).alias("limit"))
-    known = {r[0]: r[1] for r in limits.collect()}  # a row for each language
-    limit = F.lit(None).cast("double")
+    limits = own.rollup("lang").agg(F.percentile_approx("_lang.entropy", quantile, 10000).alias("limit"))
+    known = {r[0]: r[1] for r in limits.collect()}  # a row for each language, and one for all
+    limit = F.lit(known.pop(None, None)).cast("double")
     for name, most in known.items():
         limit = F.when(F.col("_lang.lang_pred") == name, F.lit(most)).otherwise(limit)
     allowed = limit + slack + 8 * slack / F.sqrt(F.greatest(F.col("_lang.symbols"), F.lit(1)))

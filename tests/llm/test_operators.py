@@ -281,6 +281,24 @@ def test_language_on_held_out_documents(docs, odd):
     assert language_id.predictions(odd.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_unseen_ngrams_meet_no_others(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: ["".join(map(chr, w)) for w in rng.integers(0x4E00, 0x5A00, (n, 6))]
+    texts = spark.createDataFrame([("big", " ".join(words(400))) for _ in range(20)] + [("small", "one two three")], "lang string, text string")
+    model = language_id.train(texts)
+    assert len(model.slots) >= language_id.count_grams(texts, model.order).select("gram").distinct().count()
+    _, place, keys = language_id.keys_of(words(8000), model.order)
+    # two words share a run of four of 3,072 letters all but never
+    assert (model.rows_of(keys[3])[place >= 4] < 0).mean() > 0.9999
+
+
+def test_a_language_without_a_limit_takes_that_of_all(spark):
+    english = "the quick brown fox jumps over the lazy dog and runs home again "
+    rows = [(i, "en", english * 3) for i in range(60)] + [(100 + i, "xx", "zzzz qqqq") for i in range(20)] + [(200 + i, None, "zzqxkvwj qzjxkw qvxzjk " * 8) for i in range(9)]
+    out = language_id.predictions(spark.createDataFrame(rows, "doc_id long, lang string, text string")).filter("doc_id >= 200").collect()
+    assert {r.lang_pred for r in out} == {"xx"} and not any(r.accepted for r in out)
+
+
 def best_fit(lengths, capacity):
     gaps = []
     for n in sorted(lengths, reverse=True):
