@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +46,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, max_rounds: int) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, max_rounds: int | None = None) -> DataFrame:
     """(host, score): personalised PageRank from seeds(host, seed) along edges(src, dst, weight).
 
     A host's mass goes out in proportion to its edges' weights; that of hosts without any goes
-    nowhere, so scores only ever say what has been reached. Rounds end when less than
-    tolerance of the mass still moves. What a round moves is pre-aggregated per host, and each
-    round is a written table.
+    nowhere, so scores only ever say what has been reached. Rounds end when no host's score
+    grows by more than tolerance of itself (so a host that was just reached hands on, however small
+    its score), or after max_rounds if given. What a round moves is pre-aggregated per host, and
+    each round is a written table.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("_all"))
     shares = materialize(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_all")).alias("share")))
@@ -58,15 +61,17 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: flo
     moving, total, old = score, score, []
     if shares.isEmpty():
         return total
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         moving = materialize(
             moving.join(shares, moving.host == shares.src)
             .groupBy(F.col("dst").alias("host"))
             .agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
+            .filter("score > 0")
         )
         total = materialize(total.union(moving).groupBy("host").agg(F.sum("score").alias("score")))
         old.append((moving, total))
-        if (moving.agg(F.sum("score")).first()[0] or 0.0) < tolerance:
+        grown = moving.select("host", F.col("score").alias("_grown")).join(total, "host").agg(F.max(F.col("_grown") / F.col("score")))
+        if (grown.first()[0] or 0.0) < tolerance:
             break
         if len(old) > 2:
             for x in old.pop(0):
@@ -80,12 +85,13 @@ def judge_urls(
     damping: float = 0.85,
     threshold: float = 0.5,
     tolerance: float = 1e-4,
-    max_rounds: int = 30,
+    max_rounds: int | None = None,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict and trust of every page.
 
     A host's seed of trust is its share of all pages that an allow rule decides, its seed of
-    distrust that of block rules. Trust follows links; distrust follows them backwards, to
+    distrust its share of those that a block rule decides, so each sums to 1 however rare its
+    pages are. Trust follows links; distrust follows them backwards, to
     hosts that link to blocked ones. A url that no rule fits is blocked when its host's trust
     / (trust + distrust) is below threshold; a host that neither reaches is allowed, as is a
     url without a host. Null urls and html, repeated rows and tables without links are fine;
@@ -100,9 +106,9 @@ def judge_urls(
         F.sum(F.when(F.col("_ruled") == "block", 1.0).otherwise(0.0)).alias("bad"),
     )
     counts = materialize(counts)
-    ruled = counts.agg(F.sum(F.col("good") + F.col("bad"))).first()[0] or 1.0
+    ruled = counts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     edges = materialize(host_edges(pages))
-    seeds = {k: counts.filter(F.col(k) > 0).select("host", (F.col(k) / ruled).alias("seed")) for k in ("good", "bad")}
+    seeds = {k: counts.filter(F.col(k) > 0).select("host", (F.col(k) / (ruled[k] or 1.0)).alias("seed")) for k in ("good", "bad")}
     trust = propagate(seeds["good"], edges, damping, tolerance, max_rounds)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = propagate(seeds["bad"], back, damping, tolerance, max_rounds)

@@ -394,6 +394,26 @@ def test_trust_and_distrust_by_power_iteration(spark):
     assert got["spam.net"] == (0.0, "block") and got["bad.com"][1] == "block"
 
 
+def test_a_small_blocked_chain_beside_much_trust_and_distrust(spark):
+    link = lambda h: f'<a href="http://{h}/x">l</a>'
+    pages = [(i, "http://good.org/", link("fine.net")) for i in range(3000)] + [(5000 + i, "http://other.com/de/", "") for i in range(20_000)]
+    chain = [f"h{i}.net" for i in range(12)]
+    pages += [(90_000 + i, f"http://{h}/", link(to)) for i, (h, to) in enumerate(zip(chain, [*chain[1:], "bad.com"], strict=True))] + [(99_999, "http://bad.com/de/", "")]
+    pages.append((99_998, "http://fine.net/", link("bad.com")))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in url_graph.judge_urls(df, registered.URL_RULES).select("host", "verdict").distinct().collect()}
+    assert {got[h] for h in chain} == {"block"} and got["fine.net"] == "allow"
+
+
+def test_rare_distrust_is_not_drowned_by_trust(spark):
+    link = lambda h: f'<a href="http://{h}/x">l</a>'
+    pages = [(i, "http://good.org/", link("both.net") if i == 0 else link("fine.net") + str(i)) for i in range(2000)]
+    pages += [(8000, "http://both.net/", link("bad.com")), (8001, "http://bad.com/de/", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in url_graph.judge_urls(df, registered.URL_RULES).filter("page_id >= 8000").collect()}
+    assert got["both.net"] == "block"
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline
 
