@@ -10,15 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Folders of the tables that materialize() wrote and forget() has not deleted.
+WRITTEN: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where none is set, as in tests."""
+    """The folder that spark.checkpoint.dir names; one of our own only where none is set and all runs in one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="rosterline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -28,15 +33,38 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
     path = f"{shared_folder(df.sparkSession)}/rosterline-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialize() wrote, once nothing reads them any more."""
+    for df in tables:
+        names = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in df.inputFiles()}
+        for path in [p for p in WRITTEN if p.rsplit("/", 1)[1] in names]:
+            _delete(df.sparkSession, path)
+            WRITTEN.remove(path)
+
+
+def forget_unread(docs: DataFrame, since: int = 0) -> None:
+    """Delete the tables written since there were `since` of them, but for those that docs still reads."""
+    read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()}
+    for path in [p for p in WRITTEN[since:] if p.rsplit("/", 1)[1] not in read]:
+        _delete(docs.sparkSession, path)
+        WRITTEN.remove(path)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def any_true(conditions: list[Column]) -> Column:
@@ -49,55 +77,50 @@ def salted_rank(df: DataFrame, group: str, order: list[str], buckets: int, name:
     Rows of a group are dealt over hash buckets and numbered there; a bucket starts where
     the buckets before it end. Only (group, bucket) counts meet in one place. df is read
     twice, so it should be a table or cheap. Full ties get different ranks in any order.
+    df must not have a column called name; its other names are free.
     """
-    salted = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    ends = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = salted.groupBy(group, "_b").agg(F.count("*").alias("_n")).select(
-        F.col(group).alias("_g"), F.col("_b").alias("_gb"), F.coalesce(F.sum("_n").over(ends), F.lit(0)).alias("_start")
+    b, i, g, gb, n, start = (free_name(x, df.columns) for x in ("_b", "_i", "_g", "_gb", "_n", "_start"))
+    salted = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    ends = Window.partitionBy(group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    starts = salted.groupBy(group, b).agg(F.count("*").alias(n)).select(
+        F.col(group).alias(g), F.col(b).alias(gb), F.coalesce(F.sum(n).over(ends), F.lit(0)).alias(start)
     )
-    inside = Window.partitionBy(group, "_b").orderBy(*order)
+    inside = Window.partitionBy(group, b).orderBy(*order)
     return (
-        salted.withColumn("_i", F.row_number().over(inside))
-        .join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_gb")))
-        .withColumn(name, F.col("_start") + F.col("_i") - 1)
-        .drop("_b", "_i", "_g", "_gb", "_start")
+        salted.withColumn(i, F.row_number().over(inside))
+        .join(starts, F.col(group).eqNullSafe(F.col(g)) & (F.col(b) == F.col(gb)))
+        .withColumn(name, F.col(start) + F.col(i) - 1)
+        .drop(b, i, g, gb, start)
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): the component's smallest node.
 
-    Each round points every node at the least node in its neighbourhood (and the
-    neighbours too), then halves the paths; edges inside a star vanish. Rounds grow with the
-    logarithm of the diameter. Every round is a written table, so lost executors cost at
-    most one round. A hot node is fine: minima are taken with partial aggregation.
+    In each round every node proposes the least label among its neighbours to itself and to
+    the node that its own label names, then takes the label of its label; so the rounds grow with
+    the logarithm of the diameter. They end when no label falls any more. Labels and edges are
+    written tables: a lost executor costs at most one round, and a hot node's join is one of
+    two plain exchanges, which adaptive execution splits; minima are aggregated partially. The
+    table of labels remains until the caller forgets it. Null ends and loops are left out.
     """
-    both = edges.select("a", "b").filter("a <> b")
-    both = materialize(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    # large-star / small-star: keep edges (a, b) with b the smaller end
-    links = both.filter("b < a")
-    previous, old = None, []
-    for _ in range(max_rounds):
-        sym = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # large star: neighbours larger than the node go to the node's least neighbour
-        least = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (
-            sym.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        )
-        # small star: smaller neighbours and the node itself go to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a")
-            .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-            .distinct()
-        )
-        links = materialize(small)
-        state = links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        old.append(links)
-        if len(old) > 2:
-            forget(old.pop(0))
-        if state == previous:
-            break
-        previous = state
-    roots = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return roots.union(roots.select(F.col("component").alias("node"), "component").distinct())
+    ends = edges.select("a", "b").filter("a <> b")
+    both = materialize(ends.union(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")))
+    total = None
+    while True:
+        theirs = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        least = both.join(theirs, F.col("b") == F.col("_n")).groupBy(F.col("a").alias("_a")).agg(F.min("_c").alias("_m"))
+        met = labels.join(least, F.col("node") == F.col("_a"))
+        own = met.select("node", F.least("component", "_m").alias("component"))
+        above = met.filter("_m < component").select(F.col("component").alias("node"), F.col("_m").alias("component"))
+        hooked = materialize(own.union(above).groupBy("node").agg(F.min("component").alias("component")))
+        jump = hooked.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        after = materialize(hooked.join(jump, F.col("component") == F.col("_n")).select("node", F.col("_c").alias("component")))
+        now = after.agg(F.sum(F.col("component").cast("decimal(20,0)"))).first()[0]  # labels only ever fall
+        forget(labels, hooked)
+        labels = after
+        if now == total:
+            forget(both)
+            return labels
+        total = now

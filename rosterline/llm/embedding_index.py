@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import connected_components, materialize
-from rosterline.llm.groups import blocked, in_units, link_units
+from rosterline.llm.common import connected_components, forget, materialize
+from rosterline.llm.groups import blocked, in_units, link_units, sizes_of
 
 #: Vectors from which codebooks are made, and queries that measure recall against all vectors.
 SAMPLE, QUERIES = 20_000, 400
@@ -181,7 +181,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, target: float = 0.999,
         found = own if found is None else found.union(own)
     if found is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = materialize(found)
+    parts_found, found = found, materialize(found)
+    forget(parts_found)
     roots = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links")).join(roots, F.col("id") == F.col("node")).drop("node")
     known = reps.select("key", "id", "w").join(counts, "id", "left").select(
@@ -189,7 +190,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, target: float = 0.999,
     )
     out = base.join(known, F.col("key") == F.col("_key"), "left")
     component = F.coalesce("_c", "vec_id").alias("component_id")
-    out = out.select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component)
+    out = materialize(out.select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component))
+    forget(base, reps, found, roots)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -220,7 +222,8 @@ def _links(reps: DataFrame, least: float, target: float, codes: int | None) -> D
 
     kind = reps.schema["v"].dataType.simpleString()
     assigned = materialize(reps.select("id", "w", "v").mapInArrow(assign, f"id long, w long, v {kind}, cell int, near array<int>"))
-    inside = blocked(assigned.drop("near"), "cell", "id", BLOCK).withColumnRenamed("_group", "cell")
+    sizes = materialize(sizes_of(assigned, "cell", BLOCK))
+    inside = blocked(assigned.drop("near"), "cell", "id", sizes).withColumnRenamed("_group", "cell")
     visitors = assigned.select("id", "w", "v", F.explode("near").alias("cell"))
     blocks = lambda rows, name: rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     cells = materialize(blocks(assigned, "_m").join(blocks(assigned.select(F.explode("near").alias("cell")), "_v"), "cell"))
@@ -232,4 +235,6 @@ def _links(reps: DataFrame, least: float, target: float, codes: int | None) -> D
     guests = visitors.join(cells, "cell").withColumn("_own", own("_v") + _VISIT).withColumn("_j", F.col("_own")).withColumn("_i", upto("_m"))
     units = inside.select(columns).union(members.select(columns)).union(guests.select(columns))
     alike = lambda values: (lambda x: x @ x.T >= least)(unit(np.stack(values)))
-    return in_units(units, ["cell", "_i", "_j"], ["id", "w"], "v", link_units(alike))
+    found = materialize(in_units(units, ["cell", "_i", "_j"], ["id", "w"], "v", link_units(alike)))
+    forget(assigned, sizes, cells)
+    return found

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: values of the members -> square boolean matrix
@@ -21,15 +21,23 @@ Links = Callable[[list], np.ndarray]
 RESULT = "id long, links long, other long"
 
 
-def blocked(rows: DataFrame, group: str, id_: str, block: int) -> DataFrame:
-    """rows of groups with two members or more, once per pair of blocks: _i, _j, _own (the row's block)."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_size")).filter("_size > 1")
-    own = rows.join(sizes.withColumnRenamed(group, "_group"), F.col(group) == F.col("_group")).drop(group)
-    blocks = F.ceil(F.col("_size") / block).cast("int")
-    own = own.withColumns({"_blocks": blocks, "_own": F.pmod(F.xxhash64(id_, F.lit(7)), blocks).cast("int")})
+def sizes_of(rows: DataFrame, group: str, block: int, weight: Column | None = None, heaviest: int = 1 << 22) -> DataFrame:
+    """(_group, _blocks) of the groups with two members or more: blocks of about `block` members, or `heaviest` by weight."""
+    weight_ = F.lit(0) if weight is None else F.sum(weight)
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_size"), weight_.alias("_weight")).filter("_size > 1")
+    return sizes.select("_group", F.greatest(F.ceil(F.col("_size") / block), F.ceil(F.col("_weight") / heaviest), F.lit(1)).cast("int").alias("_blocks"))
+
+
+def blocked(rows: DataFrame, group: str, id_: str, sizes: DataFrame) -> DataFrame:
+    """rows of the groups in sizes_of(), once per pair of blocks: _group, _i, _j, _own (the row's block).
+
+    sizes should be a written table, so that a hot group's join can be split.
+    """
+    own = rows.join(sizes, F.col(group) == F.col("_group")).drop(group)
+    own = own.withColumn("_own", F.pmod(F.xxhash64(id_, F.lit(7)), F.col("_blocks")).cast("int"))
     own = own.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     pair = {"_i": F.least("_own", "_with"), "_j": F.greatest("_own", "_with")}
-    return own.withColumns(pair).drop("_size", "_blocks", "_with")
+    return own.withColumns(pair).drop("_blocks", "_with")
 
 
 def connected(same: Callable[[int, np.ndarray], np.ndarray], n: int) -> np.ndarray:
