@@ -1,31 +1,40 @@
 """Packing of tokenised documents into sequences by bulk-synchronous best fit.
 
-Lengths are whole numbers up to the capacity, so the range sort of pieces and of gaps is a
-deal into length classes, and one superstep places a whole class at once, longest first: a
-sweep finds for it the successor among the gap classes (the least gap that is long enough),
-pieces take gaps by rank, each gap is updated, and the sweep goes on with what is left;
-pieces without a gap open sequences. That gives what best-fit decreasing gives one by one.
-The sweep needs class counts only (one per length, whatever the input); every piece then
-finds its sequence in the plan by its rank, in the tasks.
+Pieces and gaps (sequences with room) are two tables. Sizes are whole numbers up to the
+capacity, so the range sort of either is its deal into size classes with a gapless rank in each.
+One superstep takes a band of lengths: a successor sweep from the longest piece down finds for every
+piece the least gap that is long enough, among the gaps as they were when the step began;
+pieces that want the same gaps take them by rank, and those that lose go on to the next
+larger gap in the same sweep, or wait. Then every gap is updated where it lies and the step's table is
+written. Pieces of the band for which no gap is left open sequences, and the rest of them go on to the
+next step. The sweep itself needs only how many pieces and gaps each class has, 2 * capacity
+numbers whatever the input; pieces, gaps and places stay in Spark.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rosterline.llm.common import materialize
 
+#: Bands of lengths, as parts of the capacity: a step's pieces are longer than one of these and at most as long as the one before.
+BANDS = (1 / 2, 1 / 3, 1 / 4, 1 / 5, 1 / 6, 1 / 8, 1 / 16, 1 / 32, 1 / 64, 1 / 128, 1 / 256, 1 / 512, 0)
+#: Pieces up to this part of the capacity may go several at once, of one length, into a gap.
+SMALL = 1 / 16
+_SHIFT = 40
+
 
 def _bytes_of_chars() -> dict[str, int]:
     """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves."""
@@ -56,8 +65,8 @@ def encoder(path: str):
         marks = {s for s in special if s in text}
         try:
             return fast.encode_to_numpy(text, allowed_special=marks, disallowed_special=())
-        except BaseException as e:  # noqa: BLE001  the regex engine panics outside Exception
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
+        except BaseException as e:  # noqa: BLE001  the regex engine's panic is no Exception
+            if not isinstance(e, Exception) and type(e).__name__ != "PanicException":
                 raise
             slow.append(Tokenizer.from_file(path)) if not slow else None
             return np.asarray(slow[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -106,42 +115,116 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, w
     return source.mapInArrow(cut, schema)
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (length, first rank, first sequence, offset): pieces from that rank on go to successive sequences.
+#: What happens to gaps of one size with successive ranks: they take `many` pieces of `length` each, the first of that rank.
+GAP_RUN = ("free", "first", "count", "length", "rank", "many", "new_free", "new_first")
+
 
-    Rows are sorted by length and rank. Their number depends on the capacity, not on the counts.
+def successor_sweep(left: dict[int, int], used: Counter, gaps: Counter, lengths: list[int], capacity: int) -> tuple[list[tuple], Counter]:
+    """(GAP_RUN rows that cover all gaps, the new gaps by size) of one superstep; left and used are brought up to date.
+
+    left: pieces by length; used: pieces that have their place, which are the first of their class; lengths: those of the band, longest first.
     """
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by free tokens: runs of sequences (first, how many)
-    plan, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        left, rank, gap = counts[length], 0, length
-        while left:
-            while gap <= capacity and not gaps[gap]:
-                gap += 1
-            fit = min(gap, capacity) // length
-            if gap > capacity:
-                run = (opened, -(-left // fit))
-                opened += run[1]
-            else:
-                run = gaps[gap].pop()
-            free = min(gap, capacity)
-            full = min(run[1], left // fit)
-            for k in range(fit if full else 0):
-                plan.append((length, rank, run[0], capacity - free + k * length))
-                rank += full
-            left -= full * fit
-            if full and free % length:
-                gaps[free % length].append((run[0], full))
-            if full < run[1] and left and left < fit:  # the last pieces share one more sequence
-                for k in range(left):
-                    plan.append((length, rank, run[0] + full, capacity - free + k * length))
-                    rank += 1
-                if free - left * length:
-                    gaps[free - left * length].append((run[0] + full, 1))
-                left, full = 0, full + 1
-            if full < run[1]:
-                gaps[free].append((run[0] + full, run[1] - full))
-    return np.array(sorted(plan), np.int64).reshape(-1, 4)
+    sizes, at, stack = sorted(gaps, reverse=True), 0, []
+    taken, after, runs = Counter(), Counter(), []
+
+    def run(size: int, count: int, length: int, many: int) -> None:
+        free = size - many * length
+        runs.append((size, taken[size], count, length, used[length], many, free, after[free]))
+        taken[size] += count
+        after[free] += count
+        if length:
+            used[length] += count * many
+            left[length] -= count * many
+
+    for length in lengths:
+        while at < len(sizes) and sizes[at] >= length:
+            stack.append(sizes[at])
+            at += 1
+        while left[length] and stack:
+            size = stack[-1]
+            many = size // length if length <= capacity * SMALL else 1
+            room = gaps[size] - taken[size]
+            if whole := min(room, left[length] // many):
+                run(size, whole, length, many)
+                room -= whole
+            if room and left[length] and left[length] < many:
+                run(size, 1, length, left[length])
+                room -= 1
+            if not room:
+                stack.pop()
+    for size in sizes:
+        if room := gaps[size] - taken[size]:
+            run(size, room, 0, 0)
+    return runs, after
+
+
+def opened(left: dict[int, int], used: Counter, gaps: Counter, lengths: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """(length, first rank, sequences, free, first rank as gaps): new sequences for the longest pieces of a band, enough for all of it."""
+    need, rows = -(-sum(left[n] for n in lengths) // (capacity // lengths[0])), []
+    for length in lengths:
+        if count := min(need, left[length]):
+            rows.append((length, used[length], count, capacity - length, gaps[capacity - length]))
+            gaps[capacity - length] += count
+            used[length] += count
+            left[length] -= count
+            need -= count
+    return rows
+
+
+STEP = "length long, rank long, many int, offset long, free long, place long"
+
+
+def _updated(runs: list[tuple], capacity: int):  # noqa: ANN202
+    table = np.array(sorted(runs), np.int64).reshape(-1, len(GAP_RUN))
+    starts = (table[:, 0] << _SHIFT) + table[:, 1]
+
+    @F.pandas_udf(STEP)
+    def update(free: pd.Series, place: pd.Series) -> pd.DataFrame:
+        row = table[np.searchsorted(starts, (free.to_numpy() << _SHIFT) + place.to_numpy(), side="right") - 1]
+        nth = place.to_numpy() - row[:, 1]
+        return pd.DataFrame(
+            {"length": row[:, 3], "rank": row[:, 4] + nth * row[:, 5], "many": row[:, 5].astype(np.int32), "offset": capacity - row[:, 0], "free": row[:, 6], "place": row[:, 7] + nth}
+        )
+
+    return update
+
+
+def _new(rows: list[tuple], first: int):  # noqa: ANN202
+    table = np.array(rows, np.int64).reshape(-1, 5)
+    starts = first + np.cumsum(table[:, 2]) - table[:, 2]
+
+    @F.pandas_udf(STEP)
+    def new(sequence: pd.Series) -> pd.DataFrame:
+        at = np.searchsorted(starts, sequence.to_numpy(), side="right") - 1
+        row, nth = table[at], sequence.to_numpy() - starts[at]
+        one = np.ones(len(row), np.int32)
+        return pd.DataFrame({"length": row[:, 0], "rank": row[:, 1] + nth, "many": one, "offset": 0 * nth, "free": row[:, 3], "place": row[:, 4] + nth})
+
+    return new
+
+
+def supersteps(spark: SparkSession, counts: dict[int, int], capacity: int) -> Iterator[DataFrame]:
+    """The written table of each superstep: (sequence_id, *STEP) of the gaps; many pieces of length from that rank on go there from offset on.
+
+    counts: pieces by length. place ranks the gaps of one size.
+    """
+    left, used, gaps, table, sequences = dict(counts), Counter(), Counter(), None, 0
+    for high, low in zip((1, *BANDS), BANDS, strict=False):
+        while lengths := sorted((n for n, c in left.items() if c and low * capacity < n <= high * capacity), reverse=True):
+            runs, gaps = successor_sweep(left, used, gaps, lengths, capacity)
+            parts = [table.select("sequence_id", _updated(runs, capacity)("free", "place").alias("s"))] if runs else []
+            lengths = [n for n in lengths if left[n]]
+            if lengths and max(gaps, default=0) < lengths[-1]:
+                rows = opened(left, used, gaps, lengths, capacity)
+                many = sum(r[2] for r in rows)
+                fresh = spark.range(sequences, sequences + many, 1, max(1, min(spark.sparkContext.defaultParallelism, many // 50_000)))
+                parts.append(fresh.select(F.col("id").alias("sequence_id"), _new(rows, sequences)("id").alias("s")))
+                sequences += many
+            done = materialize(reduce(DataFrame.union, (x.select("sequence_id", "s.*") for x in parts)))
+            yield done
+            least = min((n for n, c in left.items() if c), default=capacity + 1)
+            gaps = Counter({size: c for size, c in gaps.items() if size >= least})
+            table = done.filter(F.col("free") >= least)
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -150,25 +233,29 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     Sequences overlap nowhere, hold capacity tokens at most and have no holes. An empty
     table gives an empty one.
     """
-    pieces = materialize(pieces)
+    spark, pieces = pieces.sparkSession, materialize(pieces)
+    keep = [c for c in pieces.columns if c not in ("part", "rank")]
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("length").alias("_length"), F.col("part").alias("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     totals = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
-    plan = best_fit_plan(totals, capacity)
-    shift = 40
-    starts_at = (plan[:, 0] << shift) + plan[:, 1]
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        row = plan[np.searchsorted(starts_at, (length.to_numpy() << shift) + rank.to_numpy(), side="right") - 1]
-        return pd.DataFrame({"sequence_id": row[:, 2] + rank.to_numpy() - row[:, 1], "offset": row[:, 3]})
-
-    ranked = pieces.join(starts, (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part")))
-    placed = ranked.withColumn("_at", place("length", F.col("_first") + F.col("rank")))
-    return placed.select(*[c for c in pieces.columns if c not in ("part", "rank")], "_at.sequence_id", "_at.offset")
+    steps = [t.filter("length > 0") for t in supersteps(spark, totals, capacity)]
+    if not steps:
+        return pieces.select(*keep, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    taken = reduce(DataFrame.union, steps).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    taken = taken.select(F.col("length").alias("_l"), (F.col("rank") + F.col("_k")).alias("_r"), "sequence_id", (F.col("offset") + F.col("_k") * F.col("length")).alias("offset"))
+    ranked = pieces.select("length", "part", "rank").join(starts, (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part")))
+    ranked = ranked.select("part", F.col("rank").alias("_own"), "_length", (F.col("_first") + F.col("rank")).alias("_rank"))
+    placed = ranked.join(taken, (F.col("_length") == F.col("_l")) & (F.col("_rank") == F.col("_r")))
+    placed = placed.select(F.col("part").alias("_part"), "_own", "_length", "sequence_id", "offset")
+    found = pieces.join(placed, (F.col("part") == F.col("_part")) & (F.col("length") == F.col("_length")) & (F.col("rank") == F.col("_own")))
+    return found.select(*keep, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset for every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset for every piece of every document.
+
+    Null and empty texts are one piece of one token; other columns of docs are not looked at; rows that share a doc_id are packed
+    one by one; an empty table gives an empty one.
+    """
     return pack(token_pieces(docs, vocabulary, capacity, end_id, with_ids), capacity)
