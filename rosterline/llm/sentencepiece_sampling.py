@@ -14,16 +14,24 @@ distinct word is laid out once. Steps of many words are taken together in numpy.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
+UNIT = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
+#: No Gumbel of uniform() is larger.
+MOST_GUMBEL = 37.5
+#: Steps of a path that are looked at together with those of other paths.
+AHEAD = 192
 _MUL, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(42)
 
 
@@ -46,6 +54,15 @@ def uniform(key: np.ndarray) -> np.ndarray:
     return ((_mixed(key) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
+def branch_values(mass: np.ndarray, value: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Gumbels of what branches off, of log-probability mass, cut off at value: value - log(1 + excess)."""
+    fresh, behind = -np.log(numbers), value - mass
+    far = np.flatnonzero(behind > 700)
+    out = value - np.log1p(fresh * np.exp(np.minimum(behind, 700)))
+    out[far] = mass[far] - np.log(fresh[far])
+    return out
+
+
 class Vocabulary:
     """Pieces of a model file with unigram weights: a piece of rank r weighs (r + 3) ** -1, a byte as little as the last."""
 
@@ -79,6 +96,9 @@ class Vocabulary:
             keys[h] = i
         self.keys = np.array(sorted(keys), np.uint64)
         self.ids = np.array([keys[int(k)] for k in self.keys], np.int32)
+        size = np.array([len(p) for p in self.pieces], np.int64)
+        self.size, self.at = size, np.cumsum(size) - size
+        self.spelling = np.frombuffer("".join(self.pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.starts = np.zeros(1 << 22, bool)
         self.starts[_mixed(np.array(sorted(prefixes), np.uint64)) >> _SHIFT] = True
         self.longest = max(len(self.pieces[i]) for i in own)
@@ -93,30 +113,59 @@ class Vocabulary:
             return b"".join(parts).decode("utf-8", "replace")
         return "".join(map(self.pieces.__getitem__, ids.tolist()))
 
+    def spells(self, ids: np.ndarray, text: str) -> bool:
+        """Whether the pieces spell the normalised text."""
+        if ids.size and self.is_byte[ids].any():
+            return self.normalized(ids) == text
+        size = self.size[ids]
+        n = int(size.sum())
+        if n != len(text):
+            return False
+        codes = self.spelling[np.arange(n) + np.repeat(self.at[ids] - (np.cumsum(size) - size), size)]
+        return codes.tobytes() == text.encode("utf-32-le", "surrogatepass")
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of a segmentation: blanks for blank marks, without the one that stands before every text."""
         text = self.normalized(np.asarray(ids, np.int64)).replace(BLANK, " ")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
+class Numbered(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def _put(into: np.ndarray, at: int, rows: np.ndarray) -> np.ndarray:
+    """into with rows from place at on; its length doubles where it is too short."""
+    if at + len(rows) > len(into):
+        into = np.concatenate([into[:at], np.zeros(2 * (at + len(rows)) - at, into.dtype)])
+    into[at : at + len(rows)] = rows
+    return into
+
+
 class Lattice:
     """The lattices of all words seen, as arrays: nodes with their edges, edges with what follows from them."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
+        self.first = np.zeros(0, np.int32)  # the first node of each word
+        self.begin, self.target, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.upto = np.zeros(0)  # the share of its node that an edge and those before it have
+        self.log_q, self.log_off = np.zeros(0), np.zeros(0, np.float32)  # logs of an edge's share, and of what the node's other edges have
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {}
-        self.first = np.zeros(0, np.int64)  # the first node of each word
-        self.begin, self.target, self.piece = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.q, self.upto = np.zeros(0), np.zeros(0)  # an edge's share of its node, and that of the edges up to it
-        self.nodes = 0
+        """Forget all words; the arrays keep their room."""
+        self.words = Numbered()
+        self.laid = self.nodes = self.edges = 0
         self.spelled: list[list[int]] = []  # ids of characters without a piece; such an edge's piece is -1 - place
 
     def add(self, words: list[str]) -> None:
-        """Lay out new words. A node without edges ends a word."""
-        v, base, edges0 = self.v, self.nodes, len(self.target)
+        """Lay out the words that have been numbered last. A node without edges ends a word; of its edges the longest come first."""
+        v, base, edges0 = self.v, self.nodes, self.edges
         size = np.array([len(w) for w in words], np.int64)
         text = "".join(words)
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
@@ -138,6 +187,7 @@ class Lattice:
         single = np.zeros(len(code), bool)
         if sources:
             single[sources[0]] = True
+        sources, lengths, pieces = sources[::-1], lengths[::-1], pieces[::-1]
         bare = np.flatnonzero(~single)
         spelled = []
         for i in bare:
@@ -175,11 +225,14 @@ class Lattice:
         upto[np.append(start[1:], len(source)) - 1] = 2.0  # the last edge takes what rounding leaves
         begin = np.full(len(total), -1, np.int64)
         begin[node[source[start]]] = start + edges0
-        self.first = np.append(self.first, base + np.cumsum(size + 1) - size - 1)
-        self.begin, self.target = np.append(self.begin, begin), np.append(self.target, follow + base)
-        self.piece, self.q, self.upto = np.append(self.piece, piece), np.append(self.q, q), np.append(self.upto, upto)
-        self.nodes = base + len(total)
-        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.first = _put(self.first, self.laid, base + np.cumsum(size + 1) - size - 1)
+        self.begin = _put(self.begin, base, begin)
+        with np.errstate(divide="ignore"):
+            log_off = np.where(q < 1 - 1e-12, np.log1p(-np.minimum(q, 1.0)), -np.inf)
+            made = {"target": follow + base, "piece": piece, "upto": upto, "log_q": np.log(q), "log_off": log_off}
+        for name, rows in made.items():
+            setattr(self, name, _put(getattr(self, name), edges0, rows))
+        self.nodes, self.edges, self.laid = base + len(total), edges0 + len(source), self.laid + len(words)
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges of all walks one after another, edges of each): ancestral samples from each node to its word's end."""
@@ -208,41 +261,25 @@ class Lattice:
 class Sampler:
     """k distinct segmentations of each text, best perturbed value first."""
 
-    def __init__(self, path: str, k: int, alpha: float, most_words: int = 60_000) -> None:
+    def __init__(self, path: str, k: int, alpha: float, most_words: int = 150_000) -> None:
         self.v, self.k, self.most_words = Vocabulary(path, alpha), k, most_words
         self.lattice = Lattice(self.v)
 
-    def units(self, text: str) -> list[str]:
-        """The words of the normalised text: cut before each run of blanks and around line ends."""
-        out: list[str] = []
-        for n, line in enumerate(self.v.model.normalize(text).split("\n")):
-            if n:
-                out.append("\n")
-            parts = line.split(BLANK)
-            if parts[0]:
-                out.append(parts[0])
-            blanks = ""
-            for p in parts[1:]:
-                blanks += BLANK
-                if p:
-                    out.append(blanks + p)
-                    blanks = ""
-            if blanks:
-                out.append(blanks)
-        return out
+    def units(self, normalized: str) -> list[str]:
+        """The words of a normalised text: cut before each run of blanks and around line ends."""
+        return UNIT.findall(normalized)
 
-    def sample(self, texts: list[str], seeds: np.ndarray) -> list[list[tuple]]:
-        """Per text up to k of (ids, log-probability, perturbed log-probability, log inclusion probability)."""
+    def sample(self, normalized: list[str], seeds: np.ndarray) -> list[list[tuple]]:
+        """Per normalised text up to k of (ids, log-probability, perturbed log-probability, log inclusion probability)."""
         x = self.lattice
         if len(x.words) > self.most_words:
             x.clear()
-        docs = [self.units(t) for t in texts]
-        new = list({w for d in docs for w in d if w not in x.words})
-        if new:
-            x.add(new)
-        words = x.words
-        node = x.first[np.fromiter((words[w] for d in docs for w in d), np.int64)]
+        docs = [self.units(t) for t in normalized]
         n_units = np.array([len(d) for d in docs])
+        words = np.fromiter(map(x.words.__getitem__, chain.from_iterable(docs)), np.int64, n_units.sum())
+        if len(x.words) > x.laid:
+            x.add(list(islice(x.words, x.laid, None)))
+        node = x.first[words]
         offset = np.cumsum(n_units) - n_units
         place = np.arange(len(node)) - np.repeat(offset, n_units)
         seeds = _mixed(seeds.astype(np.uint64))
@@ -253,7 +290,8 @@ class Sampler:
         per_doc[n_units == 0] = 0
         cuts = np.cumsum(per_doc) - per_doc
         unit_of = np.repeat(place, count)
-        state = [_Agenda(self, seeds[i], root[i], edges[c : c + n], unit_of[c : c + n]) for i, (c, n) in enumerate(zip(cuts, per_doc, strict=True))]
+        state = [_Agenda(self, seed) for seed in seeds]
+        self.open([(s, edges[c : c + n], unit_of[c : c + n], 0, 0.0, v) for s, c, n, v in zip(state, cuts, per_doc, root, strict=True)])
         for _ in range(1, self.k):
             opened = [(i, s.pop()) for i, s in enumerate(state)]
             opened = [(i, p) for i, p in opened if p is not None]
@@ -274,10 +312,45 @@ class Sampler:
             edges, count = x.walk(nodes, _mixed(salt + which.astype(np.uint64) * _MUL))
             total = np.add.reduceat(count, starts)
             cuts, unit_of = np.cumsum(total) - total, np.repeat(which, count)
-            for (i, p), c, n in zip(opened, cuts, total, strict=True):
-                state[i].follow(p, edges[c : c + n], unit_of[c : c + n])
+            self.open([state[i].turned(p, edges[c : c + n], unit_of[c : c + n]) for (i, p), c, n in zip(opened, cuts, total, strict=True)])
         return [s.samples() for s in state]
 
+    def open(self, items: list[tuple]) -> None:
+        """Add (agenda, edges, units, known, before, value): paths whose steps up to `known`, of log-probability `before`, belong to others.
+
+        All paths' steps are taken together, up to AHEAD of each; the rare path of which a later step may count goes on by itself.
+        """
+        x = self.lattice
+        own = [edges[known:] for _, edges, _, known, _, _ in items]
+        size = np.array([len(e) for e in own])
+        log_q = x.log_q[np.concatenate(own)] if size.sum() else np.zeros(0)
+        ends = np.cumsum(size)
+        some = np.minimum(size, AHEAD)
+        at = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+        place = at + np.repeat(ends - size, some)
+        run = np.append(0.0, np.cumsum(log_q))
+        before, value = np.array([i[4] for i in items]), np.array([i[5] for i in items])
+        ahead = run[place] + np.repeat(before - run[ends - size], some)
+        for i in items:
+            i[0].draws += 1
+        starts = np.array([i[0].draws for i in items], np.uint64) * _DRAW + np.array([i[0].seed for i in items], np.uint64)
+        edge = np.concatenate([e[:AHEAD] for e in own]) if size.sum() else np.zeros(0, np.int64)
+        numbers = uniform(np.repeat(starts, some) + at.astype(np.uint64) * _MUL)
+        rest = branch_values(ahead + x.log_off[edge], np.repeat(value, some), numbers)
+        total = before + run[ends] - run[ends - size]
+        cuts = np.cumsum(some) - some
+        for k, (agenda, edges, units, known, _, v) in enumerate(items):
+            mine = rest[cuts[k] : cuts[k] + some[k]]
+            if size[k] > AHEAD:
+                left = before[k] + run[ends[k] - size[k] + AHEAD] - run[ends[k] - size[k]]
+                # what lies behind has at most that, so it can't be among the k best
+                if self.k > AHEAD or left + MOST_GUMBEL >= np.partition(mine, -self.k)[-self.k]:
+                    later = np.arange(AHEAD, size[k], dtype=np.uint64)
+                    more = log_q[ends[k] - size[k] + AHEAD : ends[k]]
+                    mass = left + np.cumsum(more) - more + x.log_off[own[k][AHEAD:]]
+                    mine = np.append(mine, branch_values(mass, np.full(len(more), v), uniform(starts[k : k + 1] + later * _MUL)))
+            agenda.add(edges, units, known, float(total[k]), v, mine)
+
     def ids(self, edges: np.ndarray) -> np.ndarray:
         pieces = self.lattice.piece[edges]
         if (pieces >= 0).all():
@@ -298,28 +371,16 @@ class _Turn:
 class _Agenda:
     """The samples of one text so far, and the perturbed values of all that branches off from them."""
 
-    def __init__(self, sampler: Sampler, seed: np.uint64, root: float, edges: np.ndarray, units: np.ndarray) -> None:
+    def __init__(self, sampler: Sampler, seed: np.uint64) -> None:
         self.s, self.seed, self.draws = sampler, seed, 0
         self.paths: list[tuple[np.ndarray, np.ndarray, float, float]] = []  # edges, units, log-probability, value
         self.rests: list[np.ndarray] = []  # perturbed values of the branches off each step
         self.used: dict[tuple[int, int], list[int]] = {}  # edges taken at steps that have been turned off
-        self._open(edges, units, 0, 0.0, root)
 
-    def _numbers(self, n: int) -> np.ndarray:
-        self.draws += 1
-        return uniform(_times(self.draws, _DRAW) + self.seed + np.arange(n, dtype=np.uint64) * _MUL)
-
-    def _open(self, edges: np.ndarray, units: np.ndarray, known: int, before: float, value: float) -> None:
-        """Add a path whose steps up to `known`, of log-probability `before`, belong to others."""
-        q = self.s.lattice.q[edges[known:]]
-        with np.errstate(divide="ignore", over="ignore"):
-            log_q = np.log(q)
-            ahead = before + np.cumsum(log_q) - log_q
-            mass = ahead + np.log1p(-np.minimum(q, 1.0))
-            rest = mass - np.log(np.exp(np.minimum(mass - value, 700)) - np.log(self._numbers(len(q))))
-        rest = np.where(np.isfinite(mass) & (q < 1 - 1e-12), np.minimum(rest, value), -np.inf)
-        self.paths.append((edges, units, before + log_q.sum(), value))
-        self.rests.append(np.concatenate([np.full(known, -np.inf), rest]))
+    def add(self, edges: np.ndarray, units: np.ndarray, known: int, log_prob: float, value: float, rest: np.ndarray) -> None:
+        """A path, and the perturbed values of the branches off its steps from `known` on."""
+        self.paths.append((edges, units, log_prob, value))
+        self.rests.append(np.concatenate([np.full(known, -np.inf), rest]) if known else rest)
 
     def best(self) -> tuple[float, int, int]:
         found = [(r[a], p, a) for p, r in enumerate(self.rests) if len(r) for a in (int(r.argmax()),)]
@@ -339,12 +400,13 @@ class _Agenda:
         while x.upto[last] < 2.0:
             last += 1
         others = [e for e in range(first, last + 1) if e not in used]
-        share = np.cumsum(x.q[others])
-        chance, again = self._numbers(2)
+        share = np.cumsum(np.exp(x.log_q[others]))
+        self.draws += 1
+        chance, again = uniform(_times(self.draws, _DRAW) + self.seed + np.arange(2, dtype=np.uint64) * _MUL)
         edge = others[min(int(np.searchsorted(share, chance * share[-1])), len(others) - 1)]
         used.append(edge)
-        before = float(np.log(x.q[edges[:step]]).sum())
-        left = share[-1] - x.q[edge]
+        before = float(x.log_q[edges[:step]].sum())
+        left = share[-1] - np.exp(x.log_q[edge])
         rest = -np.inf
         if len(others) > 1 and left > 1e-300:
             mass = before + np.log(left)
@@ -354,11 +416,12 @@ class _Agenda:
         salt = _mixed(_times(1, self.seed) + np.uint64(self.draws))[0]
         return _Turn(path=path, step=step, edge=edge, unit=int(self.paths[path][1][step]), salt=salt, value=value, before=before)
 
-    def follow(self, turn: _Turn, edges: np.ndarray, units: np.ndarray) -> None:
+    def turned(self, turn: _Turn, edges: np.ndarray, units: np.ndarray) -> tuple:
+        """The path that leaves by the turn and goes on by edges, for Sampler.open()."""
         own, at = self.paths[turn.path][0], self.paths[turn.path][1]
         whole = np.concatenate([own[: turn.step], [turn.edge], edges])
         places = np.concatenate([at[: turn.step], [turn.unit], units])
-        self._open(whole, places, turn.step + 1, turn.before + float(np.log(self.s.lattice.q[turn.edge])), turn.value)
+        return self, whole, places, turn.step + 1, turn.before + float(self.s.lattice.log_q[turn.edge]), turn.value
 
     def samples(self) -> list[tuple]:
         limit = self.best()[0]
@@ -394,14 +457,15 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 3, alpha: float =
         own = sampler(model, k, alpha)
         names = [x.split()[0] for x in schema.split(", ")]
         for big in batches:
-            length = np.array([len(t) if t else 0 for t in big.column("text").to_pylist()])
-            cuts = [0]
-            for i in range(1, big.num_rows):
-                if length[cuts[-1] : i + 1].sum() > 300_000 or i - cuts[-1] >= 200:
+            cuts, held = [0], 0
+            for i, n in enumerate(pc.fill_null(pc.utf8_length(big.column("text")), 0).to_pylist()):
+                if i > cuts[-1] and (held + n > 300_000 or i - cuts[-1] >= 200):
                     cuts.append(i)
+                    held = 0
+                held += n
             for a, b in zip(cuts, [*cuts[1:], big.num_rows], strict=True):
                 batch = big.slice(a, b - a)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
+                texts = [own.v.model.normalize(t or "") for t in batch.column("text").to_pylist()]
                 found = own.sample(texts, batch.column("_seed").to_numpy().view(np.uint64)) if texts else []
                 at = [i for i, rows in enumerate(found) for _ in rows]
                 rows = [(r, *row) for rows in found for r, row in enumerate(rows)]
@@ -412,8 +476,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 3, alpha: float =
                 if with_ids:
                     columns.append(pa.array([r[1] for r in rows], pa.list_(pa.int32())))
                 if verify:
-                    same = [own.v.model.normalize(t) for t in texts]
-                    columns.append(pa.array([own.v.normalized(r[1]) == same[i] for i, r in zip(at, rows, strict=True)], pa.bool_()))
+                    columns.append(pa.array([own.v.spells(r[1], texts[i]) for i, r in zip(at, rows, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(encode, schema)
