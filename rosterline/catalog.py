@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterline.plans import directory, records, telemetry, webpages
+from rosterline.plans import backoffice, directory, records, telemetry, webpages
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = [directory, telemetry, records, webpages]
+PLANS = [directory, telemetry, records, webpages, backoffice]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

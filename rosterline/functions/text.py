@@ -55,10 +55,11 @@ FLORIDA_COUNTIES = [
     "palm beach", "pasco", "pinellas", "polk", "putnam", "santa rosa", "sarasota", "seminole", "st. johns", "st. lucie", "sumter",
     "suwannee", "taylor", "union", "volusia", "wakulla", "walton", "washington",
 ]
+# Patterns of law schools, in the order in which they are asked.
 LAW_SCHOOLS = [
-    r"university of florida.*?law", r"uf.*?law", r"florida state.*?law", r"fsu.*?law", r"university of miami.*?law", r"stetson.*?law",
-    r"nova.*?law", r"barry.*?law", r"fiu.*?law", r"harvard law", r"yale law", r"stanford law", r"columbia law", r"nyu.*?law", r"georgetown.*?law",
-    r"j\.?d\.?\s*,?\s*(?:[\w\s]+university|[\w\s]+college)", r"juris doctor.*?(?:[\w\s]+university|[\w\s]+college)",
+    r"university of florida.*?law", r"florida state.*?law", r"stetson.*?law", r"miami.*?law", r"nova.*?law", r"barry.*?law", r"fiu.*?law", r"harvard law",
+    r"yale law", r"stanford law", r"columbia law", r"nyu.*?law", r"georgetown.*?law", r"j\.?d\.?\s*,?\s*([\w\s]+university|[\w\s]+college)",
+    r"juris doctor.*?([\w\s]+university|[\w\s]+college)",
 ]
 
 #: White space by name; \s means other things in other regex dialects.
@@ -228,9 +229,15 @@ def identity_hash(*parts: Column) -> Column:
 
 
 def law_school(c: Column) -> Column:
-    """The first of the listed school patterns that occurs, cleaned."""
-    found = F.coalesce(*(F.nullif(F.regexp_extract(c, f"(?i)({p})", 1), F.lit("")) for p in LAW_SCHOOLS))
-    return F.trim(F.regexp_replace(F.lower(found), "[.,]", ""))
+    """The first of the listed school patterns that occurs, in lower case without full stops and commas.
+
+    One look for any of them spares most rows the rest.
+    """
+    any_school = F.coalesce(c.rlike("(?i)" + "|".join(f"(?:{p})" for p in LAW_SCHOOLS)), F.lit(False))
+    found = F.when(F.lit(False), c)
+    for p in LAW_SCHOOLS:
+        found = found.when(c.rlike(f"(?i)(?:{p})"), F.regexp_extract(c, f"(?i)(?:{p})", 0))
+    return F.when(any_school, F.trim(F.translate(F.lower(found), ".,", "")))
 
 
 def graduation_year(c: Column) -> Column:
@@ -258,6 +265,13 @@ def byte_size(n: Column) -> Column:
     )
 
 
-def profile_title(name: Column, court: Column, county: Column, state: Column) -> Column:
-    """T24."""
-    return F.format_string("%s - %s, %s, %s", name, court, county, state)
+def page_title(page: str, state: Column, county: Column | None = None, court: Column | None = None, judge: Column | None = None, site: str = "") -> Column:
+    """The title of one of the five kinds of page: states, counties, courts, judges, judge; site ends that of the courts."""
+    parts = {
+        "states": [F.lit("U.S. Judges Directory — Browse by State")],
+        "counties": [F.lit("Judges in "), state, F.lit(" — County Directory")],
+        "courts": [F.lit("Courts in "), county, F.lit(", "), state, F.lit(f" — {site}")],
+        "judges": [court, F.lit(" Judges in "), county, F.lit(", "), state],
+        "judge": [F.lit("Judge "), judge, F.lit(" — "), court, F.lit(", "), county, F.lit(", "), state],
+    }
+    return F.concat(*parts[page])

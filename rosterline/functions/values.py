@@ -82,6 +82,21 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def long_date(ts: Column) -> Column:
+    """As January 2, 2024."""
+    return F.date_format(ts, "MMMM d, yyyy")
+
+
+def year_of(ts: Column) -> Column:
+    """P6."""
+    return F.date_format(ts, "yyyy")
+
+
+def month_year(ts: Column) -> Column:
+    """As Jan 2024."""
+    return F.date_format(ts, "MMM yyyy")
+
+
 def clamp01(x: Column) -> Column:
     """M-1: null stays null."""
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))

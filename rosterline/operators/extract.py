@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,8 +70,17 @@ def next_roster(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "pos", roster_name(F.col("name")).alias("name"), F.lit(None).cast("string").alias("county"), "href", F.col("name").rlike("(?i)chief").alias("is_chief"), F.lit(0.8).alias("confidence"), F.lit("next-data").alias("method"))
 
 
-def deterministic_roster(pages: DataFrame) -> DataFrame:
-    """Of pages(page_id, html, court_type) the first strategy that finds people, three or more in tables and lists, within the cap."""
+# Parts of urls of which the page layouts are known.
+KNOWN_HOSTS = ["flcourts.gov", "flcourts.org"]
+
+
+def any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def deterministic_roster(pages: DataFrame, hosts: list[str] = KNOWN_HOSTS) -> DataFrame:
+    """Of pages(page_id, url, html, court_type) of the known hosts the first strategy that finds people, three or more in tables and lists, within the cap."""
+    pages = pages.filter(any_of([F.coalesce(F.contains("url", F.lit(h)), F.lit(False)) for h in hosts]))
     found = cells(pages)
     tries = next_roster(pages).withColumn("_n", F.lit(0)).unionByName(table_roster(found).withColumn("_n", F.lit(1))).unionByName(list_roster(found).withColumn("_n", F.lit(2)))
     most = F.when(F.col("court_type").contains("Circuit"), CIRCUIT_CAP).otherwise(CAP)

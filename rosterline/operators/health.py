@@ -119,9 +119,12 @@ def band(status: str) -> Column:
 
 
 def resolved_failures(logs: DataFrame) -> DataFrame:
-    """M7: failed logs with the time of the first later success of their url."""
-    later = Window.partitionBy("url").orderBy("scraped_at", "log_id").rowsBetween(1, Window.unboundedFollowing)
-    with_next = logs.withColumn("resolved_at", F.min(F.when(F.col("success"), F.col("scraped_at"))).over(later))
+    """M7: failed logs with the time of the first later success of their url.
+
+    The window runs from the newest log down and keeps a running minimum, so its cost is linear in a url's logs.
+    """
+    newest_first = Window.partitionBy("url").orderBy(F.desc("scraped_at"), F.desc("log_id")).rowsBetween(Window.unboundedPreceding, -1)
+    with_next = logs.withColumn("resolved_at", F.min(F.when(F.col("success"), F.col("scraped_at"))).over(newest_first))
     return with_next.filter("not success")
 
 

@@ -1,4 +1,4 @@
-"""Who is who: identity keys, merging of duplicates, scores."""
+"""Who is who: identity keys, merging of duplicates, scores."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from rosterline.functions.values import loose_year
 BASES = {"OFFICIAL_GOV": 0.65, "COURT_WEBSITE": 0.55, "ELECTION_RECORDS": 0.55, "SECONDARY": 0.45}
 THRESHOLDS = {"OFFICIAL_GOV": 0.70, "COURT_WEBSITE": 0.75, "ELECTION_RECORDS": 0.75, "SECONDARY": 0.80}
 BIO_FIELDS = ["photo_url", "term_start", "term_end", "appointing_authority", "education", "prior_experience", "courthouse_address", "courthouse_phone"]
-#: Text columns in which a later record fills what an earlier one leaves open.
+# Text columns in which a later record fills what an earlier one leaves open.
 FILLED = [
     "photo_url", "division", "term_start", "term_end", "selection_method", "appointing_authority", "appointment_date", "birth_date", "education",
     "prior_experience", "political_affiliation", "bar_admission_date", "bar_admission_state", "courthouse_address", "courthouse_phone", "bio_page_url",
@@ -23,9 +23,9 @@ FILLED = [
 def with_identity(records: DataFrame) -> DataFrame:
     """Identity, tier and basis: school and year, else bar year and state, else appointment and court, else name, court and county."""
     name, school, year = identity_name(F.col("full_name")), law_school(F.col("education")), graduation_year(F.col("education"))
-    df = records.withColumns(
-        {"_n": name, "_s": school, "_y": year, "_b": loose_year(F.col("bar_admission_date")), "_a": loose_year(F.col("appointment_date"))}
-    )
+    parts = F.struct(name.alias("n"), school.alias("s"), year.alias("y"), loose_year(F.col("bar_admission_date")).alias("b"), loose_year(F.col("appointment_date")).alias("a"))
+    # a generator keeps the parts from being written into each of their uses, so every pattern is asked once a row
+    df = records.withColumn("_p", F.explode(F.array(parts))).withColumns({f"_{c}": F.col(f"_p.{c}") for c in "nsyba"}).drop("_p")
     has = lambda *cs: F.coalesce(F.array_min(F.array(*(F.coalesce(F.col(c) != "", F.lit(False)) for c in cs))), F.lit(False))
     edu, bar, appt = has("_s", "_y"), has("_b", "state"), has("_a", "court_type")
     key = lambda prefix, *cs: F.concat(F.lit(prefix), identity_hash(*(F.col(c) for c in cs)))
@@ -54,8 +54,9 @@ def richness(columns: list[tuple[str, str]]) -> Column:
 def merged_by_identity(records: DataFrame) -> DataFrame:
     """One record per identity: the richest (then the first by seq), its empty values filled by the next richest that has one.
 
-    One shuffle by identity; min_by and first-of-the-sorted are aggregates, so no group is
-    sorted in memory and a hot identity is pre-aggregated before the shuffle.
+    One shuffle by identity. min_by over strings is a sorting aggregate: rows are sorted by identity on
+    either side of the shuffle (spilling if need be), but those of one identity are only folded, and a hot one is
+    folded before the shuffle.
     """
     data = [(c, t) for c, t in records.dtypes if c not in ("seq", "identity", "tier", "basis")]
     df = with_identity(records) if "identity" not in records.columns else records

@@ -1,4 +1,4 @@
-"""Files for people and machines: CSV, Markdown reports, sitemap, JSON-LD."""
+"""Files for people and machines: CSV, Markdown reports, sitemap, JSON-LD."""
 
 from __future__ import annotations
 
@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Header -> column of the enriched CSV.
+# Header -> column of the enriched CSV, in order.
 CSV = {
-    "Judge Name": "full_name", "Court Type": "court_type", "County": "county", "State": "state", "Division": "division", "Term Start": "term_start", "Term End": "term_end",
-    "Selection Method": "selection_method", "Appointing Authority": "appointing_authority", "Education": "education", "Prior Experience": "prior_experience", "Photo URL": "photo_url",
-    "Source URL": "source_url", "Chief Judge": "is_chief", "Confidence": "confidence",
+    "Judge Name": "full_name", "Court Type": "court_type", "County": "county", "State": "state", "Division": "division", "Is Chief Judge": "is_chief", "Photo URL": "photo_url",
+    "Term Start": "term_start", "Term End": "term_end", "Selection Method": "selection_method", "Appointing Authority": "appointing_authority", "Appointment Date": "appointment_date",
+    "Birth Date": "birth_date", "Education": "education", "Prior Experience": "prior_experience", "Political Affiliation": "political_affiliation",
+    "Bar Admission Date": "bar_admission_date", "Bar Admission State": "bar_admission_state", "Courthouse Address": "courthouse_address", "Courthouse Phone": "courthouse_phone",
+    "Roster URL": "roster_url", "Bio Page URL": "bio_page_url", "Confidence Score": "confidence", "Source Authority": "source_authority", "Extraction Method": "extraction_method",
 }
 
 
 def csv_rows(records: DataFrame) -> DataFrame:
-    """K2: text columns under their headers: nulls empty, booleans Yes or No, scores with two decimals; absent columns are empty."""
+    """K2: text columns under their headers: nulls empty, Yes or No for the chief judge, the score with two decimals; absent columns are empty."""
     kinds = dict(records.dtypes)
 
     def text(c: str) -> Column:
         if c not in kinds:
-            return F.lit("")
+            return F.lit("No" if c == "is_chief" else "")
         if kinds[c] == "boolean":
             return F.when(F.col(c), "Yes").otherwise("No")
         return F.coalesce(F.format_string("%.2f", c) if kinds[c] == "double" else F.col(c).cast("string"), F.lit(""))
@@ -28,9 +30,9 @@ def csv_rows(records: DataFrame) -> DataFrame:
     return records.select(*(text(c).alias(h) for h, c in CSV.items()))
 
 
-def write_csv(records: DataFrame, path: str) -> None:
+def write_csv(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """K2: CSV files with a header, one per partition."""
-    csv_rows(records).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    csv_rows(records).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
 
 
 def combined(stats: DataFrame) -> DataFrame:
@@ -48,30 +50,58 @@ def markdown_lines(table: DataFrame, title: str, order: list[str]) -> DataFrame:
 
 
 def sitemap(chain: DataFrame, base: str, per_file: int = 50_000) -> DataFrame:
-    """File, loc and priority of the urls of every level; files are numbered through all of them.
+    """File, loc, priority and change_frequency of the urls of every level, verified judges only; files are numbered through all of them.
 
-    Ranks come from per-level prefix windows over hash buckets only where a level is large.
+    chain holds a row per judge (with slug) of every court. Ranks come from windows over 256 hash buckets, so no task sees all urls.
     """
-    levels = [([], 1.0), (["state_slug"], 0.9), (["state_slug", "county_slug"], 0.8), (["state_slug", "county_slug", "court_slug"], 0.7), (["state_slug", "county_slug", "court_slug", "judge_id"], 0.6)]
+    slugs = ["state_slug", "county_slug", "court_slug"]
+    levels = [(n, 1.0 - n / 10, "weekly", chain) for n in range(4)] + [(4, 0.6, "monthly", chain.filter("status = 'VERIFIED'"))]
     urls = None
-    for columns, priority in levels:
-        part = chain.select(F.concat_ws("/", F.lit(base + "/judges"), *(F.col(c).cast("string") for c in columns)).alias("loc")).distinct().withColumn("priority", F.lit(priority))
+    for n, priority, often, rows in levels:
+        columns = [*slugs, "slug"][:n]
+        part = rows.select(F.concat_ws("/", F.lit(base + "/judges"), *columns, F.lit("")).alias("loc"))
+        part = (part if n == 4 else part.distinct()).select("loc", F.lit(round(priority, 1)).alias("priority"), F.lit(often).alias("change_frequency"))
         urls = part if urls is None else urls.unionByName(part)
-    bucket = F.pmod(F.xxhash64("loc"), F.lit(256))
-    dealt = urls.withColumn("_b", bucket)
+    dealt = urls.withColumn("_b", F.pmod(F.xxhash64("loc"), F.lit(256)))
     starts = dealt.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 256 rows
     ranked = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("loc"))).join(F.broadcast(starts.select("_b", "_s")), "_b")
-    return ranked.select(F.ceil((F.col("_s") + F.col("_i")) / per_file).cast("int").alias("file"), "loc", "priority")
-
-
-def person_json_ld(chain: DataFrame) -> DataFrame:
-    """judge_id and a Person document; < is escaped, so it can stand in a script."""
-    doc = F.to_json(F.struct(F.lit("Person").alias("@type"), F.col("full_name").alias("name"), F.col("court_type").alias("jobTitle"), F.struct(F.lit("State").alias("@type"), F.col("state").alias("name")).alias("workLocation")))
-    return chain.select("judge_id", F.replace(doc, F.lit("<"), F.lit("\\u003c")).alias("json_ld"))
-
-
-def item_list_json_ld(positions: DataFrame, key: str, name: str) -> DataFrame:
-    """One ItemList per key from rows with name and position; lists are those of one page."""
-    items = F.array_sort(F.collect_list(F.struct("position", F.col(name).alias("name"))))
-    doc = F.to_json(F.struct(F.lit("ItemList").alias("@type"), items.alias("itemListElement")))
-    return positions.groupBy(key).agg(F.replace(doc, F.lit("<"), F.lit("\\u003c")).alias("json_ld"))
+    return ranked.select(F.ceil((F.col("_s") + F.col("_i")) / per_file).cast("int").alias("file"), "loc", "priority", "change_frequency")
+
+
+def script_safe(json: Column) -> Column:
+    """< escaped, so that JSON can stand in a script."""
+    return F.replace(json, F.lit("<"), F.lit("\\u003c"))
+
+
+def person_json_ld(chain: DataFrame, base: str) -> DataFrame:
+    """judge_id and a Person document of rows with full_name, court_type, county, state, path and, where there is one, a description."""
+    works = F.struct(F.lit("Organization").alias("@type"), F.concat_ws(", ", "court_type", "county", "state").alias("name"))
+    fields = [
+        F.lit("https://schema.org").alias("@context"), F.lit("Person").alias("@type"), F.col("full_name").alias("name"), F.concat(F.lit("Judge, "), F.col("court_type")).alias("jobTitle"),
+        works.alias("worksFor"), F.concat(F.lit(base), F.col("path")).alias("url"),
+    ]
+    if "description" in chain.columns:
+        fields.append(F.nullif(F.col("description"), F.lit("")).alias("description"))
+    return chain.select("judge_id", script_safe(F.to_json(F.struct(*fields))).alias("json_ld"))
+
+
+def item_list_json_ld(positions: DataFrame, key: str, name: str, path: str, base: str, list_name: Column, list_path: Column) -> DataFrame:
+    """One ItemList per key from rows with position, name and path; lists are those of one page. list_name and list_path are of the key."""
+    item = F.struct(F.lit("ListItem").alias("@type"), "position", F.col(name).alias("name"), F.concat(F.lit(base), F.col(path)).alias("url"))
+    lists = positions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", item.alias("item")))).alias("_items"))
+    items = F.transform("_items", lambda x: x.item)
+    doc = F.struct(
+        F.lit("https://schema.org").alias("@context"), F.lit("ItemList").alias("@type"), list_name.alias("name"), F.concat(F.lit(base), list_path).alias("url"),
+        F.size("_items").alias("numberOfItems"), items.alias("itemListElement"),
+    )
+    return lists.select(key, script_safe(F.to_json(doc)).alias("json_ld"))
+
+
+def quality_report(states: DataFrame, zero_counties: DataFrame) -> DataFrame:
+    """K4: lines (n, line) of the report: a table of the states' figures, then the counties without judges, each with its circuit."""
+    head = markdown_lines(states, "Quality report", [states.columns[0]])
+    offset = F.lit(1 << 40)
+    title = states.sparkSession.createDataFrame([((1 << 40) - 2, ""), ((1 << 40) - 1, "## Counties with Zero Judges"), (1 << 40, "")], "n long, line string")
+    counties = zero_counties.select((offset + F.row_number().over(Window.orderBy("county"))).alias("n"), "line")  # configured counties, a few thousand
+    some = title.join(F.broadcast(zero_counties.limit(1).select(F.lit(1).alias("_any"))), F.lit(True)).drop("_any")
+    return head.withColumn("n", F.col("n").cast("long")).unionByName(some).unionByName(counties)

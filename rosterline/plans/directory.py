@@ -56,7 +56,7 @@ def f3_most_specific(spark: SparkSession, d: str) -> DataFrame:
 
 def f7_states_with_verified(spark: SparkSession, d: str) -> DataFrame:
     """States with a verified judge of one court type."""
-    c = chain(spark, d).filter("court_type = 'BUILDING' AND judge_id % 1000 < 3")
+    c = chain(spark, d).filter("court_type = 'BUILDING' AND flagged AND photo_url = ''")
     return search.with_verified(read(spark, d, "counties"), c, "county_id").select("county_id", "name")
 
 
@@ -160,7 +160,7 @@ def j9_missing_courts(spark: SparkSession, d: str) -> DataFrame:
 
 def j10_harvest_status(spark: SparkSession, d: str) -> DataFrame:
     """States with when their urls were last scraped: fresh, stale or never."""
-    last = read(spark, d, "logs").filter("state_abbr <> 'MI' and success").groupBy("state_abbr").agg(F.max("scraped_at").alias("last"))
+    last = read(spark, d, "logs").filter("success").groupBy("state_abbr").agg(F.max("scraped_at").alias("last"))
     kind = F.when(F.col("last").isNull(), "never").when(F.col("last") < F.expr("TIMESTAMP_NTZ '2024-01-30 23:00:00'"), "stale").otherwise("fresh")
     return read(spark, d, "states").join(last, F.col("abbr") == F.col("state_abbr"), "left").select("abbr", kind.alias("state_of_data"))
 
@@ -204,7 +204,7 @@ SQL = {
     "p1_nested": _C + "SELECT judge_id, state_abbr AS abbr, county, court_type AS type FROM chain",
     "p4_profile_urls": _C + "SELECT judge_id, concat_ws('/', '/judges', state_slug, county_slug, court_slug) AS path, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS created FROM chain",
     "f3_most_specific": _C + "SELECT judge_id, county_id, status FROM chain WHERE county_id = 3 AND status IN ('UNVERIFIED', 'NEEDS_REVIEW')",
-    "f7_states_with_verified": _C + "SELECT county_id, name FROM counties k WHERE EXISTS (SELECT 1 FROM chain c WHERE c.county_id = k.county_id AND status = 'VERIFIED' AND court_type = 'BUILDING' AND judge_id % 1000 < 3)",
+    "f7_states_with_verified": _C + "SELECT county_id, name FROM counties k WHERE EXISTS (SELECT 1 FROM chain c WHERE c.county_id = k.county_id AND status = 'VERIFIED' AND court_type = 'BUILDING' AND flagged AND photo_url = '')",
     "j6_neighbours": _C + "SELECT county_id, name FROM counties k WHERE state_id = (SELECT state_id FROM counties WHERE county_id = 3) AND county_id <> 3 AND EXISTS (SELECT 1 FROM chain c WHERE c.county_id = k.county_id AND status = 'VERIFIED') ORDER BY name LIMIT 5",
     "j4_children": _W("states", "counties") + "SELECT s.name, CAST(count(*) AS INT) AS n_counties, string_agg(k.slug, ',' ORDER BY k.name) AS slugs FROM states s JOIN counties k USING (state_id) GROUP BY s.name",
     "a3_candidates_by_status": _W("candidates") + "SELECT state_abbr, count_if(status = 'DISCOVERED') AS discovered, count_if(status = 'APPROVED') AS approved, count_if(status = 'REJECTED') AS rejected, count(*) AS total FROM candidates GROUP BY state_abbr",
@@ -222,7 +222,7 @@ SQL = {
     "u1_hosts": _W("candidates") + rf"SELECT regexp_replace({_HOST}, '^www\.', '') AS domain, count(*) AS n FROM candidates GROUP BY 1",
     "j9_missing_courts": _W("counties", "courts") + "SELECT county_id, type FROM counties k, (VALUES ('Building'), ('Probate'), ('Furniture')) t(type) WHERE NOT EXISTS (SELECT 1 FROM courts c WHERE c.county_id = k.county_id AND lower(c.type) = lower(t.type))",
     "j10_harvest_status": _W("states", "logs") + """SELECT abbr, CASE WHEN last IS NULL THEN 'never' WHEN last < TIMESTAMP '2024-01-30 23:00:00' THEN 'stale' ELSE 'fresh' END AS state_of_data
-      FROM states LEFT JOIN (SELECT state_abbr, max(scraped_at) AS last FROM logs WHERE state_abbr <> 'MI' AND success GROUP BY 1) l ON abbr = state_abbr""",
+      FROM states LEFT JOIN (SELECT state_abbr, max(scraped_at) AS last FROM logs WHERE success GROUP BY 1) l ON abbr = state_abbr""",
     "t22_highlight": _W("judges") + r"SELECT judge_id, regexp_replace(full_name, '(LEE)', '<mark>\1</mark>', 'gi') AS marked FROM judges WHERE contains(lower(full_name), 'lee')",
     "r28_noindex": _C + "SELECT court_id, count_if(status = 'VERIFIED') < 3 AS noindex FROM chain GROUP BY court_id",
     "w4_positions": _W("judges") + "SELECT court_id, judge_id, CAST(row_number() OVER (PARTITION BY court_id ORDER BY full_name, judge_id) AS INT) AS position FROM judges WHERE status = 'VERIFIED'",

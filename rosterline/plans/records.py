@@ -75,7 +75,7 @@ def r15_gate(spark: SparkSession, d: str) -> DataFrame:
 def j7_zero_counties(spark: SparkSession, d: str) -> DataFrame:
     """Counties without a record of one division."""
     configured = spark.range(0, 30).select(F.concat(F.lit("COUNTY "), "id").alias("county"))
-    return rules.zero_counties(configured, _records(spark, d).filter("division = 'N' and seq % 7 = 0 and seq % 5 < 2"))
+    return rules.zero_counties(configured, _records(spark, d).filter("division = 'N'"))
 
 
 def j16_counties(spark: SparkSession, d: str) -> DataFrame:
@@ -95,14 +95,14 @@ def j19_authority(spark: SparkSession, d: str) -> DataFrame:
 def k1_upsert(spark: SparkSession, d: str) -> DataFrame:
     """K1: judges after an upsert, by change."""
     t = read(spark, d, "judges").select("judge_id", "full_name", "status", "photo_url", "confidence")
-    s = t.filter("judge_id % 9 = 0").select((F.col("judge_id") + F.when(F.col("judge_id") % 2 == 0, 10_000_000).otherwise(0)).alias("judge_id"), F.lit(None).cast("string").alias("full_name"), F.lit("new.jpg").alias("photo_url"))
+    s = t.filter("status = 'NEEDS_REVIEW'").select((F.col("judge_id") + F.when(F.col("photo_url").isNull(), 10_000_000).otherwise(0)).alias("judge_id"), F.lit(None).cast("string").alias("full_name"), F.lit("new.jpg").alias("photo_url"))
     return writes.upserted(t, s, ["judge_id"]).groupBy("change", "status").agg(F.count("*").alias("n"), F.count("full_name").alias("named"), F.count_if(F.col("photo_url") == "new.jpg").alias("photos"))
 
 
 def k7_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     """Candidates that are not known yet."""
     c = read(spark, d, "candidates")
-    return writes.inserted_if_absent(c.filter("candidate_id % 2 = 0"), c.select("url", "candidate_id"), "url")
+    return writes.inserted_if_absent(c.filter("status = 'PROMOTED'"), c.select("url", "candidate_id"), "url")
 
 
 def k10_downgraded(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +119,7 @@ def k12_cascade(spark: SparkSession, d: str) -> DataFrame:
 def k14_promotion(spark: SparkSession, d: str) -> DataFrame:
     """Approved candidates that the configuration lacks, with their first health."""
     c = read(spark, d, "candidates")
-    return writes.promoted(c, c.filter("candidate_id % 8 = 1").select("url"))[2]
+    return writes.promoted(c, c.filter("scrape_worthy is null").select("url"))[2]
 
 
 def r22_transitions(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,8 @@ QUERIES = {f.__name__: f for f in (
 
 _W = lambda *n: f"WITH {sql(*n)} "
 _N = "regexp_replace(regexp_replace(lower(full_name), '^(hon[.]|judge) ', ''), '[.]', '', 'g')"
-_IDENTITY = _W("records") + f""", p AS (SELECT *, {_N} AS n, CASE WHEN education LIKE 'Harvard%' THEN 'harvard law' WHEN education LIKE 'Stetson%' THEN 'stetson college of law' END AS s,
+_IDENTITY = _W("records") + f""", p AS (SELECT *, {_N} AS n, CASE WHEN education LIKE 'Harvard%' THEN 'harvard law' WHEN education LIKE 'Stetson%' THEN 'stetson college of law'
+  WHEN education LIKE '%Miami%' THEN 'miami school of law' WHEN education LIKE 'JD, Ohio%' THEN 'jd ohio state university' END AS s,
   nullif(regexp_extract(education, '(\\d{{4}})$', 1), '') AS y, substr(bar_admission_date, 1, 4) AS b, substr(appointment_date, 4, 4) AS a FROM records),
   k AS (SELECT *, CASE WHEN s IS NOT NULL THEN 'edu' WHEN b IS NOT NULL THEN 'bar-year' WHEN a IS NOT NULL THEN 'appt' ELSE 'name' END AS kind,
     (CASE WHEN coalesce(county, '') <> '' THEN 1 ELSE 0 END) + (coalesce(education, '') <> '')::INT + (bar_admission_date IS NOT NULL)::INT + (appointment_date IS NOT NULL)::INT
@@ -209,16 +210,16 @@ SQL = {
     "r15_gate": _W("records") + """, r AS (SELECT state, avg((division IS NULL)::INT) AS f, avg(coalesce(photo_url = '', false)::INT) AS z, avg((county IS NULL)::INT) AS m, avg((confidence < 0.02)::INT) AS c FROM records GROUP BY state),
       s AS (SELECT state, CASE WHEN f > 0.25 THEN 2 WHEN f > 0.1 THEN 1 ELSE 0 END AS f, CASE WHEN z > 0.3 THEN 2 WHEN z > 0.15 THEN 1 ELSE 0 END AS z, CASE WHEN m > 0.4 THEN 2 WHEN m > 0.2 THEN 1 ELSE 0 END AS m, CASE WHEN c > 0.05 THEN 2 WHEN c > 0.02 THEN 1 ELSE 0 END AS c FROM r)
       SELECT state, ['PASS', 'WARNING', 'CRITICAL'][m + 1] AS missing_county_severity, ['PASS', 'WARNING', 'CRITICAL'][c + 1] AS core_incomplete_severity, ['PASS', 'WARNING', 'CRITICAL'][greatest(f, z, m, c) + 1] AS verdict FROM s""",
-    "j7_zero_counties": _W("records") + "SELECT 'COUNTY ' || i AS county FROM range(30) t(i) WHERE lower('COUNTY ' || i) NOT IN (SELECT lower(county) FROM records WHERE county IS NOT NULL AND division = 'N' AND seq % 7 = 0 AND seq % 5 < 2)",
+    "j7_zero_counties": _W("records") + "SELECT 'COUNTY ' || i AS county FROM range(30) t(i) WHERE lower('COUNTY ' || i) NOT IN (SELECT lower(county) FROM records WHERE county IS NOT NULL AND division = 'N')",
     "j16_counties": _W("counties") + "SELECT upper(replace(name, '_', ' ')) AS county, county_id, true AS right FROM counties",
     "j19_authority": _W("judges") + "SELECT judge_id, CASE WHEN source_url IS NULL THEN 'SECONDARY' WHEN contains(source_url, '.gov/') THEN 'OFFICIAL_GOV' WHEN contains(source_url, '//court1.org/') OR contains(source_url, '//court10.org/') THEN 'COURT_WEBSITE' ELSE 'SECONDARY' END AS authority FROM judges",
-    "k1_upsert": _W("judges") + """, a AS (SELECT judge_id, full_name, photo_url, CASE WHEN judge_id % 9 = 0 AND judge_id % 2 = 1 THEN 'updated' ELSE 'kept' END AS change, status FROM judges),
-      b AS (SELECT change, status, full_name, CASE WHEN change = 'updated' THEN 'new.jpg' ELSE photo_url END AS photo FROM a UNION ALL SELECT 'new', 'UNVERIFIED', NULL, 'new.jpg' FROM judges WHERE judge_id % 9 = 0 AND judge_id % 2 = 0)
-      SELECT change, status, count(*) AS n, count(full_name) AS named, count_if(photo = 'new.jpg') AS photos FROM b GROUP BY 1, 2""",
-    "k7_insert_if_absent": _W("candidates") + "SELECT url, min(candidate_id) AS candidate_id FROM candidates WHERE url NOT IN (SELECT url FROM candidates WHERE candidate_id % 2 = 0) GROUP BY url",
+    "k1_upsert": _W("judges") + """, a AS (SELECT judge_id, full_name, photo_url, CASE WHEN status = 'NEEDS_REVIEW' AND photo_url IS NOT NULL THEN 'updated' ELSE 'kept' END AS change, status FROM judges),
+      b AS (SELECT change, status, full_name, CASE WHEN change = 'updated' THEN 'new.jpg' ELSE photo_url END AS photo FROM a UNION ALL SELECT 'new', 'UNVERIFIED', NULL, 'new.jpg' FROM judges WHERE status = 'NEEDS_REVIEW' AND photo_url IS NULL)
+      SELECT change, status, count(*) AS n, count(full_name) AS named, count_if(coalesce(photo, '') = 'new.jpg') AS photos FROM b GROUP BY 1, 2""",
+    "k7_insert_if_absent": _W("candidates") + "SELECT url, min(candidate_id) AS candidate_id FROM candidates WHERE url NOT IN (SELECT url FROM candidates WHERE status = 'PROMOTED') GROUP BY url",
     "k10_downgraded": _W("candidates") + "SELECT candidate_id, CASE WHEN scrape_worthy AND last_yield = 0 AND harvest_attempts >= 2 THEN false ELSE scrape_worthy END AS scrape_worthy FROM candidates",
     "k12_cascade": _W("courts", "judges") + "SELECT status, count(*) AS n FROM judges JOIN courts USING (court_id) WHERE type <> 'BUILDING' GROUP BY status",
-    "k14_promotion": _W("candidates") + "SELECT url, min(state_abbr) AS state_abbr, 0.5::DOUBLE AS health_score FROM candidates WHERE status = 'APPROVED' AND url NOT IN (SELECT url FROM candidates WHERE candidate_id % 8 = 1) GROUP BY url",
+    "k14_promotion": _W("candidates") + "SELECT url, min(state_abbr) AS state_abbr, 0.5::DOUBLE AS health_score FROM candidates WHERE status = 'APPROVED' AND url NOT IN (SELECT url FROM candidates WHERE scrape_worthy IS NULL) GROUP BY url",
     "r22_transitions": _W("judges") + """, t AS (SELECT CASE WHEN status = 'UNVERIFIED' THEN CASE WHEN judge_id % 2 = 0 THEN 'VERIFIED' ELSE 'REJECTED' END END AS new_status,
       CASE WHEN status <> 'UNVERIFIED' THEN 'cannot ' || CASE WHEN judge_id % 2 = 0 THEN 'verify' ELSE 'reject' END || ' from ' || status END AS error FROM judges) SELECT new_status, error, count(*) AS n FROM t GROUP BY 1, 2""",
     "r21_auto_status": _W("candidates") + "SELECT candidate_id, CASE WHEN scrape_worthy THEN 'APPROVED' WHEN NOT scrape_worthy THEN 'REJECTED' ELSE 'DISCOVERED' END AS status FROM candidates",

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from rosterline.operators import extract, reports, search
+from rosterline.functions.text import page_title
+from rosterline.operators import extract, reports, rules, search
 from rosterline.sources import providers
 from rosterline.sources.markup import cells, markdown
 from rosterline.sources.standins import CHAIN_SQL, chain, read, sql
@@ -21,9 +23,25 @@ def e2_cells(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("page_id").agg(F.count_if(F.col("kind") == "h1").alias("headings"), F.count_if(F.col("kind") == "li").alias("items"))
 
 
+#: Roster pages for records: their list, as HTML that Spark and DuckDB make alike.
+_PEOPLE = "CASE n_nationkey % 3 WHEN 0 THEN 'Ann Lee,Bo Smith,Carla Ortiz' WHEN 1 THEN 'Dov Nguyen,Eva Adams' ELSE 'Finn Brown,Ann Adams,Bo Lee,Eva Ortiz' END"
+_SITE = "CASE WHEN n_nationkey % 5 = 4 THEN 'https://www.example.org/' ELSE 'https://circuit.flcourts.gov/' END"
+_LIST = f"concat('<html><body><h2>Judges</h2><ul><li>Judge ', replace({_PEOPLE}, ',', '</li><li>Judge '), '</li></ul></body></html>')"
+
+
 def e1_rosters(spark: SparkSession, d: str) -> DataFrame:
-    """People on the pages by the general strategies."""
-    return extract.deterministic_roster(_pages(spark, d).withColumn("court_type", F.lit("County Court")))
+    """People on list pages of nations' courts: known hosts only, three people or more."""
+    nations = spark.read.parquet(f"{d}/nation.parquet")
+    pages = nations.selectExpr("n_nationkey AS page_id", f"concat({_SITE}, n_nationkey) AS url", f"{_LIST} AS html", "'County Court' AS court_type")
+    return extract.deterministic_roster(pages).select("page_id", "name", "method")
+
+
+def e4_tables(spark: SparkSession, d: str) -> DataFrame:
+    """People in tables, with the county of another cell of their row."""
+    row = "concat('<tr><td>', replace({0}, ',', '</td><td>Leon</td></tr><tr><td>'), '</td><td>Leon</td></tr>')".format(_PEOPLE)
+    nations = spark.read.parquet(f"{d}/nation.parquet")
+    pages = nations.selectExpr("n_nationkey AS page_id", "concat('https://x.flcourts.org/', n_nationkey) AS url", f"concat('<table><tr><th>Judge</th><th>County</th></tr>', {row}, '</table>') AS html", "'County Court' AS court_type")
+    return extract.deterministic_roster(pages).select("page_id", "name", "county", "method")
 
 
 def s21_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -32,10 +50,18 @@ def s21_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s8_fetched(spark: SparkSession, d: str) -> DataFrame:
-    """Every second candidate's page from the table of pages."""
-    p = _pages(spark, d)
-    out = providers.fetched_offline(read(spark, d, "candidates").select("candidate_id", "url"), p.filter("page_id % 2 = 0"))
-    return out.select("candidate_id", F.length("body").alias("n"), "error")
+    """Pages of all candidates and of all scraped urls from the table of pages, which lacks the latter."""
+    urls = read(spark, d, "candidates").select("url").unionByName(read(spark, d, "logs").select("url")).distinct()
+    return providers.fetched_offline(urls, _pages(spark, d)).select("url", F.length("body").alias("n"), "error")
+
+
+def s15_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Encyclopaedia pages of suppliers' names, of which those with the state and those with judge exist."""
+    people = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("replace(s_name, '#', 'No. ') AS name", "CASE WHEN s_nationkey % 2 = 0 THEN 'North Carolina' ELSE 'Ohio' END AS state", "s_suppkey").distinct()
+    spelled = "'https://ballotpedia.org/' || replace(replace(name, ' ', '_'), '.', '')"
+    pages = people.filter("s_suppkey % 3 = 0").selectExpr(f"{spelled} || '_(' || state || ')' AS url", "'<p>a judge</p>' AS html")
+    more = people.filter("s_suppkey % 3 < 2").selectExpr(f"{spelled} || '_(judge)' AS url", "'<p>the court</p>' AS html")
+    return providers.encyclopaedia_page(people.select("name", "state"), pages.unionByName(more)).select("name", "state", "page_url")
 
 
 def f14_captcha(spark: SparkSession, d: str) -> DataFrame:
@@ -45,36 +71,81 @@ def f14_captcha(spark: SparkSession, d: str) -> DataFrame:
 
 def t21_queries(spark: SparkSession, d: str) -> DataFrame:
     """Web queries by state."""
-    return providers.queries_of(read(spark, d, "states")).select("state_id", "query")
+    more = spark.createDataFrame([(100, "Virginia"), (101, "South Dakota"), (102, "Ohio")], "state_id int, name string")
+    return providers.queries_of(read(spark, d, "states").select("state_id", "name").unionByName(more)).select("state_id", "level", "query")
+
+
+def _slugged(spark: SparkSession, d: str) -> DataFrame:
+    """The chain with unique slugs of its judges and the path of each one's profile."""
+    c = rules.unique_slugs(chain(spark, d).drop("slug"), "court_id", "full_name", "judge_id")
+    return c.withColumn("path", F.concat_ws("/", F.lit("/judges"), "state_slug", "county_slug", "court_slug", "slug", F.lit("")))
 
 
 def k18_sitemap(spark: SparkSession, d: str) -> DataFrame:
-    """Urls of all levels by priority."""
-    return reports.sitemap(chain(spark, d), "https://x.org").select("loc", "priority")
+    """Urls of all levels and of verified judges, with priority and how often they change."""
+    return reports.sitemap(_slugged(spark, d), "https://x.org").select("loc", "priority", "change_frequency")
 
 
 def k19_person(spark: SparkSession, d: str) -> DataFrame:
     """JSON-LD of every judge."""
-    return reports.person_json_ld(chain(spark, d))
+    return reports.person_json_ld(_slugged(spark, d), "https://x.org")
+
+
+def k19_item_lists(spark: SparkSession, d: str) -> DataFrame:
+    """JSON-LD of each state's list of counties."""
+    k = read(spark, d, "counties")
+    rows = k.withColumns({"position": F.row_number().over(Window.partitionBy("state_id").orderBy("name")), "path": F.concat(F.lit("/judges/"), "slug", F.lit("/"))})
+    key = F.col("state_id").cast("string")
+    return reports.item_list_json_ld(rows, "state_id", "name", "path", "https://x.org", F.concat(F.lit("State "), key), F.concat(F.lit("/s/"), key))
+
+
+def t24_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The five titles of pages."""
+    c = chain(spark, d)
+    made = lambda kind: page_title(kind, F.col("state"), F.col("county"), F.col("court_type"), F.col("full_name"), "x.org").alias(f"{kind}_title")
+    return c.select("judge_id", *(made(k) for k in ("states", "counties", "courts", "judges", "judge")))
 
 
 def k2_csv(spark: SparkSession, d: str) -> DataFrame:
-    """K2: the rows of the enriched CSV."""
-    out = reports.csv_rows(chain(spark, d).select("judge_id", "full_name", "court_type", "county", "state", "photo_url", "confidence"))
-    return out.select(F.col("Judge Name").alias("name"), F.col("County").alias("county"), F.col("Photo URL").alias("photo"), F.col("Division").alias("division"))
+    """K2: the rows of the enriched CSV, all 25 columns."""
+    own = chain(spark, d).withColumns({"roster_url": F.col("source_url"), "is_chief": F.col("flagged")})
+    return reports.csv_rows(own.select("full_name", "court_type", "county", "state", "photo_url", "education", "prior_experience", "roster_url", "is_chief", "confidence", "source_authority", "extraction_method"))
 
 
-QUERIES = {f.__name__: f for f in (e2_cells, e1_rosters, s21_markdown, s8_fetched, f14_captcha, t21_queries, k18_sitemap, k19_person, k2_csv)}
+QUERIES = {f.__name__: f for f in (e2_cells, e1_rosters, e4_tables, s21_markdown, s8_fetched, s15_pages, f14_captcha, t21_queries, k18_sitemap, k19_person, k19_item_lists, t24_titles, k2_csv)}
 
-_T = ", ".join("'" + t.replace("'", "''") + "'" for t in providers.QUERY_TEMPLATES)
 _C = "', '".join(search.CAPTCHA)
+_T = """SELECT state_id, l.level, '"' || name || '" ' || l.text || site || CASE name WHEN 'Virginia' THEN ' -"West Virginia"' WHEN 'South Dakota' THEN ' -"North Dakota"' ELSE '' END AS query
+  FROM s, (VALUES ('supreme', 'supreme court justices roster site:'), ('appellate', 'court of appeal judges roster site:'), ('trial', 'circuit OR superior OR district court judges roster site:')) t(kind, text),
+  (VALUES ('gov', ''), ('org', '_org')) o(site, ending), LATERAL (SELECT kind || ending AS level, text) l"""
+_SLUGGED = f"""WITH {CHAIN_SQL}, b AS (SELECT *, regexp_replace(regexp_replace(lower(full_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS base FROM chain),
+  n AS (SELECT *, row_number() OVER (PARTITION BY court_id, base ORDER BY judge_id) AS k FROM b),
+  g AS (SELECT *, 'https://x.org/judges/' AS u, base || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS slug FROM n) """
+_PATH = "u || state_slug || '/' || county_slug || '/' || court_slug || '/' || slug || '/'"
+_ROSTER = f"SELECT n_nationkey AS page_id, unnest(string_split({_PEOPLE}, ',')) AS name, {{}} AS method FROM nation WHERE n_nationkey % 3 <> 1"
+_TEXT = lambda c: f"coalesce({c}, '')"
 SQL = {
     "e2_cells": "SELECT page_id, len(regexp_extract_all(html, '<h1[ >]')) AS headings, len(regexp_extract_all(html, '<li[ >]')) AS items FROM pages WHERE regexp_matches(html, '<(h1|li)[ >]')",
-    "s8_fetched": f"WITH {sql('candidates')} SELECT candidate_id, CAST(length(html) AS INT) AS n, CASE WHEN html IS NULL THEN 'not found' END AS error FROM candidates c LEFT JOIN (SELECT url, min(html) AS html FROM pages WHERE page_id % 2 = 0 GROUP BY url) p USING (url)",
+    "e1_rosters": _ROSTER.format("'list'") + " AND n_nationkey % 5 <> 4",
+    "e4_tables": _ROSTER.format("'table'").replace("AS name,", "AS name, 'Leon' AS county,"),
+    "s8_fetched": f"""WITH {sql('candidates', 'logs')}, u AS (SELECT url FROM candidates UNION SELECT url FROM logs) SELECT url, CAST(length(html) AS INT) AS n, CASE WHEN html IS NULL THEN 'not found' END AS error
+      FROM u LEFT JOIN (SELECT url, min(html) AS html FROM pages GROUP BY url) p USING (url)""",
+    "s15_pages": """WITH p AS (SELECT DISTINCT replace(s_name, '#', 'No. ') AS name, CASE WHEN s_nationkey % 2 = 0 THEN 'North Carolina' ELSE 'Ohio' END AS state, s_suppkey FROM supplier)
+      SELECT name, state, 'https://ballotpedia.org/' || replace(replace(name, ' ', '_'), '.', '') || CASE s_suppkey % 3 WHEN 0 THEN '_(' || state || ')' WHEN 1 THEN '_(judge)' END AS page_url FROM p""",
     "f14_captcha": f"SELECT page_id, len(list_filter(['{_C}'], lambda x: contains(lower(html), x))) > 0 AS blocked FROM pages",
-    "t21_queries": f"WITH {sql('states')} SELECT state_id, replace(unnest([{_T}]), '{{state}}', name) AS query FROM states",
-    "k18_sitemap": f"""WITH {CHAIN_SQL}, b AS (SELECT 'https://x.org/judges' AS u, * FROM chain) SELECT DISTINCT loc, priority::DOUBLE AS priority FROM (SELECT u AS loc, 1.0 AS priority FROM b UNION ALL SELECT u || '/' || state_slug, 0.9 FROM b
-      UNION ALL SELECT concat_ws('/', u, state_slug, county_slug), 0.8 FROM b UNION ALL SELECT concat_ws('/', u, state_slug, county_slug, court_slug), 0.7 FROM b UNION ALL SELECT concat_ws('/', u, state_slug, county_slug, court_slug, judge_id), 0.6 FROM b)""",
-    "k19_person": f"""WITH {CHAIN_SQL} SELECT judge_id, '{{"@type":"Person","name":"' || full_name || '","jobTitle":"' || court_type || '","workLocation":{{"@type":"State","name":"' || state || '"}}}}' AS json_ld FROM chain""",
-    "k2_csv": f"WITH {CHAIN_SQL} SELECT full_name AS name, county, coalesce(photo_url, '') AS photo, '' AS division FROM chain",
+    "t21_queries": f"WITH {sql('states')}, s AS (SELECT state_id, name FROM states UNION ALL SELECT * FROM (VALUES (100, 'Virginia'), (101, 'South Dakota'), (102, 'Ohio'))) {_T}",
+    "k18_sitemap": _SLUGGED + f"""SELECT DISTINCT loc, priority::DOUBLE AS priority, change_frequency FROM (SELECT u AS loc, 1.0 AS priority, 'weekly' AS change_frequency FROM g UNION ALL SELECT u || state_slug || '/', 0.9, 'weekly' FROM g
+      UNION ALL SELECT u || state_slug || '/' || county_slug || '/', 0.8, 'weekly' FROM g UNION ALL SELECT u || state_slug || '/' || county_slug || '/' || court_slug || '/', 0.7, 'weekly' FROM g
+      UNION ALL SELECT {_PATH}, 0.6, 'monthly' FROM g WHERE status = 'VERIFIED')""",
+    "k19_person": _SLUGGED + f"""SELECT judge_id, '{{"@context":"https://schema.org","@type":"Person","name":"' || full_name || '","jobTitle":"Judge, ' || court_type || '","worksFor":{{"@type":"Organization","name":"'
+      || court_type || ', ' || county || ', ' || state || '"}},"url":"' || {_PATH} || '"}}' AS json_ld FROM g""",
+    "k19_item_lists": f"""WITH {sql('counties')}, i AS (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY name) AS n FROM counties)
+      SELECT state_id, '{{"@context":"https://schema.org","@type":"ItemList","name":"State ' || state_id || '","url":"https://x.org/s/' || state_id || '","numberOfItems":' || count(*) || ',"itemListElement":['
+      || string_agg('{{"@type":"ListItem","position":' || n || ',"name":"' || name || '","url":"https://x.org/judges/' || slug || '/"}}', ',' ORDER BY n) || ']}}' AS json_ld FROM i GROUP BY state_id""",
+    "t24_titles": f"""WITH {CHAIN_SQL} SELECT judge_id, 'U.S. Judges Directory — Browse by State' AS states_title, 'Judges in ' || state || ' — County Directory' AS counties_title, 'Courts in ' || county || ', ' || state || ' — x.org' AS courts_title,
+      court_type || ' Judges in ' || county || ', ' || state AS judges_title, 'Judge ' || full_name || ' — ' || court_type || ', ' || county || ', ' || state AS judge_title FROM chain""",
+    "k2_csv": f"""WITH {CHAIN_SQL} SELECT full_name AS "Judge Name", court_type AS "Court Type", county AS "County", state AS "State", CASE WHEN flagged THEN 'Yes' ELSE 'No' END AS "Is Chief Judge", {_TEXT('photo_url')} AS "Photo URL",
+      {_TEXT('education')} AS "Education", {_TEXT('prior_experience')} AS "Prior Experience", {_TEXT('source_url')} AS "Roster URL", printf('%.2f', confidence) AS "Confidence Score", {_TEXT('source_authority')} AS "Source Authority",
+      extraction_method AS "Extraction Method", {", ".join(f"'' AS " + '"' + h + '"' for h in ("Division", "Term Start", "Term End", "Selection Method", "Appointing Authority", "Appointment Date", "Birth Date", "Political Affiliation",
+      "Bar Admission Date", "Bar Admission State", "Courthouse Address", "Courthouse Phone", "Bio Page URL"))} FROM chain""",
 }

@@ -1,4 +1,4 @@
-"""State configurations, manifests, checkpoints and reference rows."""
+"""State configurations, manifests, checkpoints and reference rows."""
 
 from __future__ import annotations
 

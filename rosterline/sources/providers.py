@@ -129,19 +129,27 @@ def completed(rows: DataFrame, prompt: str, model: Model, answer: str = "answer"
     return rows.mapInArrow(ask, _more(rows, **{answer: "string"}))
 
 
-# Templates of the queries by which sources of a state are sought.
-QUERY_TEMPLATES = [
-    '"{state}" judges directory site:.gov', '"{state}" court roster judges', '"{state}" circuit court judges list', '"{state}" county court judges',
-    '"{state}" appellate court judges biographies', '"{state}" supreme court justices',
-]
-AMBIGUOUS = {"Virginia": ["West Virginia"], "Kansas": ["Arkansas"], "Carolina": [], "Washington": ["Washington D.C."]}
+# Levels and templates of the queries by which sources of a state are sought, and the siblings that names are mistaken for.
+QUERY_TEMPLATES = {
+    "supreme": '"{state}" supreme court justices roster site:gov',
+    "appellate": '"{state}" court of appeal judges roster site:gov',
+    "trial": '"{state}" circuit OR superior OR district court judges roster site:gov',
+    "supreme_org": '"{state}" supreme court justices roster site:org',
+    "appellate_org": '"{state}" court of appeal judges roster site:org',
+    "trial_org": '"{state}" circuit OR superior OR district court judges roster site:org',
+}
+AMBIGUOUS = {
+    "South Carolina": "North Carolina", "North Carolina": "South Carolina", "South Dakota": "North Dakota", "North Dakota": "South Dakota",
+    "West Virginia": "Virginia", "Virginia": "West Virginia",
+}
 
 
 def queries_of(states: DataFrame) -> DataFrame:
-    """states(name) with one query per template; ambiguous names exclude their siblings."""
-    excluded = F.coalesce(F.create_map(*(F.lit(x) for k, v in AMBIGUOUS.items() for x in (k, "".join(f' -"{s}"' for s in v))))[F.col("name")], F.lit(""))
-    each = states.withColumn("_t", F.explode(F.array(*map(F.lit, QUERY_TEMPLATES))))
-    return each.withColumn("query", F.concat(F.replace("_t", F.lit("{state}"), F.col("name")), excluded)).drop("_t")
+    """states(name) with level and query, one for each template; ambiguous names exclude their sibling."""
+    excluded = F.coalesce(F.create_map(*(F.lit(x) for k, v in AMBIGUOUS.items() for x in (k, f' -"{v}"')))[F.col("name")], F.lit(""))
+    each = states.withColumn("_t", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(t).alias("text")) for k, t in QUERY_TEMPLATES.items()))))
+    query = F.concat(F.replace("_t.text", F.lit("{state}"), F.col("name")), excluded)
+    return each.withColumns({"level": F.col("_t.level"), "query": query}).drop("_t")
 
 
 def hits(queries: DataFrame, search: Search) -> DataFrame:
@@ -159,10 +167,15 @@ def hits(queries: DataFrame, search: Search) -> DataFrame:
 
 
 def encyclopaedia_page(people: DataFrame, pages: DataFrame, base: str = "https://ballotpedia.org/", most: int = 15_000) -> DataFrame:
-    """people(name, state) with the first of four spellings whose page speaks of a judge, cut to its first characters."""
-    under = F.replace("name", F.lit(" "), F.lit("_"))
-    place = F.concat(F.lit("_("), F.replace("state", F.lit(" "), F.lit("_")), F.lit(")"))
-    tries = F.array(under, F.concat(under, F.lit("_(judge)")), F.concat(under, place), F.concat(under, F.lit("_(justice)")))
+    """people(name, state) with the first of four spellings whose page speaks of a judge, cut to its first characters.
+
+    Blanks of a name become underscores, full stops and commas go; the spellings are plain, with the state, with the state and judge, with judge.
+    """
+    under = F.url_encode(F.translate(F.regexp_replace("name", r"\s+", "_"), ".,", ""))
+    for written, char in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):  # as encodeURIComponent leaves them
+        under = F.replace(under, F.lit(written), F.lit(char))
+    state = F.col("state")
+    tries = F.array(under, F.concat(under, F.lit("_("), state, F.lit(")")), F.concat(under, F.lit("_("), state, F.lit("_judge)")), F.concat(under, F.lit("_(judge)")))
     asked = people.select("name", "state", F.posexplode(tries).alias("_n", "_t")).withColumn("url", F.concat(F.lit(base), "_t"))
     found = asked.join(pages.select("url", "html"), "url").filter(F.lower("html").rlike("judge|justice|court"))
     best = found.groupBy("name", "state").agg(F.min_by("url", "_n").alias("page_url"), F.left(F.min_by("html", "_n"), F.lit(most)).alias("page"))

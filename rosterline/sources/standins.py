@@ -31,7 +31,7 @@ TABLES: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("o_totalprice / 1000000", "confidence"), ("o_orderdate", "created_at"), ("o_orderkey % 20 = 0", "flagged"),
     ]),
     "logs": ("events", [
-        ("event_id", "log_id"), ("concat('https://site', user_id, '.gov/roster')", "url"), ("CASE user_id % 5 WHEN 0 THEN 'AF' WHEN 1 THEN 'AM' WHEN 2 THEN 'AS' WHEN 3 THEN 'EU' ELSE 'MI' END", "state_abbr"),
+        ("event_id", "log_id"), ("concat('https://site', user_id, '.gov/roster')", "url"), ("CASE user_id % 5 WHEN 0 THEN 'AF' WHEN 1 THEN 'AM' WHEN 2 THEN 'AS' ELSE 'EU' END", "state_abbr"),
         ("event_type <> 'error'", "success"), ("CAST(floor(value / 10) AS INT)", "judges_found"), ("ts", "scraped_at"),
         ("CASE WHEN event_type = 'error' THEN concat(CASE event_id % 5 WHEN 0 THEN 'HTTP 403 Forbidden' WHEN 1 THEN 'request timed out' WHEN 2 THEN 'getaddrinfo ENOTFOUND' WHEN 3 THEN 'zod validation' ELSE 'odd' END, ' at ', user_id) END", "message"),
     ]),
@@ -46,7 +46,7 @@ TABLES: dict[str, tuple[str, list[tuple[str, str]]]] = {
         (f"concat({_NAME}, CASE l_partkey % 6 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Bo' WHEN 2 THEN 'Carla' WHEN 3 THEN 'Dov' WHEN 4 THEN 'Eva' ELSE 'Finn' END, ' ', CASE l_orderkey % 900 % 7 WHEN 0 THEN 'Lee' WHEN 1 THEN 'Smith' WHEN 2 THEN 'Ortiz' ELSE 'Brown' END)", "full_name"),
         ("CASE l_linenumber % 3 WHEN 0 THEN 'Circuit Court' WHEN 1 THEN 'County Court' ELSE 'Supreme Court' END", "court_type"),
         ("CASE WHEN l_orderkey % 4 > 0 THEN concat('County ', l_orderkey % 25) END", "county"), ("CASE l_orderkey % 5 WHEN 0 THEN 'AF' WHEN 1 THEN 'AM' ELSE 'EU' END", "state"),
-        ("CASE WHEN l_orderkey % 11 = 0 THEN concat('Harvard Law School, ', 1950 + l_orderkey % 60) WHEN l_orderkey % 11 = 1 THEN 'Stetson College of Law 1988' WHEN l_orderkey % 11 = 2 THEN '' END", "education"),
+        ("CASE WHEN l_orderkey % 11 = 0 THEN concat('Harvard Law School, ', 1950 + l_orderkey % 60) WHEN l_orderkey % 11 = 1 THEN 'Stetson College of Law 1988' WHEN l_orderkey % 11 = 2 THEN '' WHEN l_orderkey % 11 = 3 THEN 'University of Miami School of Law, J.D. 1975' WHEN l_orderkey % 11 = 4 THEN 'JD, Ohio State University 2001' WHEN l_orderkey % 11 = 5 THEN 'UF Law' END", "education"),
         ("CASE WHEN l_linenumber = 2 THEN concat(1970 + l_orderkey % 40, '-05-01') END", "bar_admission_date"), ("CASE WHEN l_linenumber = 3 THEN concat('in ', 1980 + l_orderkey % 30) END", "appointment_date"),
         ("CASE WHEN l_linenumber % 2 = 0 THEN 'x.jpg' WHEN l_linenumber = 5 THEN '' END", "photo_url"), ("CASE WHEN l_tax > 0.04 THEN l_returnflag END", "division"), ("l_quantity / 100", "confidence"),
     ]),

@@ -17,7 +17,7 @@ NEXT = '<script id="__NEXT_DATA__" type="application/json">' + json.dumps({"prop
 
 
 def pages(spark, *html):
-    rows = [(n, f"https://x.gov/{n}", h, "County Court", n == 0) for n, h in enumerate(html)]
+    rows = [(n, f"https://x.flcourts.gov/{n}", h, "County Court", n == 0) for n, h in enumerate(html)]
     return spark.createDataFrame(rows, "page_id long, url string, html string, court_type string, deterministic boolean")
 
 
@@ -31,6 +31,7 @@ def test_deterministic_roster(spark):
     assert got == [(0, "list", "Ann Lee", False), (0, "list", "Bo Smith", True), (0, "list", "Eva Ortiz", False), (1, "next-data", "Ann Lee", False)]
     crowd = "<ul>" + "<li>Judge Ann Lee</li>" * 21 + "</ul>"
     assert extract.deterministic_roster(pages(spark, crowd)).count() == 0
+    assert extract.deterministic_roster(pages(spark, LIST).withColumn("url", F.lit("https://example.org/"))).count() == 0
     assert extract.deterministic_roster(pages(spark, crowd).withColumn("court_type", F.lit("Circuit Court"))).count() == 21
 
 
@@ -43,8 +44,8 @@ def test_cascade_asks_the_model_last(spark):
 
 def test_portraits(spark):
     html = "<div class='portrait'><img src='a.jpg' width=200 height=240></div><img src='/logo.png' alt='judge'><img src='b.jpg' alt='Judge photo' width='20'>"
-    assert [tuple(r) for r in extract.portraits(pages(spark, html, "<img>")).collect()] == [(0, "https://x.gov/a.jpg")]
-    assert extract.portraits_in_order(pages(spark, html), ["x", "portrait"]).first().photo == "https://x.gov/a.jpg"
+    assert [tuple(r) for r in extract.portraits(pages(spark, html, "<img>")).collect()] == [(0, "https://x.flcourts.gov/a.jpg")]
+    assert extract.portraits_in_order(pages(spark, html), ["x", "portrait"]).first().photo == "https://x.flcourts.gov/a.jpg"
 
 
 def test_markdown(spark):
@@ -64,8 +65,8 @@ def test_providers(spark):
     allowed = spark.createDataFrame([("b.org",), ("a.gov",)], "host string")
     got = {r.url[-1]: (r.body, r.blocked) for r in providers.routed(entries, plain, stealth, allowed).collect()}
     assert got == {"1": ("one", False), "2": ("two", False), "3": (None, False), "4": ("verify you are human", True), "5": (None, False)}
-    queries = providers.queries_of(spark.createDataFrame([("Kansas",)], "name string"))
-    assert queries.count() == 6 and queries.filter(F.col("query").endswith('-"Arkansas"')).count() == 6
+    queries = providers.queries_of(spark.createDataFrame([("Virginia",), ("Kansas",)], "name string"))
+    assert queries.count() == 12 and queries.filter(F.col("query").endswith('-"West Virginia"')).count() == 6
     found = providers.hits(spark.createDataFrame([("q",), ("r",)], "query string"), providers.FixedSearch({"q": [("t", "l", "s")]}))
     assert [tuple(r) for r in found.collect()] == [("q", 0, "t", "l", "s")]
     people = spark.createDataFrame([("Ann Lee", "Ohio")], "name string, state string")
@@ -182,12 +183,54 @@ def test_reports(spark, sf, tmp_path):
     path = str(tmp_path / "csv")
     reports.write_csv(c.withColumn("is_chief", F.lit(True)), path)
     back = spark.read.option("header", True).csv(path)
-    assert back.columns == list(reports.CSV) and back.count() == c.count() and back.first()["Chief Judge"] == "Yes"
-    urls = reports.sitemap(c, "https://x.org", per_file=1000)
+    assert back.columns == list(reports.CSV) and len(back.columns) == 25 and back.count() == c.count() and back.first()["Is Chief Judge"] == "Yes"
+    with pytest.raises(Exception, match="(?i)exists"):
+        reports.write_csv(c, path)
+    slugged = c.withColumns({"slug": F.col("judge_id").cast("string"), "path": F.lit("/p/")})
+    urls = reports.sitemap(slugged, "https://x.org", per_file=1000)
     assert urls.groupBy("file").count().filter("count > 1000").isEmpty()
-    assert urls.count() == urls.select("loc").distinct().count() >= c.count()
-    assert "\\u003c" in reports.person_json_ld(c.withColumn("full_name", F.lit("<b>"))).first().json_ld
+    assert urls.count() == urls.select("loc").distinct().count() >= c.filter("status = 'VERIFIED'").count()
+    person = json.loads(reports.person_json_ld(slugged.withColumn("full_name", F.lit("<b>")), "https://x.org").first().json_ld)
+    assert person["name"] == "<b>" and person["url"] == "https://x.org/p/" and person["jobTitle"].startswith("Judge, ")
+    assert "\\u003c" in reports.person_json_ld(slugged.withColumn("full_name", F.lit("<b>")), "https://x.org").first().json_ld
+    empty = spark.createDataFrame([], "county string, line string")
+    some = spark.createDataFrame([("Kern", "- Kern (First)")], "county string, line string")
+    for zero, end in ((empty, "| X | 1 |"), (some, "- Kern (First)")):
+        assert reports.quality_report(spark.createDataFrame([("X", 1)], "state string, n int"), zero).orderBy("n").collect()[-1].line == end
     stats = spark.createDataFrame([("A", 1, 0, "PASS"), ("B", 2, 1, "WARNING")], "state string, judges int, failed int, verdict string")
     assert tuple(reports.combined(stats).filter("state is null").first())[1:] == (3, 1, "WARNING")
     lines = [r.line for r in reports.markdown_lines(stats, "Run", ["state"]).orderBy("n").collect()]
     assert lines[0] == "# Run" and lines[-1] == "| B | 2 | 1 | WARNING |"
+
+
+LAW = [  # an education, its school and year
+    ("University of Florida Levin College of Law 1990", "university of florida levin college of law", "1990"), ("Florida State University College of Law, 1985", "florida state university college of law", "1985"),
+    ("Stetson College of Law", "stetson college of law", None), ("University of Miami School of Law 2001", "miami school of law", "2001"), ("Nova Southeastern Law", "nova southeastern law", None),
+    ("Barry University School of Law", "barry university school of law", None), ("FIU College of Law", "fiu college of law", None), ("Harvard Law School", "harvard law", None), ("Yale Law", "yale law", None),
+    ("Stanford Law 1999", "stanford law", "1999"), ("Columbia Law", "columbia law", None), ("NYU School of Law", "nyu school of law", None), ("Georgetown University Law Center", "georgetown university law", None),
+    ("J.D., Ohio State University, 1988", "jd ohio state university", "1988"), ("Juris Doctor, Smith College 1975", "juris doctor smith college", "1975"), ("UF Law", None, None), ("a B.A. in 1970", None, "1970"), (None, None, None),
+]
+
+
+def test_every_law_school_pattern(spark):
+    from rosterline.functions.text import LAW_SCHOOLS, graduation_year, law_school
+
+    rows = spark.createDataFrame([(n, e) for n, (e, _, _) in enumerate(LAW)], "n int, e string")
+    got = rows.select("n", law_school(F.col("e")).alias("s"), graduation_year(F.col("e")).alias("y")).orderBy("n").collect()
+    assert [(r.s, r.y) for r in got] == [x[1:] for x in LAW] and len(LAW_SCHOOLS) == 15
+
+
+def test_failures_of_one_busy_url_resolve_in_linear_time(spark):
+    logs = spark.range(60_000).selectExpr("id AS log_id", "'u' AS url", "id % 1000 = 999 AS success", "timestamp_seconds(id) AS scraped_at")
+    got = health.resolved_failures(logs).agg(F.count("*"), F.sum((F.unix_timestamp("resolved_at") - F.col("log_id")).cast("long"))).first()
+    assert tuple(got) == (60_000 - 60, sum(range(1, 1000)) * 60)
+
+
+def test_batch_numbers_over_many_ranges(spark):
+    from rosterline.operators import admin
+
+    rows = spark.range(1000).withColumn("k", F.col("id") * 7 % 1000)
+    got = sorted((r.k, r.batch) for r in admin.batch_numbers(rows, ["k"], 30).collect())
+    assert got == [(k, k // 30 + 1) for k in range(1000)]
+    with pytest.raises(ValueError):
+        admin.job_page(rows, offset=-1)
