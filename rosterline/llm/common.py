@@ -51,10 +51,10 @@ def forget(*tables: DataFrame) -> None:
             WRITTEN.remove(path)
 
 
-def forget_unread(docs: DataFrame, since: int = 0) -> None:
-    """Delete the tables written since there were `since` of them, but for those that docs still reads."""
+def forget_unread(docs: DataFrame, among: list[str]) -> None:
+    """Delete those of the written tables `among` (of WRITTEN) that docs doesn't read."""
     read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()}
-    for path in [p for p in WRITTEN[since:] if p.rsplit("/", 1)[1] not in read]:
+    for path in [p for p in among if p in WRITTEN and p.rsplit("/", 1)[1] not in read]:
         _delete(docs.sparkSession, path)
         WRITTEN.remove(path)
 

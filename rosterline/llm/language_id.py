@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import materialize
+from rosterline.llm.common import WRITTEN, forget_unread, free_name, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -215,6 +215,7 @@ class Model:
 
 def train(docs: DataFrame, order: int = 4) -> Model:
     """A model of every non-null lang of docs(lang, text), from all of its texts."""
+    before = len(WRITTEN)
     counts = materialize(count_grams(docs.select("lang", "text").filter("lang is not null and text is not null"), order))
     tables = kneser_ney(counts, order)
     base = tables[1].filter("key = 0").toPandas()
@@ -228,6 +229,7 @@ def train(docs: DataFrame, order: int = 4) -> Model:
     logp, logb = np.full((len(slots) + 1, len(langs)), np.nan, np.float32), np.zeros((len(slots) + 1, len(langs)), np.float32)
     for frame, key, matrix in ((p, keys[0], logp), (b, keys[1], logb)):
         matrix[np.searchsorted(slots, key), frame.column("at").to_numpy()] = frame.column("value").to_numpy()
+    forget_unread(docs, WRITTEN[before:])
     bases = np.array([base.set_index("lang").loc[x, "logb"] for x in langs], np.float32)
     return Model(langs, order, int(np.clip(len(slots).bit_length(), 8, 28)), slots, logp, logb, bases)
 
@@ -272,37 +274,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, order: int = 4, quantile: float = 0.999, slack: float = 1.0) -> DataFrame:
-    """docs with _lang: struct(lang_pred, score, entropy, symbols, held_out, accepted) of each text.
+def identify(docs: DataFrame, order: int = 4, quantile: float = 0.999, slack: float = 1.0, name: str = "_lang", with_text: bool = True) -> DataFrame:
+    """docs with a last column: struct(lang_pred, score, entropy, symbols, held_out, accepted) of each text.
 
-    lang_pred is the language with the lowest cross-entropy per symbol; und for a text that is
-    null or has no letter (and for every text if nothing can be learned). score is its odds
+    It is called name, or name with underscores behind it if docs has such a column; all columns of docs
+    are kept (without with_text: but for text). lang_pred is the language with the lowest cross-entropy per symbol; und
+    for a text that is null or has no letter (and for every text if nothing can be learned). score is its odds
     against all languages, from at most 100 symbols' worth of evidence. A text is accepted if its
     cross-entropy is at most the given quantile of the training documents of that language
-    plus slack (nats a symbol), and twice as much slack over the root of the words of a short one;
-    where a language has no such documents, those of all languages give the quantile.
-    All columns of docs are kept; a column of docs called _lang is not allowed.
+    plus slack (nats a symbol), and 8 times as much slack over the root of the symbols of a short one;
+    where a language has no such documents, those of all languages give the quantile. Equal texts are judged
+    alike, whatever their length; an empty table gives an empty one. The scored rows are a written table.
     """
+    name = free_name(name, docs.columns)
     model = train(docs.filter(~held_out(F.col("doc_id"))), order)
-    scored = materialize(docs.withColumn("_lang", _row(docs, model)))
-    own = scored.filter(~held_out(F.col("doc_id")) & (F.col("lang") == F.col("_lang.lang_pred")) & (F.col("_lang.symbols") >= 50))
-    limits = own.rollup("lang").agg(F.percentile_approx("_lang.entropy", quantile, 10000).alias("limit"))
+    scored = docs.withColumn(name, _row(docs, model))
+    scored = materialize(scored if with_text else scored.drop("text"))
+    pred, entropy, symbols = (F.col(f"{name}.{x}") for x in ("lang_pred", "entropy", "symbols"))
+    own = scored.filter(~held_out(F.col("doc_id")) & (F.col("lang") == pred) & (symbols >= 50))
+    limits = own.rollup("lang").agg(F.percentile_approx(entropy, quantile, 10000).alias("limit"))
     known = {r[0]: r[1] for r in limits.collect()}  # a row for each language, and one for all
     limit = F.lit(known.pop(None, None)).cast("double")
-    for name, most in known.items():
-        limit = F.when(F.col("_lang.lang_pred") == name, F.lit(most)).otherwise(limit)
-    allowed = limit + slack + 8 * slack / F.sqrt(F.greatest(F.col("_lang.symbols"), F.lit(1)))
-    accepted = (F.col("_lang.lang_pred") != UNKNOWN) & F.coalesce(F.col("_lang.entropy") <= allowed, F.lit(True))
-    extended = F.col("_lang").withField("held_out", held_out(F.col("doc_id"))).withField("accepted", accepted)
-    return scored.withColumn("_lang", extended)
+    for lang, most in known.items():
+        limit = F.when(pred == lang, F.lit(most)).otherwise(limit)
+    allowed = limit + slack + 8 * slack / F.sqrt(F.greatest(symbols, F.lit(1)))
+    accepted = (pred != UNKNOWN) & F.coalesce(entropy <= allowed, F.lit(True))
+    return scored.withColumn(name, F.col(name).withField("held_out", held_out(F.col("doc_id"))).withField("accepted", accepted))
 
 
 def predictions(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, entropy, accepted of every document."""
-    found = identify(docs.select("doc_id", "lang", "text"))
+    """doc_id, held_out, lang_pred, score, entropy, accepted of every document; odd rows as in identify()."""
+    found = identify(docs.select("doc_id", "lang", "text"), with_text=False)
     return found.select("doc_id", "_lang.held_out", "_lang.lang_pred", "_lang.score", "_lang.entropy", "_lang.accepted")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is recognised, with their own columns."""
-    return identify(docs).filter("_lang.accepted").drop("_lang")
+    """The documents whose language is recognised, with their own columns (of any name); null and letterless texts go."""
+    found = identify(docs)
+    name = found.columns[-1]
+    return found.filter(F.col(f"{name}.accepted")).drop(name)

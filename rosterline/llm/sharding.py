@@ -6,6 +6,8 @@ reduced to size classes first: group weights below EXACT bytes are classes of th
 larger ones share a class with weights that differ by at most 1 part in STEPS. There are
 never more than EXACT + 64 * STEPS classes whatever the input, so the heap on the driver
 works on a table of proven size; groups then find their shard by their rank within the class.
+Once the larger groups have their shards, Spark adds up what each shard really holds, and the
+heap goes on from these loads with the groups below EXACT, whose sizes are exact.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import materialize, salted_rank
+from rosterline.llm.common import forget, materialize, salted_rank
 
 #: Weights below this are scheduled exactly; above it a class spans 1/STEPS of its weight.
 EXACT, STEPS = 4096, 256
@@ -30,13 +32,13 @@ def weight_class(weight: Column) -> Column:
     return F.when(weight < EXACT, weight).otherwise(EXACT + power * STEPS + step).cast("long")
 
 
-def lpt(classes: list[tuple[int, int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """(class, first rank, last rank, shard) for (class, groups, bytes), given largest class first.
+def lpt(classes: list[tuple[int, int, int]], shards: int, loads: list[float] | None = None) -> list[tuple[int, int, int, int]]:
+    """(class, first rank, last rank, shard) for (class, groups, bytes), given largest class first; loads: what shards hold already.
 
     Equal items given one by one to the least loaded of a heap fill the shards like water;
     that level is found by bisection and the items that remain go through the heap.
     """
-    loads, runs = [0.0] * shards, []
+    loads, runs = list(loads or [0.0] * shards), []
     for label, count, total in classes:
         size = total / count
         take = [0] * shards
@@ -80,17 +82,23 @@ def shard_by_bytes(rows: DataFrame, key: str, size: str, order: list[str], shard
     )
     classes = groups.groupBy("_class").agg(F.count("*").alias("n"), F.sum(F.greatest("_w", F.lit(1))).alias("w"))
     table = [(r[0], r[1], r[2]) for r in classes.orderBy(F.desc("_class")).collect()]  # bounded, see above
-    runs = lpt(table, shards)
     many = max(1, sum(n for _, n, _ in table) // ROWS_PER_TASK)
-    plan = spark.createDataFrame(runs, "_c long, _from long, _to long, shard int") if runs else spark.createDataFrame(
-        [], "_c long, _from long, _to long, shard int"
-    )
-    if len(runs) <= 200_000:  # 24 bytes each
-        plan = F.broadcast(plan)
     ranked = salted_rank(groups, "_class", ["_w", key], many, "_rank")
-    placed = ranked.join(plan, (F.col("_class") == F.col("_c")) & F.col("_rank").between(F.col("_from"), F.col("_to")))
-    placed = placed.select(F.col(key).alias("_key"), "shard")
-    joined = materialize(rows.join(placed, F.col(key).eqNullSafe(F.col("_key"))).drop("_key"))
+
+    def placed(runs: list[tuple]) -> DataFrame:
+        plan = spark.createDataFrame(runs, "_c long, _from long, _to long, shard int")
+        plan = F.broadcast(plan) if len(runs) <= 200_000 else plan  # 24 bytes each
+        found = ranked.join(plan, (F.col("_class") == F.col("_c")) & F.col("_rank").between(F.col("_from"), F.col("_to")))
+        return found.select(F.col(key).alias("_key"), "shard", "_w")
+
+    large, small = ([c for c in table if (c[0] >= EXACT) == side] for side in (True, False))
+    runs, loads = lpt(large, shards), [0.0] * shards
+    if runs and small:
+        for shard, held in placed(runs).groupBy("shard").agg(F.sum(F.greatest("_w", F.lit(1)))).collect():
+            loads[shard] = float(held)
+    own = placed(runs + lpt(small, shards, loads)).drop("_w")
+    joined = materialize(rows.join(own, F.col(key).eqNullSafe(F.col("_key"))).drop("_key"))
+    forget(rows, groups)
     return salted_rank(joined, "shard", order, max(1, joined.count() // ROWS_PER_TASK // shards), "slot")
 
 

@@ -55,8 +55,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: flo
     its score), or after max_rounds if given. What a round moves is pre-aggregated per host, and
     each round is a written table.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("_all"))
+    out = materialize(edges.groupBy("src").agg(F.sum("weight").alias("_all")))  # written, so that a hub's join can be split
     shares = materialize(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_all")).alias("share")))
+    forget(out)
     score = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
     moving, total, old = score, score, []
     if shares.isEmpty():
@@ -94,8 +95,8 @@ def judge_urls(
     pages are. Trust follows links; distrust follows them backwards, to
     hosts that link to blocked ones. A url that no rule fits is blocked when its host's trust
     / (trust + distrust) is below threshold; a host that neither reaches is allowed, as is a
-    url without a host. Null urls and html, repeated rows and tables without links are fine;
-    an empty table gives an empty one.
+    url without a host. Null urls and html, urls of any length, repeated rows (each is judged, and counts as
+    a page) and tables without links are fine; other columns are not looked at; an empty table gives an empty one.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -119,6 +120,7 @@ def judge_urls(
         .agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         .select(F.col("host").alias("_host"), (F.col("t") / (F.col("t") + F.col("d"))).alias("trust"))
     )
+    both = materialize(both)
     found = judged.join(both, (F.col("host") == F.col("_host")) & (F.col("host") != ""), "left")
     by_graph = F.when(any_true([F.col("trust").isNull(), F.col("trust") >= threshold]), "allow").otherwise("block")
     return found.select("page_id", "host", "path", "rule", F.coalesce("_ruled", by_graph).alias("verdict"), "trust")

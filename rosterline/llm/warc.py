@@ -10,7 +10,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from html.entities import html5
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,18 +21,16 @@ from pyspark.sql import functions as F
 
 BASE32, BASE32HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuv"
 
-#: Fixed values of HTML: named characters that pages use in practice; &amp; is resolved last.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™",
-    "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“",
-    "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "sect": "§", "deg": "°", "times": "×",
-}
+#: The named characters of HTML, without the semicolon behind the name.
+ENTITIES = {k[:-1]: v for k, v in sorted(html5.items()) if k.endswith(";")}
+#: A reference is looked for in so many characters behind its &.
+WINDOW = max(map(len, ENTITIES)) + 1
 #: Fixed patterns, read alike by Java and RE2: what holds no text, then tags that end a line, then all tags.
-NO_TEXT = "(?is)<(?:" + "|".join([r"!--.*?(?:-->|\z)", *(rf"{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "template", "head"))]) + ")"
+NO_TEXT = "(?is)<(?:" + "|".join([r"!--.*?(?:-->|\z)", *(rf"{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "template", "title"))]) + ")"
 LINE_TAG = r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*>"
 ANY_TAG = r"(?i)<[a-z/!?][^>]*>"
 TITLE, LANG, CHARSET = r"(?is)<title\b[^>]*>(.*?)</title", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-z-]+)", r"(?i)<meta\b[^>]*\bcharset\s*=\s*[\"']?([a-z0-9_-]+)"
-OUTLINK = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']+)"
+OUTLINK = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 SPACE = r"[ \t\r\f]{2,}|[\t\r\f]"
 
 
@@ -46,18 +47,24 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, *c) for c in cut)), F.lit(">"))
 
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def unescaped(text: Column) -> Column:
     """Named characters of ENTITIES, &#233; and &#xe9; resolved in one sweep; others stay as they are."""
-    named = F.create_map(*(F.lit(x) for pair in [*ENTITIES.items(), ("amp", "&")] for x in pair))
+    # a map of maps by first letter, since a map is searched from its start
+    letters = (f"{_sql(k)}, map({', '.join(f'{_sql(n)}, {_sql(ENTITIES[n])}' for n in names)})" for k, names in groupby(ENTITIES, key=lambda n: n[0]))
+    named = F.expr(f"map({', '.join(letters)})")
 
     def one(part: Column) -> Column:
-        end = F.locate(";", F.substring(part, 1, 10))
+        end = F.locate(";", F.substring(part, 1, WINDOW))
         name, rest = F.substring(part, F.lit(1), end - 1), F.substring(part, end + 1, F.length(part))
         hexed, plain = F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]{1,6})$", 1), F.regexp_extract(name, r"^#([0-9]{1,7})$", 1)
         code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(plain != "", plain).cast("long")
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         number = F.when(name.startswith("#") & valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        return F.coalesce(F.concat(F.coalesce(F.try_element_at(named, name), number), rest), F.concat(F.lit("&"), part))
+        return F.coalesce(F.concat(F.coalesce(F.try_element_at(F.try_element_at(named, F.substring(name, 1, 1)), name), number), rest), F.concat(F.lit("&"), part))
 
     parts = F.split(text, "&", -1)
     swept = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 1 << 30), one), ""))
@@ -91,21 +98,53 @@ def responses_from_pages(pages: DataFrame, date: str) -> DataFrame:
     )
 
 
+def responses_from_records(records: DataFrame) -> DataFrame:
+    """Response records of read_records(): the block parted into HTTP head and payload, digests taken from the headers or made.
+
+    A payload is text in Latin-1 if the head says so, else in UTF-8 with what isn't valid
+    replaced; a block without a blank line is all head. page_id is null. Records of other types are left out; other columns
+    are kept out.
+    """
+    rows = records.withColumns({"_h": F.coalesce("headers", F.create_map().cast("map<string,string>")), "_b": F.coalesce("block", F.lit(b""))})
+    rows = rows.filter(F.lower(F.col("_h")["WARC-Type"]) == "response").select("_h", "_b", F.decode("_b", "ISO-8859-1").alias("_s"))
+    end = F.locate("\r\n\r\n", F.col("_s"))
+    rows = rows.withColumn("_at", F.when(end > 0, end + 3).otherwise(F.length("_s")))
+    rows = rows.withColumns({"_head": F.substring(F.col("_s"), F.lit(1), F.col("_at")), "_payload": F.substring(F.col("_b"), F.col("_at") + 1, F.length("_b"))})
+    latin = F.col("_head").rlike(r"(?i)\ncontent-type:[^\r\n]*charset\s*=\s*\"?(?:iso-8859-1|latin-?1|windows-1252)")
+    text = F.when(latin, F.decode("_payload", "ISO-8859-1")).otherwise(F.make_valid_utf8(F.col("_payload").cast("string")))
+    header = lambda name: F.col("_h")[name]
+    return rows.select(
+        F.lit(None).cast("long").alias("page_id"),
+        F.lit("response").alias("warc_type"),
+        header("WARC-Record-ID").alias("record_id"),
+        F.coalesce(header("WARC-Target-URI"), F.lit("")).alias("target_uri"),
+        header("WARC-Date").alias("date"),
+        F.col("_head").alias("http_head"),
+        text.alias("payload"),
+        F.coalesce(header("WARC-Block-Digest"), sha1_base32(F.col("_b"))).alias("block_digest"),
+        F.coalesce(header("WARC-Payload-Digest"), sha1_base32(F.col("_payload"))).alias("payload_digest"),
+    )
+
+
 def derivatives(responses: DataFrame) -> DataFrame:
     """Two rows per response: its metadata record and its conversion to plain text.
 
     Both refer to the response by its id and keep its HTTP head and digests; the metadata
-    block (application/warc-fields) gives title, language, charset, the outlinks in order and
-    the id of the conversion. Nothing is shuffled. Repeated responses give repeated
-    records; an empty payload gives an empty conversion; other columns are kept out.
+    block (application/warc-fields) gives title, language, charset, the lines of the HTTP head, the
+    outlinks in order and the id of the conversion. Nothing is shuffled. Repeated responses give repeated
+    records; a null or empty payload gives an empty conversion; texts of any length are converted
+    whole; other columns are kept out; an empty table gives an empty one.
     """
+    responses = responses.withColumns({"payload": F.coalesce("payload", F.lit("")), "http_head": F.coalesce("http_head", F.lit(""))})
     payload = F.col("payload")
     first = lambda pattern: F.trim(F.regexp_replace(F.regexp_extract(payload, pattern, 1), r"\s+", " "))
     links = F.array_join(F.transform(F.regexp_extract_all(payload, F.lit(OUTLINK), 1), lambda u: F.concat(F.lit("outlink: "), u, F.lit("\r\n"))), "")
+    lines = F.filter(F.split("http_head", "\r?\n", -1), lambda x: x != "")
+    head = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("source-header: "), x, F.lit("\r\n"))), "")
     converted = record_id(F.lit("conversion"), F.col("record_id"))
     fields = F.concat(
         F.lit("title: "), unescaped(first(TITLE)), F.lit("\r\nlanguage: "), first(LANG), F.lit("\r\ncharset: "), first(CHARSET),
-        F.lit("\r\nconversion: "), converted, F.lit("\r\n"), links,
+        F.lit("\r\nconversion: "), converted, F.lit("\r\n"), head, links,
     )
     made = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), record_id(F.lit("metadata"), F.col("record_id")).alias("record_id"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
@@ -120,50 +159,70 @@ def derivatives(responses: DataFrame) -> DataFrame:
 HEADERS = [
     ("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"),
     ("WARC-Refers-To", "refers_to"), ("WARC-Block-Digest", "block_digest"), ("X-Source-Payload-Digest", "source_payload_digest"),
-    ("X-Source-Block-Digest", "source_block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
+    ("X-Source-Block-Digest", "source_block_digest"), ("X-Source-HTTP-Head", "source_http_head"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
 ]
 
 
 def serialized(records: DataFrame) -> DataFrame:
-    """record_id and the record's bytes as a WARC file holds them, headers first."""
-    lines = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{h}: "), F.col(c).cast("string"), F.lit("\r\n"))).otherwise("") for h, c in HEADERS]
+    """record_id and the record's bytes as a WARC file holds them, headers first.
+
+    A header is one line: in the source's HTTP head, line ends are written as \\r and \\n and a backslash twice.
+    """
+    def line(value: Column) -> Column:
+        for char, written in (("\\", "\\\\"), ("\r", "\\r"), ("\n", "\\n")):
+            value = F.replace(value, F.lit(char), F.lit(written))
+        return value
+
+    lines = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{h}: "), line(F.col(c).cast("string")), F.lit("\r\n"))).otherwise("") for h, c in HEADERS]
     return records.select("record_id", F.encode(F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")), "UTF-8").alias("record"))
 
 
-def split_records(data: bytes) -> list[dict[str, object]]:
-    """The records of one WARC file's bytes: headers, block, and whether the block's digest is right."""
-    found, at = [], 0
+def split_records(data: bytes) -> Iterator[dict[str, object]]:
+    """The records of bytes of a WARC file: headers, block, and whether the block's digest is right."""
+    at = 0
     while (start := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", start)) >= 0:
         headers = dict(re.findall(r"(?m)^([\w-]+):[ \t]*([^\r\n]*)", data[start:end].decode("utf-8", "replace")))
         block = data[end + 4 : (at := end + 4 + int(headers.get("Content-Length", 0)))]
         digest = "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
-        found.append({"headers": headers, "block": block, "intact": headers.get("WARC-Block-Digest", digest) == digest})
-    return found
+        yield {"headers": headers, "block": block, "intact": headers.get("WARC-Block-Digest", digest) == digest}
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """The parts of a file that hold whole records: the members of a gzip file (a record each, as a rule), or all of it."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
+    while data.startswith(b"\x1f\x8b"):
+        part = zlib.decompressobj(31)
+        yield part.decompress(data)
+        data = part.unused_data
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """headers, block, intact of every record of uncompressed WARC files, a file to a task."""
+    """headers, block, intact of every record of WARC files, plain or gzip by record, a file to a task."""
+    kind = pa.schema([("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("intact", pa.bool_())])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("intact", pa.bool_())])
         for batch in batches:
             for data in batch.column("content"):
-                rows = split_records(data.as_py())
-                yield pa.RecordBatch.from_pylist([r | {"headers": list(r["headers"].items())} for r in rows], schema=kind)
+                for part in members(data.as_py()):
+                    rows = [r | {"headers": list(r["headers"].items())} for r in split_records(part)]
+                    for at in range(0, len(rows), 1000):
+                        yield pa.RecordBatch.from_pylist(rows[at : at + 1000], schema=kind)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(parts, "headers map<string,string>, block binary, intact boolean")
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """WARC files under path, one per partition. path must be reachable from every executor."""
+def write_records(records: DataFrame, path: str, compression: str = "none", mode: str = "errorifexists") -> None:
+    """WARC files under path, one per partition, plain or gzip. path must be reachable from every executor."""
     whole = F.decode("record", "UTF-8")
     framed = serialized(records).select(F.left(whole, F.length(whole) - 4).alias("value"))  # the separator ends the records
-    framed.write.mode("overwrite").option("lineSep", "\r\n\r\n").text(path)
+    framed.write.mode(mode).option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 def oracle_sql(date: str) -> str:
-    """DuckDB SQL for derivatives(responses_from_pages(pages, date)), whose pages hold no numeric entities."""
+    """DuckDB SQL for derivatives(responses_from_pages(pages, date))."""
 
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
@@ -176,10 +235,18 @@ def oracle_sql(date: str) -> str:
         h = f"md5({text})"
         return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
+    names = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in ENTITIES.items())
+
     def replaced(text: str) -> str:
-        for name, char in [*ENTITIES.items(), ("amp", "&")]:
-            text = f"replace({text}, '&{name};', {quoted(char)})"
-        return text
+        name, rest = f"substr(p, 1, strpos(substr(p, 1, {WINDOW}), ';') - 1)", "substr(p, strpos(p, ';') + 1)"
+        code = (
+            f"CASE WHEN regexp_matches({name}, '^#[xX][0-9a-fA-F]{{1,6}}$') THEN ('0x' || substr({name}, 3))::BIGINT "
+            f"WHEN regexp_matches({name}, '^#[0-9]{{1,7}}$') THEN substr({name}, 2)::BIGINT END"
+        )
+        valid = f"(({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111)"
+        found = f"coalesce(names[{name}], CASE WHEN {valid} THEN chr(CAST({code} AS INTEGER)) END)"
+        swept = f"CASE WHEN strpos(substr(p, 1, {WINDOW}), ';') > 1 AND {found} IS NOT NULL THEN {found} || {rest} ELSE '&' || p END"
+        return f"(string_split({text}, '&')[1] || array_to_string(list_transform(string_split({text}, '&')[2:], lambda p: {swept}), ''))"
 
     text = f"regexp_replace(payload, {quoted(NO_TEXT)}, ' ', 'g')"
     text = f"regexp_replace(replace({text}, chr(10), ' '), {quoted(LINE_TAG)}, chr(10), 'g')"
@@ -188,13 +255,14 @@ def oracle_sql(date: str) -> str:
     first = lambda p: rf"trim(regexp_replace(regexp_extract(payload, {quoted(p)}, 1), '\s+', ' ', 'g'))"
     end = "chr(13) || chr(10)"
     return f"""
-WITH r AS (SELECT page_id, coalesce(url, '') AS target_uri, '{date}' AS date, coalesce(html, '') AS payload FROM pages),
+WITH r AS (SELECT page_id, coalesce(url, '') AS target_uri, '{date}' AS date, coalesce(html, '') AS payload, MAP {{{names}}} AS names FROM pages),
 s AS (SELECT *, 'HTTP/1.1 200 OK' || {end} || 'Content-Type: text/html; charset=utf-8' || {end} || 'Content-Length: ' || strlen(payload) || {end} || {end} AS source_http_head,
   {urn("'response|' || page_id || '|' || target_uri")} AS refers_to FROM r),
 t AS (SELECT *, {base32('payload')} AS source_payload_digest, {base32('source_http_head || payload')} AS source_block_digest,
   {urn("'metadata|' || refers_to")} AS m, {urn("'conversion|' || refers_to")} AS c FROM s),
 u AS (SELECT page_id, refers_to, target_uri, date, source_http_head, source_payload_digest, source_block_digest, 'metadata' AS warc_type, m AS record_id,
   'application/warc-fields' AS content_type, 'title: ' || {replaced(first(TITLE))} || {end} || 'language: ' || {first(LANG)} || {end} || 'charset: ' || {first(CHARSET)} || {end}
-  || 'conversion: ' || c || {end} || array_to_string(list_transform(regexp_extract_all(payload, {quoted(OUTLINK)}, 1), lambda x: 'outlink: ' || x || {end}), '') AS block FROM t
+  || 'conversion: ' || c || {end}
+  || array_to_string(list_transform(list_filter(string_split(source_http_head, {end}), lambda x: x <> ''), lambda x: 'source-header: ' || x || {end}), '') || array_to_string(list_transform(regexp_extract_all(payload, {quoted(OUTLINK)}, 1), lambda x: 'outlink: ' || x || {end}), '') AS block FROM t
 UNION ALL SELECT page_id, refers_to, target_uri, date, source_http_head, source_payload_digest, source_block_digest, 'conversion', c, 'text/plain; charset=utf-8', {text} FROM t)
 SELECT *, CAST(strlen(block) AS BIGINT) AS content_length, {base32('block')} AS block_digest FROM u"""

@@ -58,13 +58,53 @@ def test_components(spark):
     assert {k: v for k, v in components({x for e in edges for x in e}, edges).items() if k in got} == got and len(got) == 44
 
 
+def test_components_of_a_star_and_a_chain(spark):
+    star = [(5000, i) for i in range(1000, 1400)] + [(1000, 7)]
+    chain = [(20_000 - i, 20_001 - i) for i in range(150)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(star + chain + [(None, 1)], "a long, b long")).collect()}
+    assert {got[n] for e in star for n in e} == {7} and {got[n] for e in chain for n in e} == {19_851}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_warc_round_trip(spark, sf, tmp_path):
     records = warc.derivatives(warc.responses_from_pages(table(spark, sf, "pages"), "2024-01-01T00:00:00Z"))
-    warc.write_records(records, str(tmp_path / "w"))
-    back = warc.read_records(spark, str(tmp_path / "w")).collect()
-    assert all(r.intact for r in back) and len(back) == records.count()
-    theirs = {(r.headers["WARC-Record-ID"], r.headers["WARC-Refers-To"], bytes(r.block).decode()) for r in back}
-    assert theirs == {(r.record_id, r.refers_to, r.block) for r in records.collect()}
+    want = {(r.record_id, r.refers_to, r.source_http_head, r.source_payload_digest, r.block) for r in records.collect()}
+    for compression in ("none", "gzip"):
+        warc.write_records(records, str(tmp_path / compression), compression)
+        back = warc.read_records(spark, str(tmp_path / compression)).collect()
+        assert all(r.intact for r in back) and len(back) == len(want)
+        head = lambda h: h["X-Source-HTTP-Head"].replace("\\r", "\r").replace("\\n", "\n")
+        assert {(r.headers["WARC-Record-ID"], r.headers["WARC-Refers-To"], head(r.headers), r.headers["X-Source-Payload-Digest"], bytes(r.block).decode()) for r in back} == want
+    with pytest.raises(Exception, match="(?i)exists"):
+        warc.write_records(records, str(tmp_path / "none"))
+
+
+def test_responses_of_a_gzip_file_are_derived(spark, tmp_path):
+    import base64
+    import gzip
+
+    latin = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n<p>caf\xe9 &eacute;</p>".encode("latin-1")
+    broken = b"HTTP/1.1 200 OK\r\n\r\n<p>ok \xff</p>"
+    digest = "sha1:" + base64.b32encode(hashlib.sha1(latin).digest()).decode()
+    record = lambda kind, n, block, more="": f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{n}>\r\nWARC-Target-URI: http://x/{n}\r\nWARC-Date: 2024\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    parts = [record("warcinfo", 0, b"software: x"), record("response", 1, latin, f"WARC-Block-Digest: {digest}\r\n"), record("response", 2, broken), record("response", 3, b"")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    responses = warc.responses_from_records(warc.read_records(spark, str(tmp_path / "a.warc.gz")))
+    rows = {(r.refers_to, r.warc_type): r for r in warc.derivatives(responses).collect()}
+    assert len(rows) == 6 and rows["<urn:1>", "conversion"].block == "caf\xe9 \xe9" and rows["<urn:2>", "conversion"].block == "ok \ufffd" and rows["<urn:3>", "conversion"].block == ""
+    meta = rows["<urn:1>", "metadata"]
+    assert meta.source_block_digest == digest and "source-header: Content-Type: text/html; charset=ISO-8859-1\r\n" in meta.block and meta.source_http_head.startswith("HTTP/1.1 200 OK\r\n")
+    payload = latin[latin.index(b"\r\n\r\n") + 4 :]
+    assert meta.source_payload_digest == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def test_warc_of_real_html(spark):
+    html = "<html><head><title>T&uuml;r</title><meta charset=utf-8><body><p>a &szlig; &CounterClockwiseContourIntegral; &amp;lt; &nope; &#x41;&#66; & b</p><a href=http://x.org/u>go</a>" + "<p>long</p>" * 30_000
+    rows = spark.createDataFrame([(1, "u", html, "x", 5)], "page_id long, url string, html string, block string, warc_type int")
+    got = {r.warc_type: r.block for r in warc.derivatives(warc.responses_from_pages(rows, "d")).collect()}
+    assert got["conversion"].startswith("a ß ∳ &lt; &nope; AB & b\ngo\nlong") and got["conversion"].count("long") == 30_000
+    assert "title: Tür\r\n" in got["metadata"] and "outlink: http://x.org/u\r\n" in got["metadata"]
+    assert warc.derivatives(warc.responses_from_pages(rows.limit(0), "d")).count() == 0
 
 
 def test_warc_text_and_nulls(spark):
@@ -139,6 +179,44 @@ def test_jaccard_join_finds_what_brute_force_finds(spark, docs):
     assert {r.doc_id for r in kept.collect()} == {c for c, _ in want.values()} and kept.columns == docs.columns
 
 
+def test_prefixes_are_shortened_to_the_target():
+    rng = np.random.default_rng(2)
+    common = np.minimum(rng.geometric(0.2, (1000, 32)) - 1, 8)  # prefixes that two minima share with a chance of 0.8
+    recall = lambda prefixes: (common >= np.array(prefixes)).any(axis=1).mean()
+    prefixes = ngram_jaccard.shortened([8] * 32, [np.zeros((0, 32), int), common], 0.995)
+    assert recall(prefixes) >= 0.995 and max(prefixes) - min(prefixes) <= 1 and 5 <= min(prefixes) <= 8
+    assert ngram_jaccard.shortened([8] * 32, [np.full((50, 32), 8)], 0.995) == [8] * 32
+    few = ngram_jaccard.shortened([8] * 32, [np.eye(32, dtype=int)[:5] * 4], 0.995)  # the only common prefixes are of four
+    assert max(few) <= 5 and (np.eye(32)[:5] * 4 >= np.array(few)).any(axis=1).all()
+
+
+def test_recall_of_the_forest_is_measured(spark, docs):
+    report = []
+    words = [f"w{i}" for i in range(400)]
+    near = [(10_000 + n, " ".join([*words[n : n + 100], f"own{n}"])) for n in range(0, 290, 3) for n in (n, n)]
+    near = [(d + 5000 * (i % 2), t + " x y" * (i % 2)) for i, (d, t) in enumerate(near)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    ngram_jaccard.jaccard_join(both, report=report)
+    f = report[0]
+    assert f.pairs >= 50 and f.pair_recall >= 0.99 and f.probes >= 300 and f.probe_recall >= 0.99
+
+
+def test_nodes_of_the_sorted_prefixes(spark):
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 2, (3000, 2 * 4), np.uint8)
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(labels)], "id long, labels binary").repartition(7)
+    forest = ngram_jaccard.Forest(0.8, 5, 4, [3, 2])
+    found = defaultdict(set)
+    for r in ngram_jaccard.crowded_nodes(reps, forest).collect():
+        assert r.id not in found[r.node]
+        found[r.node].add(r.id)
+    want = defaultdict(set)
+    for i, x in enumerate(labels):
+        for t, n in enumerate((3, 2)):
+            want[t, bytes(x[4 * t : 4 * t + n])].add(i)
+    assert {frozenset(x) for x in found.values() if len(x) > 1} == {frozenset(x) for x in want.values() if len(x) > 1}
+
+
 def test_jaccard_join_of_a_large_group_and_odd_rows(spark, odd):
     words = [f"w{i}" for i in range(120)]
     rows = [(n, " ".join([*words, f"own{n}"])) for n in range(700)] + [(1000 + n, " ".join(words)) for n in range(50)]
@@ -147,7 +225,9 @@ def test_jaccard_join_of_a_large_group_and_odd_rows(spark, odd):
     found = [(r.doc_id, r.class_id, r.n_links) for r in ngram_jaccard.jaccard_join(odd).collect()]
     assert sorted(found, key=str) == sorted([(1, 1, 0), (2, 2, 0), (3, 3, 1), (3, 3, 1), (4, 4, 0), (None, None, 0), (5, 5, 0)], key=str)
     assert ngram_jaccard.jaccard_join(odd.limit(0)).count() == 0
-    assert ngram_jaccard.keep_one_of_each(odd).count() == 6
+    kept = ngram_jaccard.keep_one_of_each(odd.withColumns({c: F.lit("mine") for c in ("_leader", "_loser", "_row", "component", "id", "key")}))
+    assert kept.count() == 6 and kept.filter("_loser = 'mine' and _row = 'mine'").count() == 6
+    assert ngram_jaccard.keep_one_of_each(odd.limit(0)).count() == 0
 
 
 def test_near_vectors_against_all_pairs(spark, sf):
@@ -214,6 +294,73 @@ def test_quality_on_labels_it_has_not_seen(spark, sf, docs, odd):
     assert quality_cotraining.scores(odd.limit(0), labels).count() == 0
 
 
+def test_quality_sums_are_those_of_one_process(spark, docs):
+    rows = quality_cotraining.features(docs).withColumn("y", (F.col("doc_id") % 2).cast("int"))
+    rng = np.random.default_rng(0)
+    w = rng.normal(size=quality_cotraining.CONTENT + 1) * 0.1
+
+    def make(batch):
+        content, meta = quality_cotraining._read(batch)
+        return np.concatenate([[len(meta)], content.gradient(quality_cotraining._sigmoid(content.logits(w))), meta.sum(axis=0)])
+
+    texts, got = [r.text for r in docs.collect()], []
+    for parts in (2, 100):
+        got.append(quality_cotraining._summed(rows.repartition(parts), ["hashed", "dense", "metadata"], make))
+    x = np.zeros((len(texts), quality_cotraining.CONTENT + 1))
+    for k, t in enumerate(texts):
+        h = quality_cotraining.hashed_features(t)
+        x[k, h] = 1 / np.sqrt(max(1, len(h)))
+        x[k, quality_cotraining.HASHED : -1] = np.array(quality_cotraining.dense_features(t), np.float32)
+        x[k, -1] = 1
+    want = x.T @ quality_cotraining._sigmoid(x @ w)
+    for g in got:
+        assert g[0] == len(texts) and np.allclose(g[1 : len(want) + 1], want, rtol=1e-4, atol=1e-6)
+
+
+def test_hashed_features_by_hand():
+    a, b = (set(quality_cotraining.hashed_features(t).tolist()) for t in ("Ab c, 12 ab", "ab C 12"))
+    words = lambda x: {f for f in x if f < quality_cotraining.WORDS}
+    assert len(words(a)) == 4 and words(b) < words(a) and len(b - words(b)) == 5
+    assert quality_cotraining.hashed_features(None).tolist() == quality_cotraining.hashed_features("").tolist() == []
+    whole = set(quality_cotraining.hashed_features("word " * 500_000).tolist())
+    assert set(quality_cotraining.hashed_features("word word").tolist()) <= whole and len(words(whole)) <= 5  # and four halves of it at the ends of slices
+
+
+def test_cotraining_follows_brute_force(spark):
+    """Labels follow one word; few rows are labelled, the metadata tells the rest: the views teach each other."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(1200):
+        good = bool(rng.integers(2))
+        text = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 12)) + (" fine" if good else " poor")
+        rows.append((i, text, "en", "press" if good ^ (rng.random() < 0.02) else "spam", len(text)))
+        if i % 4 == 0:
+            labels.append((i, int(good)))
+    docs, truth = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality_cotraining.train(docs, truth)
+    out = {r.doc_id: r._quality for r in quality_cotraining.scores(docs, truth).collect()}
+    assert np.mean([out[i].accepted == ("fine" in t) for i, t, *_ in rows]) >= 0.99
+    content = quality_cotraining.content_of([r[1] for r in rows])
+    meta = quality_cotraining.metadata_features([r[3] for r in rows], [r[2] for r in rows], [r[4] for r in rows])
+    a, b = model.views(*model.logits(content, meta))
+    for k, (i, *_) in enumerate(rows):
+        assert out[i].score == pytest.approx(1 / (1 + math.exp(-model.combined(a, b)[k])), abs=1e-6) and out[i].content == pytest.approx(1 / (1 + math.exp(-a[k])), abs=1e-6)
+    held = [k for k in range(0, 1200, 4) if zlib.crc32(str(k).encode()) % 5 == 0]
+    for view in (a, b):  # calibrated on the fold that taught neither view
+        p = 1 / (1 + np.exp(-view[held]))
+        assert abs(p.mean() - np.mean(["fine" in rows[k][1] for k in held])) < 0.05
+
+
+def test_quality_of_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(3, 1), (5, 0), (4, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    clash = odd.withColumns({c: F.lit("mine") for c in ("_quality", "_id", "y", "fold", "hashed", "score")})
+    kept = quality_cotraining.keep_good(clash, labels)
+    assert kept.columns == clash.columns and kept.filter("_quality <> 'mine'").count() == 0
+    scored = quality_cotraining.scores(clash, labels)
+    assert scored.columns[-1] == "_quality_" and scored.count() == len(ODD)
+    assert {r.s for r in scored.filter("doc_id = 3").select(F.col("_quality_.score").alias("s")).collect()}.__len__() == 1
+
+
 def test_shards_are_even_and_groups_stay_whole(spark, docs, odd):
     rows = sharding.shard_documents(docs, 7).collect()
     loads, slots, where = Counter(), defaultdict(list), defaultdict(set)
@@ -247,6 +394,16 @@ def test_lpt_of_classes_is_lpt_of_items():
     assert sorted(loads.values()) == sorted(x for x, _ in heap)
 
 
+def test_large_groups_count_with_their_own_size(spark):
+    rng = np.random.default_rng(6)
+    sizes = [int(x) for x in rng.integers(5_000, 60_000, 400)] + [int(x) for x in rng.integers(1, 4_000, 600)]
+    rows = spark.createDataFrame([(i, i, n) for i, n in enumerate(sizes)], "doc_id long, key long, size long")
+    loads = Counter()
+    for r in sharding.shard_by_bytes(rows, "key", "size", ["doc_id"], 8).collect():
+        loads[r.shard] += r.size
+    assert max(loads.values()) - min(loads.values()) <= 60  # small groups even out what the classes of large ones leave
+
+
 def test_kneser_ney_by_hand(spark):
     words = ["abab", "aba", "ba"]
     texts = spark.createDataFrame([("x", " ".join(words)), ("y", "cd")], "lang string, text string")
@@ -281,6 +438,23 @@ def test_language_on_held_out_documents(docs, odd):
     assert language_id.predictions(odd.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_foreign_and_random_texts_are_rejected(spark, docs):
+    rng = np.random.default_rng(8)
+    foreign = ["Я помню чудное мгновенье передо мной явилась ты как мимолётное виденье", "吾輩は猫である名前はまだ無いどこで生れたかとんと見当がつかぬ", "Hyvää huomenta kaikille ystäville pitkästä aikaa täällä pohjoisessa"]
+    foreign += [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(40)) for _ in range(5)]
+    rows = docs.select("doc_id", "lang", "text").unionByName(spark.createDataFrame([(10**6 + i, None, t) for i, t in enumerate(foreign)], "doc_id long, lang string, text string"))
+    out = language_id.predictions(rows)
+    assert out.filter("doc_id >= 1000000 and accepted").count() == 0
+    assert out.filter("doc_id < 1000000 and accepted").count() >= 0.97 * docs.count()
+
+
+def test_language_of_odd_rows(spark, odd):
+    clash = odd.withColumns({c: F.lit("mine") for c in ("_lang", "entropy", "limit", "score")})
+    kept = language_id.keep_identified(clash)
+    assert kept.columns == clash.columns and kept.filter("_lang <> 'mine'").count() == 0 and {r.doc_id for r in kept.collect()} <= {3, 4, None}
+    assert language_id.predictions(odd.limit(0)).count() == 0
+
+
 def test_unseen_ngrams_meet_no_others(spark):
     rng = np.random.default_rng(5)
     words = lambda n: ["".join(map(chr, w)) for w in rng.integers(0x4E00, 0x5A00, (n, 6))]
@@ -373,6 +547,18 @@ def test_sweeps_come_close_to_best_fit(seed):
     assert used == Counter(lengths) and sequences <= best_fit(lengths, capacity) * 1.005 + 1
 
 
+def test_the_fast_encoder_is_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    encode, tokenizer, rng = packing.encoder(BPE), Tokenizer.from_file(BPE), np.random.default_rng(9)
+    pools = ["abc XYZ  \n\t'sé", "0123456789., ", "日本語テキスト한국어", "🙂👩‍👩‍👧ﬁ\u200d\u0301", "<|endoftext|> <s></s>", " \u00a0\u3000\r\n"]
+    for _ in range(1500):
+        text = "".join(rng.choice(list("".join(rng.choice(pools, 2))), rng.integers(0, 60)))
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in (" " * 50_000, "a<|endoftext|>b", "\n" * 3000 + "x"):
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_merkle_trees_locate_edits(spark, odd):
     pairs = spark.createDataFrame([("a b.\nc d.\ne f.", "a b.\nc x.\ne f."), ("same", "same")], "x string, y string")
     trees = merkle.with_tree(merkle.with_tree(pairs, "x", "p"), "y", "q")
@@ -382,6 +568,33 @@ def test_merkle_trees_locate_edits(spark, odd):
     assert len(out) == len(ODD) and all(0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1 for r in out)
     assert len({r.fingerprint for r in out if r.doc_id == 3 or r.doc_id is None}) == 1
     assert merkle.fingerprints(odd.limit(0)).count() == 0
+    clash = odd.withColumns({c: F.lit(1) for c in ("_hash", "_range", "next_text", "edited", "own_branches", "_copy")})
+    assert merkle.fingerprints(clash).count() == len(ODD)
+
+
+def test_likeness_goes_down_differing_branches(spark):
+    shared = "a one. b two.\nc three.\n"
+    rows = spark.createDataFrame([(shared + "d, e, f", shared + "d, e, g"), ("x" * 200_000, "x" * 200_000 + "y"), ("", "z"), ("", "")], "x string, y string")
+    trees = merkle.with_tree(merkle.with_tree(rows, "x", "p"), "y", "q")
+    got = [r.n for r in trees.select(merkle.likeness(F.col("p_branches"), F.col("q_branches"), F.col("x") == F.col("y")).alias("n")).collect()]
+    assert got[0] == pytest.approx(5 / 7) and 0 < got[1] < 1 and got[2] == 0 and got[3] == 1
+    root, heads, nodes, leaves = trees.filter("x = ''").first().p_print.split(":")
+    assert nodes == hashlib.sha256(b"").hexdigest()[:16] and leaves == ""
+
+
+def test_neighbours_of_hot_and_null_keys(spark):
+    rows = [(None, f"n{i}") for i in range(400)] + [(50, f"h{i}") for i in range(700)] + [(i, f"t{i}") for i in range(0, 600, 2) if i != 50]
+    df = spark.createDataFrame(rows, "k long, text string").repartition(5)
+    got = [(r.k, r.text, r.next_text) for r in merkle.with_next(df, "k", ["text"], rows_per_task=40, coarse=8).collect()]
+    after = {t: n for _, t, n in got}
+    assert len(got) == len(rows) == len(set(after)) == len(set(after.values()))
+    keys, at, seen = {t: k for k, t in rows}, "t598", ["t598"]
+    while (at := after[at]) != "t598":
+        seen.append(at)
+    order = [keys[t] for t in seen]
+    assert len(seen) == len(rows) and order == sorted(order, key=lambda k: (k is None, -(k or 0)))
+    ranges = merkle.with_ranges(df, "k", ["text"], 40, 8).groupBy("_range").count()
+    assert ranges.agg(F.max("count")).first()[0] <= 200 and ranges.count() >= 20
 
 
 def test_neighbours_over_many_ranges(spark):
@@ -433,6 +646,65 @@ def test_rare_distrust_is_not_drowned_by_trust(spark):
     assert got["both.net"] == "block"
 
 
+def test_urls_of_odd_rows(spark):
+    rows = [(1, "http://x.org/" + "a" * 100_000, "<a href='http://y.com/'>" * 2000), (2, "http://x.org/", None), (2, "http://x.org/", None), (None, None, "<a href='http://y.com/'>")]
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, host string").withColumns({c: F.lit("mine") for c in ("_host", "_ruled", "trust", "rule")})
+    got = url_graph.judge_urls(df, registered.URL_RULES).collect()
+    assert len(got) == 4 and {r.host for r in got} == {"x.org", ""} and {r.verdict for r in got} == {"allow"}
+
+
+def test_a_cycle_hands_on_all_of_its_mass(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
+    assert sum(r.score for r in url_graph.propagate(seeds, edges, 0.85, 1e-6).collect()) == pytest.approx(1, abs=1e-4)
+
+
+def test_pipeline_by_brute_force(spark, sf, docs):
+    """The pipeline's decisions, made again in one process from the models that were fitted."""
+    import corpus_pipeline
+
+    rows = docs.collect()
+    model = quality_cotraining.train(docs, table(spark, sf, "labels"))
+    logits = model.logits(quality_cotraining.content_of([r.text for r in rows]), quality_cotraining.metadata_features([r.source for r in rows], [r.lang for r in rows], [r.n_chars for r in rows]))
+    good = [r for r, z in zip(rows, model.combined(*model.views(*logits)), strict=True) if z >= 0]
+
+    kept = docs.filter(F.col("doc_id").isin([r.doc_id for r in good]))
+    learned = {r.doc_id for r in good if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    model = language_id.train(kept.filter(F.col("doc_id").isin(list(learned))))
+    judged = {}
+    for r in good:
+        words = language_id.WORD.findall((r.text or "").lower())
+        n = sum(map(len, words)) + len(words)
+        entropy = -model.word_sums(words).astype(float).sum(axis=0) / n if n else np.array([np.nan])
+        judged[r.doc_id] = (model.langs[int(entropy.argmin())] if n else "und", float(np.min(entropy)), n)
+    limits = {x: sorted(judged[r.doc_id][1] for r in good if r.doc_id in learned and r.lang == x == judged[r.doc_id][0] and judged[r.doc_id][2] >= 50) for x in model.langs}
+    limits = {x: v[math.ceil(0.999 * len(v)) - 1] for x, v in limits.items() if v}
+    spoken = [r for r in good if judged[r.doc_id][0] in limits and judged[r.doc_id][1] <= limits[judged[r.doc_id][0]] + 1 + 8 / math.sqrt(judged[r.doc_id][2]) + 1e-4]
+
+    sets = [(r.doc_id, shingles(r.text)) for r in spoken]
+    links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1 :] if x and y and len(x & y) / len(x | y) >= 0.8]
+    left = {d for d, c in components([d for d, _ in sets], links).items() if d == c}
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in out} == left
+    check_packed(out)
+    texts, encode = {r.doc_id: r.text for r in rows}, packing.encoder(BPE)
+    ids = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.doc_id, r.piece)):
+        ids[r.doc_id] += r.ids
+    assert all(ids[d] == [*encode(texts[d] or "").tolist(), 2] for d in left)
+
+
+def test_pipeline_of_odd_and_no_rows(spark, sf, odd, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows in (("odd", odd), ("none", odd.limit(0))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert {r.doc_id for r in out.collect()} <= ({3, 4, None} if name == "odd" else set())
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline
 
