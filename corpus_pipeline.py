@@ -3,34 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rosterline.llm import language_id, ngram_jaccard, packing, quality_cotraining
-from rosterline.llm.common import materialize, table
+from rosterline.llm.common import WRITTEN, forget_unread, materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Tables that stages have written and left; the next stage deletes those that its documents don't read.
+_left: list[str] = []
 
+
+def _stage(function: Stage) -> Stage:
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget_unread(docs, _left)
+        before = list(WRITTEN)
+        out = function(spark, docs, sf_dir)
+        _left[:] = [p for p in WRITTEN if p in _left or p not in before]
+        return out
+
+    return run
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier accepts."""
+    """The documents that the quality classifier accepts, with their columns; null and empty texts are judged like others."""
     return quality_cotraining.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language is recognised."""
+    """The documents whose language is recognised, with their columns; null and letterless texts go."""
     return language_id.keep_identified(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, with its columns; a null doc_id stays, rows of one doc_id become one."""
     return ngram_jaccard.keep_one_of_each(docs)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    """The pieces of the documents with their ids and their places in sequences; a null text is a piece of one token."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -45,7 +65,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; an empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
+        _left.append(WRITTEN[-1])
+    _left.remove(WRITTEN[-1])
     return docs
