@@ -129,11 +129,17 @@ def judge_name(c: Column) -> Column:
 
 
 def identity_name(c: Column) -> Column:
-    """Lower case, listed honorifics off both ends in turn, one comma swapped, marks gone."""
-    out = F.lower(F.trim(c))
+    """Lower case, listed honorifics off both ends in turn, one comma swapped, marks gone.
+
+    Names without an honorific are spared the search for each; the swap is one pattern, so the name is written into the plan once.
+    """
+    low = F.lower(F.trim(c))
+    out, titles = low, "|".join(HONORIFICS)
     for h in HONORIFICS:
         out = F.regexp_replace(F.regexp_replace(out, rf"^{h}\s+", ""), rf"\s+{h}$", "")
-    return F.regexp_replace(collapse(_swapped(out)), "[.,'\"]", "")
+    out = F.when(low.rlike(rf"^(?:{titles})\s|\s(?:{titles})$"), out).otherwise(low)
+    swapped = F.regexp_replace(out, r"^ *([^,]*?) *, *([^,]*?) *\z", "$2 $1")
+    return F.translate(collapse(swapped), ".,'\"", "")
 
 
 def roster_name(c: Column) -> Column:

@@ -22,10 +22,14 @@ FILLED = [
 
 def with_identity(records: DataFrame) -> DataFrame:
     """Identity, tier and basis: school and year, else bar year and state, else appointment and court, else name, court and county."""
-    name, school, year = identity_name(F.col("full_name")), law_school(F.col("education")), graduation_year(F.col("education"))
-    parts = F.struct(name.alias("n"), school.alias("s"), year.alias("y"), loose_year(F.col("bar_admission_date")).alias("b"), loose_year(F.col("appointment_date")).alias("a"))
-    # a generator keeps the parts from being written into each of their uses, so every pattern is asked once a row
-    df = records.withColumn("_p", F.explode(F.array(parts))).withColumns({f"_{c}": F.col(f"_p.{c}") for c in "nsyba"}).drop("_p")
+    def parts(r: Column) -> Column:
+        name, school, year = identity_name(r.full_name), law_school(r.education), graduation_year(r.education)
+        return F.struct(name.alias("n"), school.alias("s"), year.alias("y"), loose_year(r.bar_admission_date).alias("b"), loose_year(r.appointment_date).alias("a"))
+
+    # patterns inside a lambda stay out of the generated code, whose methods would else be too large to be compiled; the
+    # generator keeps the parts from being written into each of their uses, so every pattern is asked once a row
+    source = F.struct("full_name", "education", "bar_admission_date", "appointment_date")
+    df = records.withColumn("_p", F.explode(F.transform(F.array(source), parts))).withColumns({f"_{c}": F.col(f"_p.{c}") for c in "nsyba"}).drop("_p")
     has = lambda *cs: F.coalesce(F.array_min(F.array(*(F.coalesce(F.col(c) != "", F.lit(False)) for c in cs))), F.lit(False))
     edu, bar, appt = has("_s", "_y"), has("_b", "state"), has("_a", "court_type")
     key = lambda prefix, *cs: F.concat(F.lit(prefix), identity_hash(*(F.col(c) for c in cs)))
