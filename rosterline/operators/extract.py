@@ -121,6 +121,51 @@ def portraits(pages: DataFrame) -> DataFrame:
     return best.join(pages.select("page_id", "url"), "page_id").select("page_id", resolved(F.col("src"), F.col("url")).alias("photo"))
 
 
+def _image_after(opening: str) -> Column:
+    """The attributes of the first image behind an opening tag of the given pattern."""
+    return F.nullif(F.regexp_extract("html", rf"(?is){opening}.*?<img\b([^>]*)>", 1), F.lit(""))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*[\"']?([^\"'\s>]*)", 1)
+
+
+def _classed(tag: str, name: str) -> str:
+    return rf"<{tag}\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?<![\w-]){name}(?![\w-])[^\"']*[\"'][^>]*>"
+
+
+# Where encyclopaedias keep the portrait, and the ordered places of court pages.
+INFOBOXES = {"wikipedia.org": [_classed("table", "infobox"), _classed("table", "vcard"), _classed(r"\w+", "infobox")], "ballotpedia.org": [_classed(r"\w+", c) for c in ("infobox", "officeholder-info", "widget-row")]}
+PORTRAIT_PLACES = [_classed(r"\w+", c) for c in ("judge-photo", "bio-photo", "judge-image", "profile-photo", "judge-profile", "judicial-officer")] + [r"<article\b[^>]*>", _classed(r"\w+", "content-area"), r"<main\b[^>]*>"]
+
+
+def encyclopaedia_portraits(pages: DataFrame) -> DataFrame:
+    """page_id and photo of encyclopaedia pages: the first image of the infobox, no icon; pages under 100 characters have none."""
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
+    photo = F.lit(None).cast("string")
+    for site, places in INFOBOXES.items():
+        tags = [_image_after(p) for p in places]
+        width = lambda t: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(_attribute(t, "width"), r"^\d+", 0), F.lit("")), F.lit("99999")), F.lit(0))
+        fits = (lambda t: ~((width(t) > 0) & (width(t) < 50))) if site == "wikipedia.org" else (lambda t: ~_attribute(t, "src").rlike(NOISE))
+        found = F.coalesce(*(F.when((_attribute(t, "src") != "") & fits(t), _attribute(t, "src")) for t in tags))
+        photo = F.when(host.contains(site), found).otherwise(photo)
+    rows = pages.filter(F.length("html") >= 100).select("page_id", "url", photo.alias("_src")).filter("_src is not null")
+    return rows.select("page_id", resolved(F.col("_src"), F.col("url")).alias("photo"))
+
+
+def court_page_portraits(pages: DataFrame) -> DataFrame:
+    """page_id and photo by ten ordered places; an image of an article must speak of a judge; logos, icons, seals and drawings are passed over."""
+    def src(place: str) -> Column:
+        tag = _image_after(place)
+        address, alt = _attribute(tag, "src"), F.lower(F.regexp_extract(tag, r"(?i)\balt\s*=\s*[\"']([^\"']*)", 1))
+        odd = F.lower(address).rlike(r"logo|icon|seal|1x1|\.svg$") | alt.rlike("logo|icon|seal")
+        judge = alt.contains("judge") if place.startswith("<article") else F.lit(True)
+        return F.when((address != "") & ~odd & judge, address)
+
+    rows = pages.select("page_id", "url", F.coalesce(*map(src, PORTRAIT_PLACES)).alias("_src")).filter("_src is not null")
+    return rows.select("page_id", resolved(F.col("_src"), F.col("url")).alias("photo"))
+
+
 def portraits_in_order(pages: DataFrame, classes: list[str]) -> DataFrame:
     """The first image whose or whose parent's class holds the earliest of the given names."""
     at = F.coalesce(*(F.when(F.concat_ws(" ", "class", "parent_class").contains(c), F.lit(k)) for k, c in enumerate(classes)))

@@ -72,6 +72,22 @@ def resolved_county(rows: DataFrame, counties: DataFrame) -> DataFrame:
     return out.withColumn("county_id", F.coalesce("_by_slug", "_by_name")).drop("_s1", "_slug", "_by_slug", "_s2", "_name", "_by_name")
 
 
+def resolved_court(rows: DataFrame, counties: DataFrame, seats: DataFrame) -> DataFrame:
+    """rows(row_id, state_id, county, court_type) with county_id and placeholder, or error.
+
+    Appellate courts, and courts without a county, lie in the county of their seat by seats(state_id, court_type,
+    hq), else in the state's placeholder county "Statewide"; other courts need a known county.
+    """
+    hq = seats.groupBy(F.col("state_id").alias("_s"), F.lower("court_type").alias("_t")).agg(F.min("hq").alias("_hq"))
+    own = is_appellate(F.col("court_type")) | F.col("county").isNull() | (F.col("county") == "")
+    asked = rows.join(hq, (F.col("state_id") == F.col("_s")) & (F.lower("court_type") == F.col("_t")), "left").withColumns({"_own": own, "_asked": F.col("county")})
+    found = resolved_county(asked.withColumn("county", F.when(own, F.col("_hq")).otherwise(F.col("county"))), counties)
+    lost = F.col("county_id").isNull()
+    return found.withColumns(
+        {"county": F.col("_asked"), "placeholder": F.when(F.col("_own") & lost, "Statewide"), "error": F.when(~F.col("_own") & lost, F.concat(F.lit("County not found: "), F.col("_asked")))}
+    ).drop("_s", "_t", "_hq", "_own", "_asked")
+
+
 def aliased(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """rows(county) with canonical and alias_applied by aliases(alias, canonical, ordinal), the first alias first."""
     first = aliases.groupBy(F.lower("alias").alias("_alias")).agg(F.min_by("canonical", "ordinal").alias("_canonical"))

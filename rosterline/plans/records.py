@@ -84,6 +84,16 @@ def j16_counties(spark: SparkSession, d: str) -> DataFrame:
     return rules.resolved_county(rows, read(spark, d, "counties")).select("county", "county_id", (F.col("county_id") == F.col("expected")).alias("right"))
 
 
+def r17_courts(spark: SparkSession, d: str) -> DataFrame:
+    """Counties of courts: their own, that of an appellate court's seat, or the placeholder."""
+    counties = read(spark, d, "counties")
+    seats = counties.groupBy("state_id").agg(F.min("name").alias("hq")).filter("state_id < 3").withColumn("court_type", F.lit("Supreme Court"))
+    kind = F.when(F.col("type") == "BUILDING", "Supreme Court").when(F.col("type") == "MACHINERY", "Appellate Court").otherwise("County Court")
+    own = F.when(F.col("type") == "FURNITURE", "Nowhere").when(F.col("type") != "HOUSEHOLD", F.upper("name"))
+    rows = read(spark, d, "courts").join(counties.select("county_id", "state_id", "name"), "county_id").select(F.col("court_id").alias("row_id"), "state_id", own.alias("county"), kind.alias("court_type"))
+    return rules.resolved_court(rows, counties, seats).select("row_id", "county_id", "placeholder", "error")
+
+
 def j19_authority(spark: SparkSession, d: str) -> DataFrame:
     """Judges by the authority of their source."""
     courts = spark.createDataFrame([("https://court1.org/",), ("https://court10.org/x",), ("bad url",)], "url string")
@@ -177,7 +187,7 @@ def c1_by_county(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    r6_identity, r7_merged, r7_duplicates, r10_stats, r8_merged, r12_rescored, a21_tally, a14_coverage, r15_gate, j7_zero_counties, j16_counties, j19_authority, k1_upsert, k7_insert_if_absent,
+    r6_identity, r7_merged, r7_duplicates, r10_stats, r8_merged, r12_rescored, a21_tally, a14_coverage, r15_gate, j7_zero_counties, j16_counties, r17_courts, j19_authority, k1_upsert, k7_insert_if_absent,
     k10_downgraded, k12_cascade, k14_promotion, r22_transitions, r21_auto_status, e10_worthy, t16_similarity, t5_names, t9_courts, t11_scalars, m2_rounding, c1_by_county,
 )}
 
@@ -212,6 +222,10 @@ SQL = {
       SELECT state, ['PASS', 'WARNING', 'CRITICAL'][m + 1] AS missing_county_severity, ['PASS', 'WARNING', 'CRITICAL'][c + 1] AS core_incomplete_severity, ['PASS', 'WARNING', 'CRITICAL'][greatest(f, z, m, c) + 1] AS verdict FROM s""",
     "j7_zero_counties": _W("records") + "SELECT 'COUNTY ' || i AS county FROM range(30) t(i) WHERE lower('COUNTY ' || i) NOT IN (SELECT lower(county) FROM records WHERE county IS NOT NULL AND division = 'N')",
     "j16_counties": _W("counties") + "SELECT upper(replace(name, '_', ' ')) AS county, county_id, true AS right FROM counties",
+    "r17_courts": _W("counties", "courts") + """, h AS (SELECT state_id, min(name) AS hq FROM counties WHERE state_id < 3 GROUP BY 1), r AS (SELECT c.*, k.name, k.state_id, q.county_id AS seat FROM courts c JOIN counties k USING (county_id)
+      LEFT JOIN (SELECT h.state_id, k2.county_id FROM h JOIN counties k2 ON k2.name = h.hq AND k2.state_id = h.state_id) q ON q.state_id = k.state_id)
+      SELECT court_id AS row_id, CASE type WHEN 'BUILDING' THEN seat WHEN 'AUTOMOBILE' THEN county_id END AS county_id, CASE WHEN type IN ('MACHINERY', 'HOUSEHOLD') OR type = 'BUILDING' AND seat IS NULL THEN 'Statewide' END AS placeholder,
+      CASE WHEN type = 'FURNITURE' THEN 'County not found: Nowhere' END AS error FROM r""",
     "j19_authority": _W("judges") + "SELECT judge_id, CASE WHEN source_url IS NULL THEN 'SECONDARY' WHEN contains(source_url, '.gov/') THEN 'OFFICIAL_GOV' WHEN contains(source_url, '//court1.org/') OR contains(source_url, '//court10.org/') THEN 'COURT_WEBSITE' ELSE 'SECONDARY' END AS authority FROM judges",
     "k1_upsert": _W("judges") + """, a AS (SELECT judge_id, full_name, photo_url, CASE WHEN status = 'NEEDS_REVIEW' AND photo_url IS NOT NULL THEN 'updated' ELSE 'kept' END AS change, status FROM judges),
       b AS (SELECT change, status, full_name, CASE WHEN change = 'updated' THEN 'new.jpg' ELSE photo_url END AS photo FROM a UNION ALL SELECT 'new', 'UNVERIFIED', NULL, 'new.jpg' FROM judges WHERE status = 'NEEDS_REVIEW' AND photo_url IS NULL)

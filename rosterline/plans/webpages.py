@@ -64,6 +64,34 @@ def s15_pages(spark: SparkSession, d: str) -> DataFrame:
     return providers.encyclopaedia_page(people.select("name", "state"), pages.unionByName(more)).select("name", "state", "page_url")
 
 
+#: Pages of nations: a challenge, a thin page with embedded data, an empty one, a usual one.
+_BODY = """CASE n_nationkey % 4 WHEN 0 THEN '<p>Please Verify You Are Human</p>' WHEN 1 THEN '<p>x</p><script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"pageData":{"name":"The Circuit of a Nation"},"childrenInfos":[]}}}</script>'
+  WHEN 2 THEN '' ELSE concat('<h1>', n_name, '</h1>') END"""
+
+
+def s8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Challenges become errors, thin pages take their embedded data."""
+    pages = spark.read.parquet(f"{d}/nation.parquet").selectExpr("n_nationkey AS page_id", "concat('https://x.org/', n_nationkey) AS url", f"{_BODY} AS body", "CAST(NULL AS string) AS error")
+    out = providers.checked(pages)
+    return out.select("page_id", F.col("error").isNotNull().alias("failed"), (F.length("markdown") > 20).alias("filled"))
+
+
+_INFOBOX = "concat('<div class=nav><img src=/flag.png></div><table class=\"infobox vcard\"><tr><td><img width=', s_suppkey % 3 * 40, ' src=\"/p', s_suppkey, '.jpg\"></td></tr></table>', repeat('<p>long</p>', 10))"
+_ORDERED = "concat('<main><img src=/logo.png></main><div class=\"x bio-photo\"><img src=\"/b', s_suppkey, '.jpg\"></div>', CASE WHEN s_suppkey % 2 = 0 THEN concat('<div class=judge-photo></div><div class=\"judge-photo\"><img alt=\"me\" src=\"/a', s_suppkey, '.jpg\"></div>') ELSE '' END)"
+
+
+def e8_encyclopaedia_portraits(spark: SparkSession, d: str) -> DataFrame:
+    """Portraits of suppliers' encyclopaedia pages; one of three is too small."""
+    pages = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS page_id", "concat('https://en.wikipedia.org/wiki/', s_suppkey) AS url", f"{_INFOBOX} AS html")
+    return extract.encyclopaedia_portraits(pages)
+
+
+def e9_portraits(spark: SparkSession, d: str) -> DataFrame:
+    """Portraits of suppliers' court pages by ordered places."""
+    pages = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS page_id", "'https://c.gov/bio/x' AS url", f"{_ORDERED} AS html")
+    return extract.court_page_portraits(pages)
+
+
 def f14_captcha(spark: SparkSession, d: str) -> DataFrame:
     """pages that are challenges."""
     return _pages(spark, d).select("page_id", search.has_captcha(F.col("html")).alias("blocked"))
@@ -112,7 +140,7 @@ def k2_csv(spark: SparkSession, d: str) -> DataFrame:
     return reports.csv_rows(own.select("full_name", "court_type", "county", "state", "photo_url", "education", "prior_experience", "roster_url", "is_chief", "confidence", "source_authority", "extraction_method"))
 
 
-QUERIES = {f.__name__: f for f in (e2_cells, e1_rosters, e4_tables, s21_markdown, s8_fetched, s15_pages, f14_captcha, t21_queries, k18_sitemap, k19_person, k19_item_lists, t24_titles, k2_csv)}
+QUERIES = {f.__name__: f for f in (e2_cells, e1_rosters, e4_tables, s21_markdown, s8_fetched, s8_checked, s15_pages, e8_encyclopaedia_portraits, e9_portraits, f14_captcha, t21_queries, k18_sitemap, k19_person, k19_item_lists, t24_titles, k2_csv)}
 
 _C = "', '".join(search.CAPTCHA)
 _T = """SELECT state_id, l.level, '"' || name || '" ' || l.text || site || CASE name WHEN 'Virginia' THEN ' -"West Virginia"' WHEN 'South Dakota' THEN ' -"North Dakota"' ELSE '' END AS query
@@ -132,6 +160,9 @@ SQL = {
       FROM u LEFT JOIN (SELECT url, min(html) AS html FROM pages GROUP BY url) p USING (url)""",
     "s15_pages": """WITH p AS (SELECT DISTINCT replace(s_name, '#', 'No. ') AS name, CASE WHEN s_nationkey % 2 = 0 THEN 'North Carolina' ELSE 'Ohio' END AS state, s_suppkey FROM supplier)
       SELECT name, state, 'https://ballotpedia.org/' || replace(replace(name, ' ', '_'), '.', '') || CASE s_suppkey % 3 WHEN 0 THEN '_(' || state || ')' WHEN 1 THEN '_(judge)' END AS page_url FROM p""",
+    "s8_checked": "SELECT n_nationkey AS page_id, n_nationkey % 4 = 0 AS failed, CASE n_nationkey % 4 WHEN 0 THEN NULL ELSE n_nationkey % 4 = 1 END AS filled FROM nation",
+    "e8_encyclopaedia_portraits": "SELECT s_suppkey AS page_id, 'https://en.wikipedia.org/p' || s_suppkey || '.jpg' AS photo FROM supplier WHERE s_suppkey % 3 <> 1",
+    "e9_portraits": "SELECT s_suppkey AS page_id, 'https://c.gov/' || CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE 'b' END || s_suppkey || '.jpg' AS photo FROM supplier",
     "f14_captcha": f"SELECT page_id, len(list_filter(['{_C}'], lambda x: contains(lower(html), x))) > 0 AS blocked FROM pages",
     "t21_queries": f"WITH {sql('states')}, s AS (SELECT state_id, name FROM states UNION ALL SELECT * FROM (VALUES (100, 'Virginia'), (101, 'South Dakota'), (102, 'Ohio'))) {_T}",
     "k18_sitemap": _SLUGGED + f"""SELECT DISTINCT loc, priority::DOUBLE AS priority, change_frequency FROM (SELECT u AS loc, 1.0 AS priority, 'weekly' AS change_frequency FROM g UNION ALL SELECT u || state_slug || '/', 0.9, 'weekly' FROM g

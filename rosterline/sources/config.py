@@ -1,7 +1,9 @@
-"""State configurations, manifests, checkpoints and reference rows."""
+"""State configurations, manifests, checkpoints and reference rows."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,3 +77,18 @@ def census_counties(raw: DataFrame, states: DataFrame) -> DataFrame:
     found = rows.select(name.alias("name"), F.get("r", F.lit(1)).alias("fips"), F.concat(F.get("r", F.lit(1)), F.get("r", F.lit(2))).alias("county_fips"))
     out = found.join(states.select("fips", "state_id"), "fips").withColumn("slug", slug(F.col("name")))
     return out.groupBy("state_id", "slug").agg(F.min_by("name", "county_fips").alias("name"), F.min("county_fips").alias("fips"))
+
+
+def write_json(row: dict, path: str, spark: SparkSession) -> None:
+    """K6: one JSON document (a checkpoint or a manifest), written beside its place and renamed onto it, so readers see the old or the new one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, beside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.tmp"))
+    files = target.getFileSystem(conf)
+    out = files.create(beside, True)
+    out.write(bytearray(json.dumps(row, ensure_ascii=False, indent=2).encode()))
+    out.close()
+    options = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else files.getUri(), conf)
+    array = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    array[0] = options
+    context.rename(beside, target, array)

@@ -163,6 +163,15 @@ def next_data(html: Column) -> Column:
     return F.from_json(F.nullif(F.regexp_extract(html, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1), F.lit("")), _NEXT)
 
 
+def next_markdown(html: Column) -> Column:
+    """A page's embedded data as Markdown: its name as a heading, then the people among its children; null without any."""
+    p = next_data(html).props.pageProps
+    names = F.transform(p.childrenInfos, lambda k: F.struct(F.trim(k.props.content["name"]).alias("name"), k.props.content.typeIdentifier.alias("kind")))
+    person = lambda k: (k["name"].rlike(r"(?i)^(chief\s+)?(justice|judge)\s") | (F.coalesce(k.kind, F.lit("")) == "judge")) & ~k["name"].rlike(r"(?i)^(previous|former|current|retired|biograph)|transition|chronological|merit|news")
+    lines = F.concat(F.array(F.concat(F.lit("# "), p.pageData["name"])), F.coalesce(F.transform(F.filter(names, person), lambda k: F.concat(F.lit("- "), k["name"])), F.array().cast("array<string>")))
+    return F.nullif(F.array_join(lines, "\n\n"), F.lit(""))
+
+
 def next_people(pages: DataFrame) -> DataFrame:
     """page_id, pos, name, href of the people among a page's children, else in its sub-navigation."""
     p = F.col("_d.props.pageProps")

@@ -1,24 +1,29 @@
-"""Services outside Spark behind interfaces, with offline stand-ins.
+"""Services outside Spark behind interfaces, with offline stand-ins.
 
 A provider is a picklable object; Spark deals the rows out and calls it once per batch in the tasks.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import subprocess
+import tempfile
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
+from urllib.parse import urlencode, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rosterline.operators.search import has_captcha
-from rosterline.sources.markup import markdown
+from rosterline.operators.search import CAPTCHA, has_captcha
+from rosterline.sources.markup import markdown, next_markdown
 
 
 class Fetcher(Protocol):
@@ -57,6 +62,94 @@ class HttpFetcher:
         return None, error
 
 
+@dataclass
+class StealthFetcher:
+    """A command that writes a url's page to a file; allowed hosts and their subdomains only, a pause per host, one more try after a failure.
+
+    The command is called with the url and the file's name. Rows of one host meet in one task (see fetched()), so its
+    pause holds for the host.
+    """
+
+    command: list[str]
+    allowed: list[str]
+    delay: float = 3.0
+    retry_after: float = 15.0
+    timeout: float = 60.0
+    last: dict[str, float] = field(default_factory=dict)
+
+    def fetch(self, url: str) -> tuple[str | None, str | None]:
+        host = (urlsplit(url).hostname or "").lower()
+        if not any(host == a or host.endswith("." + a) for a in self.allowed):
+            return None, f"host not allowed: {host}"
+        error = None
+        for attempt in range(2):
+            time.sleep(self.retry_after if attempt else max(0.0, self.last.get(host, 0.0) + self.delay - time.monotonic()))
+            self.last[host] = time.monotonic()
+            with tempfile.TemporaryDirectory() as folder:  # the command's output, read at once by this task
+                path = os.path.join(folder, "page.html")
+                try:
+                    done = subprocess.run([*self.command, url, path], capture_output=True, text=True, timeout=self.timeout, check=False)  # noqa: S603
+                except (OSError, subprocess.TimeoutExpired) as e:
+                    error = str(e)
+                    continue
+                if done.returncode:
+                    error = done.stderr.strip() or f"Exit code {done.returncode}"
+                elif not os.path.exists(path):
+                    error = "Output file not created"
+                else:
+                    with open(path, encoding="utf-8", errors="replace") as page:
+                        if body := page.read():
+                            return body, None
+                    error = "Output file is empty"
+        return None, error
+
+
+class RateLimited(RuntimeError):
+    """A search service refuses further queries."""
+
+
+def _json_of(request: urllib.request.Request, timeout: float, limits: dict[int, str]) -> dict:
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310
+            return json.load(answer)
+    except urllib.error.HTTPError as e:
+        if e.code in limits:
+            raise RateLimited(f"RATE_LIMIT: {limits[e.code]} (HTTP {e.code})") from e
+        raise RuntimeError(f"HTTP {e.code} {e.reason}") from e
+
+
+@dataclass
+class WebSearch:
+    """A web-search service: up to 20 hits; 403 and 429 are limits of the service."""
+
+    url: str
+    key: str
+    key_header: str = "X-Subscription-Token"
+    most: int = 20
+
+    def hits(self, query: str) -> list[tuple[str, str, str]]:
+        asked = urlencode({"q": query, "count": self.most, "search_lang": "en", "country": "US"})
+        request = urllib.request.Request(f"{self.url}?{asked}", headers={"Accept": "application/json", self.key_header: self.key})
+        found = _json_of(request, 15.0, {429: "rate limit exceeded", 403: "quota exceeded"})
+        return [(x.get("title", ""), x.get("url", ""), x.get("description", "")) for x in (found.get("web") or {}).get("results") or []]
+
+
+@dataclass
+class NeuralSearch:
+    """A neural search service: the snippet of a hit is its highlights, one a line."""
+
+    url: str
+    key: str
+    domains: list[str] = field(default_factory=list)
+    most: int = 5
+
+    def hits(self, query: str) -> list[tuple[str, str, str]]:
+        asked = {"query": query, "numResults": self.most, "type": "auto", "contents": {"highlights": {"numSentences": 5, "highlightsPerUrl": 3}}}
+        asked |= {"includeDomains": self.domains} if self.domains else {}
+        request = urllib.request.Request(self.url, json.dumps(asked).encode(), {"Content-Type": "application/json", "x-api-key": self.key, "Accept": "application/json"})
+        return [(x.get("title") or "", x.get("url", ""), "\n".join(x.get("highlights") or [])) for x in _json_of(request, 30.0, {429: "rate limit exceeded"}).get("results", [])]
+
+
 @dataclass
 class FixedModel:
     """Answers by the first key that occurs in the prompt."""
@@ -97,6 +190,24 @@ def fetched(urls: DataFrame, fetcher: Fetcher) -> DataFrame:
     return urls.repartition(host).mapInArrow(get, _more(urls, body="string", error="string"))
 
 
+def checked(pages: DataFrame, gatsby: DataFrame | None = None, least: int = 50) -> DataFrame:
+    """pages(url, body, error) with markdown: a challenge page becomes an error that names what gave it away; a thin
+    one takes what its embedded data say if that is longer, else the page data of gatsby(url, body)."""
+    low = F.lower("body")
+    sign = F.coalesce(*(F.when(low.contains(c), c) for c in CAPTCHA))
+    rows = pages.withColumns({"error": F.coalesce("error", F.concat(F.lit("CAPTCHA detected: "), sign)), "markdown": markdown(F.col("body"))})
+    thin = lambda c: F.coalesce(F.length(c), F.lit(0)) < least
+    data = next_markdown(F.col("body"))
+    longer = F.coalesce(F.length(data), F.lit(0)) > F.coalesce(F.length("markdown"), F.lit(0))
+    rows = rows.withColumn("markdown", F.when(thin("markdown") & longer, data).otherwise(F.col("markdown")))
+    if gatsby is not None:
+        own = gatsby.groupBy(F.col("url").alias("_u")).agg(F.min("body").alias("_g"))
+        rows = rows.join(own, F.col("url") == F.col("_u"), "left")
+        better = thin("markdown") & F.col("body").contains("___gatsby") & (F.length("_g") > F.coalesce(F.length("markdown"), F.lit(0)))
+        rows = rows.withColumn("markdown", F.when(better, F.col("_g")).otherwise(F.col("markdown"))).drop("_u", "_g")
+    return rows.withColumn("markdown", F.when(F.col("error").isNull(), F.col("markdown")))
+
+
 def fetched_offline(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """S8 without a network: bodies from a table of pages(url, html)."""
     own = pages.groupBy(F.col("url").alias("_u")).agg(F.min("html").alias("body"))

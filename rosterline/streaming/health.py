@@ -59,3 +59,13 @@ def progress(query: StreamingQuery) -> dict[str, object]:
     """What the last batch of a query did."""
     last = query.lastProgress
     return {} if last is None else {"batch": last["batchId"], "rows": last["numInputRows"], "active": query.isActive, "error": str(query.exception() or "")}
+
+
+def run_until(query: StreamingQuery, cancelled: Callable[[], bool], every: float = 1.5) -> bool:
+    """M9: wait for a query, asking in between whether it is cancelled; True if it was stopped. A batch that runs is finished or done again later."""
+    while query.isActive:
+        if cancelled():
+            query.stop()
+            return True
+        query.awaitTermination(every)
+    return False

@@ -234,3 +234,54 @@ def test_batch_numbers_over_many_ranges(spark):
     assert got == [(k, k // 30 + 1) for k in range(1000)]
     with pytest.raises(ValueError):
         admin.job_page(rows, offset=-1)
+
+
+def test_json_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "m" / "checkpoint.json")
+    for n in (1, 2):
+        config.write_json({"completedUrls": ["ü"] * n}, path, spark)
+        assert json.load(open(path, encoding="utf-8")) == {"completedUrls": ["ü"] * n}
+    assert [p.name for p in (tmp_path / "m").iterdir() if not p.name.endswith(".crc")] == ["checkpoint.json"]
+
+
+def test_a_stream_is_cancelled_between_batches(spark, tmp_path):
+    rows = spark.readStream.format("rate").load()
+    query = rows.writeStream.format("noop").option("checkpointLocation", str(tmp_path)).start()
+    asked = iter([False, True])
+    assert streaming.run_until(query, lambda: next(asked), 0.2) and not query.isActive
+    assert not streaming.run_until(query, lambda: True)
+
+
+def test_stealth_fetching_keeps_to_its_hosts_and_tries_again(tmp_path):
+    import sys
+
+    once = tmp_path / "once"
+    code = f"import sys, os; os.path.exists({str(once)!r}) or (open({str(once)!r}, 'w'), sys.exit('busy')); open(sys.argv[2], 'w').write('page of ' + sys.argv[1])"
+    f = providers.StealthFetcher([sys.executable, "-c", code], ["a.gov"], delay=0.0, retry_after=0.0)
+    assert f.fetch("https://sub.a.gov/x") == ("page of https://sub.a.gov/x", None)
+    assert f.fetch("https://nota.gov/x") == (None, "host not allowed: nota.gov")
+    assert providers.StealthFetcher([sys.executable, "-c", "raise SystemExit('no')"], ["a.gov"], 0.0, 0.0).fetch("https://a.gov/") == (None, "no")
+
+
+def test_search_clients_tell_limits_from_errors(monkeypatch):
+    import io
+    import urllib.error
+    import urllib.request
+
+    def answer(body):
+        def opened(request, timeout):
+            if isinstance(body, int):
+                raise urllib.error.HTTPError(request.full_url, body, "x", {}, None)
+            return io.BytesIO(json.dumps(body).encode())
+
+        monkeypatch.setattr(urllib.request, "urlopen", opened)
+
+    web, neural = providers.WebSearch("https://s", "k"), providers.NeuralSearch("https://n", "k", ["a.gov"])
+    answer({"web": {"results": [{"title": "t", "url": "u", "description": "d"}]}})
+    assert web.hits("q") == [("t", "u", "d")]
+    answer({"results": [{"title": None, "url": "u", "highlights": ["a", "b"]}]})
+    assert neural.hits("q") == [("", "u", "a\nb")]
+    for code, error in ((403, providers.RateLimited), (429, providers.RateLimited), (500, RuntimeError)):
+        answer(code)
+        with pytest.raises(error, match=str(code)):
+            web.hits("q")
