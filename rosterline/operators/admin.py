@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rosterline.functions.text import slug
 from rosterline.operators.rules import transitions
+from rosterline.operators.search import broadcast_if_small, numbered
 
 #: Most judges in a batch, days after which a harvest is stale, most jobs on a page.
 BATCH, FRESH_DAYS, JOB_PAGE = 50, 90, 100
@@ -133,7 +133,7 @@ def active_first(states: DataFrame) -> DataFrame:
 def lookup(parents: DataFrame, children: DataFrame, key: str, value: object, columns: list[str], order: str) -> DataFrame:
     """The children of one parent in order; none where there is no such parent."""
     one = parents.filter(F.col(key) == F.lit(value)).select(F.col(key).alias("_k"))
-    return children.join(F.broadcast(one.limit(1)), F.col(key) == F.col("_k"), "left_semi").select(*columns).orderBy(order)
+    return children.join(broadcast_if_small(one.limit(1)), F.col(key) == F.col("_k"), "left_semi").select(*columns).orderBy(order)
 
 
 def found_by_key(rows: DataFrame, **key: object) -> DataFrame:
@@ -166,15 +166,8 @@ def aligned(rows: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def batch_numbers(rows: DataFrame, order: list[str], size: int = 100) -> DataFrame:
-    """Rows with the number of their batch of `size`, from 1, in the given order; one sort over ranges, no single task."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_row", F.monotonically_increasing_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    starts = counts.select(F.col("_part").alias("_p"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    placed = ranged.join(F.broadcast(starts), F.col("_part") == F.col("_p"))
-    number = F.ceil((F.col("_start") + F.col("_row") - F.col("_first") + 1) / size)
-    return placed.withColumn("batch", number.cast("int")).drop("_part", "_row", "_p", "_first", "_start")
+    """Rows with the number of their batch of `size`, from 1, in the given order."""
+    return numbered(rows, [F.col(c) for c in order], "batch").withColumn("batch", F.ceil(F.col("batch") / size).cast("int"))
 
 
 def first_rows(rows: DataFrame, order: list[str], most: int | None) -> DataFrame:

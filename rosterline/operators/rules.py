@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from rosterline.functions.text import county_alnum, county_key, slug
 from rosterline.functions.values import safe_divide
-from rosterline.operators.search import has_captcha
+from rosterline.operators.search import broadcast_if_small, has_captcha
 
 # Metric -> (warning, critical).
 GATE = {"failed_page": (0.1, 0.25), "zero_judge_page": (0.15, 0.3), "missing_county": (0.2, 0.4), "core_incomplete": (0.02, 0.05), "schema_failure": (0.1, 0.2)}
@@ -97,7 +97,7 @@ def aliased(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def headquarters(rows: DataFrame, courts: DataFrame) -> DataFrame:
     """For rows(row_id, court_type) the county of the first of courts(type, label, hq, ordinal) of that type or labelled with it."""
-    hits = rows.join(F.broadcast(courts), (F.lower("court_type") == F.lower("type")) | F.contains(F.lower("label"), F.lower("court_type")), "left")
+    hits = rows.join(broadcast_if_small(courts), (F.lower("court_type") == F.lower("type")) | F.contains(F.lower("label"), F.lower("court_type")), "left")
     return hits.groupBy("row_id").agg(F.min_by("hq", "ordinal").alias("hq"))  # courts: the entries of one state's configuration
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,9 +68,36 @@ def most_specific(chain: DataFrame, court: str | None = None, county: str | None
     return chain
 
 
-def page_of(df: DataFrame, order: list[Column], page: int, limit: int) -> DataFrame:
+#: Pages that begin further back are read off numbered ranges, since a sorted prefix of so many rows would pass through the driver.
+DEEP = 100_000
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place in an order, from 1; one sort over ranges, no single task.
+
+    The sorted rows are kept on the executors' disks, so that both the ranges' sizes and the rows' places come from one
+    deal into ranges; the caller may clear the cache afterwards.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = ranged.withColumn("_row", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = counts.select(F.col("_part").alias("_p"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = ranged.join(F.broadcast(starts), F.col("_part") == F.col("_p"))
+    return placed.withColumn(name, F.col("_start") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_p", "_first", "_start")
+
+
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, broadcast if it has no more rows than that."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def page_of(df: DataFrame, order: list[Column], page: int, limit: int, deep: int = DEEP) -> DataFrame:
     """L1: one page, with its rows' places over the whole as `position` (from 1)."""
     first = (max(1, page) - 1) * limit
+    if first > deep:
+        whole = numbered(df, order, "position")
+        return whole.filter(F.col("position").between(first + 1, first + limit)).withColumn("position", F.col("position").cast("int"))
     rows = df.orderBy(*order).offset(first).limit(limit)
     return rows.withColumn("position", F.lit(first) + F.row_number().over(Window.orderBy(*order)))  # at most one page
 
@@ -157,7 +185,7 @@ def prioritized(urls: DataFrame, as_of: Column, stale_days: int = 7, skip_unheal
 
 def other_state_hosts(hits: DataFrame, fragments: DataFrame) -> DataFrame:
     """hits(host, state_abbr) whose host holds no fragment(fragment, abbr) of another state."""
-    theirs = F.broadcast(fragments)  # a row per state and fragment, about a hundred
+    theirs = broadcast_if_small(fragments)
     return hits.join(theirs, F.contains(hits.host, theirs.fragment) & (theirs.abbr != hits.state_abbr), "left_anti")
 
 

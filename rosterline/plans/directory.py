@@ -73,10 +73,9 @@ def j4_children(spark: SparkSession, d: str) -> DataFrame:
 
 def a3_candidates_by_status(spark: SparkSession, d: str) -> DataFrame:
     """A3, A4: candidates by state, pivoted to the known statuses, with the total."""
-    c = read(spark, d, "candidates")
     known = ["DISCOVERED", "APPROVED", "REJECTED"]
-    wide = c.groupBy("state_abbr").pivot("status", known).count().na.fill(0)
-    return wide.join(c.groupBy("state_abbr").agg(F.count("*").alias("total")), "state_abbr").select("state_abbr", *(F.col(k).alias(k.lower()) for k in known), "total")
+    counts = [F.count_if(F.col("status") == k).alias(k.lower()) for k in known]
+    return read(spark, d, "candidates").groupBy("state_abbr").agg(*counts, F.count("*").alias("total"))
 
 
 def a5_sources(spark: SparkSession, d: str) -> DataFrame:

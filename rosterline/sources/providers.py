@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rosterline.operators.search import CAPTCHA, has_captcha
+from rosterline.operators.search import CAPTCHA, broadcast_if_small, has_captcha
 from rosterline.sources.markup import markdown, next_markdown
 
 
@@ -218,7 +218,7 @@ def fetched_offline(urls: DataFrame, pages: DataFrame) -> DataFrame:
 def routed(entries: DataFrame, pages: DataFrame, stealth_pages: DataFrame, allowed: DataFrame) -> DataFrame:
     """Bodies by fetch method: http, scrapling (allowed hosts and their subdomains only), auto (http, else stealth for thin pages); browser and manual have none."""
     http = fetched_offline(entries, pages).withColumn("plain", F.col("body")).drop("body", "error")
-    hosts = F.broadcast(allowed.select(F.col("host").alias("_h")))  # a short list of configuration
+    hosts = broadcast_if_small(allowed.select(F.col("host").alias("_h")))
     host = F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))
     ok = entries.select("url").distinct().join(hosts, (host == F.col("_h")) | host.endswith(F.concat(F.lit("."), F.col("_h"))), "left_semi").withColumn("_ok", F.lit(True))
     stealth = stealth_pages.groupBy("url").agg(F.min("html").alias("_s"))

@@ -285,3 +285,10 @@ def test_search_clients_tell_limits_from_errors(monkeypatch):
         answer(code)
         with pytest.raises(error, match=str(code)):
             web.hits("q")
+
+
+def test_deep_pages_are_read_off_ranges(spark):
+    rows = spark.range(5000).withColumn("k", F.col("id") * 7 % 5000)
+    order = [F.desc("k")]
+    far, near = (search.page_of(rows, order, 40, 60, deep=d).orderBy("position").collect() for d in (100, 10_000))
+    assert [tuple(r) for r in far] == [tuple(r) for r in near] and far[0].position == 39 * 60 + 1 and far[0].k == 4999 - 39 * 60
