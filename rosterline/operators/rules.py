@@ -1,4 +1,4 @@
-"""Rules and reports: quality gate, failures, court levels, state machines."""
+"""Rules and reports: quality gate, failures, court levels, state machines."""
 
 from __future__ import annotations
 

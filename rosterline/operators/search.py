@@ -1,4 +1,4 @@
-"""Directory queries: filters, ranking, pages, facets."""
+"""Directory queries: filters, ranking, pages, facets."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Upserts, updates and deletes as rewrites of tables.
+"""Upserts, updates and deletes as rewrites of tables.
 
 Each function returns the table as it is afterwards; the caller writes it. With a catalog
 that has MERGE the same conditions go into its clauses.

@@ -1,4 +1,4 @@
-"""The domain tables, read from the generated star schema (S1, S22): states, counties, courts, judges, logs, candidates, records.
+"""The domain tables, read from the generated star schema (S1): states, counties, courts, judges, logs, candidates, records.
 
 Columns are written in SQL that Spark and DuckDB read alike, so a query and its SQL start from the same rows.
 """
