@@ -327,16 +327,27 @@ def cotrain(
             metadata = _newton(metadata, found[CONTENT + 2 :], ridge)
         teachers = Model(search.at, metadata, prior)
         search.forget_value()
-    held = rows.filter("y is not null and fold = 0").orderBy(F.xxhash64("hashed", "metadata", "y")).limit(calibration_rows).select(*columns)
-    batch = held.toArrow().combine_chunks().to_batches()
-    return calibrated(teachers, batch[0] if batch else None)
+    return calibrated(teachers, rows.filter("y is not null and fold = 0"), calibration_rows)
 
 
-def calibrated(model: Model, held: pa.RecordBatch | None) -> Model:
-    """model with the logits of each view, then of their sum, fitted to the labels of held-out rows."""
-    if held is None or len(set(held.column("y").to_pylist())) < 2:
+def calibrated(model: Model, held: DataFrame, most: int) -> Model:
+    """model with the logits of each view, then of their sum, fitted to the labels of about `most` of the held-out rows, chosen by hash.
+
+    The logits are taken in the tasks; three numbers of a row reach the driver.
+    """
+
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = model.logits(*_read(batch))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), batch.column("y").cast(pa.float64())], names=["a", "b", "y"])
+
+    share = min(1.0, most / max(1, held.count()))
+    chosen = held.filter(F.pmod(F.xxhash64("hashed", "metadata"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    found = chosen.select("hashed", "dense", "metadata", "y").mapInArrow(logits, "a double, b double, y double").toArrow()
+    a, b, y = (found.column(c).to_numpy() for c in ("a", "b", "y"))
+    if len(set(y.tolist())) < 2:
         return model
-    y = held.column("y").to_numpy(zero_copy_only=False).astype(float)
 
     def platt(logit: np.ndarray) -> tuple[float, float]:
         w = np.array([1.0, 0.0])
@@ -344,7 +355,6 @@ def calibrated(model: Model, held: pa.RecordBatch | None) -> Model:
             w = _newton(w, _moments(np.clip(logit, -15, 15)[:, None], y, np.ones(len(y)), w), 1.0)
         return max(0.0, float(w[0])), float(w[1])
 
-    a, b = model.logits(*_read(held))
     model = Model(model.content, model.metadata, model.prior, [platt(a), platt(b), (1.0, 0.0)])
     a, b = model.views(a, b)
     return Model(model.content, model.metadata, model.prior, [*model.calibration[:2], platt(a + b - model.prior)])
