@@ -32,7 +32,7 @@ UNIT = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 MOST_GUMBEL = 37.5
 #: Steps of a path that are looked at together with those of other paths.
 AHEAD = 192
-_MUL, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(42)
+_MUL, _SHIFT, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(42), np.uint64(44)
 
 
 _DRAW = np.uint64(0xD1B54A32D192ED03)
@@ -99,10 +99,21 @@ class Vocabulary:
         size = np.array([len(p) for p in self.pieces], np.int64)
         self.size, self.at = size, np.cumsum(size) - size
         self.spelling = np.frombuffer("".join(self.pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+        # the place of each key by its first bits; -1 where several keys share them and have to be searched for
+        first = (_mixed(self.keys) >> _PLACE).astype(np.int64)
+        self.place = np.zeros(1 << 20, np.int32)
+        self.place[first] = np.where(np.bincount(first, minlength=1 << 20)[first] > 1, -1, np.arange(len(first)))
         self.starts = np.zeros(1 << 22, bool)
         self.starts[_mixed(np.array(sorted(prefixes), np.uint64)) >> _SHIFT] = True
         self.longest = max(len(self.pieces[i]) for i in own)
 
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, if it is one of the vocabulary's, else anywhere."""
+        at = self.place[(_mixed(keys) >> _PLACE).astype(np.int64)]
+        shared = np.flatnonzero(at < 0)
+        at[shared] = np.minimum(np.searchsorted(self.keys, keys[shared]), len(self.keys) - 1)
+        return at
+
     def fallback(self, char: str) -> list[int]:
         return [self.bytes.get(b, self.unknown) for b in char.encode("utf-8", "replace")]
 
@@ -181,7 +192,7 @@ class Lattice:
             h = (h + code[active + n - 1]) * _MUL
             ok = v.starts[(_mixed(h) >> _SHIFT).astype(np.int64)]
             active, h = active[ok], h[ok]
-            at = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
+            at = v.places(h)
             hit = v.keys[at] == h
             sources.append(active[hit]), pieces.append(v.ids[at[hit]]), lengths.append(np.full(hit.sum(), n))
         single = np.zeros(len(code), bool)
@@ -202,7 +213,7 @@ class Lattice:
         weight = v.log_weight[np.where(piece < 0, len(v.pieces), piece)]
         weight = np.where(piece < 0, weight * 3, weight)
         left = (ends - np.arange(len(code)))[source]
-        order = np.lexsort((source, left))
+        order = np.argsort(left * len(code) + source, kind="stable")
         source, length, piece, weight, left = source[order], length[order], piece[order], weight[order], left[order]
         node = np.arange(len(code)) + word  # words have a node more than characters
         start = np.flatnonzero(np.append(True, source[1:] != source[:-1]) | np.append(True, left[1:] != left[:-1]))
