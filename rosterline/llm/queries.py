@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterline.llm import embedding_index, language_id, merkle, ngram_jaccard, packing, quality_cotraining, sentencepiece_sampling, sharding, url_graph, warc
+from rosterline.llm import centroid_clustering, embedding_index, language_id, merkle, ngram_jaccard, packing, quality_cotraining, recompression, sentencepiece_sampling, sharding, token_alignment, url_graph, warc
 from rosterline.llm.common import table
 
 #: (verdict, host, path), as the contract gives them.
@@ -70,11 +70,31 @@ def op10_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_graph.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_elkan_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = centroid_clustering.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=64, scale=1024)
+    out, centroids, _ = centroid_clustering.elkan_kmeans(vectors, centroid_clustering.first_by_hash(vectors, k=8, seed=3), rounds=10)
+    digest = F.element_at(F.array([F.lit(centroid_clustering.digest(c)) for c in centroids] or [F.lit("")]), F.col("cluster") + 1)
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_recompression_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.without_repeats(table(spark, sf_dir, "documents"), window=13).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.corpus_alignment(table(spark, sf_dir, "documents"), *paths)[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_gumbel_segmentations, op3_lsh_forest_jaccard, op4_inverted_multi_index, op5_cotraining_quality, op6_lpt_sharding, op7_kneser_ney_language, op8_best_fit_packing, op9_merkle_fingerprints, op10_link_graph_urls)}
+    found = (
+        op1_warc_derivatives, op2_gumbel_segmentations, op3_lsh_forest_jaccard, op4_inverted_multi_index, op5_cotraining_quality, op6_lpt_sharding, op7_kneser_ney_language,
+        op8_best_fit_packing, op9_merkle_fingerprints, op10_link_graph_urls, op11_elkan_clustering, op12_recompression_repeats, op13_token_alignment,
+    )
+    return {f.__name__: f for f in found}
 
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.oracle_sql(WARC_DATE), "op9_merkle_fingerprints": merkle.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": warc.oracle_sql(WARC_DATE), "op9_merkle_fingerprints": merkle.oracle_sql(), "op11_elkan_clustering": centroid_clustering.oracle_sql(), "op12_recompression_repeats": recompression.ORACLE_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
