@@ -217,15 +217,15 @@ def digest(centroid: np.ndarray) -> str:
 def oracle_sql(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
     """Plain k-means over embeddings(vec_id, embedding) as SQL: a pair of tables for every round."""
     parts = [
-        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, x -> CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings "
-        f"WHERE len(embedding) = {dims} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)",
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings "
+        f"WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
         "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, x FROM "
         f"(SELECT sha256('{seed}:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {k}))",
     ]
     for n in range(rounds + 1):
         parts.append(
             f"a{n} AS MATERIALIZED (SELECT vec_id, x, b.d AS distance, b.c AS cluster FROM (SELECT vec_id, any_value(v.x) AS x, "
-            f"min({{'d': CAST(list_sum(list_transform(list_zip(v.x, c.x), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'c': c.cluster}}) AS b FROM v, c{n} AS c GROUP BY vec_id))"
+            f"min({{'d': CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'c': c.cluster}}) AS b FROM v, c{n} AS c GROUP BY vec_id))"
         )
         if n < rounds:
             parts.append(
