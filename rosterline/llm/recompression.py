@@ -9,10 +9,14 @@ from its ends a passage is named alike wherever it occurs.
 1. Naming: the symbols that a round makes inside a window of words, whatever lies around
    it, name the window: its anchor is the least three in a row of them (of its words, where
    runs leave fewer). Windows share anchors with their neighbours: about one row for five words.
-2. Anchors that two documents share reveal where repeats may be; only these stretches go on.
+2. Anchors that two documents share reveal where repeats may be; only these stretches go on. In them
+   every window gets a second anchor (the greatest three in a row), which two stretches must share too.
 3. Climbing: stretches are recompressed to the top. A long symbol that also occurs in an earlier
    document proves a repeat as a whole, whatever its length.
-4. Windows over the edges of such symbols are verified one by one, by 128-bit hashes of their words.
+4. The other windows, over the edges of such symbols, are verified one by one, by 128-bit hashes of their words.
+
+Shared anchors are broadcast as a Bloom filter of a bounded size (it may let others pass, which step 4 finds out), beyond
+its capacity they are joined.
 
 Documents with equal texts are one: all but the smallest doc_id are repeats from end to end.
 All counts are partial aggregates (least and greatest doc_id); joins are between plain exchanges, which
@@ -40,6 +44,8 @@ SLICE = 1 << 22
 WORDS = 1 << 19
 #: Up to so many ids are broadcast (16 bytes each); beyond that they are joined, with the same rows.
 BROADCAST_IDS = 2_000_000
+#: Bits of a filter at most (64 MB), bits for each key at best and at least; a block is built in one task.
+FILTER_BITS, BEST_BITS, LEAST_BITS, _BLOCK = 1 << 29, 12, 5, 18
 #: Names that a task remembers before it begins anew.
 _NAMES = 400_000
 
@@ -142,8 +148,8 @@ def _in_a_row(names: np.ndarray, level: int) -> np.ndarray:
     return key[:, 0]
 
 
-def anchors(names: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place) of the anchor of the window that begins at each of `starts`: a matter of the window's words alone, but for the place."""
+def anchors(names: np.ndarray, starts: np.ndarray, window: int, greatest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of the anchor (least or greatest) of the window that begins at each of `starts`: a matter of the window's words alone, but for the place."""
     lo, hi = starts, starts + window
     one = Round(names, 0)
     a, b = one.inside(lo, hi)
@@ -151,7 +157,7 @@ def anchors(names: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndar
     key, place = np.empty(len(starts), np.uint64), np.empty(len(starts), np.int64)
     for some, row, first, last, at in ((deep, _in_a_row(one.names, 1), a, b, one.first), (~deep, _in_a_row(names, 0), lo, hi, None)):
         if some.any():
-            best = _least(row, first[some], last[some] - IN_A_ROW + 1)
+            best = _least(~row if greatest else row, first[some], last[some] - IN_A_ROW + 1)
             key[some], place[some] = row[best], best if at is None else at[best]
     return key, place
 
@@ -188,8 +194,8 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
 
-def _named(batches: Iterator[pa.RecordBatch], window: int, columns: list[str]) -> Iterator[tuple[np.ndarray, list[tuple]]]:
-    """(names, parts) of about WORDS words; a part is (first row, end row, number of the first word, *columns). Parts of under one window are left out."""
+def _named(batches: Iterator[pa.RecordBatch], window: int, columns: list[str], words_too: bool = False) -> Iterator[tuple[np.ndarray, list[tuple]]]:
+    """(names, parts) of about WORDS words; a part is (first row, end row, number of the first word, its words if asked for, *columns). Parts of under one window are left out."""
     cache, held, parts, n = _Names(), [], [], 0
     for batch in batches:
         keep = [batch.column(c) for c in columns]
@@ -200,7 +206,7 @@ def _named(batches: Iterator[pa.RecordBatch], window: int, columns: list[str]) -
                 if len(words) < window:
                     continue
                 held.append(b"".join(map(cache.__getitem__, words)))
-                parts.append((n, n + len(words), first, *[c[i].as_py() for c in keep]))
+                parts.append((n, n + len(words), first, *([words] * words_too), *[c[i].as_py() for c in keep]))
                 n += len(words)
                 if n >= WORDS:
                     yield np.frombuffer(b"".join(held), "<u8").reshape(-1, 2), parts
@@ -216,7 +222,7 @@ def _starts(parts: list[tuple], window: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat([p[0] for p in parts], many), part
 
 
-def _anchor_rows(texts: DataFrame, window: int, with_places: bool) -> DataFrame:
+def _anchor_rows(texts: DataFrame, window: int, with_places: bool = False, greatest: bool = False) -> DataFrame:
     """(key, doc_id[, mark, start, many]): `many` windows from the one at `start` have the anchor `key`."""
     schema = f"key long, doc_id {texts.schema['doc_id'].dataType.simpleString()}" + ", mark long, start long, many long" * with_places
 
@@ -225,7 +231,7 @@ def _anchor_rows(texts: DataFrame, window: int, with_places: bool) -> DataFrame:
         for names, parts in _named(_peeked(batches, kinds := []), window, ["doc_id", "mark"]):
             kind = kinds[0]
             starts, part = _starts(parts, window)
-            key, place = anchors(names, starts, window)
+            key, place = anchors(names, starts, window, greatest)
             new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (part[1:] != part[:-1])])
             own = part[new]
             columns = [_signed(key[new]), pa.array([p[3] for p in parts], kind).take(pa.array(own))]
@@ -255,41 +261,104 @@ def _of_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if small else ids, ["doc_id", "mark"], how)
 
 
-def _stretches(texts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, mark, start, names) of the maximal runs of windows under texts.spans (start, many), with the names of their words as bytes."""
-    kind_ = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind_}, mark long, start long, names binary"
+class Filter:
+    """A Bloom filter of 64-bit keys in blocks: the key's first bits say the block, its hash three bits of it."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.blocks = bits, len(bits) * 8 >> _BLOCK
+
+    @staticmethod
+    def places(keys: np.ndarray) -> list[np.ndarray]:
+        with np.errstate(over="ignore"):
+            h = mixed(keys + U(77))
+        return [(h >> U(k * _BLOCK)) & U((1 << _BLOCK) - 1) for k in range(3)]
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        shift = 64 - self.blocks.bit_length() + 1
+        base = (keys >> U(shift)) << U(_BLOCK) if self.blocks > 1 else np.zeros(len(keys), np.uint64)
+        found = np.ones(len(keys), bool)
+        for p in self.places(keys):
+            at = base + p
+            found &= (self.bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+        return found
+
+
+def filter_of(keys: DataFrame) -> Filter | None:
+    """A Filter of the written table keys(key); None if they are too many for FILTER_BITS. Blocks are built in tasks, the driver only lays them side by side."""
+    n = keys.count()
+    if n * LEAST_BITS > FILTER_BITS:
+        return None
+    blocks = max(1, min(FILTER_BITS, 1 << max(n * BEST_BITS - 1, 1).bit_length()) >> _BLOCK)
+    depth = blocks.bit_length() - 1
+    block = F.shiftrightunsigned("key", 64 - depth).cast("int") if depth else F.lit(0)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bits = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+        for batch in batches:
+            own, key = batch.column("block").to_numpy(), batch.column("key").to_numpy().view(np.uint64)
+            for b in np.unique(own):
+                if b != at:
+                    if at is not None:
+                        yield row()
+                    at, bits = int(b), np.zeros(1 << _BLOCK, bool)
+                for p in Filter.places(key[own == b]):
+                    bits[p.astype(np.int64)] = True
+        if at is not None:
+            yield row()
+
+    rows = keys.select(block.alias("block"), "key").repartition("block").sortWithinPartitions("block").mapInArrow(build, "block int, bits binary")
+    whole = np.zeros((blocks, (1 << _BLOCK) // 8), np.uint8)
+    for r in rows.toLocalIterator():  # FILTER_BITS / 8 bytes in all
+        whole[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return Filter(whole.ravel())
+
+
+def _stretches(texts: DataFrame, window: int, seen) -> DataFrame:
+    """(doc_id, mark, start, text) of the maximal runs of windows whose anchors are in the broadcast filter `seen`, or, without it, under texts.spans (start, many).
+
+    text: the words with one space between them.
+    """
+    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, mark long, start long, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, parts in _named(_peeked(batches, kinds := []), window, ["doc_id", "mark", "spans"]):
-            rows = []
-            for a, b, first, doc, mark, spans in parts:
-                hit = np.zeros(b - a - window + 2, np.int64)
-                at = np.array([s["start"] for s in spans], np.int64) - first
-                end = np.clip(at + np.array([s["many"] for s in spans], np.int64), 0, b - a - window + 1)
-                np.add.at(hit, np.clip(at, 0, b - a - window + 1), 1)
-                np.add.at(hit, end, -1)
-                on = np.diff(np.r_[0, np.cumsum(hit)[:-1] > 0, 0].astype(np.int8))
-                for i, j in zip(np.flatnonzero(on == 1), np.flatnonzero(on == -1), strict=True):
-                    rows.append((doc, mark, first + int(i), names[a + i : a + j + window - 1].tobytes()))
+        for names, parts in _named(_peeked(batches, kinds := []), window, ["doc_id", "mark"] + ["spans"] * (seen is None), words_too=True):
+            if seen is not None:
+                starts, part = _starts(parts, window)
+                on = seen.value.has(anchors(names, starts, window)[0])
+                begin = np.flatnonzero(on & np.r_[True, ~on[:-1] | (part[1:] != part[:-1])])
+                end = np.flatnonzero(on & np.r_[~on[1:] | (part[1:] != part[:-1]), True])
+                found = [(part[i], starts[i] - parts[part[i]][0], starts[j] - parts[part[i]][0] + 1) for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+            else:
+                found = []
+                for k, (a, b, first, *_, spans) in enumerate(parts):
+                    at = np.array([x["start"] for x in spans], np.int64) - first
+                    hit, most = np.zeros(b - a - window + 2, np.int64), b - a - window + 1
+                    np.add.at(hit, np.clip(at, 0, most), 1)
+                    np.add.at(hit, np.clip(at + np.array([x["many"] for x in spans], np.int64), 0, most), -1)
+                    edge = np.diff(np.r_[0, np.cumsum(hit)[:-1] > 0, 0].astype(np.int8))
+                    found += [(k, i, j) for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
+            rows = [(parts[k][4], parts[k][5], parts[k][2] + int(i), b" ".join(parts[k][3][i : j + window - 1]).decode()) for k, i, j in found]
             if rows:
                 doc, mark, start, held = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, kinds[0]), pa.array(mark, pa.int64()), pa.array(start, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "mark", "start", "names"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, kinds[0]), pa.array(mark, pa.int64()), pa.array(start, pa.int64()), pa.array(held, pa.string())], names=["doc_id", "mark", "start", "text"])
 
     return texts.mapInArrow(run, schema)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
     """(names, row, row's first place in names, rows): stretches of about WORDS words behind one another."""
+    cache = _Names()
     for batch in batches:
-        words = np.array([len(x.as_buffer()) // 16 for x in batch.column("names")])
-        begin = 0
-        while begin < len(words):
-            n = max(1, int(np.searchsorted(np.cumsum(words[begin:]), WORDS)))
-            rows = batch.slice(begin, n)
-            own = words[begin : begin + n]
-            yield np.frombuffer(b"".join(rows.column("names").to_pylist()), "<u8").reshape(-1, 2), np.repeat(np.arange(len(own)), own), np.cumsum(own) - own, rows
-            begin += n
+        held, many, begin = [], [], 0
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            words = text.encode().split()
+            held.append(b"".join(map(cache.__getitem__, words)))
+            many.append(len(words))
+            if sum(many) >= WORDS or i + 1 == batch.num_rows:
+                own = np.array(many)
+                yield np.frombuffer(b"".join(held), "<u8").reshape(-1, 2), np.repeat(np.arange(len(own)), own), np.cumsum(own) - own, batch.slice(begin, len(own))
+                held, many, begin = [], [], i + 1
 
 
 def _symbols(stretches: DataFrame, least: int) -> DataFrame:
@@ -307,9 +376,9 @@ def _symbols(stretches: DataFrame, least: int) -> DataFrame:
     return stretches.mapInArrow(run, schema)
 
 
-def _windows(stretches: DataFrame, window: int) -> DataFrame:
-    """(a, b, doc_id, mark, start, words) of the windows of stretches that lie in none of `settled` (start, words) as a whole."""
-    schema = f"a long, b long, doc_id {stretches.schema['doc_id'].dataType.simpleString()}, mark long, start long, words long"
+def _windows(stretches: DataFrame, window: int, seen) -> DataFrame:
+    """(a, b, doc_id, mark, start) of the windows of stretches that lie in none of `settled` (start, words) as a whole and have their second anchor in the broadcast filter `seen`, if there is one."""
+    schema = f"a long, b long, doc_id {stretches.schema['doc_id'].dataType.simpleString()}, mark long, start long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, row, zero, rows in _gathered(batches):
@@ -322,10 +391,12 @@ def _windows(stretches: DataFrame, window: int) -> DataFrame:
             np.add.at(within, begin + parts.field("words").to_numpy() - window + 1, -1)
             last = np.r_[zero[1:], len(names)] - window
             at = np.flatnonzero((np.cumsum(within)[:-1] == 0) & (np.arange(len(names)) <= last[row]))
+            if seen is not None and len(at):
+                at = at[seen.value.has(anchors(names, at, window, greatest=True)[0])]
             lane, own = window_hashes(names, at, window), row[at]
             take = pa.array(own)
-            columns = [_signed(lane[:, 0]), _signed(lane[:, 1]), rows.column("doc_id").take(take), rows.column("mark").take(take), pa.array(at - zero[own] + start[own]), pa.array(np.full(len(at), window))]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc_id", "mark", "start", "words"])
+            columns = [_signed(lane[:, 0]), _signed(lane[:, 1]), rows.column("doc_id").take(take), rows.column("mark").take(take), pa.array(at - zero[own] + start[own])]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc_id", "mark", "start"])
 
     return stretches.mapInArrow(run, schema)
 
@@ -336,39 +407,50 @@ def _earlier(rows: DataFrame) -> DataFrame:
     return rows.join(first, ["a", "b"]).filter("_least < doc_id").drop("_least")
 
 
-def repeats(docs: DataFrame, window: int = 13) -> tuple[DataFrame, DataFrame]:
-    """(copies of (doc_id, mark), covered of (doc_id, mark, ranges of (start, words))): the words under windows that start in an earlier document too.
+def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+    """A written table (doc_id, mark, ranges of (start, words)): the words of docs(doc_id, text) under windows that start in an earlier document too; the caller forgets it.
 
     mark is the 64-bit hash of the text: rows of one doc_id with different texts stay apart, and
     as none is earlier than the other they don't cover each other. Null texts have no words. Rows without a
-    doc_id are neither earlier nor later than any and stay out. A copy has the text of a smaller doc_id: all of
-    its windows are covered. Both tables are written; the caller forgets them.
+    doc_id are neither earlier nor later than any and stay out. The text of a smaller doc_id is a repeat
+    from end to end: one range of -1 words, for all words of a text with a window or more.
     """
+    spark = docs.sparkSession
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("mark"))
     marks = texts.select("doc_id", "mark", F.sha2("text", 256).alias("_sha"))
     first = marks.groupBy("_sha").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).filter("_least < _most").drop("_most")
     copies = materialize(marks.join(first, "_sha").filter("_least < doc_id").select("doc_id", "mark").distinct())
     texts = _of_ids(texts, copies, "left_anti")
 
-    keys = materialize(_shared(_anchor_rows(texts, window, False), ["key"]).select("key"))
-    rows = _anchor_rows(texts, window, True).join(keys, "key")
-    spans = materialize(rows.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "many")).alias("spans")))
-    ids = spans.select("doc_id", "mark")
-    stretches = materialize(_stretches(_of_ids(texts, ids, "left_semi").join(spans, ["doc_id", "mark"]), window))
-    forget(keys, spans)
+    keys = materialize(_shared(_anchor_rows(texts, window), ["key"]).select("key"))
+    seen = filter_of(keys)
+    if seen is not None:
+        stretches = materialize(_stretches(texts, window, spark.sparkContext.broadcast(seen)))
+    else:
+        rows = _anchor_rows(texts, window, with_places=True).join(keys, "key")
+        spans = materialize(rows.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "many")).alias("spans")))
+        stretches = materialize(_stretches(_of_ids(texts, spans.select("doc_id", "mark"), "left_semi").join(spans, ["doc_id", "mark"]), window, None))
+        forget(spans)
+    forget(keys)
+    keys = materialize(_shared(_anchor_rows(stretches, window, greatest=True), ["key"]).select("key"))
+    second = filter_of(keys)
+    second = None if second is None else spark.sparkContext.broadcast(second)
+    forget(keys)
 
     # Twice the window: a symbol of that length spares as many windows as lie over its edges.
     settled = materialize(_earlier(_symbols(stretches, 2 * window)))
     by = settled.groupBy("doc_id", "mark", F.col("stretch").alias("start")).agg(F.collect_set(F.struct("start", "words")).alias("settled"))
-    windows = materialize(_windows(stretches.join(by, ["doc_id", "mark", "start"], "left"), window))
-    found = settled.select("doc_id", "mark", "start", "words").union(_earlier(windows).select("doc_id", "mark", "start", "words"))
+    by = F.broadcast(by) if settled.count() <= BROADCAST_IDS else by
+    windows = _windows(stretches.join(by, ["doc_id", "mark", "start"], "left"), window, second)
+    found = settled.select("doc_id", "mark", "start", "words").union(_earlier(windows).select("doc_id", "mark", "start", F.lit(window).cast("long")))
+    found = found.union(copies.select("doc_id", "mark", F.lit(0).cast("long"), F.lit(-1).cast("long")))
     covered = materialize(found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "words")).alias("ranges")))
-    forget(stretches, settled, windows)
-    return copies, covered
+    forget(stretches, settled, copies)
+    return covered
 
 
-def _kept(rows: DataFrame, window: int, how: str) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, one space between them); how: whole, none or ranges."""
+def _kept(rows: DataFrame, window: int, ranges: bool) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words that stay, one space between them)."""
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,18 +458,15 @@ def _kept(rows: DataFrame, window: int, how: str) -> DataFrame:
             for at in range(0, big.num_rows, 500):
                 batch = big.slice(at, 500)
                 many, gone, kept = [], [], []
-                ranges = batch.column("ranges") if how == "ranges" else [None] * batch.num_rows
-                for text, own in zip(batch.column("text"), ranges, strict=True):
+                for text, own in zip(batch.column("text"), batch.column("ranges") if ranges else [None] * batch.num_rows, strict=True):
                     words = (text.as_py() or "").encode().split()
                     many.append(len(words))
-                    if how == "none" and len(words) >= window:
-                        words = []
-                    if how == "ranges":
+                    if ranges:
+                        begin, span = (own.values.field(c).to_numpy() for c in ("start", "words"))
+                        span = np.where(span < 0, len(words) if len(words) >= window else 0, span)
                         on = np.zeros(len(words) + 1, np.int64)
-                        place = own.values
-                        begin = place.field("start").to_numpy()
                         np.add.at(on, begin, 1)
-                        np.add.at(on, begin + place.field("words").to_numpy(), -1)
+                        np.add.at(on, begin + span, -1)
                         words = [words[i] for i in np.flatnonzero(np.cumsum(on)[:-1] == 0).tolist()]
                     gone.append(many[-1] - len(words))
                     kept.append(b" ".join(words).decode())
@@ -402,14 +481,13 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     Words are runs of other characters than the six ASCII blanks. A word goes if a window of `window` consecutive words over it also
     starts in a document with a smaller doc_id, in the input as it is. kept: the other words with one space
     between them. Null and empty texts have no words; rows without a doc_id keep all of theirs; repeated
-    rows give repeated results. Reads two written tables (repeats()).
+    rows give repeated results. Reads one written table (repeats()).
     """
-    copies, covered = repeats(docs, window)
+    covered = repeats(docs, window)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     touched = covered.select("doc_id", "mark")
-    plain = _of_ids(_of_ids(rows, copies, "left_anti"), touched, "left_anti")
     ranged = _of_ids(rows, touched, "left_semi").join(covered, ["doc_id", "mark"])
-    return _kept(plain, window, "whole").union(_kept(_of_ids(rows, copies, "left_semi"), window, "none")).union(_kept(ranged, window, "ranges"))
+    return _kept(_of_ids(rows, touched, "left_anti"), window, False).union(_kept(ranged, window, True))
 
 
 ORACLE_SQL = r"""

@@ -117,12 +117,21 @@ def test_repeats(spark, monkeypatch):
     got = lambda out: sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out.collect()), key=str)
     assert got(out) == removed(rows) and sum(r[2] > 0 for r in removed(rows)) > 40
     assert got(recompression.without_repeats(docs, window=5)) == removed(rows, 5)
-    # Ids that are joined, not broadcast.
+    # Ids and anchors that are joined, not broadcast.
     monkeypatch.setattr(recompression, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(recompression, "FILTER_BITS", 0)
     assert got(recompression.without_repeats(docs)) == removed(rows)
     assert recompression.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_filter_holds_its_keys(spark):
+    keys = np.random.default_rng(4).integers(-(2**63), 2**63, 160_000)
+    found = recompression.filter_of(spark.createDataFrame([(int(k),) for k in keys[:80_000]], "key long").repartition(3))
+    assert found.blocks > 1 and found.has(keys[:80_000].view(np.uint64)).all() and found.has(keys[80_000:].view(np.uint64)).mean() < 0.05
+    none = recompression.filter_of(spark.createDataFrame([], "key long"))
+    assert not none.has(keys.view(np.uint64)).any()
+
+
 def test_slices_cover_every_window():
     for _, text in passages(9)[:40] + [(0, "word" * 700 + " " + "b " * 90), (0, " ")]:
         for size in (50, 200, 1000):
