@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,26 +39,38 @@ from rosterline.llm.common import forget, materialize
 
 #: Symbols in a row that make an anchor.
 IN_A_ROW = 3
-#: Bytes of a text that are looked at at once, with an overlap of one window.
-SLICE = 1 << 22
-#: Words that are worked on at once.
-WORDS = 1 << 19
+#: Bytes that are worked on at once (arrays that stay in a core's cache); longer texts are cut, with an overlap of one window.
+SLICE = 1 << 18
 #: Up to so many ids are broadcast (16 bytes each); beyond that they are joined, with the same rows.
 BROADCAST_IDS = 2_000_000
 #: Bits of a filter at most (64 MB), bits for each key at best and at least; a block is built in one task.
 FILTER_BITS, BEST_BITS, LEAST_BITS, _BLOCK = 1 << 29, 12, 5, 18
-#: Names that a task remembers before it begins anew.
-_NAMES = 400_000
-
 U = np.uint64
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_BASES = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)  # any odd numbers
+
 
+@lru_cache(maxsize=4)
+def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, and the powers of the lane's base and of its inverse modulo 2**64."""
+    base = _BASES[lane]
+    values = np.random.default_rng(lane).integers(0, 2**64, 256, dtype=np.uint64)
+    return values, *(np.cumprod(np.r_[U(1), np.full(n - 1, b, np.uint64)]) for b in (base, pow(base, -1, 2**64)))
 
-class _Names(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > _NAMES:
-            self.clear()
-        name = self[word] = xxhash.xxh3_128_digest(word)
-        return name
+
+def named(data: bytes, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, begin, end) of the words of data: polynomials over random numbers for their bytes, in one lane of 64 bits or two."""
+    at = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.r_[True, _BLANK[at], True].astype(np.int8))
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    names = np.empty((len(begin), lanes), np.uint64)
+    size = 1 << max(20, (len(data) - 1).bit_length())
+    with np.errstate(over="ignore"):
+        for lane in range(lanes):
+            values, power, inverse = _powers(lane, size)
+            sums = np.r_[U(0), np.cumsum(values[at] * power[: len(at)])]
+            names[:, lane] = mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    return names, begin, end
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,36 +81,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def joined(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
-    """Names of two things each, in both lanes."""
+    """Names of two things each, in every lane."""
     with np.errstate(over="ignore"):
-        lanes = np.array([kind * 2 + 1, kind * 2 + 2], np.uint64) * U(0x9E3779B97F4A7C15)
+        lanes = np.array([kind * 2 + 1, kind * 2 + 2], np.uint64)[: a.shape[1]] * U(0x9E3779B97F4A7C15)
         return mixed(mixed(a + lanes) * U(3) + b)
 
 
-def sliced(text: str, window: int) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first word, words) of parts of a text; parts overlap by window - 1 words, so each window lies in one of them as a whole."""
-    data = text.encode()
+def sliced(data: bytes, window: int) -> Iterator[tuple[int, bytes]]:
+    """(number of the first word, part) of parts of a text; parts overlap by window - 1 words, so each window lies in one of them as a whole.
+
+    In texts over SLICE a word of that length is named by its digest.
+    """
     if len(data) <= SLICE:
-        yield 0, data.split()
+        yield 0, data
         return
-    at, first, carried = 0, 0, []
+    first, carried, rest, at = 0, [], b"", 0
     while at < len(data):
-        part = data[at : at + SLICE]
-        if at + SLICE < len(data):
-            cut = max(map(part.rfind, (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")))
-            while cut < 0:  # a word longer than a slice
-                part = data[at : at + len(part) + SLICE]
-                cut = len(part) if at + len(part) >= len(data) else max(map(part.rfind, (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")))
-            part = part[: cut + 1]
-        at += len(part)
-        words = carried + part.split()
-        yield first, words
+        part = rest + data[at : at + SLICE]
+        at += SLICE
+        cut = len(part)
+        while at < len(data) and cut and not _BLANK[part[cut - 1]]:
+            cut -= 1
+        if not cut and len(part) <= len(data):  # within a word
+            rest = part
+            continue
+        rest = part[cut:]
+        words = carried + [w if len(w) < SLICE else b"\0" + xxhash.xxh3_128_hexdigest(w).encode() for w in part[:cut].split()]
+        yield first, b" ".join(words)
         carried = words[max(0, len(words) - window + 1) :]
         first += len(words) - len(carried)
+    if rest:
+        yield first, b" ".join(carried + [rest if len(rest) < SLICE else b"\0" + xxhash.xxh3_128_hexdigest(rest).encode()])
 
 
 class Round:
-    """One round over symbols with two-lane names: runs, then pairs.
+    """One round over symbols with names of one lane or two: runs, then pairs.
 
     names: of the new symbols; first: the old symbol each begins with; inside(lo, hi): the new
     symbols that are certain to stand where old symbols lo to hi - 1 are seen and nothing else is.
@@ -131,13 +149,20 @@ class Round:
 
 
 def _least(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Of values rows[lo:hi] (hi > lo) the place of the least, the first of equals."""
-    best = lo.copy()
-    for k in range(1, int((hi - lo).max(initial=1))):
-        at = np.minimum(lo + k, hi - 1)
-        less = rows[at] < rows[best]
-        best[less] = at[less]
-    return best
+    """Of values rows[lo:hi] (hi > lo) the place of the least, the first of equals: places for spans of 1, 2, 4, ..., two of which make up any span."""
+    longest = int((hi - lo).max(initial=1))
+    best, tables, span = np.arange(len(rows), dtype=np.int32), [], 1
+    while True:
+        tables.append(best)
+        if 2 * span > longest:
+            break
+        left, right = best[:-span], best[span:]
+        best = np.r_[np.where(rows[right] < rows[left], right, left), best[len(best) - span :]]
+        span *= 2
+    power = np.frexp(np.arange(longest + 1))[1][hi - lo] - 1
+    flat, width = np.concatenate(tables), len(rows)
+    left, right = flat[power * width + lo], flat[power * width + hi - (1 << power)]
+    return np.where(rows[right] < rows[left], right, left)
 
 
 def _in_a_row(names: np.ndarray, level: int) -> np.ndarray:
@@ -150,7 +175,7 @@ def _in_a_row(names: np.ndarray, level: int) -> np.ndarray:
 
 def anchors(names: np.ndarray, starts: np.ndarray, window: int, greatest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(key, place) of the anchor (least or greatest) of the window that begins at each of `starts`: a matter of the window's words alone, but for the place."""
-    lo, hi = starts, starts + window
+    lo, hi, names = starts, starts + window, names[:, :1]
     one = Round(names, 0)
     a, b = one.inside(lo, hi)
     deep = b - a >= IN_A_ROW
@@ -184,40 +209,49 @@ def climbed(names: np.ndarray, part: np.ndarray, least: int) -> tuple[np.ndarray
 
 def window_hashes(names: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     """128-bit hashes, in two lanes, of the words of the windows that begin at starts."""
-    out = names[starts]
-    for k in range(1, window):
-        out = joined(out, names[starts + k], 100_000 + k)
-    return out
+    whole, done, power, span = None, 0, names, 1
+    while True:
+        if window & span:
+            whole = power[starts + done] if whole is None else joined(whole, power[starts + done], 100_000 + span)
+            done += span
+        if 2 * span > window:
+            return whole
+        power, span = joined(power[:-span], power[span:], 200_000 + span), 2 * span
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
 
-def _named(batches: Iterator[pa.RecordBatch], window: int, columns: list[str], words_too: bool = False) -> Iterator[tuple[np.ndarray, list[tuple]]]:
-    """(names, parts) of about WORDS words; a part is (first row, end row, number of the first word, its words if asked for, *columns). Parts of under one window are left out."""
-    cache, held, parts, n = _Names(), [], [], 0
+def _named(batches: Iterator[pa.RecordBatch], window: int, columns: list[str], lanes: int = 1) -> Iterator[tuple]:
+    """(names, parts, data, begin, end) of about SLICE bytes; a part is (first row of names, end row, number of the first word, *columns)."""
+
+    def whole() -> tuple:
+        data = b" ".join(held)
+        names, begin, end = named(data, lanes)
+        cuts = np.searchsorted(begin, np.cumsum([0] + [len(h) + 1 for h in held])).tolist()
+        return names, [(a, b, *k) for a, b, k in zip(cuts[:-1], cuts[1:], kept, strict=True)], data, begin, end
+
+    held, kept, n = [], [], 0
     for batch in batches:
-        keep = [batch.column(c) for c in columns]
-        for i, text in enumerate(batch.column("text")):
-            if not text.is_valid:
+        values = [batch.column(c) for c in columns]
+        for i, data in enumerate(batch.column("text").cast(pa.binary())):
+            if not data.is_valid:
                 continue
-            for first, words in sliced(text.as_py(), window):
-                if len(words) < window:
-                    continue
-                held.append(b"".join(map(cache.__getitem__, words)))
-                parts.append((n, n + len(words), first, *([words] * words_too), *[c[i].as_py() for c in keep]))
-                n += len(words)
-                if n >= WORDS:
-                    yield np.frombuffer(b"".join(held), "<u8").reshape(-1, 2), parts
-                    held, parts, n = [], [], 0
-    if parts:
-        yield np.frombuffer(b"".join(held), "<u8").reshape(-1, 2), parts
+            for first, part in sliced(data.as_py(), window):
+                held.append(part)
+                kept.append((first, *[v[i].as_py() for v in values]))
+                n += len(part)
+                if n >= SLICE:
+                    yield whole()
+                    held, kept, n = [], [], 0
+    if held:
+        yield whole()
 
 
 def _starts(parts: list[tuple], window: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows where windows begin, the part of each)."""
-    many = np.array([p[1] - p[0] - window + 1 for p in parts])
+    many = np.maximum(np.array([p[1] - p[0] - window + 1 for p in parts]), 0)
     part = np.repeat(np.arange(len(parts)), many)
     return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat([p[0] for p in parts], many), part
 
@@ -228,9 +262,11 @@ def _anchor_rows(texts: DataFrame, window: int, with_places: bool = False, great
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = None
-        for names, parts in _named(_peeked(batches, kinds := []), window, ["doc_id", "mark"]):
+        for names, parts, *_ in _named(_peeked(batches, kinds := []), window, ["doc_id", "mark"]):
             kind = kinds[0]
             starts, part = _starts(parts, window)
+            if not len(starts):
+                continue
             key, place = anchors(names, starts, window, greatest)
             new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (part[1:] != part[:-1])])
             own = part[new]
@@ -317,14 +353,16 @@ def filter_of(keys: DataFrame) -> Filter | None:
 def _stretches(texts: DataFrame, window: int, seen) -> DataFrame:
     """(doc_id, mark, start, text) of the maximal runs of windows whose anchors are in the broadcast filter `seen`, or, without it, under texts.spans (start, many).
 
-    text: the words with one space between them.
+    text: the words with the blanks between them.
     """
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, mark long, start long, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, parts in _named(_peeked(batches, kinds := []), window, ["doc_id", "mark"] + ["spans"] * (seen is None), words_too=True):
+        for names, parts, data, first_byte, end_byte in _named(_peeked(batches, kinds := []), window, ["doc_id", "mark"] + ["spans"] * (seen is None)):
+            starts, part = _starts(parts, window)
+            if not len(starts):
+                continue
             if seen is not None:
-                starts, part = _starts(parts, window)
                 on = seen.value.has(anchors(names, starts, window)[0])
                 begin = np.flatnonzero(on & np.r_[True, ~on[:-1] | (part[1:] != part[:-1])])
                 end = np.flatnonzero(on & np.r_[~on[1:] | (part[1:] != part[:-1]), True])
@@ -332,13 +370,16 @@ def _stretches(texts: DataFrame, window: int, seen) -> DataFrame:
             else:
                 found = []
                 for k, (a, b, first, *_, spans) in enumerate(parts):
+                    if b - a < window:
+                        continue
                     at = np.array([x["start"] for x in spans], np.int64) - first
                     hit, most = np.zeros(b - a - window + 2, np.int64), b - a - window + 1
                     np.add.at(hit, np.clip(at, 0, most), 1)
                     np.add.at(hit, np.clip(at + np.array([x["many"] for x in spans], np.int64), 0, most), -1)
                     edge = np.diff(np.r_[0, np.cumsum(hit)[:-1] > 0, 0].astype(np.int8))
                     found += [(k, i, j) for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
-            rows = [(parts[k][4], parts[k][5], parts[k][2] + int(i), b" ".join(parts[k][3][i : j + window - 1]).decode()) for k, i, j in found]
+            cut = lambda a, i, j: data[first_byte[a + i] : end_byte[a + j + window - 2]].decode()  # noqa: B023, E731
+            rows = [(parts[k][3], parts[k][4], parts[k][2] + int(i), cut(parts[k][0], i, j)) for k, i, j in found]
             if rows:
                 doc, mark, start, held = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, kinds[0]), pa.array(mark, pa.int64()), pa.array(start, pa.int64()), pa.array(held, pa.string())], names=["doc_id", "mark", "start", "text"])
@@ -347,18 +388,17 @@ def _stretches(texts: DataFrame, window: int, seen) -> DataFrame:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """(names, row, row's first place in names, rows): stretches of about WORDS words behind one another."""
-    cache = _Names()
+    """(names, row, row's first place in names, rows): stretches of about SLICE bytes behind one another."""
     for batch in batches:
-        held, many, begin = [], [], 0
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            words = text.encode().split()
-            held.append(b"".join(map(cache.__getitem__, words)))
-            many.append(len(words))
-            if sum(many) >= WORDS or i + 1 == batch.num_rows:
-                own = np.array(many)
-                yield np.frombuffer(b"".join(held), "<u8").reshape(-1, 2), np.repeat(np.arange(len(own)), own), np.cumsum(own) - own, batch.slice(begin, len(own))
-                held, many, begin = [], [], i + 1
+        held, n, begin = [], 0, 0
+        for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+            held.append(text)
+            n += len(text)
+            if n >= SLICE or i + 1 == batch.num_rows:
+                names, first, _ = named(b" ".join(held), 2)
+                cuts = np.searchsorted(first, np.cumsum([0] + [len(h) + 1 for h in held]))
+                yield names, np.repeat(np.arange(len(held)), np.diff(cuts)), cuts[:-1], batch.slice(begin, len(held))
+                held, n, begin = [], 0, i + 1
 
 
 def _symbols(stretches: DataFrame, least: int) -> DataFrame:
@@ -401,10 +441,10 @@ def _windows(stretches: DataFrame, window: int, seen) -> DataFrame:
     return stretches.mapInArrow(run, schema)
 
 
-def _earlier(rows: DataFrame) -> DataFrame:
-    """The rows whose name (a, b) also occurs in an earlier document."""
-    first = _shared(rows, ["a", "b"])
-    return rows.join(first, ["a", "b"]).filter("_least < doc_id").drop("_least")
+def _earlier(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose name (a, b) also occurs in an earlier document, and a table that they read: written, so that the join's sides are plain exchanges and a hot name can be split."""
+    first = materialize(_shared(rows, ["a", "b"]))
+    return rows.join(first, ["a", "b"]).filter("_least < doc_id").drop("_least"), first
 
 
 def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -438,14 +478,16 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     forget(keys)
 
     # Twice the window: a symbol of that length spares as many windows as lie over its edges.
-    settled = materialize(_earlier(_symbols(stretches, 2 * window)))
+    later, names = _earlier(_symbols(stretches, 2 * window))
+    settled = materialize(later)
     by = settled.groupBy("doc_id", "mark", F.col("stretch").alias("start")).agg(F.collect_set(F.struct("start", "words")).alias("settled"))
     by = F.broadcast(by) if settled.count() <= BROADCAST_IDS else by
     windows = _windows(stretches.join(by, ["doc_id", "mark", "start"], "left"), window, second)
-    found = settled.select("doc_id", "mark", "start", "words").union(_earlier(windows).select("doc_id", "mark", "start", F.lit(window).cast("long")))
+    later, hashes = _earlier(windows)
+    found = settled.select("doc_id", "mark", "start", "words").union(later.select("doc_id", "mark", "start", F.lit(window).cast("long")))
     found = found.union(copies.select("doc_id", "mark", F.lit(0).cast("long"), F.lit(-1).cast("long")))
     covered = materialize(found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "words")).alias("ranges")))
-    forget(stretches, settled, copies)
+    forget(stretches, settled, copies, names, hashes)
     return covered
 
 

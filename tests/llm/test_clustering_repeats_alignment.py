@@ -133,12 +133,14 @@ def test_filter_holds_its_keys(spark):
 
 
 def test_slices_cover_every_window():
-    for _, text in passages(9)[:40] + [(0, "word" * 700 + " " + "b " * 90), (0, " ")]:
+    for _, text in passages(9)[:40] + [(0, "word" * 700 + " " + "b " * 90), (0, " "), (0, "a b " + "long" * 900), (0, "x" * 5000)]:
         for size in (50, 200, 1000):
             old, recompression.SLICE = recompression.SLICE, size
             try:
-                words, seen, windows = text.encode().split(), {}, set()
-                for first, part in recompression.sliced(text, 13):
+                name = lambda w: w if size > len(text) or len(w) < size else b"\0" + recompression.xxhash.xxh3_128_hexdigest(w).encode()  # noqa: B023, E731
+                words, seen, windows = list(map(name, text.encode().split())), {}, set()
+                for first, part in recompression.sliced(text.encode(), 13):
+                    part = part.split()
                     assert all(seen.setdefault(first + i, w) == w for i, w in enumerate(part))
                     windows |= {first + i for i in range(len(part) - 12)}
             finally:
@@ -146,6 +148,14 @@ def test_slices_cover_every_window():
             assert [seen[i] for i in range(len(seen))] == words and windows == set(range(max(0, len(words) - 12)))
 
 
+def test_names_hang_on_the_word_alone():
+    words = [b"a", b"b", b"ab", b"ba", b"aa", b"\xc2\xa0", b"a" * 300]
+    one, begin, end = recompression.named(b"\t" + b" ".join(words) + b"\n", 2)
+    two = recompression.named(b"  ".join(words[::-1] + [b"tail"]), 2)[0]
+    assert (one == two[:-1][::-1]).all() and len(np.unique(one)) == 2 * len(words) and len(begin) == len(end) == len(words)
+    assert len(recompression.named(b"", 2)[0]) == 0
+
+
 def test_symbols_inside_a_passage_hang_on_the_passage_alone():
     r = np.random.default_rng(3)
     for alphabet in (1, 2, 5, 1000):
