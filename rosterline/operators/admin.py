@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rosterline.functions.text import slug
 from rosterline.operators.rules import transitions
 from rosterline.operators.search import broadcast_if_small, numbered
+from rosterline.operators.slugs import renamed
 
 #: Most judges in a batch, days after which a harvest is stale, most jobs on a page.
 BATCH, FRESH_DAYS, JOB_PAGE = 50, 90, 100
@@ -43,6 +44,8 @@ def partially_updated(judges: DataFrame, changes: DataFrame) -> DataFrame:
     """Judges after changes(judge_id, set array of the fields that are given, values); only given fields change, given empty ones become null.
 
     A given but empty name is refused: error tells so and nothing of that row changes; a change without a judge has an error too.
+    Where judges have slug and court_id, a row that is given a name gets the least free slug in its (new) court, one after
+    another by judge_id. At most one change per judge.
     """
     given = [c for c in changes.columns if c not in ("judge_id", "set")]
     new = changes.select(F.col("judge_id").alias("_id"), F.col("set").alias("_set"), *(F.col(c).alias(f"_{c}") for c in given))
@@ -51,7 +54,15 @@ def partially_updated(judges: DataFrame, changes: DataFrame) -> DataFrame:
     error = F.when(F.col("judge_id").isNull(), "Judge not found").when(refused, "Full name cannot be empty")
     change = lambda c: F.coalesce(F.array_contains("_set", c), F.lit(False)) & error.isNull()
     columns = {c: F.when(change(c), F.nullif(F.trim(f"_{c}"), F.lit(""))).otherwise(F.col(c)) for c in given}
-    return rows.withColumn("error", error).withColumns(columns).select(F.coalesce("judge_id", "_id").alias("judge_id"), *(c for c in judges.columns if c != "judge_id"), "error")
+    out = rows.withColumn("error", error).withColumns(columns).select(F.coalesce("judge_id", "_id").alias("judge_id"), *(c for c in judges.columns if c != "judge_id"), "error")
+    if not {"slug", "court_id"} <= set(judges.columns) or "full_name" not in given:
+        return out
+    told = lambda c, value: F.when(F.array_contains("_set", c), value) if c in given else F.lit(None).cast("string")
+    name = told("full_name", F.trim("_full_name"))
+    court = told("court_id", F.col("_court_id")) if "court_id" in given else F.lit(None).cast(judges.schema["court_id"].dataType)
+    asked = new.filter(~(F.coalesce(F.array_contains("_set", "full_name"), F.lit(False)) & _blank("_full_name"))).select(F.col("_id").alias("judge_id"), court.alias("new_scope"), name.alias("new_name"))
+    found = renamed(judges.select("judge_id", "court_id", "slug"), asked.filter("new_name is not null or new_scope is not null"), "judge_id", "court_id").select(F.col("id").alias("_id"), F.col("slug").alias("_new"))
+    return out.join(found, F.col("judge_id") == F.col("_id"), "left").withColumn("slug", F.coalesce("_new", "slug")).drop("_id", "_new")
 
 
 def batch_transitions(items: DataFrame, most: int = BATCH) -> DataFrame:

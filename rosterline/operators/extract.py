@@ -11,11 +11,13 @@ from pyspark.sql.window import Window
 from rosterline.functions.text import county_of_header, is_county_name, looks_like_name, roster_name
 from rosterline.functions.values import json_of_answer, repaired_json, resolved
 from rosterline.sources.markup import cells, next_people
+from rosterline.sources.page_tree import element, first_in_places, nodes
 from rosterline.sources.providers import Model, completed
 
 #: Most people a page can plausibly list, by court type; a page needs this many for a roster to count.
 CAP, CIRCUIT_CAP, LEAST = 20, 70, 3
 ROSTER = ["page_id", "pos", "name", "county", "href", "is_chief", "confidence", "method"]
+# The honorific before a name, and names of files that are no portraits.
 HON = r"(?i)^(?:Hon\.\s*|Honorable\s+)(.+)$"
 NOISE = r"(?i)icon|logo|sprite|banner|pixel|spacer|button|arrow|social|facebook|twitter|\.svg"
 ANSWER = "judges array<struct<name string, courtType string, county string, bioPageUrl string, isChiefJudge boolean>>, pageTitle string"
@@ -121,49 +123,47 @@ def portraits(pages: DataFrame) -> DataFrame:
     return best.join(pages.select("page_id", "url"), "page_id").select("page_id", resolved(F.col("src"), F.col("url")).alias("photo"))
 
 
-def _image_after(opening: str) -> Column:
-    """The attributes of the first image behind an opening tag of the given pattern."""
-    return F.nullif(F.regexp_extract("html", rf"(?is){opening}.*?<img\b([^>]*)>", 1), F.lit(""))
+# Where encyclopaedias and court pages keep the portrait, in the order in which they are asked: (place, image).
+_IMG = {"tag": "img"}
+INFOBOXES = {
+    "wikipedia.org": [({"tag": "table", "cls": "infobox"}, _IMG), ({"tag": "table", "cls": "vcard"}, _IMG), ({"cls": "infobox"}, _IMG)],
+    "ballotpedia.org": [({"cls": "infobox"}, _IMG), ({"cls": "officeholder-info"}, _IMG), ({"cls": "widget-row"}, _IMG)],
+}
+PORTRAIT_PLACES = [
+    *(({"cls": c}, _IMG) for c in ("judge-photo", "bio-photo", "judge-image", "profile-photo", "judge-profile", "judicial-officer")),
+    ({"tag": "article"}, {"tag": "img", "attribute": ("alt", "judge")}), ({"cls": "content-area"}, {"tag": "img", "first_of_type": True}), ({"tag": "main"}, {"tag": "img", "first_of_type": True}),
+]
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*[\"']?([^\"'\s>]*)", 1)
+def _first_fitting(pages: DataFrame, tree: DataFrame | None, places: list[tuple[dict, dict]], fits: Column) -> DataFrame:
+    """page_id and photo: the first image of the earliest place whose first image has a source and `fits` (over src, alt, width and site)."""
+    found = first_in_places(nodes(pages) if tree is None else tree, [element(**i) for _, i in places], [element(**p) for p, _ in places])
+    at = lambda k: F.element_at("attributes", k)
+    width = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(at("width"), r"^\s*(\d{1,9})", 1), F.lit("")), F.lit("999999999")), F.lit(0))
+    images = found.select("page_id", "place", at("src").alias("src"), F.lower(F.coalesce(at("alt"), F.lit(""))).alias("alt"), width.alias("width"))
+    best = images.filter((F.col("src") != "") & fits).groupBy("page_id").agg(F.min_by("src", "place").alias("_src"))
+    return best.join(pages.select("page_id", "url"), "page_id").select("page_id", resolved(F.col("_src"), F.col("url")).alias("photo"))
 
 
-def _classed(tag: str, name: str) -> str:
-    return rf"<{tag}\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?<![\w-]){name}(?![\w-])[^\"']*[\"'][^>]*>"
+def encyclopaedia_portraits(pages: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """page_id and photo of encyclopaedia pages(page_id, url, html): the first image of the infobox, no icon; pages under 100 characters have none.
 
-
-# Where encyclopaedias keep the portrait, and the ordered places of court pages.
-INFOBOXES = {"wikipedia.org": [_classed("table", "infobox"), _classed("table", "vcard"), _classed(r"\w+", "infobox")], "ballotpedia.org": [_classed(r"\w+", c) for c in ("infobox", "officeholder-info", "widget-row")]}
-PORTRAIT_PLACES = [_classed(r"\w+", c) for c in ("judge-photo", "bio-photo", "judge-image", "profile-photo", "judge-profile", "judicial-officer")] + [r"<article\b[^>]*>", _classed(r"\w+", "content-area"), r"<main\b[^>]*>"]
-
-
-def encyclopaedia_portraits(pages: DataFrame) -> DataFrame:
-    """page_id and photo of encyclopaedia pages: the first image of the infobox, no icon; pages under 100 characters have none."""
+    tree: the pages' nodes(), if they have been written already. page_id must be unique.
+    """
     host = F.lower(F.try_parse_url("url", F.lit("HOST")))
-    photo = F.lit(None).cast("string")
-    for site, places in INFOBOXES.items():
-        tags = [_image_after(p) for p in places]
-        width = lambda t: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(_attribute(t, "width"), r"^\d+", 0), F.lit("")), F.lit("99999")), F.lit(0))
-        fits = (lambda t: ~((width(t) > 0) & (width(t) < 50))) if site == "wikipedia.org" else (lambda t: ~_attribute(t, "src").rlike(NOISE))
-        found = F.coalesce(*(F.when((_attribute(t, "src") != "") & fits(t), _attribute(t, "src")) for t in tags))
-        photo = F.when(host.contains(site), found).otherwise(photo)
-    rows = pages.filter(F.length("html") >= 100).select("page_id", "url", photo.alias("_src")).filter("_src is not null")
-    return rows.select("page_id", resolved(F.col("_src"), F.col("url")).alias("photo"))
-
-
-def court_page_portraits(pages: DataFrame) -> DataFrame:
-    """page_id and photo by ten ordered places; an image of an article must speak of a judge; logos, icons, seals and drawings are passed over."""
-    def src(place: str) -> Column:
-        tag = _image_after(place)
-        address, alt = _attribute(tag, "src"), F.lower(F.regexp_extract(tag, r"(?i)\balt\s*=\s*[\"']([^\"']*)", 1))
-        odd = F.lower(address).rlike(r"logo|icon|seal|1x1|\.svg$") | alt.rlike("logo|icon|seal")
-        judge = alt.contains("judge") if place.startswith("<article") else F.lit(True)
-        return F.when((address != "") & ~odd & judge, address)
-
-    rows = pages.select("page_id", "url", F.coalesce(*map(src, PORTRAIT_PLACES)).alias("_src")).filter("_src is not null")
-    return rows.select("page_id", resolved(F.col("_src"), F.col("url")).alias("photo"))
+    long = pages.filter(F.length("html") >= 100)
+    small = (F.col("width") > 0) & (F.col("width") < 50)
+    fit = {"wikipedia.org": ~small, "ballotpedia.org": ~F.col("src").rlike(NOISE)}
+    wiki, other = INFOBOXES
+    both = (long.filter(host.contains(wiki)), wiki), (long.filter(host.contains(other) & ~host.contains(wiki)), other)
+    first, second = (_first_fitting(p, None if tree is None else tree.join(p.select("page_id"), "page_id", "left_semi"), INFOBOXES[s], fit[s]) for p, s in both)
+    return first.unionByName(second)
+
+
+def court_page_portraits(pages: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """page_id and photo by ordered places; an image of an article must speak of a judge; logos, icons, seals and drawings are passed over, and their place with them."""
+    odd = F.lower("src").rlike(r"logo|icon|seal|1x1|\.svg$") | F.col("alt").rlike("logo|icon|seal")
+    return _first_fitting(pages, tree, PORTRAIT_PLACES, ~odd)
 
 
 def portraits_in_order(pages: DataFrame, classes: list[str]) -> DataFrame:

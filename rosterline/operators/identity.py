@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from rosterline.functions.text import county_key, edit_similarity, graduation_year, identity_hash, identity_name, law_school
 from rosterline.functions.values import loose_year
+from rosterline.operators.folds import ordered_fold
 
 # The bases, thresholds and steps of the confidence score.
 BASES = {"OFFICIAL_GOV": 0.65, "COURT_WEBSITE": 0.55, "ELECTION_RECORDS": 0.55, "SECONDARY": 0.45}
@@ -83,19 +87,68 @@ def duplicates_by_identity(records: DataFrame) -> DataFrame:
     return kept.filter("_n > 1").select("identity", "seq", "kept_seq")
 
 
-def merged_by_key(records: DataFrame, maximum: str = "confidence") -> DataFrame:
-    """One record per lower-case name, court and county; nulls only are filled, the highest score stays, provenance is united."""
-    key = F.concat_ws("|", F.lower(F.trim("full_name")), F.lower(F.trim("court_type")), county_key(F.coalesce("county", F.lit(""))))
-    score = sum((F.coalesce((F.col(c) != "").cast("int"), F.lit(0)) for c in ("full_name", "court_type", "county", *FILLED) if c in records.columns), F.lit(0))
-    df = records.withColumns({"_key": key, "_place": F.struct((-score).alias("r"), F.col("seq").alias("s"))})
-    def value(c: str, kind: str) -> Column:
-        if kind.startswith("array"):
-            return F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
-        if c == maximum:
-            return F.max(c).alias(c)
-        return F.min_by(c, F.when(F.col(c).isNotNull() | F.lit(c not in FILLED), F.col("_place"))).alias(c)
+# The fields whose filled values make a record the richer one of two.
+SCORED = ["full_name", "court_type", "county", *(c for c in FILLED if c != "bar_admission_state")]
+
+
+def _merged(first: dict, second: dict, columns: list[str], arrays: list[str], maximum: str) -> dict:
+    """first with its nulls filled from second, arrays united in order (X1), the higher score."""
+    out = dict(first)
+    for c in columns:
+        if c in FILLED and out[c] is None:
+            out[c] = second[c]
+    for c in arrays:
+        out[c] = list(dict.fromkeys([*(first[c] or []), *(second[c] or [])]))
+    if maximum in out:
+        out[maximum] = max((v for v in (first[maximum], second[maximum]) if v is not None), default=None)
+    return out
+
+
+def folded_by_key(records: DataFrame, maximum: str = "confidence") -> DataFrame:
+    """The records of one lower-case name, court and county, folded in the order of seq.
+
+    A record is compared with what has been merged so far: if it has more filled fields, it becomes the base and
+    the merged one fills its nulls, else the other way round. Returns every record once more or less changed:
+    the merged one of each key (duplicate_of null, merged: how many went into it) and each one that went into another, as it was
+    then (duplicate_of: the seq of the base it went into). Empty texts count as not filled but aren't replaced.
+    """
+    none = F.lit("")
+    key = F.concat_ws("|", F.lower(F.trim(F.coalesce("full_name", none))), F.lower(F.trim(F.coalesce("court_type", none))), county_key(F.coalesce("county", none)))
+    columns = [c for c in records.columns if c != "seq"]
+    arrays = [c for c, t in records.dtypes if t.startswith("array")]
+    scored = [c for c in SCORED if c in columns]
+    k, of, n = (free_name(x, records.columns) for x in ("_key", "duplicate_of", "merged"))
+    schema = StructType([*records.schema.fields, StructField(of, records.schema["seq"].dataType), StructField(n, LongType())])
 
-    return df.groupBy("_key").agg(*(value(c, t) for c, t in records.dtypes if c != "seq"), F.min_by("seq", "_place").alias("kept_seq"), (F.count("*") - 1).alias("merged")).drop("_key")
+    def score(row: dict) -> int:
+        return sum(row[c] is not None and row[c] != "" for c in scored)
+
+    def step(state: dict, row: dict) -> Iterator[dict]:
+        if "row" not in state:
+            state |= {"row": row, "n": 0}
+            return
+        held, state["n"] = state["row"], state["n"] + 1
+        base, other = (row, held) if score(row) > score(held) else (held, row)
+        yield other | {of: base["seq"], n: None}
+        state["row"] = _merged(base, other, columns, arrays, maximum)
+
+    def end(state: dict) -> Iterator[dict]:
+        yield state["row"] | {of: None, n: state["n"]}
+
+    return ordered_fold(records.withColumn(k, key), [k], ["seq"], schema, dict, step, end)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def merged_by_key(records: DataFrame, maximum: str = "confidence") -> DataFrame:
+    """One record per lower-case name, court and county, with kept_seq and merged; see folded_by_key()."""
+    return folded_by_key(records, maximum).filter("duplicate_of is null").drop("duplicate_of").withColumnRenamed("seq", "kept_seq")
 
 
 def identity_stats(records: DataFrame) -> DataFrame:

@@ -49,23 +49,28 @@ def markdown_lines(table: DataFrame, title: str, order: list[str]) -> DataFrame:
     return head.unionByName(table.select(F.row_number().over(Window.orderBy(*order)).alias("n"), bars.alias("line")))
 
 
-def sitemap(chain: DataFrame, base: str, per_file: int = 50_000) -> DataFrame:
-    """File, loc, priority and change_frequency of the urls of every level, verified judges only; files are numbered through all of them.
+def sitemap(states: DataFrame, counties: DataFrame, courts: DataFrame, judges: DataFrame, base: str, as_of: str, per_file: int = 50_000) -> DataFrame:
+    """File, loc, last_modified, priority and change_frequency: the index, every state, county and court, and verified judges; files are numbered through all of them.
 
-    chain holds a row per judge (with slug) of every court. Ranks come from windows over 256 hash buckets, so no task sees all urls.
+    Tables have their parent's id, a slug and, if known, updated_at; the index is as of `as_of`. Courts and counties without
+    a judge are listed too. Ranks come from windows over 256 hash buckets, so no task sees all urls.
     """
-    slugs = ["state_slug", "county_slug", "court_slug"]
-    levels = [(n, 1.0 - n / 10, "weekly", chain) for n in range(4)] + [(4, 0.6, "monthly", chain.filter("status = 'VERIFIED'"))]
+    spark = states.sparkSession
+    changed = lambda t: (F.col("updated_at") if "updated_at" in t.columns else F.lit(None)).cast("timestamp").alias("last_modified")
+    url = lambda parent: F.concat(parent, F.col("slug"), F.lit("/")).alias("loc")
+    index = spark.range(1).select(F.lit(base + "/judges/").alias("loc"), F.lit(as_of).cast("timestamp").alias("last_modified"))
+    one = states.select("state_id", url(F.lit(base + "/judges/")), changed(states))
+    two = counties.join(one.select("state_id", F.col("loc").alias("_p")), "state_id").select("county_id", url(F.col("_p")), changed(counties))
+    three = courts.join(two.select("county_id", F.col("loc").alias("_p")), "county_id").select("court_id", url(F.col("_p")), changed(courts))
+    four = judges.filter("status = 'VERIFIED'").join(three.select("court_id", F.col("loc").alias("_p")), "court_id").select(url(F.col("_p")), changed(judges))
     urls = None
-    for n, priority, often, rows in levels:
-        columns = [*slugs, "slug"][:n]
-        part = rows.select(F.concat_ws("/", F.lit(base + "/judges"), *columns, F.lit("")).alias("loc"))
-        part = (part if n == 4 else part.distinct()).select("loc", F.lit(round(priority, 1)).alias("priority"), F.lit(often).alias("change_frequency"))
+    for n, (rows, often) in enumerate([(index, "weekly"), (one, "weekly"), (two, "weekly"), (three, "weekly"), (four, "monthly")]):
+        part = rows.select("loc", "last_modified", F.lit(round(1.0 - n / 10, 1)).alias("priority"), F.lit(often).alias("change_frequency"))
         urls = part if urls is None else urls.unionByName(part)
     dealt = urls.withColumn("_b", F.pmod(F.xxhash64("loc"), F.lit(256)))
     starts = dealt.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 256 rows
     ranked = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("loc"))).join(F.broadcast(starts.select("_b", "_s")), "_b")
-    return ranked.select(F.ceil((F.col("_s") + F.col("_i")) / per_file).cast("int").alias("file"), "loc", "priority", "change_frequency")
+    return ranked.select(F.ceil((F.col("_s") + F.col("_i")) / per_file).cast("int").alias("file"), "loc", "last_modified", "priority", "change_frequency")
 
 
 def script_safe(json: Column) -> Column:

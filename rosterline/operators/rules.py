@@ -155,14 +155,6 @@ def coverage(records: DataFrame) -> DataFrame:
     return long.withColumn("percent", F.floor(safe_divide(F.col("filled"), F.col("_total")) * 1000 + 0.5).cast("double") / 10).withColumnRenamed("_total", "total")
 
 
-def unique_slugs(rows: DataFrame, scope: str, name: str, order: str) -> DataFrame:
-    """A slug per row, -2, -3 ... for later rows of the same scope and slug."""
-    base = slug(F.col(name))
-    n = Window.partitionBy(scope, "_base").orderBy(order)
-    out = rows.withColumn("_base", base).withColumn("_n", F.row_number().over(n))
-    return out.withColumn("slug", F.when(F.col("_n") > 1, F.concat_ws("-", "_base", F.col("_n").cast("string"))).otherwise(F.col("_base"))).drop("_base", "_n")
-
-
 def exploded_by_county(records: DataFrame) -> DataFrame:
     """records(county, counties, level, deterministic) of trial courts without a county, one per county of their entry."""
     many = F.col("county").isNull() & ~F.col("level").isin("supreme", "appellate") & ~F.col("deterministic") & (F.size("counties") > 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rosterline.functions import values
-from rosterline.operators import admin, health
+from rosterline.operators import admin, health, slugs
 from rosterline.sources import reference
 from rosterline.sources.standins import AS_OF, CHAIN_SQL, chain, read, sql
 
@@ -31,11 +31,12 @@ def r27_validated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r27_updated(spark: SparkSession, d: str) -> DataFrame:
-    """Partial updates: names of judges without one, photos that are taken away, an unknown judge."""
-    j = read(spark, d, "judges").select("judge_id", "full_name", "photo_url")
-    changes = j.select("judge_id", F.when(F.col("full_name") == "", F.array(F.lit("full_name"))).otherwise(F.array(F.lit("photo_url"))).alias("set"), F.lit(" ").alias("full_name"), F.lit("").alias("photo_url"))
+    """Partial updates: names taken from judges (refused), new names with new slugs, photos that are taken away, an unknown judge."""
+    j = slugs.unique_slugs(read(spark, d, "judges"), "court_id", "full_name", "judge_id").select("judge_id", "full_name", "photo_url", "court_id", "slug")
+    given = F.when(F.col("full_name") == "", F.array(F.lit("full_name"))).when(F.col("judge_id") % 11 == 0, F.array(F.lit("full_name"), F.lit("photo_url"))).otherwise(F.array(F.lit("photo_url")))
+    changes = j.select("judge_id", given.alias("set"), F.when(F.col("full_name") == "", " ").otherwise(" Gus Roe ").alias("full_name"), F.lit("").alias("photo_url"))
     new = spark.createDataFrame([(-1, ["full_name"], "New", "")], changes.schema)
-    return admin.partially_updated(j, changes.unionByName(new))
+    return admin.partially_updated(j, changes.unionByName(new)).drop("court_id")
 
 
 def r22_batches(spark: SparkSession, d: str) -> DataFrame:
@@ -146,8 +147,10 @@ SQL = {
     "r27_validated": _W("judges", "courts") + f""", v AS (SELECT j.*, array_to_string(list_filter([CASE WHEN full_name = '' THEN 'full_name: Full name is required' END, CASE WHEN coalesce(trim(source_url), '') = '' THEN 'source_url: Source URL is required' END], lambda x: x IS NOT NULL), '; ') AS m,
       c.court_id IS NULL AS lost FROM judges j LEFT JOIN (SELECT * FROM courts WHERE type <> 'MACHINERY') c USING (court_id)), w AS (SELECT *, CASE WHEN m <> '' THEN m WHEN lost THEN 'court_id: Court not found' ELSE '' END AS errors FROM v)
       SELECT judge_id, errors, CASE WHEN errors = '' THEN {_SLUG} END AS slug, nullif(education, '') AS education, full_name AS name FROM w""",
-    "r27_updated": _W("judges") + """SELECT judge_id, full_name, CASE WHEN full_name = '' THEN photo_url END AS photo_url, CASE WHEN full_name = '' THEN 'Full name cannot be empty' END AS error FROM judges
-      UNION ALL SELECT -1, NULL, NULL, 'Judge not found'""",
+    "r27_updated": _W("judges") + """, b AS (SELECT *, trim(regexp_replace(lower(full_name), '[\\s-]+', '-', 'g'), '-') AS base, full_name <> '' AND judge_id % 11 = 0 AS new FROM judges),
+      n AS (SELECT *, row_number() OVER (PARTITION BY court_id, base ORDER BY judge_id) AS n, row_number() OVER (PARTITION BY court_id, new ORDER BY judge_id) AS m FROM b)
+      SELECT judge_id, CASE WHEN new THEN 'Gus Roe' ELSE full_name END AS full_name, CASE WHEN full_name = '' THEN photo_url END AS photo_url, CASE WHEN new THEN CASE WHEN m > 1 THEN 'gus-roe-' || m ELSE 'gus-roe' END WHEN n > 1 THEN base || '-' || n ELSE base END AS slug,
+      CASE WHEN full_name = '' THEN 'Full name cannot be empty' END AS error FROM n UNION ALL SELECT -1, NULL, NULL, NULL, 'Judge not found'""",
     "r22_batches": _W("judges") + """SELECT court_id AS batch, judge_id AS id, CASE WHEN n <= 10 AND status = 'UNVERIFIED' THEN 'VERIFIED' END AS new_status,
       CASE WHEN n > 10 THEN 'Maximum 10 judges per batch request.' WHEN status <> 'UNVERIFIED' THEN 'cannot verify from ' || status END AS error FROM (SELECT *, count(*) OVER (PARTITION BY court_id) AS n FROM judges)""",
     "r24_reviewed": _W("candidates") + """, a AS (SELECT *, CASE status WHEN 'DISCOVERED' THEN 'approve' WHEN 'PROMOTED' THEN 'delete' ELSE 'reject' END AS action FROM candidates),

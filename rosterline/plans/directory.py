@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from rosterline.functions.text import highlight
 from rosterline.functions.values import domain, host, iso, round_half_up, safe_divide
-from rosterline.operators import rules, search
+from rosterline.operators import rules, search, slugs
 from rosterline.operators.search import SearchParams
 from rosterline.sources.standins import AS_OF, CHAIN_SQL, chain, read, sql
 
@@ -180,9 +180,14 @@ def w4_positions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "judges").filter("status = 'VERIFIED'").select("court_id", "judge_id", F.row_number().over(w).alias("position"))
 
 
+_NUMBERED = "CASE WHEN judge_id % 7 < 2 THEN concat(full_name, ' 2') WHEN judge_id % 7 = 2 THEN concat(full_name, '-2-2') ELSE full_name END"
+
+
 def w6_slugs(spark: SparkSession, d: str) -> DataFrame:
-    """Unique slugs of the judges of a court."""
-    return rules.unique_slugs(read(spark, d, "judges"), "court_id", "full_name", "judge_id").select("judge_id", "slug")
+    """Unique slugs of the judges of a court; some have a number in their name, and one in four courts holds slugs already."""
+    j = read(spark, d, "judges").withColumn("full_name", F.expr(_NUMBERED))
+    held = j.filter("court_id % 4 = 0 AND judge_id % 5 = 0").select("court_id", F.lit("bo-lee-3").alias("slug")).distinct()
+    return slugs.unique_slugs(j, "court_id", "full_name", "judge_id", held).select("judge_id", "slug")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -225,6 +230,10 @@ SQL = {
     "t22_highlight": _W("judges") + r"SELECT judge_id, regexp_replace(full_name, '(LEE)', '<mark>\1</mark>', 'gi') AS marked FROM judges WHERE contains(lower(full_name), 'lee')",
     "r28_noindex": _C + "SELECT court_id, count_if(status = 'VERIFIED') < 3 AS noindex FROM chain GROUP BY court_id",
     "w4_positions": _W("judges") + "SELECT court_id, judge_id, CAST(row_number() OVER (PARTITION BY court_id ORDER BY full_name, judge_id) AS INT) AS position FROM judges WHERE status = 'VERIFIED'",
-    "w6_slugs": _W("judges") + """, b AS (SELECT judge_id, regexp_replace(regexp_replace(lower(full_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS base, court_id FROM judges),
-      n AS (SELECT *, row_number() OVER (PARTITION BY court_id, base ORDER BY judge_id) AS n FROM b) SELECT judge_id, CASE WHEN n > 1 THEN base || '-' || n ELSE base END AS slug FROM n""",
+    # row by row over the courts' judges, as asking one after another: i-th rows of all courts at once
+    "w6_slugs": "WITH RECURSIVE " + sql("judges") + f""", j AS (SELECT judge_id, court_id, trim(regexp_replace(lower({_NUMBERED}), '[\\s-]+', '-', 'g'), '-') AS base, row_number() OVER (PARTITION BY court_id ORDER BY judge_id) AS i FROM judges),
+      t(court_id, i, judge_id, slug, taken) AS (SELECT court_id, 0, NULL::BIGINT, NULL::VARCHAR, CASE WHEN court_id % 4 = 0 AND bool_or(judge_id % 5 = 0) THEN ['bo-lee-3'] ELSE []::VARCHAR[] END FROM judges GROUP BY court_id
+        UNION ALL SELECT court_id, i, judge_id, free, list_append(taken, free) FROM (SELECT t.court_id, j.i, j.judge_id, taken,
+          list_filter(list_concat([base], list_transform(range(2, len(taken) + 3), lambda n: base || '-' || n)), lambda x: NOT list_contains(taken, x))[1] AS free FROM t JOIN j ON j.court_id = t.court_id AND j.i = t.i + 1))
+      SELECT judge_id, slug FROM t WHERE i > 0""",
 }

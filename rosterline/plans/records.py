@@ -36,9 +36,13 @@ def r10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r8_merged(spark: SparkSession, d: str) -> DataFrame:
-    """One record per name, court and county."""
-    out = identity.merged_by_key(_records(spark, d))
-    return out.select(F.lower("full_name").alias("name"), F.lower("court_type").alias("court"), "county", "confidence", "merged")
+    """One record per name, court and county: the base by the running score, its gaps filled."""
+    return identity.merged_by_key(_records(spark, d))
+
+
+def r8_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Every record that went into another, as it was then, with the record it went into."""
+    return identity.folded_by_key(_records(spark, d)).filter("duplicate_of is not null").drop("merged")
 
 
 def r12_rescored(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +191,7 @@ def c1_by_county(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    r6_identity, r7_merged, r7_duplicates, r10_stats, r8_merged, r12_rescored, a21_tally, a14_coverage, r15_gate, j7_zero_counties, j16_counties, r17_courts, j19_authority, k1_upsert, k7_insert_if_absent,
+    r6_identity, r7_merged, r7_duplicates, r10_stats, r8_merged, r8_duplicates, r12_rescored, a21_tally, a14_coverage, r15_gate, j7_zero_counties, j16_counties, r17_courts, j19_authority, k1_upsert, k7_insert_if_absent,
     k10_downgraded, k12_cascade, k14_promotion, r22_transitions, r21_auto_status, e10_worthy, t16_similarity, t5_names, t9_courts, t11_scalars, m2_rounding, c1_by_county,
 )}
 
@@ -204,6 +208,19 @@ _IDENTITY = _W("records") + f""", p AS (SELECT *, {_N} AS n, CASE WHEN education
 _SCORED = """, scored AS (SELECT *, least(0.95, CASE source_authority WHEN 'OFFICIAL_GOV' THEN 0.65 WHEN 'COURT_WEBSITE' THEN 0.55 ELSE 0.45 END::DOUBLE + CASE WHEN extraction_method = 'deterministic' THEN 0.1 ELSE 0 END::DOUBLE
   + 0.05::DOUBLE * ((coalesce(photo_url, '') <> '')::INT + (coalesce(education, '') <> '')::INT + (coalesce(prior_experience, '') <> '')::INT)) AS new_score FROM base),
   out AS (SELECT *, new_score >= CASE source_authority WHEN 'OFFICIAL_GOV' THEN 0.7 WHEN 'COURT_WEBSITE' THEN 0.75 ELSE 0.8 END::DOUBLE AS promoted FROM scored) """
+# The fold of R8 as a recursion: the i-th records of all keys meet what was merged before them.
+_FIELDS = ["full_name", "court_type", "county", "state", "education", "bar_admission_date", "appointment_date", "photo_url", "division", "confidence"]
+_RECORD = ", ".join(_FIELDS)
+_SCORE = lambda r: " + ".join(f"CASE WHEN coalesce({r}.{c}, '') <> '' THEN 1 ELSE 0 END" for c in _FIELDS if c not in ("state", "confidence"))
+_FILL = ["education", "bar_admission_date", "appointment_date", "photo_url", "division"]
+_PICK = lambda a, b: ", ".join(f"'{c}': " + (f"coalesce({a}.{c}, {b}.{c})" if c in _FILL else f"greatest({a}.{c}, {b}.{c})" if c == "confidence" else f"{a}.{c}") for c in ["seq", *_FIELDS])
+_FOLDED = (
+    "WITH RECURSIVE " + sql("records") + f""", k AS (SELECT lower(trim(full_name)) || '|' || lower(trim(court_type)) || '|' || coalesce(county, '') AS key, * FROM records WHERE seq IS NOT NULL),
+  r AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY seq) AS i, count(*) OVER (PARTITION BY key) AS size, {{{', '.join(f"'{c}': {c}" for c in ["seq", *_FIELDS])}}} AS r FROM k),
+  s(key, i, size, m, d) AS (SELECT key, i, size, r, NULL::STRUCT({', '.join(f"{c} {'BIGINT' if c == 'seq' else 'DOUBLE' if c == 'confidence' else 'VARCHAR'}" for c in ["seq", *_FIELDS])}) FROM r WHERE i = 1
+    UNION ALL SELECT r.key, r.i, r.size, CASE WHEN ({_SCORE('r.r')}) > ({_SCORE('s.m')}) THEN {{{_PICK('r.r', 's.m')}}} ELSE {{{_PICK('s.m', 'r.r')}}} END, CASE WHEN ({_SCORE('r.r')}) > ({_SCORE('s.m')}) THEN s.m ELSE r.r END
+    FROM s JOIN r ON r.key = s.key AND r.i = s.i + 1), f AS (SELECT key, i, size, d, unnest(m) FROM s) """
+)
 SQL = {
     "r6_identity": _IDENTITY + "SELECT seq, identity, tier FROM i",
     "r7_merged": _IDENTITY + """, o AS (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY rich DESC, seq) AS k FROM i)
@@ -211,7 +228,8 @@ SQL = {
       arg_min(seq, k) AS kept_seq, count(*) - 1 AS merged FROM o GROUP BY identity""",
     "r7_duplicates": _IDENTITY + ", o AS (SELECT identity, seq, first_value(seq) OVER (PARTITION BY identity ORDER BY rich DESC, seq) AS kept_seq FROM i) SELECT * FROM o WHERE seq <> kept_seq",
     "r10_stats": _IDENTITY + "SELECT tier, count(*) AS n FROM i GROUP BY tier",
-    "r8_merged": _W("records") + "SELECT lower(full_name) AS name, lower(court_type) AS court, county, max(confidence) AS confidence, count(*) - 1 AS merged FROM records GROUP BY 1, 2, 3",
+    "r8_merged": _FOLDED + f"SELECT {_RECORD}, seq AS kept_seq, i - 1 AS merged FROM f WHERE i = size",
+    "r8_duplicates": _FOLDED + f"SELECT {', '.join(f'd.{c} AS {c}' for c in _FIELDS)}, d.seq AS seq, seq AS duplicate_of FROM f WHERE i > 1".replace("d.seq AS seq, seq AS", "d.seq AS seq, f.seq AS"),
     "r12_rescored": _W("judges") + ", base AS (SELECT * FROM judges WHERE status = 'UNVERIFIED' OR status = 'NEEDS_REVIEW' AND NOT flagged)" + _SCORED + "SELECT judge_id, round(new_score, 6) AS new_score, promoted FROM out",
     "a21_tally": f"WITH {CHAIN_SQL}, base AS (SELECT * FROM chain WHERE status IN ('UNVERIFIED', 'NEEDS_REVIEW'))" + _SCORED + "SELECT source_authority, state_abbr, count(*) AS seen, count_if(promoted) AS promoted FROM out GROUP BY GROUPING SETS ((source_authority), (state_abbr), ())",
     "a14_coverage": _W("records") + """, u AS (SELECT 'county' AS field, count_if(county <> '') AS filled, count(*) AS total FROM records UNION ALL SELECT 'education', count_if(education <> ''), count(*) FROM records

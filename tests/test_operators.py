@@ -187,9 +187,11 @@ def test_reports(spark, sf, tmp_path):
     with pytest.raises(Exception, match="(?i)exists"):
         reports.write_csv(c, path)
     slugged = c.withColumns({"slug": F.col("judge_id").cast("string"), "path": F.lit("/p/")})
-    urls = reports.sitemap(slugged, "https://x.org", per_file=1000)
+    levels = [standins.read(spark, sf, n) for n in ("states", "counties", "courts")]
+    judges = standins.read(spark, sf, "judges").withColumn("slug", F.col("judge_id").cast("string"))
+    urls = reports.sitemap(*levels, judges, "https://x.org", standins.AS_OF, per_file=1000)
     assert urls.groupBy("file").count().filter("count > 1000").isEmpty()
-    assert urls.count() == urls.select("loc").distinct().count() >= c.filter("status = 'VERIFIED'").count()
+    assert urls.count() == urls.select("loc").distinct().count() == 1 + sum(t.count() for t in levels) + c.filter("status = 'VERIFIED'").count()
     person = json.loads(reports.person_json_ld(slugged.withColumn("full_name", F.lit("<b>")), "https://x.org").first().json_ld)
     assert person["name"] == "<b>" and person["url"] == "https://x.org/p/" and person["jobTitle"].startswith("Judge, ")
     assert "\\u003c" in reports.person_json_ld(slugged.withColumn("full_name", F.lit("<b>")), "https://x.org").first().json_ld
