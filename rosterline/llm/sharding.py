@@ -6,18 +6,20 @@ reduced to size classes first: group weights below EXACT bytes are classes of th
 larger ones share a class with weights that differ by at most 1 part in STEPS. There are
 never more than EXACT + 64 * STEPS classes whatever the input, so the heap on the driver
 works on a table of proven size; groups then find their shard by their rank within the class.
-Once the larger groups have their shards, Spark adds up what each shard really holds, and the
-heap goes on from these loads with the groups below EXACT, whose sizes are exact.
+The heap works from octave to octave of weights, largest first. Before each, Spark adds up what the shards really hold, so
+what classes have rounded is levelled by the next octave, and what remains is the rounding of the
+smallest one. Within a class the shards take lighter and heavier groups by turns.
 """
 
 from __future__ import annotations
 
 import heapq
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterline.llm.common import forget, materialize, salted_rank
+from rosterline.llm.common import forget, free_name, materialize, salted_rank
 
 #: Weights below this are scheduled exactly; above it a class spans 1/STEPS of its weight.
 EXACT, STEPS = 4096, 256
@@ -39,7 +41,7 @@ def lpt(classes: list[tuple[int, int, int]], shards: int, loads: list[float] | N
     that level is found by bisection and the items that remain go through the heap.
     """
     loads, runs = list(loads or [0.0] * shards), []
-    for label, count, total in classes:
+    for turn, (label, count, total) in enumerate(classes):
         size = total / count
         take = [0] * shards
         if count > 2 * shards:
@@ -58,8 +60,8 @@ def lpt(classes: list[tuple[int, int, int]], shards: int, loads: list[float] | N
             take[j] += 1
             heapq.heapreplace(heap, (load + size, j))
         first = 0
-        for j, k in enumerate(take):
-            if k:
+        for j in range(shards) if turn % 2 else range(shards - 1, -1, -1):
+            if k := take[j]:
                 runs.append((label, first, first + k - 1, j))
                 first += k
                 loads[j] += k * size
@@ -72,34 +74,39 @@ def shard_by_bytes(rows: DataFrame, key: str, size: str, order: list[str], shard
     key: equal values (nulls too) stay together. size: bytes of a row, at least 1 in each
     group. order: columns that settle the slots; rows equal in all of them are alike, so any
     order of theirs will do. An empty table gives an empty table. A group is never split: one
-    that outweighs the others fills a shard alone. Columns that are called like the new ones
-    must not be in rows.
+    that outweighs the others fills a shard alone. Where rows have a shard or slot already, the new
+    columns have underscores behind their names.
     """
     spark = rows.sparkSession
+    taken = rows.columns
+    shard_, slot_ = free_name("shard", taken), free_name("slot", taken)
+    w_, class_, rank_, key_ = (free_name(x, taken) for x in ("_w", "_class", "_rank", "_key"))
     rows = materialize(rows)
-    groups = materialize(
-        rows.groupBy(key).agg(F.sum(size).alias("_w")).withColumn("_class", weight_class(F.greatest(F.col("_w"), F.lit(1))))
-    )
-    classes = groups.groupBy("_class").agg(F.count("*").alias("n"), F.sum(F.greatest("_w", F.lit(1))).alias("w"))
-    table = [(r[0], r[1], r[2]) for r in classes.orderBy(F.desc("_class")).collect()]  # bounded, see above
+    groups = rows.groupBy(F.col(key).alias(key_)).agg(F.greatest(F.sum(size), F.lit(1)).alias(w_))
+    groups = materialize(groups.withColumn(class_, weight_class(F.col(w_))))
+    classes = groups.groupBy(class_).agg(F.count("*").alias("n"), F.sum(w_).alias("w"))
+    table = [(r[0], r[1], r[2]) for r in classes.orderBy(F.desc(class_)).collect()]  # bounded, see above
     many = max(1, sum(n for _, n, _ in table) // ROWS_PER_TASK)
-    ranked = salted_rank(groups, "_class", ["_w", key], many, "_rank")
+    ranked = salted_rank(groups, class_, [w_, key_], many, rank_)
+    ranked = materialize(ranked)  # every octave reads it
 
     def placed(runs: list[tuple]) -> DataFrame:
-        plan = spark.createDataFrame(runs, "_c long, _from long, _to long, shard int")
+        plan = spark.createDataFrame(runs, "_c long, _from long, _to long, _shard int")
         plan = F.broadcast(plan) if len(runs) <= 200_000 else plan  # 24 bytes each
-        found = ranked.join(plan, (F.col("_class") == F.col("_c")) & F.col("_rank").between(F.col("_from"), F.col("_to")))
-        return found.select(F.col(key).alias("_key"), "shard", "_w")
-
-    large, small = ([c for c in table if (c[0] >= EXACT) == side] for side in (True, False))
-    runs, loads = lpt(large, shards), [0.0] * shards
-    if runs and small:
-        for shard, held in placed(runs).groupBy("shard").agg(F.sum(F.greatest("_w", F.lit(1)))).collect():
-            loads[shard] = float(held)
-    own = placed(runs + lpt(small, shards, loads)).drop("_w")
-    joined = materialize(rows.join(own, F.col(key).eqNullSafe(F.col("_key"))).drop("_key"))
-    forget(rows, groups)
-    return salted_rank(joined, "shard", order, max(1, joined.count() // ROWS_PER_TASK // shards), "slot")
+        return ranked.join(plan, (F.col(class_) == F.col("_c")) & F.col(rank_).between(F.col("_from"), F.col("_to"))).select(key_, F.col("_shard").alias(shard_), w_)
+
+    octave = lambda c: 0 if c < EXACT else 1 + (c - EXACT) // STEPS
+    loads, runs = [0.0] * shards, []
+    for _, band in groupby(table, lambda c: octave(c[0])):
+        own = lpt(list(band), shards, loads)
+        runs += own
+        if own[-1][0] >= EXACT:
+            for shard, held in placed(own).groupBy(shard_).agg(F.sum(w_)).collect():  # a row per shard
+                loads[shard] += float(held)
+    own = placed(runs).drop(w_)
+    joined = materialize(rows.join(own, F.col(key).eqNullSafe(F.col(key_))).drop(key_))
+    forget(rows, groups, ranked)
+    return salted_rank(joined, shard_, order, max(1, joined.count() // ROWS_PER_TASK // shards), slot_)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
