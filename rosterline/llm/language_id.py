@@ -24,12 +24,20 @@ from pyspark.sql import functions as F
 
 from rosterline.llm.common import WRITTEN, forget_unread, free_name, materialize
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")  # letters, and numerals such as ½ or Ⅷ
 UNKNOWN = "und"
 START, END = 1, 2
 _BASE, _ORDER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0xBF58476D1CE4E5B9)
 
 
+def letters(text: str) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    words = WORD.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [run for w in words for run in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 def keys_of(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(symbols, place in the word, key of the n-gram that ends at each symbol for n = 1..order).
 
@@ -83,7 +91,7 @@ def count_grams(texts: DataFrame, order: int, words_at_once: int = 100_000) -> D
                 part = big.slice(at, 500)
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                     words = seen.setdefault(lang, Counter())
-                    words.update(WORD.findall(text.lower()))
+                    words.update(letters(text))
                     if len(words) > words_at_once:
                         yield from _counts(words, lang, order)
                         words.clear()
@@ -244,7 +252,7 @@ def _row(docs: DataFrame, model: Model) -> Column:
         for texts in parts:
             done = []
             for at in range(0, len(texts), 300):
-                words = [WORD.findall(t.lower()) if t is not None else [] for t in texts.iloc[at : at + 300]]
+                words = [letters(t) if t is not None else [] for t in texts.iloc[at : at + 300]]
                 symbols = np.array([sum(map(len, w)) + len(w) for w in words], np.int64)
                 if not own.langs:
                     done.append(pd.DataFrame({"lang_pred": [UNKNOWN] * len(words), "score": 0.0, "entropy": np.nan, "symbols": symbols}))
