@@ -11,7 +11,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.entities import html5
 from itertools import groupby
 
@@ -98,21 +98,26 @@ def responses_from_pages(pages: DataFrame, date: str) -> DataFrame:
     )
 
 
+def _field(name: str) -> Column:
+    """A field of the map _h, whatever the case of its name."""
+    return F.get(F.filter(F.map_entries("_h"), lambda e: F.lower(e.key) == name.lower()), F.lit(0)).value
+
+
 def responses_from_records(records: DataFrame) -> DataFrame:
     """Response records of read_records(): the block parted into HTTP head and payload, digests taken from the headers or made.
 
     A payload is text in Latin-1 if the head says so, else in UTF-8 with what isn't valid
     replaced; a block without a blank line is all head. page_id is null. Records of other types are left out; other columns
-    are kept out.
+    are kept out. Names of fields are matched in any case.
     """
     rows = records.withColumns({"_h": F.coalesce("headers", F.create_map().cast("map<string,string>")), "_b": F.coalesce("block", F.lit(b""))})
-    rows = rows.filter(F.lower(F.col("_h")["WARC-Type"]) == "response").select("_h", "_b", F.decode("_b", "ISO-8859-1").alias("_s"))
+    rows = rows.filter(F.lower(_field("WARC-Type")) == "response").select("_h", "_b", F.decode("_b", "ISO-8859-1").alias("_s"))
     end = F.locate("\r\n\r\n", F.col("_s"))
     rows = rows.withColumn("_at", F.when(end > 0, end + 3).otherwise(F.length("_s")))
     rows = rows.withColumns({"_head": F.substring(F.col("_s"), F.lit(1), F.col("_at")), "_payload": F.substring(F.col("_b"), F.col("_at") + 1, F.length("_b"))})
     latin = F.col("_head").rlike(r"(?i)\ncontent-type:[^\r\n]*charset\s*=\s*\"?(?:iso-8859-1|latin-?1|windows-1252)")
     text = F.when(latin, F.decode("_payload", "ISO-8859-1")).otherwise(F.make_valid_utf8(F.col("_payload").cast("string")))
-    header = lambda name: F.col("_h")[name]
+    header = _field
     return rows.select(
         F.lit(None).cast("long").alias("page_id"),
         F.lit("response").alias("warc_type"),
@@ -177,38 +182,85 @@ def serialized(records: DataFrame) -> DataFrame:
     return records.select("record_id", F.encode(F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")), "UTF-8").alias("record"))
 
 
-def split_records(data: bytes) -> Iterator[dict[str, object]]:
-    """The records of bytes of a WARC file: headers, block, and whether the block's digest is right."""
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", start)) >= 0:
-        headers = dict(re.findall(r"(?m)^([\w-]+):[ \t]*([^\r\n]*)", data[start:end].decode("utf-8", "replace")))
-        block = data[end + 4 : (at := end + 4 + int(headers.get("Content-Length", 0)))]
-        digest = "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
-        yield {"headers": headers, "block": block, "intact": headers.get("WARC-Block-Digest", digest) == digest}
+_FIELD = re.compile(r"(?m)^([\w-]+):[ \t]*([^\r\n]*)")
+_CHUNK = 1 << 20
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The parts of a file that hold whole records: the members of a gzip file (a record each, as a rule), or all of it."""
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The content of a file in chunks, plain or of all members of a gzip file; what is broken off or no gzip ends it."""
     if not data.startswith(b"\x1f\x8b"):
-        yield data
+        yield from (data[at : at + _CHUNK] for at in range(0, len(data), _CHUNK))
         return
-    while data.startswith(b"\x1f\x8b"):
-        part = zlib.decompressobj(31)
-        yield part.decompress(data)
-        data = part.unused_data
+    at, part = 0, zlib.decompressobj(31)
+    while at < len(data):
+        try:
+            out = part.decompress(data[at : at + _CHUNK], _CHUNK)
+            at += _CHUNK
+            while out or part.unconsumed_tail:
+                yield out
+                out = part.decompress(part.unconsumed_tail, _CHUNK) if part.unconsumed_tail else b""
+        except zlib.error:
+            return
+        if part.eof:
+            at = min(at, len(data)) - len(part.unused_data)
+            part = zlib.decompressobj(31)
+
+
+def split_records(chunks: Iterable[bytes]) -> Iterator[dict[str, object]]:
+    """The records of a WARC file that comes in chunks: headers, block, and whether the block is whole and its digest right.
+
+    Only one record is held at a time. Names of fields count in any case. Where Content-Length is
+    missing or no number the block ends at the next record and is not intact, as one that is broken off is not.
+    """
+    source, held = iter(chunks), bytearray()
+
+    def more() -> bool:
+        chunk = next(source, None)
+        held.extend(chunk or b"")
+        return chunk is not None
+
+    def find(what: bytes, at: int) -> int:
+        while (found := held.find(what, at)) < 0:
+            at = max(at, len(held) - len(what) + 1)
+            if not more():
+                return -1
+        return found
+
+    while (start := find(b"WARC/", 0)) >= 0 and (end := find(b"\r\n\r\n", start)) >= 0:
+        headers = dict(_FIELD.findall(held[start:end].decode("utf-8", "replace")))
+        fields = {k.lower(): v for k, v in headers.items()}
+        length = fields.get("content-length", "").strip()
+        sure = length.isascii() and length.isdigit()
+        if sure:
+            last = end + 4 + int(length)
+            while len(held) < last and more():
+                pass
+            sure = len(held) >= last
+        else:
+            following = find(b"\r\n\r\nWARC/", end + 4)
+            last = len(held) if following < 0 else following
+        block = bytes(held[end + 4 : last])
+        del held[:last]
+        digest = "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+        yield {"headers": headers, "block": block, "intact": sure and fields.get("warc-block-digest", digest) == digest}
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """headers, block, intact of every record of WARC files, plain or gzip by record, a file to a task."""
+    """headers, block, intact of every record of WARC files, plain or gzip, a file to a task; it is inflated in chunks and parted as it comes."""
     kind = pa.schema([("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("intact", pa.bool_())])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                for part in members(data.as_py()):
-                    rows = [r | {"headers": list(r["headers"].items())} for r in split_records(part)]
-                    for at in range(0, len(rows), 1000):
-                        yield pa.RecordBatch.from_pylist(rows[at : at + 1000], schema=kind)
+                rows, size = [], 0
+                for r in split_records(inflated(data.as_py())):
+                    rows.append(r | {"headers": list(r["headers"].items())})
+                    size += len(r["block"])
+                    if len(rows) >= 1000 or size > 1 << 24:
+                        yield pa.RecordBatch.from_pylist(rows, schema=kind)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(parts, "headers map<string,string>, block binary, intact boolean")
