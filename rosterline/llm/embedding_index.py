@@ -30,7 +30,11 @@ _VISIT = 1 << 20
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a power of two takes each row's largest component near 1 first, so that no square overflows or vanishes."""
     rows = rows.astype(np.float64)
+    power = np.frexp(np.abs(rows).max(axis=1, initial=0))[1]
+    half = -power // 2  # in two steps: the power itself may not be a double
+    rows = np.ldexp(np.ldexp(rows, half[:, None]), (-power - half)[:, None])
     return rows / np.linalg.norm(rows, axis=1)[:, None]
 
 

@@ -494,7 +494,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 3, alpha: float =
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """encoded with a text column from its ids; null ids give a null text."""
+    """encoded with a text column from its ids, in place of any that it has; null ids give a null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sampler(model, 1, 1.0).v
