@@ -158,7 +158,7 @@ def j9_missing_courts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j10_harvest_status(spark: SparkSession, d: str) -> DataFrame:
-    """States with when their urls were last scraped: fresh, stale or never."""
+    """States with when their urls were last scraped: fresh, stale or never."""
     last = read(spark, d, "logs").filter("success").groupBy("state_abbr").agg(F.max("scraped_at").alias("last"))
     kind = F.when(F.col("last").isNull(), "never").when(F.col("last") < F.expr("TIMESTAMP_NTZ '2024-01-30 23:00:00'"), "stale").otherwise("fresh")
     return read(spark, d, "states").join(last, F.col("abbr") == F.col("state_abbr"), "left").select("abbr", kind.alias("state_of_data"))

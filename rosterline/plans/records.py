@@ -83,13 +83,13 @@ def j7_zero_counties(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j16_counties(spark: SparkSession, d: str) -> DataFrame:
-    """County names resolved by slug or by letters and digits."""
+    """County names resolved by slug or by letters and digits."""
     rows = read(spark, d, "counties").select("state_id", F.upper(F.regexp_replace("name", "_", " ")).alias("county"), "county_id").withColumnRenamed("county_id", "expected")
     return rules.resolved_county(rows, read(spark, d, "counties")).select("county", "county_id", (F.col("county_id") == F.col("expected")).alias("right"))
 
 
 def r17_courts(spark: SparkSession, d: str) -> DataFrame:
-    """Counties of courts: their own, that of an appellate court's seat, or the placeholder."""
+    """Counties of courts: their own, that of an appellate court's seat, or the placeholder."""
     counties = read(spark, d, "counties")
     seats = counties.groupBy("state_id").agg(F.min("name").alias("hq")).filter("state_id < 3").withColumn("court_type", F.lit("Supreme Court"))
     kind = F.when(F.col("type") == "BUILDING", "Supreme Court").when(F.col("type") == "MACHINERY", "Appellate Court").otherwise("County Court")
@@ -131,7 +131,7 @@ def k12_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k14_promotion(spark: SparkSession, d: str) -> DataFrame:
-    """Approved candidates that the configuration lacks, with their first health."""
+    """Approved candidates that the configuration lacks, with their first health."""
     c = read(spark, d, "candidates")
     return writes.promoted(c, c.filter("scrape_worthy is null").select("url"))[2]
 
@@ -148,14 +148,14 @@ def r21_auto_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e10_worthy(spark: SparkSession, d: str) -> DataFrame:
-    """Verdicts on documents by their labels, undecided without one."""
+    """Verdicts on documents by their labels, undecided without one."""
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
     out = docs.select("doc_id").join(labels.groupBy("doc_id").agg(F.avg("quality").alias("q"), F.max("toxic").alias("t")), "doc_id", "left")
     return out.select("doc_id", rules.worthy(F.col("q"), F.col("t") == 0).alias("worthy"))
 
 
 def t16_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Names of suppliers next to each other, compared."""
+    """Names of suppliers next to each other, compared."""
     s = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_type")
     a, b = F.col("p_name"), F.lower("p_type")
     return s.select("p_partkey", F.round(text.edit_similarity(a, b), 6).alias("edit"), F.round(text.word_overlap(a, F.concat(b, F.lit(" ring bolt"))), 6).alias("overlap"))
@@ -167,7 +167,7 @@ def t5_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t9_courts(spark: SparkSession, d: str) -> DataFrame:
-    """Court types in canonical form, and their level."""
+    """Court types in canonical form, and their level."""
     c = F.concat(F.lower("court_type"), F.when(F.col("seq") % 2 == 0, " of Texas").otherwise(""))
     return _records(spark, d).select("seq", text.court_type(c, F.lit("TX")).alias("kind"), rules.court_level(c).alias("level"))
 
@@ -185,7 +185,7 @@ def m2_rounding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c1_by_county(spark: SparkSession, d: str) -> DataFrame:
-    """Records of courts for several counties, one per county."""
+    """Records of courts for several counties, one per county."""
     r = _records(spark, d).select("seq", "county", F.array(F.lit("A"), F.lit("B")).alias("counties"), F.when(F.col("seq") % 3 == 0, "supreme").otherwise("trial").alias("level"), (F.col("seq") % 2 == 0).alias("deterministic"))
     return rules.exploded_by_county(r).select("seq", "county")
 

@@ -85,7 +85,7 @@ def l8_priority(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m5_not_recent(spark: SparkSession, d: str) -> DataFrame:
-    """Urls without a success of the last two days."""
+    """M5: urls without a success of the last two days."""
     logs = read(spark, d, "logs")
     return health.not_recent(logs.select("url").distinct(), logs, _now(), days=2)
 
@@ -119,7 +119,7 @@ def k13_failures_by_url(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d6_durations(spark: SparkSession, d: str) -> DataFrame:
-    """How long each url has been watched."""
+    """How long each url has been watched."""
     s = F.unix_seconds(F.max("scraped_at").cast("timestamp")) - F.unix_seconds(F.min("scraped_at").cast("timestamp"))
     return read(spark, d, "logs").groupBy("url").agg(duration(s).alias("watched"))
 

@@ -18,7 +18,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e2_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Headings and list items of every page."""
+    """E5: headings and list items of every page."""
     found = cells(_pages(spark, d)).filter("kind in ('h1', 'li')")
     return found.groupBy("page_id").agg(F.count_if(F.col("kind") == "h1").alias("headings"), F.count_if(F.col("kind") == "li").alias("items"))
 
@@ -50,7 +50,7 @@ def s21_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s8_fetched(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of all candidates and of all scraped urls from the table of pages, which lacks the latter."""
+    """Pages of all candidates and of all scraped urls from the table of pages, which lacks the latter."""
     urls = read(spark, d, "candidates").select("url").unionByName(read(spark, d, "logs").select("url")).distinct()
     return providers.fetched_offline(urls, _pages(spark, d)).select("url", F.length("body").alias("n"), "error")
 
