@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rosterline.functions.text import highlight
 from rosterline.functions.values import domain, host, iso, round_half_up, safe_divide
-from rosterline.operators import rules, search, slugs
+from rosterline.operators import name_index, ranked, rules, search, slugs
 from rosterline.operators.search import SearchParams
 from rosterline.sources.standins import AS_OF, CHAIN_SQL, chain, read, sql
 
@@ -39,6 +41,39 @@ def f1_search_total(spark: SparkSession, d: str) -> DataFrame:
     return search.search(chain(spark, d), SearchParams(court_type="BUILDING", state="EU", limit=20))[1]
 
 
+def _indexed(spark: SparkSession, d: str) -> tuple[ranked.RankedTable, name_index.NameIndex]:
+    """The directory in order of names, and the index of its names, both written."""
+    rows = chain(spark, d).select("judge_id", "full_name", "status", "court_type", "county_slug", "state_abbr")
+    table = ranked.write_ranked(rows, [F.asc("full_name"), F.asc("judge_id")], ranked.shared_path(spark, "ranked"))
+    return table, name_index.write_index(table.rows, "full_name", [ranked.RANGE, ranked.PLACE], ranked.shared_path(spark, "index"))
+
+
+def f1_indexed_page(spark: SparkSession, d: str) -> DataFrame:
+    """F1, F2, L1, L3: the page of f1_search_page by the index of names, which is built here first."""
+    rows, _ = name_index.search_indexed(*_indexed(spark, d), SearchParams(q="lee", page=2, limit=50))
+    return rows.select("judge_id", "full_name", "state_abbr", F.col("position").cast("int").alias("position"), "rank")
+
+
+TYPED = ["le", "AN", "o", "eva ", "ngu", "%"]
+
+
+def l9_autocomplete(spark: SparkSession, d: str) -> DataFrame:
+    """What five typed texts of two characters or more suggest, by the index of names."""
+    table, index = _indexed(spark, d)
+    found = [(q, name_index.suggestions_indexed(table, index, q)) for q in TYPED]
+    return reduce(DataFrame.union, [s.select(F.lit(q).alias("typed"), "judge_id", "full_name", "rank") for q, s in found if s is not None])
+
+
+def l12_ranked_pages(spark: SparkSession, d: str) -> DataFrame:
+    """An early and a late page of all judges and a late one of the verified, off ranges written in order."""
+    j = read(spark, d, "judges").select("judge_id", "source_url", "status")
+    order = [*search.sorted_by(j, {"source": "source_url"}, "source", "desc", "source"), F.asc("judge_id")]
+    table = ranked.write_ranked(j, order, ranked.shared_path(spark, "ranked"))
+    verified = table.rows.filter("status = 'VERIFIED'")
+    pages = {"early": table.page(2, 20), "late": table.page(60, 20), "verified": table.page(30, 15, verified)}
+    return reduce(DataFrame.union, [rows.select(F.lit(name).alias("asked"), "judge_id", "source_url", "position") for name, rows in pages.items()])
+
+
 def p1_nested(spark: SparkSession, d: str) -> DataFrame:
     """The nested projection, flattened again."""
     return search.nested(chain(spark, d)).select("judge_id", F.col("court.county.state.abbr").alias("abbr"), F.col("court.county.name").alias("county"), F.col("court.type").alias("type"))
@@ -191,7 +226,7 @@ def w6_slugs(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    a2_status_by_state, s3_sql_scan, f1_search_page, f1_search_total, p1_nested, p4_profile_urls, f3_most_specific, f7_states_with_verified, j6_neighbours, j4_children,
+    a2_status_by_state, s3_sql_scan, f1_search_page, f1_search_total, f1_indexed_page, l9_autocomplete, l12_ranked_pages, p1_nested, p4_profile_urls, f3_most_specific, f7_states_with_verified, j6_neighbours, j4_children,
     a3_candidates_by_status, a5_sources, a9_court_types, a10_latest_per_state, x7_table_counts, a20_target_percent, l2_sorted_page, l4_recent, l7_custom_order,
     f8_tri_state, f10_stale, f12_other_states, u1_hosts, j9_missing_courts, j10_harvest_status, t22_highlight, r28_noindex, w4_positions, w6_slugs,
 )}
@@ -204,6 +239,14 @@ SQL = {
     "f1_search_page": _C + """, p AS (SELECT *, row_number() OVER (ORDER BY full_name, judge_id) AS position FROM chain WHERE status = 'VERIFIED' AND contains(lower(full_name), 'lee'))
       SELECT judge_id, full_name, state_abbr, CAST(position AS INT) AS position, CAST(row_number() OVER (ORDER BY starts_with(lower(full_name), 'lee') DESC,
         len(list_filter(string_split(lower(full_name), ' '), lambda w: starts_with(w, 'lee'))) > 0 DESC, full_name, position) AS INT) AS rank FROM p WHERE position BETWEEN 51 AND 100""",
+    "l9_autocomplete": _C + ", typed AS (SELECT unnest(['le', 'an', 'eva ', 'ngu', '%']) AS q), " + """five AS (SELECT q, judge_id, full_name, row_number() OVER (PARTITION BY q ORDER BY full_name, judge_id) AS position
+        FROM chain, typed WHERE status = 'VERIFIED' AND contains(lower(full_name), q))
+      SELECT CASE q WHEN 'an' THEN 'AN' ELSE q END AS typed, judge_id, full_name, CAST(row_number() OVER (PARTITION BY q ORDER BY starts_with(lower(full_name), q) DESC,
+        len(list_filter(string_split(lower(full_name), ' '), lambda w: starts_with(w, q))) > 0 DESC, full_name, position) AS INT) AS rank FROM five WHERE position <= 5""",
+    "l12_ranked_pages": _W("judges") + """, placed AS (SELECT *, row_number() OVER (ORDER BY source_url DESC NULLS FIRST, judge_id) AS position FROM judges),
+        verified AS (SELECT *, row_number() OVER (ORDER BY source_url DESC NULLS FIRST, judge_id) AS position FROM judges WHERE status = 'VERIFIED')
+      SELECT CASE WHEN position <= 40 THEN 'early' ELSE 'late' END AS asked, judge_id, source_url, position FROM placed WHERE position BETWEEN 21 AND 40 OR position BETWEEN 1181 AND 1200
+      UNION ALL SELECT 'verified', judge_id, source_url, position FROM verified WHERE position BETWEEN 436 AND 450""",
     "f1_search_total": _C + "SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS total_pages FROM chain WHERE status = 'VERIFIED' AND full_name <> '' AND court_type = 'BUILDING' AND state_abbr = 'EU'",
     "p1_nested": _C + "SELECT judge_id, state_abbr AS abbr, county, court_type AS type FROM chain",
     "p4_profile_urls": _C + "SELECT judge_id, concat_ws('/', '/judges', state_slug, county_slug, court_slug) AS path, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS created FROM chain",
@@ -237,3 +280,4 @@ SQL = {
           list_filter(list_concat([base], list_transform(range(2, len(taken) + 3), lambda n: base || '-' || n)), lambda x: NOT list_contains(taken, x))[1] AS free FROM t JOIN j ON j.court_id = t.court_id AND j.i = t.i + 1))
       SELECT judge_id, slug FROM t WHERE i > 0""",
 }
+SQL["f1_indexed_page"] = SQL["f1_search_page"]
