@@ -174,14 +174,6 @@ def same_person(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"similarity": alike, "confidence": score})
 
 
-def candidate_pairs(records: DataFrame) -> DataFrame:
-    """Pairs of one state whose names share their Soundex last word; a = earlier, b = later by seq."""
-    block = F.concat_ws("|", "state", F.soundex(F.element_at(F.split(identity_name(F.col("full_name")), " "), -1)))
-    rows = records.select(block.alias("_block"), F.struct(*records.columns).alias("r"))
-    left, right = rows.select("_block", F.col("r").alias("a")), rows.select("_block", F.col("r").alias("b"))
-    return left.join(right, "_block").filter("a.seq < b.seq").drop("_block")
-
-
 def _by_authority(values: dict[str, float], default: float) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for p in values.items() for x in p))[F.col("source_authority")], F.lit(default))
 

@@ -24,7 +24,7 @@ SENT = 1_000_000
 
 def pieces(name: Column) -> Column:
     """The distinct three-character pieces of a name in lower case, one from each character on; null gives null."""
-    return F.array_distinct(F.regexp_extract_all(F.concat(F.lower(name), F.lit(END)), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.concat(F.lower(name), F.lit(END)), F.lit("(?s)(?=(.{3}))."), F.lit(1)))
 
 
 def bucket_of(piece: str, buckets: int) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterline.functions import text, values
-from rosterline.operators import identity, rules, writes
+from rosterline.operators import identity, rules, similar_names, writes
 from rosterline.sources.standins import CHAIN_SQL, chain, read, sql
 
 
@@ -154,6 +154,12 @@ def e10_worthy(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", rules.worthy(F.col("q"), F.col("t") == 0).alias("worthy"))
 
 
+def j20_similar_people(spark: SparkSession, d: str) -> DataFrame:
+    """Names in a county that are alike to 0.7, with the records of either."""
+    out = similar_names.people_alike(_records(spark, d), ["state", "county"], 0.7)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 def t16_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Names of suppliers next to each other, compared."""
     s = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_type")
@@ -192,7 +198,7 @@ def c1_by_county(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     r6_identity, r7_merged, r7_duplicates, r10_stats, r8_merged, r8_duplicates, r12_rescored, a21_tally, a14_coverage, r15_gate, j7_zero_counties, j16_counties, r17_courts, j19_authority, k1_upsert, k7_insert_if_absent,
-    k10_downgraded, k12_cascade, k14_promotion, r22_transitions, r21_auto_status, e10_worthy, t16_similarity, t5_names, t9_courts, t11_scalars, m2_rounding, c1_by_county,
+    k10_downgraded, k12_cascade, k14_promotion, r22_transitions, r21_auto_status, e10_worthy, j20_similar_people, t16_similarity, t5_names, t9_courts, t11_scalars, m2_rounding, c1_by_county,
 )}
 
 _W = lambda *n: f"WITH {sql(*n)} "
@@ -256,6 +262,10 @@ SQL = {
       CASE WHEN status <> 'UNVERIFIED' THEN 'cannot ' || CASE WHEN judge_id % 2 = 0 THEN 'verify' ELSE 'reject' END || ' from ' || status END AS error FROM judges) SELECT new_status, error, count(*) AS n FROM t GROUP BY 1, 2""",
     "r21_auto_status": _W("candidates") + "SELECT candidate_id, CASE WHEN scrape_worthy THEN 'APPROVED' WHEN NOT scrape_worthy THEN 'REJECTED' ELSE 'DISCOVERED' END AS status FROM candidates",
     "e10_worthy": "SELECT d.doc_id, CASE WHEN q >= 0.7 AND t = 0 THEN true WHEN q < 0.3 OR t <> 0 THEN false END AS worthy FROM documents d LEFT JOIN (SELECT doc_id, avg(quality) AS q, max(toxic) AS t FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id",
+    "j20_similar_people": _W("records") + f""", n AS (SELECT state, county, {_N} AS name, count(*) AS n FROM records WHERE full_name IS NOT NULL GROUP BY ALL),
+      p AS (SELECT a.state, a.county, a.name AS name_a, b.name AS name_b, a.n AS records_a, b.n AS records_b, 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) AS s
+        FROM n a JOIN n b ON a.state = b.state AND a.county IS NOT DISTINCT FROM b.county AND a.name < b.name)
+      SELECT state, county, name_a, name_b, records_a, records_b, round(s, 6) AS similarity FROM p WHERE s >= 0.7 - 1e-12""",
     "t16_similarity": """WITH w AS (SELECT *, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type) || ' ring bolt', ' ')) AS b FROM part)
       SELECT p_partkey, round(1 - levenshtein(p_name, lower(p_type))::DOUBLE / greatest(length(p_name), length(p_type)), 6) AS edit, round(len(list_intersect(a, b))::DOUBLE / greatest(len(a), len(b)), 6) AS overlap FROM w""",
     "t5_names": _W("records") + "SELECT seq, regexp_replace(full_name, '^(Hon[.]|Judge) ', '') AS name, regexp_replace(full_name, '^(Hon[.]|Judge) ', '') AS roster FROM records",
