@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterline.functions import text, values
-from rosterline.operators import identity, rules, similar_names, writes
+from rosterline.operators import bucketed, identity, maintained, rules, similar_names, writes
+from rosterline.operators.ranked import shared_path
 from rosterline.sources.standins import CHAIN_SQL, chain, read, sql
 
 
@@ -113,6 +114,30 @@ def k1_upsert(spark: SparkSession, d: str) -> DataFrame:
     return writes.upserted(t, s, ["judge_id"]).groupBy("change", "status").agg(F.count("*").alias("n"), F.count("full_name").alias("named"), F.count_if(F.col("photo_url") == "new.jpg").alias("photos"))
 
 
+def k1_bucketed_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Judges in buckets after an upsert, an update and a delete that touch only their buckets."""
+    t = read(spark, d, "judges").select("judge_id", "full_name", "status", "photo_url")
+    table = bucketed.write_bucketed(t, ["judge_id"], shared_path(spark, "judges"), 16)
+    reviewed = t.filter("status = 'NEEDS_REVIEW'")
+    table.upsert(reviewed.select((F.col("judge_id") + F.when(F.col("photo_url").isNull(), 10_000_000).otherwise(0)).alias("judge_id"), F.lit(None).cast("string").alias("full_name"), F.lit("new.jpg").alias("photo_url")))
+    table.update(F.col("full_name") == "Ann Lee", {"status": F.lit("VERIFIED")})
+    table.delete(F.col("status") == "REJECTED")
+    return table.rows
+
+
+def a2_maintained(spark: SparkSession, d: str) -> DataFrame:
+    """Judges by state of court and status, kept up to date while a third of them come, change and go."""
+    rows = chain(spark, d).select("judge_id", "state", "status", "flagged")
+    verified = F.when(F.col("status") == "VERIFIED", 1).otherwise(0)
+    kept = maintained.MaintainedAggregate(rows, ["state"], {"verified": verified, "flagged": F.col("flagged").cast("int")}, shared_path(spark, "kept"))
+    part = F.col("judge_id") % 3
+    kept.rebuild(rows.filter(part != 0))  # the others come later
+    kept.apply(0, inserted=rows.filter(part == 0))
+    kept.apply(1, inserted=rows.filter((part == 1) & (F.col("status") == "UNVERIFIED")).withColumn("status", F.lit("VERIFIED")), deleted=rows.filter((part == 1) & (F.col("status") == "UNVERIFIED")))
+    kept.apply(2, deleted=rows.filter("status = 'REJECTED'"))
+    return kept.current()
+
+
 def k7_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     """Candidates that are not known yet."""
     c = read(spark, d, "candidates")
@@ -197,7 +222,7 @@ def c1_by_county(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    r6_identity, r7_merged, r7_duplicates, r10_stats, r8_merged, r8_duplicates, r12_rescored, a21_tally, a14_coverage, r15_gate, j7_zero_counties, j16_counties, r17_courts, j19_authority, k1_upsert, k7_insert_if_absent,
+    r6_identity, r7_merged, r7_duplicates, r10_stats, r8_merged, r8_duplicates, r12_rescored, a21_tally, a14_coverage, r15_gate, j7_zero_counties, j16_counties, r17_courts, j19_authority, k1_upsert, k1_bucketed_writes, a2_maintained, k7_insert_if_absent,
     k10_downgraded, k12_cascade, k14_promotion, r22_transitions, r21_auto_status, e10_worthy, j20_similar_people, t16_similarity, t5_names, t9_courts, t11_scalars, m2_rounding, c1_by_county,
 )}
 
@@ -254,6 +279,11 @@ SQL = {
     "k1_upsert": _W("judges") + """, a AS (SELECT judge_id, full_name, photo_url, CASE WHEN status = 'NEEDS_REVIEW' AND photo_url IS NOT NULL THEN 'updated' ELSE 'kept' END AS change, status FROM judges),
       b AS (SELECT change, status, full_name, CASE WHEN change = 'updated' THEN 'new.jpg' ELSE photo_url END AS photo FROM a UNION ALL SELECT 'new', 'UNVERIFIED', NULL, 'new.jpg' FROM judges WHERE status = 'NEEDS_REVIEW' AND photo_url IS NULL)
       SELECT change, status, count(*) AS n, count(full_name) AS named, count_if(coalesce(photo, '') = 'new.jpg') AS photos FROM b GROUP BY 1, 2""",
+    "k1_bucketed_writes": _W("judges") + """, a AS (SELECT judge_id, full_name, status, CASE WHEN status = 'NEEDS_REVIEW' AND photo_url IS NOT NULL THEN 'new.jpg' ELSE photo_url END AS photo_url FROM judges
+        UNION ALL SELECT judge_id + 10000000, NULL, 'UNVERIFIED', 'new.jpg' FROM judges WHERE status = 'NEEDS_REVIEW' AND photo_url IS NULL),
+      b AS (SELECT judge_id, full_name, CASE WHEN full_name = 'Ann Lee' THEN 'VERIFIED' ELSE status END AS status, photo_url FROM a) SELECT * FROM b WHERE status <> 'REJECTED'""",
+    "a2_maintained": f"WITH {CHAIN_SQL}" + """, c AS (SELECT state, flagged, CASE WHEN judge_id % 3 = 1 AND status = 'UNVERIFIED' THEN 'VERIFIED' ELSE status END AS status FROM chain WHERE status <> 'REJECTED')
+      SELECT state, count_if(status = 'VERIFIED') AS verified, count_if(flagged) AS flagged, count(*) AS n FROM c GROUP BY state""",
     "k7_insert_if_absent": _W("candidates") + "SELECT url, min(candidate_id) AS candidate_id FROM candidates WHERE url NOT IN (SELECT url FROM candidates WHERE status = 'PROMOTED') GROUP BY url",
     "k10_downgraded": _W("candidates") + "SELECT candidate_id, CASE WHEN scrape_worthy AND last_yield = 0 AND harvest_attempts >= 2 THEN false ELSE scrape_worthy END AS scrape_worthy FROM candidates",
     "k12_cascade": _W("courts", "judges") + "SELECT status, count(*) AS n FROM judges JOIN courts USING (court_id) WHERE type <> 'BUILDING' GROUP BY status",
