@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterline.functions.values import duration
-from rosterline.operators import health, rules, search
+from rosterline.operators import health, rules, runs, search
 from rosterline.sources.standins import AS_OF, read, sql
 
 
@@ -124,11 +124,21 @@ def d6_durations(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "logs").groupBy("url").agg(duration(s).alias("watched"))
 
 
-QUERIES = {f.__name__: f for f in (w1_latest_logs, r18_health, r19_history, a6_summary, a7_global_summary, f5_moderate, f6_unresolved, m7_resolved, r16_failures, l8_priority, m5_not_recent, m6_due, m8_timeouts, k11_purge, k13_failures_by_url, d6_durations)}
+def m10_progress(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of every state's run of a day after each five urls and after the last."""
+    logs = read(spark, d, "logs").withColumn("day", F.to_date("scraped_at").cast("string"))
+    return runs.progress_rows(logs, ["state_abbr", "day"], ["scraped_at", "log_id"]).drop("scraped_at")
+
+
+QUERIES = {f.__name__: f for f in (w1_latest_logs, r18_health, r19_history, a6_summary, a7_global_summary, f5_moderate, f6_unresolved, m7_resolved, r16_failures, l8_priority, m5_not_recent, m6_due, m8_timeouts, k11_purge, k13_failures_by_url, d6_durations, m10_progress)}
 
 _W = f"WITH {sql('logs')}"
 _LATER = "min(CASE WHEN success THEN scraped_at END) OVER (PARTITION BY url ORDER BY scraped_at, log_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
 SQL = {
+    "m10_progress": _W + """, t AS (SELECT state_abbr, strftime(scraped_at, '%Y-%m-%d') AS day, log_id, count(*) OVER w AS done, CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) OVER w AS BIGINT) AS succeeded,
+        CAST(sum(CASE WHEN success THEN 0 ELSE 1 END) OVER w AS BIGINT) AS failed, CAST(sum(coalesce(judges_found, 0)) OVER w AS BIGINT) AS judges_found,
+        row_number() OVER (PARTITION BY state_abbr, strftime(scraped_at, '%Y-%m-%d') ORDER BY scraped_at DESC, log_id DESC) = 1 AS last
+        FROM logs WINDOW w AS (PARTITION BY state_abbr, strftime(scraped_at, '%Y-%m-%d') ORDER BY scraped_at, log_id ROWS UNBOUNDED PRECEDING)) SELECT * FROM t WHERE done % 5 = 0 OR last""",
     "w1_latest_logs": _W + " SELECT url, log_id, CAST(row_number() OVER w AS INT) AS place FROM logs WINDOW w AS (PARTITION BY url ORDER BY scraped_at DESC, log_id DESC) QUALIFY place <= 10",
     "r18_health": _W + f""", w AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY scraped_at DESC, log_id DESC) AS place FROM logs QUALIFY place <= 10),
       y AS (SELECT *, CASE WHEN success THEN row_number() OVER (PARTITION BY url, success ORDER BY place) END AS k FROM w),
