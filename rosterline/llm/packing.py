@@ -1,14 +1,14 @@
 """Packing of tokenised documents into sequences by bulk-synchronous best fit.
 
-Pieces and gaps (sequences with room) are two tables. Sizes are whole numbers up to the
-capacity, so the range sort of either is its deal into size classes with a gapless rank in each.
-One superstep takes a band of lengths: a successor sweep from the longest piece down finds for every
-piece the least gap that is long enough, among the gaps as they were when the step began;
-pieces that want the same gaps take them by rank, and those that lose go on to the next
-larger gap in the same sweep, or wait. Then every gap is updated where it lies and the step's table is
-written. Pieces of the band for which no gap is left open sequences, and the rest of them go on to the
-next step. The sweep itself needs only how many pieces and gaps each class has, 2 * capacity
-numbers whatever the input; pieces, gaps and places stay in Spark.
+Pieces and gaps (sequences with room) are two tables. One superstep takes a band of lengths: pieces
+of the band and gaps are range-sorted together from the largest size down, and every task
+sweeps one range. A piece's successor is the least gap that is long enough, which in this order
+is the last open gap before it, so a task keeps its open gaps as a stack. Pieces
+that want the same gap get it by rank, and those that lose go on to the next larger one. What a range
+can't place and the gaps that it leaves open are ranked by size; their counts (no more than
+2 * capacity sizes and two for every range) are matched over the ends of the ranges, and pieces
+meet these gaps in a join by rank. Then gaps are updated, the step's tables are written, and
+what has no place opens sequences or goes on to the next step.
 """
 
 from __future__ import annotations
@@ -20,14 +20,12 @@ from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from rosterline.llm.common import materialize
+from rosterline.llm.common import forget, materialize
 
 #: Bands of lengths, as parts of the capacity: a step's pieces are longer than one of these and at most as long as the one before.
 BANDS = (1 / 2, 1 / 3, 1 / 4, 1 / 5, 1 / 6, 1 / 8, 1 / 16, 1 / 32, 1 / 64, 1 / 128, 1 / 256, 1 / 512, 0)
@@ -75,23 +73,23 @@ def encoder(path: str):
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids: bool = True) -> DataFrame:
-    """Pieces of at most capacity tokens: doc_id, piece, start, length, ids_crc32, part, rank (and ids).
+    """Pieces of at most capacity tokens: doc_id, piece, start, length, ids_crc32, number (and ids).
 
     Each document's ids end with end_id, so a null or empty text gives one piece of one
     token. Only documents over the capacity are cut, into full pieces after a shorter first.
-    part and rank number the pieces of one length within one task; the table must be
+    number tells pieces apart and hangs on the tasks; the table must be
     written before it is read twice. vocabulary: a path that every executor can read.
     """
     source = docs.select("doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, number long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, number = encoder(vocabulary), TaskContext.get().partitionId() << _SHIFT
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 batch = big.slice(at, 500)
-                index, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
+                index, piece, start, length, crc, kept = [], [], [], [], [], []
                 for i, text in enumerate(batch.column("text").to_pylist()):
                     ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
                     begin, k = 0, 0
@@ -99,157 +97,220 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, w
                         n = (len(ids) - begin - 1) % capacity + 1 if k == 0 else capacity
                         own = ids[begin : begin + n]
                         index.append(i), piece.append(k), start.append(begin), length.append(n)
-                        crc.append(zlib.crc32(own.tobytes())), rank.append(int(seen[n]))
+                        crc.append(zlib.crc32(own.tobytes()))
                         if with_ids:
                             kept.append(own.astype(np.int32))
-                        seen[n] += 1
                         begin, k = begin + n, k + 1
                 columns = [
                     batch.column("doc_id").take(pa.array(index, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(index), pa.int32()), pa.array(rank, pa.int64()),
+                    pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.arange(number, number + len(index)), pa.int64()),
                 ]
                 if with_ids:
                     columns.append(pa.array(kept, pa.list_(pa.int32())))
+                number += len(index)
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     return source.mapInArrow(cut, schema)
 
 
-#: What happens to gaps of one size with successive ranks: they take `many` pieces of `length` each, the first of that rank.
-GAP_RUN = ("free", "first", "count", "length", "rank", "many", "new_free", "new_first")
+SWEPT = "range int, piece boolean, id long, size long, rank long, sequence_id long, offset long"
+#: Rows of one range, which one task sweeps; it keeps the ids of the range's open gaps.
+RANGE_ROWS = 500_000
 
 
-def successor_sweep(left: dict[int, int], used: Counter, gaps: Counter, lengths: list[int], capacity: int) -> tuple[list[tuple], Counter]:
-    """(GAP_RUN rows that cover all gaps, the new gaps by size) of one superstep; left and used are brought up to date.
+def together(length: int, free: int, capacity: int) -> int:
+    """How many pieces of one length go into a gap in one superstep."""
+    return free // length if length <= capacity * SMALL else 1
 
-    left: pieces by length; used: pieces that have their place, which are the first of their class; lengths: those of the band, longest first.
+
+def swept_range(at: int, batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """SWEPT rows of the range `at`, whose rows (size, piece, id) come from the largest size down, gaps before pieces of their size.
+
+    A piece with its place has sequence_id and offset; a gap that took pieces has its new size. Pieces
+    and gaps that are left are ranked by size.
+    """
+    stack, missed, kind = [], Counter(), pa.schema([(n, {"int": pa.int32(), "boolean": pa.bool_()}.get(t, pa.int64())) for n, t in (x.split() for x in SWEPT.split(", "))])
+
+    def rows(piece: bool, ids: np.ndarray, size, rank=None, sequence=None, offset=None) -> pa.RecordBatch:  # noqa: ANN001
+        full = lambda x: pa.nulls(len(ids), pa.int64()) if x is None else pa.array(np.broadcast_to(x, len(ids)), pa.int64())
+        columns = [pa.array(np.full(len(ids), at), pa.int32()), pa.array(np.full(len(ids), piece)), pa.array(ids, pa.int64()), *map(full, (size, rank, sequence, offset))]
+        return pa.RecordBatch.from_arrays(columns, schema=kind)
+
+    for batch in batches:
+        sizes, pieces, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "piece", "id"))
+        cuts = np.flatnonzero((np.diff(sizes) != 0) | (np.diff(pieces.astype(np.int8)) != 0)) + 1
+        for begin, end in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+            if begin == end:
+                continue
+            length, own = int(sizes[begin]), ids[begin:end]
+            if not pieces[begin]:
+                stack.append((length, own))
+                continue
+            while len(own) and stack:
+                free, gaps = stack.pop()
+                many = together(length, free, capacity)
+                used = min(len(gaps), -(-len(own) // many))
+                placed, own = own[: used * many], own[used * many :]
+                gap, nth = np.divmod(np.arange(len(placed)), many)
+                yield rows(True, placed, length, None, gaps[gap], capacity - free + nth * length)
+                yield rows(False, gaps[:used], free - length * np.bincount(gap, minlength=used))
+                if used < len(gaps):
+                    stack.append((free, gaps[used:]))
+            if len(own):
+                yield rows(True, own, length, missed[length] + np.arange(len(own)))
+                missed[length] += len(own)
+    open_ = Counter()
+    for free, gaps in reversed(stack):
+        yield rows(False, gaps, free, open_[free] + np.arange(len(gaps)))
+        open_[free] += len(gaps)
+
+
+def over_ends(left: dict[tuple[int, bool, int], int], capacity: int) -> list[tuple[int, ...]]:
+    """Runs (range, length, first rank, count, many, range of gaps, their size, their first rank) that match what ranges have left.
+
+    left: how many pieces (True) and gaps (False) of one size a range has left; `many` pieces with successive ranks share a gap.
+    In a range the pieces that are left stand before the gaps, as they would have gone into them.
     """
-    sizes, at, stack = sorted(gaps, reverse=True), 0, []
-    taken, after, runs = Counter(), Counter(), []
-
-    def run(size: int, count: int, length: int, many: int) -> None:
-        free = size - many * length
-        runs.append((size, taken[size], count, length, used[length], many, free, after[free]))
-        taken[size] += count
-        after[free] += count
-        if length:
-            used[length] += count * many
-            left[length] -= count * many
-
-    for length in lengths:
-        while at < len(sizes) and sizes[at] >= length:
-            stack.append(sizes[at])
-            at += 1
-        while left[length] and stack:
-            size = stack[-1]
-            many = size // length if length <= capacity * SMALL else 1
-            room = gaps[size] - taken[size]
-            if whole := min(room, left[length] // many):
-                run(size, whole, length, many)
-                room -= whole
-            if room and left[length] and left[length] < many:
-                run(size, 1, length, left[length])
-                room -= 1
-            if not room:
-                stack.pop()
-    for size in sizes:
-        if room := gaps[size] - taken[size]:
-            run(size, room, 0, 0)
-    return runs, after
-
-
-def opened(left: dict[int, int], used: Counter, gaps: Counter, lengths: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, sequences, free, first rank as gaps): new sequences for the longest pieces of a band, enough for all of it."""
-    need, rows = -(-sum(left[n] for n in lengths) // (capacity // lengths[0])), []
-    for length in lengths:
-        if count := min(need, left[length]):
-            rows.append((length, used[length], count, capacity - length, gaps[capacity - length]))
-            gaps[capacity - length] += count
-            used[length] += count
-            left[length] -= count
-            need -= count
-    return rows
-
-
-STEP = "length long, rank long, many int, offset long, free long, place long"
-
-
-def _updated(runs: list[tuple], capacity: int):  # noqa: ANN202
-    table = np.array(sorted(runs), np.int64).reshape(-1, len(GAP_RUN))
-    starts = (table[:, 0] << _SHIFT) + table[:, 1]
-
-    @F.pandas_udf(STEP)
-    def update(free: pd.Series, place: pd.Series) -> pd.DataFrame:
-        row = table[np.searchsorted(starts, (free.to_numpy() << _SHIFT) + place.to_numpy(), side="right") - 1]
-        nth = place.to_numpy() - row[:, 1]
-        return pd.DataFrame(
-            {"length": row[:, 3], "rank": row[:, 4] + nth * row[:, 5], "many": row[:, 5].astype(np.int32), "offset": capacity - row[:, 0], "free": row[:, 6], "place": row[:, 7] + nth}
-        )
-
-    return update
-
-
-def _new(rows: list[tuple], first: int):  # noqa: ANN202
-    table = np.array(rows, np.int64).reshape(-1, 5)
-    starts = first + np.cumsum(table[:, 2]) - table[:, 2]
-
-    @F.pandas_udf(STEP)
-    def new(sequence: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(starts, sequence.to_numpy(), side="right") - 1
-        row, nth = table[at], sequence.to_numpy() - starts[at]
-        one = np.ones(len(row), np.int32)
-        return pd.DataFrame({"length": row[:, 0], "rank": row[:, 1] + nth, "many": one, "offset": 0 * nth, "free": row[:, 3], "place": row[:, 4] + nth})
-
-    return new
-
-
-def supersteps(spark: SparkSession, counts: dict[int, int], capacity: int) -> Iterator[DataFrame]:
-    """The written table of each superstep: (sequence_id, *STEP) of the gaps; many pieces of length from that rank on go there from offset on.
-
-    counts: pieces by length. place ranks the gaps of one size.
+    stack, runs = [], []
+    for (at, piece, size), count in sorted(left.items(), key=lambda x: (x[0][0], not x[0][1], -x[0][2])):
+        if not piece:
+            stack.append((at, size, 0, count))
+            continue
+        first = 0
+        while first < count and stack:
+            gap_range, free, gap_first, gaps = stack.pop()
+            many = together(size, free, capacity)
+            used = min(gaps, -(-(count - first) // many))
+            taken = min(count - first, used * many)
+            runs.append((at, size, first, taken, many, gap_range, free, gap_first))
+            first += taken
+            if used < gaps:
+                stack.append((gap_range, free, gap_first + used, gaps - used))
+    return runs
+
+
+RUNS = "_range int, _length long, _first long, _count long, _many long, _gap_range int, _free long, _gap_first long"
+
+
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver for a broadcast; its rows are runs of sizes, see over_ends()."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def _met(missed: DataFrame, gaps: DataFrame, runs: DataFrame, capacity: int) -> DataFrame:
+    """id, sequence_id, offset of the pieces that get a gap of another range, and with the first piece of a gap the gap's new size."""
+    nth = F.col("rank") - F.col("_first")
+    found = missed.join(runs, (F.col("range") == F.col("_range")) & (F.col("size") == F.col("_length")) & nth.between(0, F.col("_count") - 1))
+    found = found.select("id", "_length", "_many", "_gap_range", "_free", nth.alias("_nth"), "_count", (F.col("_gap_first") + F.floor(nth / F.col("_many"))).alias("_gap"))
+    ends = gaps.select("range", "size", "rank", F.col("id").alias("sequence_id"))
+    found = found.join(ends, (F.col("_gap_range") == F.col("range")) & (F.col("_free") == F.col("size")) & (F.col("_gap") == F.col("rank")))
+    turn = F.col("_nth") % F.col("_many")
+    after = F.when(turn == 0, F.col("_free") - F.col("_length") * F.least("_many", F.col("_count") - F.col("_nth")))
+    return found.select("id", "sequence_id", (F.lit(capacity) - F.col("_free") + turn * F.col("_length")).alias("offset"), after.alias("after"))
+
+
+def _swept(rows: DataFrame, total: int, capacity: int, range_rows: int) -> DataFrame:
+    """SWEPT rows of `total` rows (size, piece, id), range-sorted and swept range by range."""
+    order = [F.col("size").desc(), F.col("piece").asc(), F.col("id").asc()]
+    ranged = rows.repartitionByRange(-(-total // range_rows), *order).sortWithinPartitions(*order)
+    return ranged.mapInArrow(lambda batches: swept_range(TaskContext.get().partitionId(), batches, capacity), SWEPT)
+
+
+def supersteps(pieces: DataFrame, counts: dict[int, int], capacity: int, range_rows: int = RANGE_ROWS) -> Iterator[tuple[DataFrame, list[DataFrame]]]:
+    """(id, sequence_id, offset) of the pieces that a superstep places, and the written tables that it reads.
+
+    pieces: a written table with number and length; counts: its rows by length. A step opens sequences only
+    if no gap could take any piece of the band that is left, and then enough for all of them, for the longest first.
     """
-    left, used, gaps, table, sequences = dict(counts), Counter(), Counter(), None, 0
+    spark, left, gaps, table, sequences = pieces.sparkSession, dict(counts), Counter(), None, 0
     for high, low in zip((1, *BANDS), BANDS, strict=False):
-        while lengths := sorted((n for n, c in left.items() if c and low * capacity < n <= high * capacity), reverse=True):
-            runs, gaps = successor_sweep(left, used, gaps, lengths, capacity)
-            parts = [table.select("sequence_id", _updated(runs, capacity)("free", "place").alias("s"))] if runs else []
-            lengths = [n for n in lengths if left[n]]
-            if lengths and max(gaps, default=0) < lengths[-1]:
-                rows = opened(left, used, gaps, lengths, capacity)
-                many = sum(r[2] for r in rows)
-                fresh = spark.range(sequences, sequences + many, 1, max(1, min(spark.sparkContext.defaultParallelism, many // 50_000)))
-                parts.append(fresh.select(F.col("id").alias("sequence_id"), _new(rows, sequences)("id").alias("s")))
-                sequences += many
-            done = materialize(reduce(DataFrame.union, (x.select("sequence_id", "s.*") for x in parts)))
-            yield done
+        inside = F.col("length").between(int(low * capacity) + 1, int(high * capacity))
+        waiting = pieces.filter(inside).select(F.col("length").alias("size"), F.lit(True).alias("piece"), F.col("number").alias("id"))
+        while lengths := sorted((n for n, c in left.items() if c and int(low * capacity) < n <= int(high * capacity)), reverse=True):
+            rows, parked, total = waiting, None, sum(left[n] for n in lengths)
+            if table is not None:
+                rows = rows.union(table.filter(F.col("size") >= lengths[-1]))
+                total += sum(c for n, c in gaps.items() if n >= lengths[-1])
+                nothing = [F.lit(None).cast("long").alias(c) for c in ("rank", "sequence_id", "offset")]
+                parked = table.filter(F.col("size") < lengths[-1]).select(F.lit(-1).alias("range"), "piece", "id", "size", *nothing)
+            swept = _swept(rows, total, capacity, range_rows)
+            swept = materialize(swept.union(parked) if parked is not None else swept)
+
+            open_, gaps = {}, Counter()
+            where = F.when(F.col("rank").isNotNull(), F.col("range"))
+            for at, piece, size, count in swept.filter("not piece or rank is not null").groupBy(where, "piece", "size").count().collect():
+                if at is None:
+                    gaps[size] += count
+                else:
+                    open_[at, piece, size] = count
+            left |= dict.fromkeys(lengths, 0)
+            runs = over_ends(open_, capacity)
+            filled, met = Counter(), Counter()
+            for at, length, _, count, many, gap_range, free, _ in runs:
+                met[at, length] += count
+                filled[gap_range, free] += -(-count // many)
+                gaps[free - many * length] += count // many
+                if count % many:
+                    gaps[free - count % many * length] += 1
+            for (at, piece, size), count in open_.items():
+                if piece:
+                    left[size] += count - met[at, size]
+                else:
+                    gaps[size] += count - filled[at, size]
+
+            fresh, rest = [], sorted((at, -size) for at, piece, size in open_ if piece)
+            if (lengths := [n for n in lengths if left[n]]) and max(+gaps, default=0) < lengths[-1]:
+                need = -(-sum(left[n] for n in lengths) // (capacity // lengths[0]))
+                for at, length in ((at, -negative) for at, negative in rest):
+                    if count := min(need, open_[at, True, length] - met[at, length]):
+                        fresh.append((at, length, met[at, length], count, sequences))
+                        met[at, length] += count
+                        left[length] -= count
+                        gaps[capacity - length] += count
+                        sequences, need = sequences + count, need - count
+
+            missed, ends = swept.filter("piece and rank is not null").drop("sequence_id", "offset"), swept.filter("not piece and rank is not null")
+            made = [_met(missed, ends, _small(spark, runs, RUNS), capacity)] if runs else []
+            if fresh:
+                nth = F.col("rank") - F.col("_first")
+                own = _small(spark, fresh, "_range int, _length long, _first long, _count long, _sequence long")
+                found = missed.join(own, (F.col("range") == F.col("_range")) & (F.col("size") == F.col("_length")) & nth.between(0, F.col("_count") - 1))
+                made.append(found.select("id", (F.col("_sequence") + nth).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), (F.lit(capacity) - F.col("size")).alias("after")))
+            made = [materialize(reduce(DataFrame.union, made))] if made else []
+            yield reduce(DataFrame.union, [x.select("id", "sequence_id", "offset") for x in (swept.filter("piece and rank is null"), *made)]), [swept, *made]
+
+            beyond = lambda rows, ranks: _beyond(spark, rows, ranks).select("size", "piece", "id")
+            waiting = beyond(missed, met)
             least = min((n for n, c in left.items() if c), default=capacity + 1)
-            gaps = Counter({size: c for size, c in gaps.items() if size >= least})
-            table = done.filter(F.col("free") >= least)
+            new = [x.select(F.col("after").alias("size"), F.lit(False).alias("piece"), F.col("sequence_id").alias("id")).filter("size is not null") for x in made]
+            table = reduce(DataFrame.union, [swept.filter("not piece and rank is null").select("size", "piece", "id"), beyond(ends, filled), *new]).filter(F.col("size") >= least)
+            gaps = Counter({size: c for size, c in gaps.items() if size >= least and c})
+
+
+def _beyond(spark: SparkSession, rows: DataFrame, ranks: dict[tuple[int, int], int]) -> DataFrame:
+    """rows whose rank among those of their range and size is not below ranks[range, size]."""
+    if not ranks:
+        return rows
+    first = _small(spark, [(*key, n) for key, n in ranks.items()], "_range int, _size long, _rank long")
+    return rows.join(first, (F.col("range") == F.col("_range")) & (F.col("size") == F.col("_size")), "left").filter("rank >= coalesce(_rank, 0)")
 
 
-def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Add sequence_id and offset to token_pieces(); part and rank go.
+def pack(pieces: DataFrame, capacity: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add sequence_id and offset to token_pieces(); number goes.
 
     Sequences overlap nowhere, hold capacity tokens at most and have no holes. An empty
-    table gives an empty one.
+    table gives an empty one. The result reads two written tables, the pieces and their places; those of the steps are deleted.
     """
-    spark, pieces = pieces.sparkSession, materialize(pieces)
-    keep = [c for c in pieces.columns if c not in ("part", "rank")]
-    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("length").alias("_length"), F.col("part").alias("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    pieces = materialize(pieces)
+    keep = [c for c in pieces.columns if c != "number"]
     totals = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
-    steps = [t.filter("length > 0") for t in supersteps(spark, totals, capacity)]
+    steps = list(supersteps(pieces, totals, capacity, range_rows))
     if not steps:
         return pieces.select(*keep, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    taken = reduce(DataFrame.union, steps).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    taken = taken.select(F.col("length").alias("_l"), (F.col("rank") + F.col("_k")).alias("_r"), "sequence_id", (F.col("offset") + F.col("_k") * F.col("length")).alias("offset"))
-    ranked = pieces.select("length", "part", "rank").join(starts, (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part")))
-    ranked = ranked.select("part", F.col("rank").alias("_own"), "_length", (F.col("_first") + F.col("rank")).alias("_rank"))
-    placed = ranked.join(taken, (F.col("_length") == F.col("_l")) & (F.col("_rank") == F.col("_r")))
-    placed = placed.select(F.col("part").alias("_part"), "_own", "_length", "sequence_id", "offset")
-    found = pieces.join(placed, (F.col("part") == F.col("_part")) & (F.col("length") == F.col("_length")) & (F.col("rank") == F.col("_own")))
-    return found.select(*keep, "sequence_id", "offset")
+    places = materialize(reduce(DataFrame.union, (placed for placed, _ in steps)))
+    for _, tables in steps:
+        forget(*tables)
+    return pieces.join(places, F.col("number") == F.col("id")).select(*keep, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = True) -> DataFrame:

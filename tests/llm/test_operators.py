@@ -10,12 +10,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rosterline.llm import embedding_index, language_id, merkle, ngram_jaccard, packing, quality_cotraining, sentencepiece_sampling, sharding, url_graph, warc
 from rosterline.llm import queries as registered
-from rosterline.llm.common import connected_components, table
+from rosterline.llm.common import connected_components, materialize, table
+from tests.llm import counted_packing
 from tests.oracle import same
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -516,15 +518,67 @@ def test_packing_is_best_fit(docs, odd):
     assert packing.pack_documents(odd.limit(0), BPE).count() == 0
 
 
-def test_supersteps_place_every_rank(spark):
+def packed_by_steps(spark, lengths, range_rows, capacity=1024):
+    """Places of pieces of these lengths, checked to be gapless and whole; (sequences, supersteps)."""
+    pieces = materialize(spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "number long, length long"))
+    places, steps = {}, 0
+    for placed, tables in packing.supersteps(pieces, Counter(lengths), capacity, range_rows):
+        for r in placed.collect():
+            assert r.id not in places
+            places[r.id] = (r.sequence_id, r.offset)
+        steps += 1
+    assert set(places) == set(range(len(lengths)))
+    ends = {}
+    for (sequence, offset), n in sorted((p, lengths[k]) for k, p in places.items()):
+        assert offset == ends.get(sequence, 0)
+        ends[sequence] = offset + n
+    assert max(ends.values()) <= capacity and set(ends) == set(range(len(ends)))
+    return len(ends), steps
+
+
+@pytest.mark.parametrize("range_rows", [1000, 7])
+def test_supersteps_place_every_piece(spark, range_rows):
     counts = {1024: 3, 700: 5, 324: 2, 300: 9, 20: 50, 1: 4}
-    used, seen = Counter(), Counter()
-    for step in packing.supersteps(spark, counts, 1024):
-        for r in step.filter("length > 0").collect():
-            used[r.sequence_id] += r.length * r.many
-            seen.update((r.length, r.rank + k) for k in range(r.many))
-    assert seen == Counter((n, k) for n, c in counts.items() for k in range(c))
-    assert max(used.values()) <= 1024 and len(used) == best_fit([n for n, c in counts.items() for _ in range(c)], 1024)
+    lengths = [n for n, c in counts.items() for _ in range(c)]
+    assert packed_by_steps(spark, lengths, range_rows)[0] == best_fit(lengths, 1024)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_supersteps_over_many_ranges_come_close_to_best_fit(spark, seed):
+    rng = np.random.default_rng(seed)
+    draw = [lambda n: rng.integers(1, 1025, n), lambda n: rng.integers(1, 200, n), lambda n: np.minimum(1024, rng.lognormal(5, 1, n).astype(int) + 1)][seed]
+    lengths = [*draw(2000).tolist(), *[300] * 1000]  # a third of one length, which falls into several ranges
+    found, _ = packed_by_steps(spark, lengths, 300)
+    assert found <= best_fit(lengths, 1024) * 1.005 + 1
+    assert abs(found - counted_packing.sequences_of(lengths, 1024)) <= 1 + found // 500
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_ranges_and_their_ends_match_like_one_sweep(seed):
+    rng = np.random.default_rng(seed)
+    sizes, piece = rng.integers(400, 420, 60), rng.random(60) < 0.5
+    rows = sorted((-int(n), bool(p), k) for k, (n, p) in enumerate(zip(sizes, piece, strict=True)))
+    stack, expected, alone = [], Counter(), 0
+    for negative, is_piece, _ in rows:
+        if not is_piece:
+            stack.append(-negative)
+        elif stack:
+            expected[-negative, stack.pop()] += 1
+        else:
+            alone += 1
+    cuts, found, left = sorted(rng.integers(0, 60, 5).tolist()), Counter(), Counter()
+    for at, (begin, end) in enumerate(zip([0, *cuts], [*cuts, 60], strict=True)):
+        batch = pa.RecordBatch.from_pydict({"size": pa.array([-r[0] for r in rows[begin:end]], pa.int64()), "piece": pa.array([r[1] for r in rows[begin:end]], pa.bool_()), "id": pa.array([r[2] for r in rows[begin:end]], pa.int64())})
+        for out in packing.swept_range(at, [batch.slice(0, 5), batch.slice(5)], 1024):
+            for r in out.to_pylist():
+                if r["rank"] is not None:
+                    assert r["rank"] == left[at, r["piece"], r["size"]]
+                    left[at, r["piece"], r["size"]] += 1
+                elif r["piece"]:
+                    found[r["size"], 1024 - r["offset"]] += 1
+    for _, length, _, count, _, _, free, _ in packing.over_ends(left, 1024):
+        found[length, free] += count
+    assert found == expected and piece.sum() - found.total() == alone
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -536,14 +590,14 @@ def test_sweeps_come_close_to_best_fit(seed):
     for high, low in zip((1, *packing.BANDS), packing.BANDS, strict=False):
         while own := sorted((n for n, c in left.items() if c and low * capacity < n <= high * capacity), reverse=True):
             before = Counter(gaps)
-            runs, gaps = packing.successor_sweep(left, used, gaps, own, capacity)
+            runs, gaps = counted_packing.successor_sweep(left, used, gaps, own, capacity)
             covered = Counter()
             for size, _, count, length, _, many, free, _ in runs:
                 covered[size] += count
                 assert free == size - many * length >= 0
             assert covered == +before
             if (own := [n for n in own if left[n]]) and max(gaps, default=0) < own[-1]:
-                sequences += sum(r[2] for r in packing.opened(left, used, gaps, own, capacity))
+                sequences += sum(r[2] for r in counted_packing.opened(left, used, gaps, own, capacity))
     assert used == Counter(lengths) and sequences <= best_fit(lengths, capacity) * 1.005 + 1
 
 
