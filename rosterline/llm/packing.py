@@ -209,10 +209,10 @@ def _met(missed: DataFrame, gaps: DataFrame, runs: DataFrame, capacity: int) ->
     return found.select("id", "sequence_id", (F.lit(capacity) - F.col("_free") + turn * F.col("_length")).alias("offset"), after.alias("after"))
 
 
-def _swept(rows: DataFrame, total: int, capacity: int, range_rows: int) -> DataFrame:
-    """SWEPT rows of `total` rows (size, piece, id), range-sorted and swept range by range."""
+def _swept(rows: DataFrame, ranges: int, capacity: int) -> DataFrame:
+    """SWEPT rows of rows (size, piece, id), range-sorted and swept range by range."""
     order = [F.col("size").desc(), F.col("piece").asc(), F.col("id").asc()]
-    ranged = rows.repartitionByRange(-(-total // range_rows), *order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     return ranged.mapInArrow(lambda batches: swept_range(TaskContext.get().partitionId(), batches, capacity), SWEPT)
 
 
@@ -222,6 +222,7 @@ def supersteps(pieces: DataFrame, counts: dict[int, int], capacity: int, range_r
     pieces: a written table with number and length; counts: its rows by length. A step opens sequences only
     if no gap could take any piece of the band that is left, and then enough for all of them, for the longest first.
     """
+    parts = lambda rows: max(1, -(-rows // range_rows))
     spark, left, gaps, table, sequences = pieces.sparkSession, dict(counts), Counter(), None, 0
     for high, low in zip((1, *BANDS), BANDS, strict=False):
         inside = F.col("length").between(int(low * capacity) + 1, int(high * capacity))
@@ -233,7 +234,8 @@ def supersteps(pieces: DataFrame, counts: dict[int, int], capacity: int, range_r
                 total += sum(c for n, c in gaps.items() if n >= lengths[-1])
                 nothing = [F.lit(None).cast("long").alias(c) for c in ("rank", "sequence_id", "offset")]
                 parked = table.filter(F.col("size") < lengths[-1]).select(F.lit(-1).alias("range"), "piece", "id", "size", *nothing)
-            swept = _swept(rows, total, capacity, range_rows)
+                parked = parked.coalesce(parts(sum(c for n, c in gaps.items() if n < lengths[-1])))
+            swept = _swept(rows, parts(total), capacity)
             swept = materialize(swept.union(parked) if parked is not None else swept)
 
             open_, gaps = {}, Counter()
@@ -276,23 +278,23 @@ def supersteps(pieces: DataFrame, counts: dict[int, int], capacity: int, range_r
                 own = _small(spark, fresh, "_range int, _length long, _first long, _count long, _sequence long")
                 found = missed.join(own, (F.col("range") == F.col("_range")) & (F.col("size") == F.col("_length")) & nth.between(0, F.col("_count") - 1))
                 made.append(found.select("id", (F.col("_sequence") + nth).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), (F.lit(capacity) - F.col("size")).alias("after")))
-            made = [materialize(reduce(DataFrame.union, made))] if made else []
+            total = sum(r[3] for r in (*runs, *fresh))
+            made = [materialize(reduce(DataFrame.union, made).coalesce(parts(total)))] if made else []
             yield reduce(DataFrame.union, [x.select("id", "sequence_id", "offset") for x in (swept.filter("piece and rank is null"), *made)]), [swept, *made]
 
-            beyond = lambda rows, ranks: _beyond(spark, rows, ranks).select("size", "piece", "id")
-            waiting = beyond(missed, met)
+            waiting = _beyond(missed, met)
             least = min((n for n, c in left.items() if c), default=capacity + 1)
             new = [x.select(F.col("after").alias("size"), F.lit(False).alias("piece"), F.col("sequence_id").alias("id")).filter("size is not null") for x in made]
-            table = reduce(DataFrame.union, [swept.filter("not piece and rank is null").select("size", "piece", "id"), beyond(ends, filled), *new]).filter(F.col("size") >= least)
+            table = reduce(DataFrame.union, [_beyond(swept.filter("not piece"), filled), *new]).filter(F.col("size") >= least)
             gaps = Counter({size: c for size, c in gaps.items() if size >= least and c})
 
 
-def _beyond(spark: SparkSession, rows: DataFrame, ranks: dict[tuple[int, int], int]) -> DataFrame:
-    """rows whose rank among those of their range and size is not below ranks[range, size]."""
-    if not ranks:
-        return rows
-    first = _small(spark, [(*key, n) for key, n in ranks.items()], "_range int, _size long, _rank long")
-    return rows.join(first, (F.col("range") == F.col("_range")) & (F.col("size") == F.col("_size")), "left").filter("rank >= coalesce(_rank, 0)")
+def _beyond(rows: DataFrame, ranks: dict[tuple[int, int], int]) -> DataFrame:
+    """(size, piece, id) of the rows without a rank, and of those whose rank is not below ranks[range, size]."""
+    if ranks:
+        first = _small(rows.sparkSession, [(*key, n) for key, n in ranks.items()], "_range int, _size long, _first long")
+        rows = rows.join(first, (F.col("range") == F.col("_range")) & (F.col("size") == F.col("_size")), "left").filter("rank is null or rank >= coalesce(_first, 0)")
+    return rows.select("size", "piece", "id")
 
 
 def pack(pieces: DataFrame, capacity: int, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -307,7 +309,8 @@ def pack(pieces: DataFrame, capacity: int, range_rows: int = RANGE_ROWS) -> Data
     steps = list(supersteps(pieces, totals, capacity, range_rows))
     if not steps:
         return pieces.select(*keep, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    places = materialize(reduce(DataFrame.union, (placed for placed, _ in steps)))
+    tasks = max(pieces.sparkSession.sparkContext.defaultParallelism, -(-sum(totals.values()) // range_rows))
+    places = materialize(reduce(DataFrame.union, (placed for placed, _ in steps)).coalesce(tasks))
     for _, tables in steps:
         forget(*tables)
     return pieces.join(places, F.col("number") == F.col("id")).select(*keep, "sequence_id", "offset")
