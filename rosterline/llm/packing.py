@@ -1,8 +1,8 @@
 """Packing of tokenised documents into sequences by bulk-synchronous best fit.
 
 Pieces and gaps (sequences with room) are two tables. One superstep takes a band of lengths: pieces
-of the band and gaps are range-sorted together from the largest size down, and every task
-sweeps one range. A piece's successor is the least gap that is long enough, which in this order
+of the band and gaps are range-sorted together from the largest size down (their counts by size give the ends of the ranges), and tasks
+sweep range by range. A piece's successor is the least gap that is long enough, which in this order
 is the last open gap before it, so a task keeps its open gaps as a stack. Pieces
 that want the same gap get it by rank, and those that lose go on to the next larger one. What a range
 can't place and the gaps that it leaves open are ranked by size; their counts (no more than
@@ -114,7 +114,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, w
 
 
 SWEPT = "range int, piece boolean, id long, size long, rank long, sequence_id long, offset long"
-#: Rows of one range, which one task sweeps; it keeps the ids of the range's open gaps.
+#: Rows of one range (up to twice as many); the task that sweeps it keeps the ids of its open gaps.
 RANGE_ROWS = 500_000
 
 
@@ -123,25 +123,34 @@ def together(length: int, free: int, capacity: int) -> int:
     return free // length if length <= capacity * SMALL else 1
 
 
-def swept_range(at: int, batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    """SWEPT rows of the range `at`, whose rows (size, piece, id) come from the largest size down, gaps before pieces of their size.
+def swept_ranges(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """SWEPT rows of ranges whose rows (range, size, piece, id) come one range after another, from the largest size down, gaps before pieces of their size.
 
     A piece with its place has sequence_id and offset; a gap that took pieces has its new size. Pieces
     and gaps that are left are ranked by size.
     """
-    stack, missed, kind = [], Counter(), pa.schema([(n, {"int": pa.int32(), "boolean": pa.bool_()}.get(t, pa.int64())) for n, t in (x.split() for x in SWEPT.split(", "))])
+    at, stack, missed, kind = None, [], Counter(), pa.schema([(n, {"int": pa.int32(), "boolean": pa.bool_()}.get(t, pa.int64())) for n, t in (x.split() for x in SWEPT.split(", "))])
 
     def rows(piece: bool, ids: np.ndarray, size, rank=None, sequence=None, offset=None) -> pa.RecordBatch:  # noqa: ANN001
         full = lambda x: pa.nulls(len(ids), pa.int64()) if x is None else pa.array(np.broadcast_to(x, len(ids)), pa.int64())
         columns = [pa.array(np.full(len(ids), at), pa.int32()), pa.array(np.full(len(ids), piece)), pa.array(ids, pa.int64()), *map(full, (size, rank, sequence, offset))]
         return pa.RecordBatch.from_arrays(columns, schema=kind)
 
+    def still_open() -> Iterator[pa.RecordBatch]:
+        open_ = Counter()
+        for free, gaps in reversed(stack):
+            yield rows(False, gaps, free, open_[free] + np.arange(len(gaps)))
+            open_[free] += len(gaps)
+
     for batch in batches:
-        sizes, pieces, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "piece", "id"))
-        cuts = np.flatnonzero((np.diff(sizes) != 0) | (np.diff(pieces.astype(np.int8)) != 0)) + 1
+        ranges, sizes, pieces, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("range", "size", "piece", "id"))
+        cuts = np.flatnonzero((np.diff(ranges) != 0) | (np.diff(sizes) != 0) | (np.diff(pieces.astype(np.int8)) != 0)) + 1
         for begin, end in zip([0, *cuts], [*cuts, len(ids)], strict=True):
             if begin == end:
                 continue
+            if ranges[begin] != at:
+                yield from still_open()
+                at, stack, missed = int(ranges[begin]), [], Counter()
             length, own = int(sizes[begin]), ids[begin:end]
             if not pieces[begin]:
                 stack.append((length, own))
@@ -159,10 +168,7 @@ def swept_range(at: int, batches: Iterator[pa.RecordBatch], capacity: int) -> It
             if len(own):
                 yield rows(True, own, length, missed[length] + np.arange(len(own)))
                 missed[length] += len(own)
-    open_ = Counter()
-    for free, gaps in reversed(stack):
-        yield rows(False, gaps, free, open_[free] + np.arange(len(gaps)))
-        open_[free] += len(gaps)
+    yield from still_open()
 
 
 def over_ends(left: dict[tuple[int, bool, int], int], capacity: int) -> list[tuple[int, ...]]:
@@ -209,11 +215,31 @@ def _met(missed: DataFrame, gaps: DataFrame, runs: DataFrame, capacity: int) ->
     return found.select("id", "sequence_id", (F.lit(capacity) - F.col("_free") + turn * F.col("_length")).alias("offset"), after.alias("after"))
 
 
-def _swept(rows: DataFrame, ranges: int, capacity: int) -> DataFrame:
-    """SWEPT rows of rows (size, piece, id), range-sorted and swept range by range."""
-    order = [F.col("size").desc(), F.col("piece").asc(), F.col("id").asc()]
-    ranged = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    return ranged.mapInArrow(lambda batches: swept_range(TaskContext.get().partitionId(), batches, capacity), SWEPT)
+def bounds(sizes: dict[tuple[int, bool], int], range_rows: int) -> dict[tuple[int, bool], tuple[int, int]]:
+    """(first range, ranges) of the pieces (True) or gaps (False) of each size, in the order of the sweep; a larger class is dealt over several ranges."""
+    found, before = {}, 0
+    for (size, piece), count in sorted(sizes.items(), key=lambda x: (-x[0][0], x[0][1])):
+        first = before // range_rows
+        found[size, piece] = first, max(1, -(-count // range_rows))
+        before = before + count if found[size, piece][1] == 1 else (first + found[size, piece][1]) * range_rows
+    return found
+
+
+def _swept(rows: DataFrame, sizes: dict[tuple[int, bool], int], capacity: int, range_rows: int) -> DataFrame:
+    """SWEPT rows of rows (size, piece, id), of which there are so many of each size, range-sorted and swept range by range.
+
+    The counts give the ends of the ranges, so nothing is sampled; a row of a class that is dealt over several ranges goes by the hash of its id.
+    """
+    found = bounds(sizes, range_rows)
+    if max(first + n for first, n in found.values()) == 1:
+        range_ = F.lit(0)
+    else:
+        look = [",".join(str(found.get((n, piece), (0, 1))[k]) for n in range(capacity + 1) for piece in (False, True)) for k in (0, 1)]
+        first, parts = (F.get(F.expr(f"array({x})"), (F.col("size") * 2 + F.col("piece").cast("int")).cast("int")) for x in look)
+        range_ = (first + F.pmod(F.xxhash64("id"), parts)).cast("int")
+    order = [F.col("range"), F.col("size").desc(), F.col("piece").asc(), F.col("id").asc()]
+    ranged = rows.select(range_.alias("range"), "size", "piece", "id").repartition("range").sortWithinPartitions(*order)
+    return ranged.mapInArrow(lambda batches: swept_ranges(batches, capacity), SWEPT)
 
 
 def supersteps(pieces: DataFrame, counts: dict[int, int], capacity: int, range_rows: int = RANGE_ROWS) -> Iterator[tuple[DataFrame, list[DataFrame]]]:
@@ -228,14 +254,14 @@ def supersteps(pieces: DataFrame, counts: dict[int, int], capacity: int, range_r
         inside = F.col("length").between(int(low * capacity) + 1, int(high * capacity))
         waiting = pieces.filter(inside).select(F.col("length").alias("size"), F.lit(True).alias("piece"), F.col("number").alias("id"))
         while lengths := sorted((n for n, c in left.items() if c and int(low * capacity) < n <= int(high * capacity)), reverse=True):
-            rows, parked, total = waiting, None, sum(left[n] for n in lengths)
+            rows, parked, sizes = waiting, None, {(n, True): left[n] for n in lengths}
             if table is not None:
                 rows = rows.union(table.filter(F.col("size") >= lengths[-1]))
-                total += sum(c for n, c in gaps.items() if n >= lengths[-1])
+                sizes |= {(n, False): c for n, c in gaps.items() if n >= lengths[-1]}
                 nothing = [F.lit(None).cast("long").alias(c) for c in ("rank", "sequence_id", "offset")]
                 parked = table.filter(F.col("size") < lengths[-1]).select(F.lit(-1).alias("range"), "piece", "id", "size", *nothing)
                 parked = parked.coalesce(parts(sum(c for n, c in gaps.items() if n < lengths[-1])))
-            swept = _swept(rows, parts(total), capacity)
+            swept = _swept(rows, sizes, capacity, range_rows)
             swept = materialize(swept.union(parked) if parked is not None else swept)
 
             open_, gaps = {}, Counter()

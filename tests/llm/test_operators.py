@@ -553,6 +553,11 @@ def test_supersteps_over_many_ranges_come_close_to_best_fit(spark, seed):
     assert abs(found - counted_packing.sequences_of(lengths, 1024)) <= 1 + found // 500
 
 
+def test_ranges_follow_the_sizes_and_split_hot_ones():
+    found = packing.bounds({(9, True): 30, (9, False): 5, (7, True): 1000, (5, False): 60, (5, True): 60, (3, True): 1}, 100)
+    assert found == {(9, False): (0, 1), (9, True): (0, 1), (7, True): (0, 10), (5, False): (10, 1), (5, True): (10, 1), (3, True): (11, 1)}
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_ranges_and_their_ends_match_like_one_sweep(seed):
     rng = np.random.default_rng(seed)
@@ -567,15 +572,16 @@ def test_ranges_and_their_ends_match_like_one_sweep(seed):
         else:
             alone += 1
     cuts, found, left = sorted(rng.integers(0, 60, 5).tolist()), Counter(), Counter()
-    for at, (begin, end) in enumerate(zip([0, *cuts], [*cuts, 60], strict=True)):
-        batch = pa.RecordBatch.from_pydict({"size": pa.array([-r[0] for r in rows[begin:end]], pa.int64()), "piece": pa.array([r[1] for r in rows[begin:end]], pa.bool_()), "id": pa.array([r[2] for r in rows[begin:end]], pa.int64())})
-        for out in packing.swept_range(at, [batch.slice(0, 5), batch.slice(5)], 1024):
-            for r in out.to_pylist():
-                if r["rank"] is not None:
-                    assert r["rank"] == left[at, r["piece"], r["size"]]
-                    left[at, r["piece"], r["size"]] += 1
-                elif r["piece"]:
-                    found[r["size"], 1024 - r["offset"]] += 1
+    ranges = [sum(c <= k for c in cuts) for k in range(60)]
+    columns = {"range": pa.array(ranges, pa.int32()), "size": pa.array([-r[0] for r in rows], pa.int64()), "piece": pa.array([r[1] for r in rows]), "id": pa.array([r[2] for r in rows], pa.int64())}
+    batch = pa.RecordBatch.from_pydict(columns)
+    for out in packing.swept_ranges([batch.slice(0, 25), batch.slice(25)], 1024):
+        for r in out.to_pylist():
+            if r["rank"] is not None:
+                assert r["rank"] == left[r["range"], r["piece"], r["size"]]
+                left[r["range"], r["piece"], r["size"]] += 1
+            elif r["piece"]:
+                found[r["size"], 1024 - r["offset"]] += 1
     for _, length, _, count, _, _, free, _ in packing.over_ends(left, 1024):
         found[length, free] += count
     assert found == expected and piece.sum() - found.total() == alone
