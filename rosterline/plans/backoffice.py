@@ -65,8 +65,8 @@ def r25_actions(spark: SparkSession, d: str) -> DataFrame:
     """Sites after dismissal of their anomaly or being switched off and on."""
     logs = read(spark, d, "logs")
     sites = logs.groupBy("url").agg(F.bool_or("success").alias("active"), F.bool_or(~F.col("success")).alias("anomaly"), F.max("message").alias("anomaly_message"))
-    action = F.when(F.col("message").contains("403"), "deactivate").when(F.col("message").contains("odd"), "dismiss-anomaly")
-    return admin.health_actions(sites, logs.select("url", action.alias("action")).filter("action is not null"))
+    both = F.array(F.when(F.col("message").contains("403"), "deactivate"), F.when(F.col("message").contains("odd"), "dismiss-anomaly"))  # one message may ask for both
+    return admin.health_actions(sites, logs.select("url", F.explode(both).alias("action")).filter("action is not null"))
 
 
 def j3_jobs(spark: SparkSession, d: str) -> DataFrame:

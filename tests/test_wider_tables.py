@@ -44,6 +44,6 @@ def test_two_decimals_as_printf(spark):
 NUMBERED = "SELECT * REPLACE (CASE event_id % 4 WHEN 0 THEN 403 WHEN 1 THEN 1403 WHEN 2 THEN 429 ELSE user_id END AS user_id, CASE WHEN event_id % 3 > 0 THEN 'error' ELSE event_type END AS event_type) FROM t"
 
 
-@pytest.mark.parametrize("query", ["r16_failures"])
+@pytest.mark.parametrize("query", ["r16_failures", "r25_actions"])
 def test_status_in_other_places_of_a_message(check, query):
     check(query, "events", NUMBERED)
