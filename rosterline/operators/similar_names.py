@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterline.functions.text import edit_similarity, identity_name
+from rosterline.operators.ranked import shared_path
 
 #: A list of names under one piece and length that is longer than that is split.
 LIST = 10_000
@@ -75,10 +76,14 @@ def _with_shares(rows: DataFrame, lists: DataFrame, keys: list[str]) -> DataFram
 def people_alike(records: DataFrame, within: list[str], least: float = 0.8) -> DataFrame:
     """Pairs of identity names (T6) that may be one person, with how many records have either.
 
-    Records belong to a name by identity_name(full_name); same_person() over records of such a pair gives R11's confidence.
+    Records belong to a name by identity_name(full_name); same_person() over records of such a pair gives R11's confidence. Records are
+    read once: they are counted as they are spelled, only spellings are made into names, and the names are written below spark.checkpoint.dir.
     """
-    named = records.withColumn("_identity", identity_name(F.col("full_name")))
-    counts = named.groupBy(*within, "_identity").agg(F.count("*").alias("_records"))
+    spelled = records.groupBy(*within, "full_name").agg(F.count("*").alias("_spelled"))
+    named = spelled.withColumn("_identity", identity_name(F.col("full_name"))).groupBy(*within, "_identity").agg(F.sum("_spelled").alias("_records"))
+    path = shared_path(records.sparkSession, "names")
+    named.write.parquet(path)
+    counts = records.sparkSession.read.schema(named.schema).parquet(path)
     out = similar_names(counts, "_identity", within, least)
     for side in ("a", "b"):
         own = counts.select(*(F.col(w).alias(f"_o{i}") for i, w in enumerate(within)), F.col("_identity").alias("_own"), F.col("_records").alias(f"records_{side}"))

@@ -58,3 +58,11 @@ def test_edges(spark):
         similar_names(spark.createDataFrame([], "name string"), "name", [], 0.5)
     rows = spark.createDataFrame([("Hon. Ann Smith", "EU"), ("Ann Smith", "EU"), ("Anna Smith", "EU"), ("Anna Smith", None), (None, "EU")], "full_name string, state string")
     assert [tuple(r) for r in people_alike(rows, ["state"]).select("state", "name_a", "name_b", "records_a", "records_b").collect()] == [("EU", "ann smith", "anna smith", 2, 1)]
+
+
+def test_records_are_read_once(spark, tmp_path):
+    rows = [("Hon. Ann Smith", "EU"), ("Ann Smith", "EU"), ("ANN SMITH", "EU"), ("Anna Smith", "EU"), ("Anna Smith", None), (None, None)]
+    spark.createDataFrame(rows, "full_name string, state string").write.parquet(str(tmp_path / "given"))
+    out = people_alike(spark.read.parquet(str(tmp_path / "given")), ["state"])
+    assert not [f for f in out.inputFiles() if "/given/" in f]  # the pairs and both counts come from the written names
+    assert [tuple(r) for r in out.select("state", "name_a", "name_b", "records_a", "records_b").collect()] == [("EU", "ann smith", "anna smith", 3, 1)]
