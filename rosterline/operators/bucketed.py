@@ -1,7 +1,8 @@
 """Tables in buckets of their key, so that a write rewrites only the buckets that it touches.
 
 A bucket is a folder. A change first finds the buckets that its keys (or its condition) touch, changes their rows with the functions of
-writes.py, and overwrites just those folders; files of the others keep their names.
+writes.py, and replaces just those folders; files of the others keep their names. A bucket of many rows is written by several
+tasks, a file each, so tasks don't grow with the table.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from rosterline.operators.ranked import shared_path
 from rosterline.operators.writes import upserted
 
 BUCKET = "_bucket"
+#: Rows that a task writes, about.
+ROWS = 250_000
 
 
 class BucketedTable:
     """A table below a path with `buckets` folders by the hash of its keys. One writer at a time.
 
-    A bucket's new rows are written whole beside the table first, then its folder is replaced when the job is committed; a job that fails before
+    A bucket's new rows are written whole beside the table first, then the folder is moved to the place of the old one; a job that fails before
     leaves the table as it was. With several buckets a reader may see some of them changed before the others.
     """
 
@@ -44,23 +47,38 @@ class BucketedTable:
     def _touched(self, rows: DataFrame) -> list[int]:
         return sorted(r[0] for r in rows.select(BUCKET).distinct().collect())  # as many as buckets
 
-    def _replace(self, touched: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
-        """Those buckets as change() makes them of their rows; one that has no rows afterwards is emptied."""
+    def _replace(self, touched: list[int], change: Callable[[DataFrame], DataFrame], more: int = 0) -> None:
+        """Those buckets as change() makes them of their rows, adding `more` at most; one that has no rows afterwards is emptied."""
         if not touched:
             return
         old = self.stored.filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
         staged = shared_path(self.spark, "staged")
-        self._write(change(old).select(*self.schema.names), staged, "errorifexists")
-        new = self.spark.read.schema(self.stored.schema).parquet(staged)
-        left = set(self._touched(new))
-        # Each bucket's rows lie together in the staged files already, so this is a copy without an exchange.
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
-        for gone in [f"{self.path}/{BUCKET}={b}" for b in touched if b not in left] + [staged]:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(gone)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    def _write(self, rows: DataFrame, path: str, mode: str) -> None:
-        rows.withColumn(BUCKET, self.bucket()).repartition(BUCKET).write.mode(mode).partitionBy(BUCKET).parquet(path)
+        self._write(change(old).select(*self.schema.names), staged, old.count() + more)
+        files, path = self._files(staged)
+        for b in touched:
+            now, new = path(f"{self.path}/{BUCKET}={b}"), path(f"{staged}/{BUCKET}={b}")
+            if files.exists(now):
+                self._move(files, now, path(f"{staged}/old-{b}"))
+            if files.exists(new):
+                self._move(files, new, now)
+        files.delete(path(staged), True)
+
+    def _files(self, path: str) -> tuple:
+        """The file system of a path, and what makes paths for it."""
+        made = self.spark._jvm.org.apache.hadoop.fs.Path
+        return made(path).getFileSystem(self.spark._jsc.hadoopConfiguration()), made
+
+    @staticmethod
+    def _move(files: object, old: object, new: object) -> None:
+        if not files.rename(old, new):
+            raise OSError(f"{old.toString()} can't be moved to {new.toString()}")
+
+    def _write(self, rows: DataFrame, path: str, n: int) -> None:
+        """rows, about n, by bucket; a bucket is dealt to as many tasks as it needs for ROWS in each, by other bits of its keys' hash."""
+        shares = max(1, -(-n // (ROWS * self.buckets)))
+        share = F.pmod(F.shiftright(F.xxhash64(*self.keys), 32), F.lit(shares))
+        task = (self.bucket() * F.lit(shares) + share).cast("int")
+        rows.withColumn(BUCKET, self.bucket()).repartitionById(self.buckets * shares, task).write.mode("errorifexists").partitionBy(BUCKET).parquet(path)
 
     def upsert(self, source: DataFrame) -> DataFrame:
         """K1: as writes.upserted() with this table's keys; returns the number of rows by change, in the touched buckets."""
@@ -73,7 +91,7 @@ class BucketedTable:
             change = F.when(F.col("_held"), "updated").otherwise("new")
             found = source.select(*self.keys).join(was, on, "left").groupBy(change.alias("change")).agg(F.count("*").alias("n")).collect()  # two rows
             counted = self.spark.createDataFrame([tuple(r) for r in found], counted.schema)
-            self._replace(touched, lambda old: upserted(old, source, self.keys))
+            self._replace(touched, lambda old: upserted(old, source, self.keys), sum(r["n"] for r in found))
         return counted
 
     def update(self, where: Column, values: dict[str, Column]) -> int:
@@ -99,12 +117,16 @@ class BucketedTable:
         held = self.stored.select(BUCKET, *self.keys).withColumnsRenamed({k: f"_t{k}" for k in self.keys}).withColumnRenamed(BUCKET, "_tb")
         on = [F.col(BUCKET) == F.col("_tb"), *(F.col(k).eqNullSafe(F.col(f"_t{k}")) for k in self.keys)]
         staged = shared_path(self.spark, "staged")
-        self._write(at.join(held, on, "left_anti").drop(BUCKET), staged, "errorifexists")
-        new = self.spark.read.schema(self.stored.schema).parquet(staged)
-        n = new.count()
-        new.write.mode("append").partitionBy(BUCKET).parquet(self.path)
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self._write(at.join(held, on, "left_anti").drop(BUCKET), staged, source.count())
+        n = self.spark.read.schema(self.stored.schema).parquet(staged).count()
+        files, path = self._files(staged)
+        for folder in files.listStatus(path(staged)):
+            bucket = folder.getPath().getName()
+            if bucket.startswith(f"{BUCKET}="):
+                files.mkdirs(path(f"{self.path}/{bucket}"))
+                for file in files.listStatus(folder.getPath()):  # names are unique over all writes
+                    self._move(files, file.getPath(), path(f"{self.path}/{bucket}/{file.getPath().getName()}"))
+        files.delete(path(staged), True)
         return n
 
 
@@ -113,5 +135,5 @@ def write_bucketed(rows: DataFrame, keys: list[str], path: str, buckets: int) ->
     if BUCKET in {c.lower() for c in rows.columns}:
         raise ValueError(f"{BUCKET} is needed for buckets")
     table = BucketedTable(rows.sparkSession, path, rows.schema, keys, buckets)
-    table._write(rows, path, "errorifexists")
+    table._write(rows, path, rows.count())
     return table

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from rosterline.operators import bucketed as module
 from rosterline.operators.bucketed import write_bucketed
 from rosterline.operators.ranked import shared_path
 from rosterline.operators.writes import upserted
@@ -54,3 +55,20 @@ def test_empty_table(spark):
     assert table.rows.count() == 0 and table.delete(F.lit(True)) == 0
     table.upsert(spark.createDataFrame([(1, "a", None, None)], SCHEMA))
     assert [tuple(r) for r in table.rows.collect()] == [(1, "a", None, None)]
+
+
+def test_many_rows_of_a_bucket_are_written_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(module, "ROWS", 50)
+    old = spark.createDataFrame([(i, f"n{i}", "VERIFIED", "p") for i in range(1000)] + [(None, "null key", "REJECTED", None)], SCHEMA)
+    table = write_bucketed(old, ["id"], shared_path(spark, "bucketed"), 2)
+
+    def most():
+        return max(r.n for r in table.rows.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect())
+
+    assert most() < 100
+    source = spark.createDataFrame([(i, "x", None, "q") for i in range(500, 2500)], SCHEMA)
+    expected = rows_of(upserted(old, source, ["id"]).drop("change"))
+    assert {r.change: r.n for r in table.upsert(source).collect()} == {"updated": 500, "new": 1500} and rows_of(table.rows) == expected and most() < 100
+    assert table.update(F.col("id") >= 0, {"status": F.lit("STALE")}) == 2500 and most() < 100
+    assert table.insert_if_absent(spark.createDataFrame([(i, "y", None, None) for i in range(2400, 3000)], SCHEMA)) == 500
+    assert table.rows.count() == 3001 and table.rows.select("id").distinct().count() == 3001 and most() < 100

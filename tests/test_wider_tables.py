@@ -47,3 +47,8 @@ NUMBERED = "SELECT * REPLACE (CASE event_id % 4 WHEN 0 THEN 403 WHEN 1 THEN 1403
 @pytest.mark.parametrize("query", ["r16_failures", "r25_actions"])
 def test_status_in_other_places_of_a_message(check, query):
     check(query, "events", NUMBERED)
+
+
+@pytest.mark.parametrize("query", ["k1_upsert", "k1_bucketed_writes"])
+def test_ids_of_further_judges_that_are_taken(check, query):
+    check(query, "orders", "SELECT * REPLACE (CASE WHEN o_orderkey < 750 THEN o_orderkey ELSE o_orderkey - 750 + 10000000 END AS o_orderkey) FROM t")
